@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmill.llm import exact_dedup, mixing, simhash, token_prefix
+from quillmill.llm import exact_dedup, mixing, quality, simhash, token_prefix, toxicity
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +21,16 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(_docs(spark, sf_dir))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir).select("doc_id", "text")
+    return toxicity.score_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).drop("text")
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir).select("doc_id", "text")
+    return quality.score_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).drop("text")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -36,6 +46,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_exact_dedup": op2_exact_dedup,
         "op3_simhash": op3_simhash,
+        "op7_toxicity": op7_toxicity,
+        "op8_quality": op8_quality,
         "op9_token_counts": op9_token_counts,
         "op10_mixing": op10_mixing,
     }
