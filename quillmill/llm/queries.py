@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmill.llm import exact_dedup, mixing, quality, simhash, token_prefix, toxicity
+from quillmill.llm import decontaminate, exact_dedup, mixing, quality, simhash, token_prefix, toxicity
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(_docs(spark, sf_dir))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir).select("doc_id", "text")
     return toxicity.score_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).drop("text")
@@ -46,6 +50,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_exact_dedup": op2_exact_dedup,
         "op3_simhash": op3_simhash,
+        "op4_decontamination": op4_decontamination,
         "op7_toxicity": op7_toxicity,
         "op8_quality": op8_quality,
         "op9_token_counts": op9_token_counts,
