@@ -75,8 +75,8 @@ def _slots(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return (u & mask).astype(np.int64), ((u >> np.uint64(64 - bits)) & mask).astype(np.int64) + (1 << bits)
 
 
-def repeat_filter(keys: DataFrame, column: str, rows: int, max_bits: int = 27) -> RepeatFilter:
-    """Pass one of two-pass Bloom filtering: which hashes may occur more than once.
+def repeat_filter(keys: DataFrame, column: str, rows: int, max_bits: int = 27, times: int = 2) -> RepeatFilter:
+    """Pass one of two-pass Bloom filtering: which hashes may occur `times` (2 or 1) times at least.
 
     keys: a DataFrame with the 64-bit integer `column` (nulls are skipped). Each
     task reduces its hashes to (slot, once or more often), tasks' slots are added
@@ -119,7 +119,7 @@ def repeat_filter(keys: DataFrame, column: str, rows: int, max_bits: int = 27) -
                 once[s] = True
                 twice[np.frombuffer(again, np.uint16)] = True
         if got:
-            yield pd.DataFrame([(k, np.packbits(t).tobytes()) for k, (_, t) in got.items()], columns=["chunk", "bits"])
+            yield pd.DataFrame([(k, np.packbits(t[times - 1]).tobytes()) for k, t in got.items()], columns=["chunk", "bits"])
 
     marked = keys.select(column).mapInPandas(mark, "chunk int, seen binary, again binary")
     merged = marked.repartition("chunk").mapInPandas(merge, "chunk int, bits binary")
@@ -131,18 +131,19 @@ def repeat_filter(keys: DataFrame, column: str, rows: int, max_bits: int = 27) -
 
 
 class RepeatFilter:
-    """Pass two: tells hashes that may be repeated from hashes that occur once."""
+    """Pass two: tells hashes that may occur often enough from those that do not."""
 
     def __init__(self, spark: SparkSession, table: np.ndarray, bits: int):
         self.table, self.bits = spark.sparkContext.broadcast(table), bits
 
-    def may_repeat(self, column):
-        shared, bits = self.table, self.bits
+    def look(self, h: np.ndarray) -> np.ndarray:
+        a, b = _slots(h, self.bits)
+        t = self.table.value
+        hit = lambda s: (t[s >> 3] >> (7 - (s & 7)).astype(np.uint8)) & 1
+        return (hit(a) & hit(b)).astype(bool)
 
+    def may_repeat(self, column):
         def look(h: pd.Series) -> pd.Series:
-            a, b = _slots(h.fillna(0).to_numpy(np.int64), bits)
-            t = shared.value
-            hit = lambda s: (t[s >> 3] >> (7 - (s & 7)).astype(np.uint8)) & 1
-            return pd.Series((hit(a) & hit(b)).astype(bool))
+            return pd.Series(self.look(h.fillna(0).to_numpy(np.int64)))
 
         return F.pandas_udf(look, "boolean")(column)

@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmill.llm import decontaminate, exact_dedup, mixing, quality, simhash, token_prefix, toxicity
+from quillmill.llm import decontaminate, exact_dedup, mixing, quality, repeats, simhash, token_prefix, toxicity
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(_docs(spark, sf_dir), with_text=False)
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.copy_groups(_docs(spark, sf_dir))
 
@@ -48,6 +52,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_repeats": op1_repeats,
         "op2_exact_dedup": op2_exact_dedup,
         "op3_simhash": op3_simhash,
         "op4_decontamination": op4_decontamination,
