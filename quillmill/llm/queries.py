@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmill.llm import decontaminate, exact_dedup, mixing, quality, repeats, simhash, token_prefix, toxicity
+from quillmill.llm import decontaminate, exact_dedup, mixing, quality, repeats, secrets, simhash, token_prefix, toxicity
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_spans(_docs(spark, sf_dir))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir).select("doc_id", "text")
     return toxicity.score_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).drop("text")
@@ -56,6 +60,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_exact_dedup": op2_exact_dedup,
         "op3_simhash": op3_simhash,
         "op4_decontamination": op4_decontamination,
+        "op5_secrets": op5_secrets,
         "op7_toxicity": op7_toxicity,
         "op8_quality": op8_quality,
         "op9_token_counts": op9_token_counts,
