@@ -92,40 +92,60 @@ def _encoding(token: Column, pick) -> Column:
 
 def _erfc(x: Column) -> Column:
     """Complementary error function for x >= 0 (rational approximation, error under 1.2e-7)."""
-    t = 1 / (1 + x / 2)
     series = [-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277]
-    power = F.lit(series[-1])
-    for c in series[-2::-1]:
-        power = power * t + c
-    return t * F.exp(-x * x + power)
+
+    def tail(t: Column) -> Column:
+        power = F.lit(series[-1])
+        for c in series[-2::-1]:
+            power = power * t + c
+        return t * F.exp(-x * x + power)
+
+    return _let(1 / (1 + x / 2), tail)
+
+
+def _let(value: Column, use) -> Column:
+    """use(value) with the value computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _uniform(e: Column) -> Column:
+    """Chi-squared test that all letters of the alphabet are as frequent, as a standard normal; only excess counts."""
+    n, k = F.length(e["t"]).cast("double"), F.length(e["letters"]).cast("double")
+    squares = F.aggregate(F.array_distinct(F.split(e["t"], "")), F.lit(0.0), lambda acc, c: acc + F.pow(n - F.length(F.replace(e["t"], c, F.lit(""))), F.lit(2.0)))
+    return F.greatest((k / n * squares - n - (k - 1)) / F.sqrt(2 * (k - 1) * (n - 1) / n), F.lit(0.0))
+
+
+def _runs(e: Column) -> Column:
+    """Runs test on the halves of the alphabet."""
+    n = F.length(e["halves"]).cast("double")
+    swaps = lambda ab: (n - F.length(F.replace(e["halves"], F.lit(ab), F.lit("")))) / 2
+    ones = n - F.length(F.replace(e["halves"], F.lit("a"), F.lit("")))
+    mean = _let(ones, lambda m: 1 + 2 * m * (n - m) / n)
+    return _let(mean, lambda m: (1 + swaps("ab") + swaps("ba") - m) / F.sqrt(F.greatest((m - 1) * (m - 2) / (n - 1), F.lit(0.25))))
+
+
+def _serial(e: Column) -> Column:
+    """Lag-1 serial correlation of the alphabet's indices."""
+    index = F.transform(F.split(e["t"], ""), lambda c: F.instr(e["letters"], c).cast("double"))
+
+    def correlate(x: Column) -> Column:
+        n = F.size(x)
+        add = lambda f: lambda acc, v: acc + f(v)
+        total = F.aggregate(x, F.lit(0.0), add(lambda v: v))
+        square = F.aggregate(x, F.lit(0.0), add(lambda v: v * v))
+        lagged = F.aggregate(F.zip_with(F.slice(x, 1, n - 1), F.slice(x, 2, n - 1), lambda a, b: a * b), F.lit(0.0), add(lambda v: v))
+        return _let(total * total / n, lambda base: (lagged - base) / F.greatest(square - base, F.lit(1e-9)) * F.sqrt(n.cast("double")))
+
+    return _let(index, correlate)
 
 
 def randomness(token: Column) -> Column:
     """p-value of the hypothesis that the token's characters are drawn at random from its encoding's alphabet."""
-    n = F.length(token).cast("double")
-    letters = _encoding(token, lambda _, a: F.lit(a))
-    k = F.length(letters).cast("double")
-    lower = lambda i: F.instr(letters, i).cast("double") - 1
-    squares = F.aggregate(F.array_distinct(F.split(token, "")), F.lit(0.0), lambda acc, c: acc + F.pow(n - F.length(F.replace(token, c, F.lit(""))), F.lit(2.0)))
-    chi = k / n * squares - n
-    z_uniform = F.greatest((chi - (k - 1)) / F.sqrt(2 * (k - 1) * (n - 1) / n), F.lit(0.0))
-
-    halves = _encoding(token, lambda _, a: F.translate(token, a, "a" * (len(a) // 2) + "b" * (len(a) - len(a) // 2)))
-    ones = n - F.length(F.replace(halves, F.lit("a"), F.lit("")))
-    swaps = lambda ab: (n - F.length(F.replace(halves, F.lit(ab), F.lit("")))) / 2
-    runs = 1 + swaps("ab") + swaps("ba")
-    mean = 1 + 2 * ones * (n - ones) / n
-    spread = F.greatest((mean - 1) * (mean - 2) / (n - 1), F.lit(0.25))
-    z_runs = (runs - mean) / F.sqrt(spread)
-
-    index = F.transform(F.split(token, ""), lambda c: lower(c))
-    total = F.aggregate(index, F.lit(0.0), lambda acc, x: acc + x)
-    square = F.aggregate(index, F.lit(0.0), lambda acc, x: acc + x * x)
-    lagged = F.aggregate(F.zip_with(F.slice(index, 1, F.size(index) - 1), F.slice(index, 2, F.size(index) - 1), lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x)
-    z_serial = (lagged - total * total / n) / F.greatest(square - total * total / n, F.lit(1e-9)) * F.sqrt(n)
-
-    t = z_uniform * z_uniform + z_runs * z_runs + z_serial * z_serial
-    return _erfc(F.sqrt(t / 2)) + F.sqrt(t * (2 / math.pi)) * F.exp(-t / 2)
+    encoded = _encoding(token, lambda _, a: F.struct(token.alias("t"), F.lit(a).alias("letters"), F.translate(token, a, "a" * (len(a) // 2) + "b" * (len(a) - len(a) // 2)).alias("halves")))
+    scores = _let(encoded, lambda e: F.struct(_uniform(e).alias("u"), _runs(e).alias("r"), _serial(e).alias("s")))
+    statistic = _let(scores, lambda z: z["u"] * z["u"] + z["r"] * z["r"] + z["s"] * z["s"])
+    # survival function of chi-squared with three degrees of freedom
+    return _let(statistic, lambda t: _let(F.sqrt(t / 2), _erfc) + F.sqrt(t * (2 / math.pi)) * F.exp(-t / 2))
 
 
 def _bin(p: Column) -> Column:
