@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmill.llm import decontaminate, exact_dedup, mixing, quality, repeats, secrets, simhash, token_prefix, toxicity
+from quillmill.llm import decontaminate, exact_dedup, lm, mixing, quality, repeats, secrets, simhash, token_prefix, toxicity
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +33,12 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_spans(_docs(spark, sf_dir))
 
 
+def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return lm.score(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir).select("doc_id", "text")
     return toxicity.score_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).drop("text")
@@ -61,6 +67,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_simhash": op3_simhash,
         "op4_decontamination": op4_decontamination,
         "op5_secrets": op5_secrets,
+        "op6_lm_scores": op6_lm_scores,
         "op7_toxicity": op7_toxicity,
         "op8_quality": op8_quality,
         "op9_token_counts": op9_token_counts,
