@@ -84,7 +84,7 @@ def repeat_filter(keys: DataFrame, column: str, rows: int, max_bits: int = 27, t
     2 * 2**max_bits bits, whatever the input. With more keys than that the filter
     only becomes less selective, it never misses a repeated key.
     """
-    bits = int(min(max_bits, max(CHUNK_BITS, np.ceil(np.log2(max(rows, 1) * 16)))))
+    bits = int(min(max_bits, max(CHUNK_BITS, np.ceil(np.log2(max(rows, 1) * 4)))))
 
     def pack(seen: list[np.ndarray]) -> Iterator[pd.DataFrame]:
         slot, n = np.unique(np.concatenate(seen), return_counts=True)
@@ -103,7 +103,7 @@ def repeat_filter(keys: DataFrame, column: str, rows: int, max_bits: int = 27, t
             if len(h):
                 seen += _slots(h, bits)
                 size += len(h)
-            if size > 500_000:
+            if size > 200_000:
                 yield from pack(seen)
                 seen, size = [], 0
         if size:

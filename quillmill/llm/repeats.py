@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from quillmill.llm.common import RepeatFilter, Stash, repeat_filter, text_of
 
 U = np.uint64
-PIECE = 1 << 19
+PIECE = 1 << 18
 ROW = "core long, hull long, rep long, id long, off long, n long"
 
 
@@ -142,8 +142,8 @@ def _spread(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return run, np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + first[run]
 
 
-def _rows(level: int, length: int, anchor: int, block: int, chosen: tuple[RepeatFilter, ...]):
-    """The rows of one pass; chosen: by pass before, which rows go on."""
+def _rows(level: int, length: int, anchor: int, block: int, chosen: tuple[RepeatFilter, ...], again: RepeatFilter | None = None):
+    """The rows of one pass; chosen: by pass before, which rows go on; again: which cores may be repeated (all, if not given)."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         h = _hasher(length, anchor, block)
         for b, starts, ids, offs in _buffers(batches, length):
@@ -178,6 +178,9 @@ def _rows(level: int, length: int, anchor: int, block: int, chosen: tuple[Repeat
                 core, first, last, at = core[go], first[go], last[go], at[go]
                 run_of, s = _spread(first, last)
                 got = row(core[run_of], s, s, at[run_of])
+            if again is not None:
+                met = again.look(got[0].view(np.int64))
+                got = tuple(v[met] for v in got)
             if len(got[0]):
                 yield pd.DataFrame({c: v.view(np.int64) for c, v in zip(("core", "hull", "rep", "id", "off", "n"), got, strict=True)})
 
@@ -197,7 +200,10 @@ def repeated_windows(docs: DataFrame, stash: Stash, length: int = 200, anchor: i
             rows = stash.keep(rows, f"rows{level}")
             expected = rows.count()
         again = repeat_filter(rows, digit, expected, max_bits)
-        rows = rows.filter(again.may_repeat(F.col(digit)))
+        if level:
+            rows = rows.filter(again.may_repeat(F.col(digit)))
+        else:
+            rows = docs.mapInPandas(_rows(level, length, anchor, block, chosen, again), ROW)
         hulls = stash.keep(rows.groupBy("core", "hull").agg(F.count("*").alias("seen"), F.min("rep").alias("rep")), f"hulls{level}")
         twice = hulls.filter("seen > 1").select("core", "hull")
         found.append(stash.keep(rows.join(twice, ["core", "hull"], "left_semi").select("id", "off", "n"), f"found{level}"))
