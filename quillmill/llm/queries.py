@@ -36,7 +36,7 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return lm.score(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+    return lm.score(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
