@@ -75,14 +75,16 @@ def _slots(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return (u & mask).astype(np.int64), ((u >> np.uint64(64 - bits)) & mask).astype(np.int64) + (1 << bits)
 
 
-def repeat_filter(keys: DataFrame, column: str, rows: int, max_bits: int = 27, times: int = 2) -> RepeatFilter:
+def repeat_filter(keys: DataFrame, column: str, rows: int, max_bits: int = 27, times: int = 2, through=None) -> RepeatFilter:
     """Pass one of two-pass Bloom filtering: which hashes may occur `times` (2 or 1) times at least.
 
     keys: a DataFrame with the 64-bit integer `column` (nulls are skipped). Each
     task reduces its hashes to (slot, once or more often), tasks' slots are added
     up by slot range on the executors, and the driver gets one bit a slot: at most
     2 * 2**max_bits bits, whatever the input. With more keys than that the filter
-    only becomes less selective, it never misses a repeated key.
+    only becomes less selective, it never misses a repeated key. through: a
+    mapInPandas function that makes the keys from the rows of `keys`, run in the
+    same Python process.
     """
     bits = int(min(max_bits, max(CHUNK_BITS, np.ceil(np.log2(max(rows, 1) * 4)))))
 
@@ -98,7 +100,7 @@ def repeat_filter(keys: DataFrame, column: str, rows: int, max_bits: int = 27, t
 
     def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen, size = [], 0
-        for b in batches:
+        for b in through(batches) if through else batches:
             h = b[column].dropna().to_numpy(np.int64)
             if len(h):
                 seen += _slots(h, bits)
@@ -121,7 +123,7 @@ def repeat_filter(keys: DataFrame, column: str, rows: int, max_bits: int = 27, t
         if got:
             yield pd.DataFrame([(k, np.packbits(t[times - 1]).tobytes()) for k, t in got.items()], columns=["chunk", "bits"])
 
-    marked = keys.select(column).mapInPandas(mark, "chunk int, seen binary, again binary")
+    marked = (keys if through else keys.select(column)).mapInPandas(mark, "chunk int, seen binary, again binary")
     merged = marked.repartition("chunk").mapInPandas(merge, "chunk int, bits binary")
     table = np.zeros((2 << bits) >> 3, np.uint8)
     width = (1 << CHUNK_BITS) >> 3

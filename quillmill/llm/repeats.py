@@ -195,14 +195,12 @@ def repeated_windows(docs: DataFrame, stash: Stash, length: int = 200, anchor: i
     for level in range(3):
         # the last digit is the hull itself; before, a group may still hold different hulls
         digit = "core" if level < 2 else "hull"
-        rows = docs.mapInPandas(_rows(level, length, anchor, block, chosen), ROW)
+        make = _rows(level, length, anchor, block, chosen)
         if level:
-            rows = stash.keep(rows, f"rows{level}")
-            expected = rows.count()
-        again = repeat_filter(rows, digit, expected, max_bits)
-        if level:
-            rows = rows.filter(again.may_repeat(F.col(digit)))
+            rows = stash.keep(docs.mapInPandas(make, ROW), f"rows{level}")
+            rows = rows.filter(repeat_filter(rows, digit, rows.count(), max_bits).may_repeat(F.col(digit)))
         else:
+            again = repeat_filter(docs, digit, expected, max_bits, through=make)
             rows = docs.mapInPandas(_rows(level, length, anchor, block, chosen, again), ROW)
         hulls = stash.keep(rows.groupBy("core", "hull").agg(F.count("*").alias("seen"), F.min("rep").alias("rep")), f"hulls{level}")
         twice = hulls.filter("seen > 1").select("core", "hull")
