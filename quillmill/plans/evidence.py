@@ -1 +1,200 @@
-"""Queries."""
+"""Queries of evidence operators, with quotes cut from documents."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import functions as F
+
+from quillmill.operators import evidence as ev
+from quillmill.operators import rules
+from quillmill.registry import query
+
+_TEXTS = "t AS (SELECT doc_id AS entry_id, text FROM documents WHERE length(text) >= 200)"
+
+
+def texts(t):
+    return t.documents.filter(F.length("text") >= 200).select(F.col("doc_id").alias("entry_id"), "text")
+
+
+def quotes(t):
+    """A quote a document: exact, without its punctuation, shortened by an ellipsis, or foreign."""
+    k = F.col("entry_id") % 4
+    own = F.substring("text", 31, 40)
+    q = F.when(k == 0, own).when(k == 1, F.regexp_replace(own, r"[\p{P}\s]", "")).when(k == 2, F.concat(F.substring("text", 31, 14), F.lit("…"), F.substring("text", 57, 14))).otherwise("nowhere to be found")
+    return texts(t).select("entry_id", q.alias("quote"))
+
+
+@query("e1_exact_quotes", f"WITH {_TEXTS}, q AS (SELECT entry_id, text, trim(substr(text, 31, 40), ' ') AS quote FROM t WHERE entry_id % 4 = 0) SELECT entry_id, position(quote IN text) - 1 AS start, position(quote IN text) - 1 + length(quote) AS end_, quote AS excerpt FROM q WHERE length(quote) >= 2")
+def _(t):
+    return ev.aligned(quotes(t).filter("entry_id % 4 = 0"), texts(t)).select("entry_id", "start", F.col("end").alias("end_"), "excerpt")
+
+
+@query("e1_aligned_quotes")
+def _(t):
+    return ev.aligned(quotes(t), texts(t)).select("entry_id", "quote", "start", F.col("end").alias("end_"), "excerpt")
+
+
+@query("e2_segmented_quotes")
+def _(t):
+    def run(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for x, q in parts:
+            yield pd.Series([[v for s in (ev.align_segments(a, b) or []) for v in s] for a, b in zip(x, q, strict=True)])
+
+    j = quotes(t).filter("entry_id % 4 = 2").join(texts(t), "entry_id")
+    return j.select("entry_id", F.pandas_udf(run, "array<long>")("text", "quote").alias("places"))
+
+
+@query("e3_drop_unaligned", f"WITH {_TEXTS} SELECT entry_id, entry_id % 4 <> 3 AS kept FROM t WHERE entry_id % 4 IN (0, 3)")
+def _(t):
+    a = ev.aligned(quotes(t).filter("entry_id % 4 in (0, 3)"), texts(t))
+    return a.select("entry_id", F.col("start").isNotNull().alias("kept"))
+
+
+_EV = f"""{_TEXTS}, e AS (SELECT entry_id, text, unnest([substr(text, 11, 20), substr(text, 61, 30), substr(text, 121, 25)]) AS excerpt, unnest(['tone.calm', 'tone.dark', 'place.home']) AS support FROM t)"""
+
+
+def rows(t):
+    s = [F.struct(F.substring("text", a, n).alias("excerpt"), F.lit(p).alias("support")) for a, n, p in ((11, 20, "tone.calm"), (61, 30, "tone.dark"), (121, 25, "place.home"))]
+    return texts(t).select("entry_id", F.inline(F.array(*s)))
+
+
+@query("a14_evidence_map", f"WITH {_EV} SELECT entry_id, excerpt, string_agg(DISTINCT support, ',' ORDER BY support) AS supports FROM e GROUP BY entry_id, excerpt")
+def _(t):
+    return ev.evidence_map(rows(t)).select("entry_id", "excerpt", F.array_join("supports", ",").alias("supports"))
+
+
+@query("e4_prune_labels", f"WITH {_TEXTS} SELECT entry_id, label, label <> 'end.open' AS kept FROM (SELECT entry_id, unnest(['tone.calm', 'place.home', 'end.open']) AS label FROM t)")
+def _(t):
+    labels = texts(t).select("entry_id", F.explode(F.array(*[F.lit(x) for x in ("tone.calm", "place.home", "end.open")])).alias("label"))
+    return ev.prune(labels, ev.evidence_map(rows(t)))
+
+
+@query("e5_required_supports", "SELECT DISTINCT doc_id, support FROM (SELECT doc_id, unnest(['lang.' || lang, 'words.' || string_split(text, ' ')[1], 'words.' || string_split(text, ' ')[2]]) AS support FROM documents) WHERE support IS NOT NULL")
+def _(t):
+    d = t.documents.select("doc_id", "lang", F.slice(F.split("text", " "), 1, 2).alias("words"))
+    return ev.required_supports(d, "doc_id", ["lang"], ["words"])
+
+
+@query("e6_retain_targets", f"WITH {_EV} SELECT entry_id, excerpt, string_agg(DISTINCT support, ',' ORDER BY support) AS supports FROM e WHERE support LIKE 'tone%' GROUP BY entry_id, excerpt")
+def _(t):
+    targets = texts(t).select("entry_id", F.explode(F.array(F.lit("tone.calm"), F.lit("tone.dark"))).alias("support"))
+    return ev.retain_targets(ev.evidence_map(rows(t)), targets).select("entry_id", "excerpt", F.array_join("supports", ",").alias("supports"))
+
+
+_NUM = f"{_EV}, m AS (SELECT DISTINCT entry_id, excerpt, position(excerpt IN text) - 1 AS start FROM e), n AS (SELECT *, start + length(excerpt) AS end_, 'E' || lpad((row_number() OVER (PARTITION BY entry_id ORDER BY start, excerpt))::VARCHAR, 2, '0') AS id FROM m)"
+
+
+def numbered(t):
+    return ev.number(ev.evidence_map(rows(t)), texts(t))
+
+
+@query("e7_number_evidence", f"WITH {_NUM} SELECT entry_id, id, excerpt, start, end_ FROM n")
+def _(t):
+    return numbered(t).select("entry_id", "id", "excerpt", "start", F.col("end").alias("end_"))
+
+
+@query("e8_offset_audit", f"WITH {_NUM}, s AS (SELECT *, CASE WHEN entry_id % 5 = 0 THEN start + 1 ELSE start END AS s2, CASE WHEN entry_id % 7 = 0 THEN 1000000 WHEN entry_id % 5 = 0 THEN end_ + 1 ELSE end_ END AS e2 FROM n) SELECT entry_id, id, CASE WHEN entry_id % 7 = 0 THEN 'range' ELSE 'not_exact' END AS code FROM s JOIN t USING (entry_id) WHERE entry_id % 7 = 0 OR e2 > length(text) OR entry_id % 5 = 0 AND substr(text, s2 + 1, e2 - s2) <> excerpt")
+def _(t):
+    five, seven = F.col("entry_id") % 5 == 0, F.col("entry_id") % 7 == 0
+    moved = numbered(t).withColumns({"start": F.when(five, F.col("start") + 1).otherwise(F.col("start")), "end": F.when(seven, 1000000).when(five, F.col("end") + 1).otherwise(F.col("end"))})
+    return ev.offset_audit(moved, texts(t))
+
+
+@query("e9_support_audit", f"WITH {_TEXTS} SELECT entry_id, unnest(['tone.dark', 'end.open']) AS support, unnest(['dangling', 'missing']) AS code FROM t")
+def _(t):
+    need = texts(t).select("entry_id", F.explode(F.array(*[F.lit(x) for x in ("tone.calm", "place.home", "end.open")])).alias("support"))
+    return ev.support_audit(ev.evidence_map(rows(t)), need)
+
+
+@query("e10_recover_quote", f"WITH {_TEXTS}, p AS (SELECT entry_id, trim(substr(text, 41, 12) || '…zzzz', ' ') AS quote, text FROM t), f AS (SELECT entry_id, quote, text, trim(unnest(string_split_regex(quote, '[…。！？；.!?;,，、]+')), ' ') AS p FROM p) SELECT entry_id, quote, arg_max(p, length(p) * 1000 + 0) AS fragment FROM f WHERE length(p) >= 4 AND contains(text, p) AND entry_id % 3 = 0 AND NOT regexp_matches(quote, '[.,;!?].*[.,;!?]') AND NOT regexp_matches(p, '[.,]') GROUP BY entry_id, quote HAVING count(*) = 1")
+def _(t):
+    from pyspark.sql import Window as W
+
+    q = texts(t).filter("entry_id % 3 = 0").select("entry_id", F.trim(F.concat(F.substring("text", 41, 12), F.lit("…zzzz"))).alias("quote")).filter(~F.rlike("quote", F.lit("[.,;!?].*[.,;!?]")))
+    pieces = F.size(F.filter(F.split("quote", "[…。！？；.!?;,，、]+"), lambda p: F.length(F.trim(p)) >= 4))
+    return ev.recover_quote(q.withColumn("n", pieces).filter("n <= 2").drop("n"), texts(t))
+
+
+@query("e11_fixed_point_audit", "SELECT doc_id, 'text' AS path FROM documents WHERE translate(text, 'éèêç', 'eeec') <> text")
+def _(t):
+    from quillmill.functions import text as tx
+
+    m = {"é": "e", "è": "e", "ê": "e", "ç": "c"}
+    return t.documents.filter(tx.simplified(F.col("text"), m) != F.col("text")).select("doc_id", F.lit("text").alias("path"))
+
+
+@query("e12_bulk_repair", "SELECT doc_id, sha256(translate(text, 'éèêç', 'eeec')) AS repaired, sha256(lang || source) AS immutable_sha, true AS immutable_kept FROM documents")
+def _(t):
+    from quillmill.functions import text as tx
+
+    m = {"é": "e", "è": "e", "ê": "e", "ç": "c"}
+    frozen = F.sha2(F.concat("lang", "source").cast("binary"), 256)
+    d = t.documents.withColumn("before", frozen).withColumn("text", tx.simplified(F.col("text"), m))
+    return d.select("doc_id", tx.text_hash(F.col("text")).alias("repaired"), frozen.alias("immutable_sha"), (frozen == F.col("before")).alias("immutable_kept"))
+
+
+@query("e13_confidence", f"WITH {_TEXTS} SELECT entry_id, 1 AS pruned, 'low' AS confidence FROM t")
+def _(t):
+    labels = texts(t).select("entry_id", F.explode(F.array(*[F.lit(x) for x in ("tone.calm", "end.open")])).alias("label"))
+    n = ev.prune(labels, ev.evidence_map(rows(t))).groupBy("entry_id").agg(F.count_if(~F.col("kept")).alias("pruned"))
+    return n.select("entry_id", "pruned", F.when(F.col("pruned") > 0, "low").otherwise("high").alias("confidence"))
+
+
+@query("j13_references", f"WITH {_TEXTS} SELECT entry_id, 'summary' AS field, 'E09' AS id FROM t")
+def _(t):
+    refs = texts(t).select("entry_id", F.lit("summary").alias("field"), F.array(F.lit("E01"), F.lit("E09")).alias("ids"))
+    return ev.unresolved_references(refs, numbered(t))
+
+
+@query("k6_compact_evidence")
+def _(t):
+    from pyspark.sql import functions as G
+
+    words = texts(t).select("entry_id", G.posexplode(G.slice(G.split("text", " "), 1, 30)).alias("start", "excerpt")).filter("excerpt <> ''")
+    e = words.select("entry_id", F.concat("excerpt", F.lit("@"), F.col("start").cast("string")).alias("excerpt"), F.col("start").cast("long"), F.array(F.concat(F.lit("s"), (F.col("start") % 5).cast("string"))).alias("supports"))
+    need = e.select("entry_id", F.explode("supports").alias("support")).distinct()
+    return ev.compact(e, need)
+
+
+@query("p9_review_projection", f"WITH {_NUM} SELECT entry_id AS \"entryId\", count(*) AS \"evidenceCount\", string_agg(id || '=' || length(excerpt), ',' ORDER BY id) AS evidence FROM n GROUP BY entry_id")
+def _(t):
+    n = numbered(t).groupBy("entry_id").agg(F.sort_array(F.collect_list(F.struct("id", "excerpt", "supports"))).alias("evidence"))
+    flat = F.transform("evidence", lambda e: F.concat_ws("=", e["id"], F.length(e["excerpt"]).cast("string")))
+    return n.select(F.col("entry_id").alias("entryId"), F.size("evidence").cast("long").alias("evidenceCount"), F.array_join(flat, ",").alias("evidence"))
+
+
+@query("p12_clean_vocabulary", "WITH v AS (SELECT user_id, array_agg(event_type ORDER BY event_id)[1:6] AS l FROM events GROUP BY user_id), k AS (SELECT user_id, l, list_filter(l, lambda x: x IN ('view', 'click')) AS f FROM v), d AS (SELECT user_id, len(l) AS n, list_filter(f, lambda x, i: list_position(f, x) = i)[1:2] AS kept FROM k) SELECT user_id, array_to_string(kept, ',') AS kept, n - len(kept) AS dropped FROM d")
+def _(t):
+    v = t.events.groupBy("user_id").agg(F.slice(F.transform(F.sort_array(F.collect_list(F.struct("event_id", "event_type"))), lambda s: s["event_type"]), 1, 6).alias("l"))
+    c = v.select("user_id", rules.clean_vocabulary(F.col("l"), ["view", "click"], 2).alias("c"))
+    return c.select("user_id", F.array_join("c.kept", ",").alias("kept"), F.col("c.dropped").cast("long").alias("dropped"))
+
+
+@query("p13_none_exclusive", "SELECT doc_id, CASE WHEN toxic = 1 AND quality = 0 THEN 'toxic,poor' WHEN toxic = 1 THEN 'toxic' WHEN quality = 0 THEN 'poor' ELSE 'none_identified' END AS flags FROM labels")
+def _(t):
+    flags = F.array_compact(F.array(F.lit("none_identified"), F.when(F.col("toxic") == 1, "toxic"), F.when(F.col("quality") == 0, "poor")))
+    return t.labels.select("doc_id", F.array_join(rules.none_exclusive(flags), ",").alias("flags"))
+
+
+@query("v3_witness_rules", "SELECT p_partkey, CASE WHEN p_size % 2 = 0 AND p_retailprice < 1000 THEN 'primary_price' ELSE 'witness_type' END AS code FROM part WHERE (p_size % 2 = 0 AND p_retailprice < 1000) OR (p_size % 2 = 1 AND p_type NOT LIKE '%E%')")
+def _(t):
+    from quillmill.operators import curation
+
+    first = F.col("p_size") % 2 == 0
+    return curation.issues(t.part, "p_partkey", {"primary_price": ~first | (F.col("p_retailprice") >= 1000), "witness_type": first | F.contains("p_type", F.lit("E"))})
+
+
+@query("v9_source_identity", "SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'hash' ELSE 'chars' END AS code FROM documents WHERE doc_id % 4 = 0 UNION ALL SELECT doc_id, 'chars' FROM documents WHERE doc_id % 6 = 0")
+def _(t):
+    from quillmill.functions import text as tx
+    from quillmill.operators import curation
+
+    d = t.documents.withColumns({"h": F.when(F.col("doc_id") % 4 == 0, "old").otherwise(tx.text_hash(F.col("text"))), "c": F.when(F.col("doc_id") % 6 == 0, -1).otherwise(F.length("text"))})
+    return curation.issues(d, "doc_id", {"hash": F.col("h") == tx.text_hash(F.col("text")), "chars": F.col("c") == F.length("text")})
+
+
+@query("v11_whole_run", f"WITH {_NUM} SELECT count(*) AS evidence, count(DISTINCT entry_id) AS entries, count(*) FILTER (length(excerpt) > 80) AS too_long, count(*) > 0 AS has_rows FROM n")
+def _(t):
+    return numbered(t).agg(F.count("*").alias("evidence"), F.count_distinct("entry_id").alias("entries"), F.count_if(F.length("excerpt") > 80).alias("too_long"), (F.count("*") > 0).alias("has_rows"))

@@ -1 +1,199 @@
-"""Queries."""
+"""Queries of page and file sources and of session streams."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import functions as F
+
+from quillmill.functions import text as tx
+from quillmill.operators import rules
+from quillmill.plans.corpus import marked
+from quillmill.registry import query
+from quillmill.sources import files, pages
+from quillmill.streaming import sessions
+
+
+def folder(t, name: str) -> str:
+    """A fresh folder that all executors see: under spark.checkpoint.dir, a temporary one only where that is unset."""
+    base = t.spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = "file://" + tempfile.mkdtemp(prefix="quillmill-")
+        t.spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query("s2_heading_segments", "SELECT page_id, 1 AS ordinal, 1 AS level FROM pages WHERE html LIKE '%<h1>%'")
+def _(t):
+    return pages.segment_by_heading(t.pages, (1,)).select("page_id", "ordinal", "level")
+
+
+@query("s3_level_table", "SELECT page_id, 1 AS level FROM pages WHERE html LIKE '%<h1>%' AND page_id % 2 = 0")
+def _(t):
+    p = t.pages.withColumn("kind", F.when(F.col("page_id") % 2 == 0, "one").otherwise("two"))
+    levels = t.spark.createDataFrame([("one", [1]), ("two", [2, 3])], "kind string, levels array<int>")
+    return pages.segment_by_level_table(p, levels, "kind").select("page_id", "level")
+
+
+@query("s4_paragraph_segments")
+def _(t):
+    skip = t.pages.filter("page_id % 5 = 0").select("page_id")
+    return pages.segment_by_paragraph(t.pages, skip).select("page_id", "ordinal", "title", F.length("body").alias("chars"))
+
+
+@query("s5_excluded_subtrees")
+def _(t):
+    everything = pages.segment_by_paragraph(t.pages, excluded=()).groupBy("page_id").agg(F.count("*").alias("all_paragraphs"))
+    kept = pages.segment_by_paragraph(t.pages, excluded=("ad", *pages.EXCLUDED)).groupBy("page_id").agg(F.count("*").alias("kept_paragraphs"))
+    return everything.join(kept, "page_id", "left").na.fill(0)
+
+
+@query("s6_link_titles")
+def _(t):
+    return pages.link_titles(t.pages)
+
+
+@query("s7_verify_files", "SELECT 'absent.parquet' AS file, 'missing' AS problem")
+def _(t):
+    found = files.file_hashes(t.spark, f"{t.sf_dir}/nation.parquet")
+    absent = t.spark.createDataFrame([("absent.parquet", 1, "x")], "file string, bytes long, sha256 string")
+    return files.verify_files(found, found.union(absent))
+
+
+@query("s8_write_shards", "SELECT count(*) AS shards, sum(n)::BIGINT AS rows, max(n) AS most FROM (SELECT source, k, count(*) AS n FROM (SELECT source, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 10 AS k FROM documents) GROUP BY ALL)")
+def _(t):
+    m = files.write_shards(t.documents, folder(t, "shards"), "source", "doc_id", 10)
+    return m.agg(F.count("*").alias("shards"), F.sum("rows").alias("rows"), F.max("rows").alias("most"))
+
+
+@query("s9_read_shards", "SELECT count(*) AS rows, 0 AS broken, count(DISTINCT doc_id) AS ids FROM documents")
+def _(t):
+    path = folder(t, "lines")
+    t.documents.write.json(path)
+    back = files.read_shards(t.spark, path, "doc_id long, text string, lang string")
+    return back.agg(F.count("*").alias("rows"), F.count("broken").alias("broken"), F.count_distinct("doc_id").alias("ids"))
+
+
+@query("s10_publish_entries", "SELECT source AS work, count(*) AS n FROM (SELECT source, row_number() OVER (PARTITION BY regexp_replace(text, '[\\p{P}\\p{Z}]', '', 'g') ORDER BY source, doc_id) AS k FROM documents) WHERE k = 1 GROUP BY source")
+def _(t):
+    m = marked(t).filter("runtime_eligible").withColumn("production_eligible", F.lit(False))
+    return files.publish_entries(m, folder(t, "published"), "work").groupBy("work").agg(F.count("*").alias("n"))
+
+
+@query("s11_full_text_index", "WITH g AS (SELECT item_id, unnest(list_transform(range(1, greatest(length(text) - 1, 1)), lambda i: substr(lower(text), i, 3))) AS gram FROM benchmark) SELECT gram, count(DISTINCT item_id) AS entries, count(*) AS tf FROM g GROUP BY gram")
+def _(t):
+    from quillmill.operators import retrieval
+
+    index = retrieval.build_index(t.benchmark, "item_id", ["text"])
+    return index.groupBy("gram").agg(F.count_distinct("item_id").alias("entries"), F.sum("tf").alias("tf"))
+
+
+@query("s12_envelope", "SELECT doc_id, lang FROM documents WHERE doc_id % 2 = 0")
+def _(t):
+    path = folder(t, "envelope")
+    rows = t.documents.withColumn("k", F.col("doc_id") % 40)
+    tier = F.when(F.col("k") % 2 == 0, "c2").otherwise("draft")
+    rows.groupBy("k").agg(F.collect_list(F.struct("doc_id", "lang")).alias("records")).withColumn("tier", tier).write.option("maxRecordsPerFile", 1).json(path)
+    return files.read_envelope(t.spark, path, "tier string, records array<struct<doc_id: long, lang: string>>", F.col("tier") == "c2")
+
+
+def events(t):
+    return sessions.read_stream(t.spark, f"{t.sf_dir}/events.parquet", t.events.schema)
+
+
+_FIRST = "f AS (SELECT *, min(ts) OVER (PARTITION BY user_id) AS first FROM events)"
+
+
+@query("t1_session_expiry", f"WITH {_FIRST} SELECT user_id, event_id, CASE WHEN ts < first + INTERVAL 24 HOUR THEN 'live' ELSE 'expired' END AS outcome FROM f")
+def _(t):
+    out = sessions.run_available(sessions.expire(events(t)), t.spark, folder(t, "expiry"))
+    return out.filter("event_id is not null").select("user_id", "event_id", "outcome")
+
+
+@query("t2_idempotent_replay", "WITH o AS (SELECT event_id, user_id * 10 + event_id % 7 AS request, event_type, first_value(event_type) OVER w AS f, row_number() OVER w AS n FROM events WINDOW w AS (PARTITION BY user_id * 10 + event_id % 7 ORDER BY ts, event_id)) SELECT request, event_id, CASE WHEN n = 1 THEN 'first' WHEN event_type = f THEN 'replay' ELSE 'conflict' END AS outcome FROM o")
+def _(t):
+    e = events(t).withColumn("request", F.col("user_id") * 10 + F.col("event_id") % 7)
+    return sessions.run_available(sessions.replay(e, "request", "event_type", hours=24 * 60), t.spark, folder(t, "replay"))
+
+
+@query("t3_provenance_log", "SELECT event_id, event_type AS \"eventType\", ts AS occurred_at FROM events")
+def _(t):
+    log = events(t).select("event_id", F.col("event_type").alias("eventType"), F.col("ts").alias("occurred_at"))
+    return sessions.run_available(log, t.spark, folder(t, "log"))
+
+
+_FORK = "c AS (SELECT conv_id, turn, CASE WHEN (conv_id + turn) % 4 = 3 THEN turn - 2 ELSE turn - 1 END AS parent FROM conversations)"
+
+
+@query("t4_version_chain", f"WITH RECURSIVE {_FORK}, r AS (SELECT conv_id, 0 AS k, -1::BIGINT AS last FROM (SELECT DISTINCT conv_id FROM c) UNION ALL SELECT r.conv_id, r.k + 1, CASE WHEN c.parent = r.last THEN c.turn ELSE r.last END FROM r JOIN c ON c.conv_id = r.conv_id AND c.turn = r.k) SELECT c.conv_id, c.turn, CASE WHEN c.parent = r.last THEN 'accepted' ELSE 'conflict' END AS outcome FROM c JOIN r ON r.conv_id = c.conv_id AND r.k = c.turn")
+def _(t):
+    s = sessions.read_stream(t.spark, f"{t.sf_dir}/conversations.parquet", t.conversations.schema)
+    parent = F.when((F.col("conv_id") + F.col("turn")) % 4 == 3, F.col("turn") - 2).otherwise(F.col("turn") - 1)
+    return sessions.run_available(sessions.versions(s.withColumn("parent", parent), "conv_id", "turn", "parent"), t.spark, folder(t, "versions"))
+
+
+@query("w9_version_chain", f"WITH {_FORK} SELECT conv_id, turn, parent IS DISTINCT FROM coalesce(lag(turn) OVER (PARTITION BY conv_id ORDER BY turn), -1) AS conflict FROM c")
+def _(t):
+    from pyspark.sql import Window as W
+
+    parent = F.when((F.col("conv_id") + F.col("turn")) % 4 == 3, F.col("turn") - 2).otherwise(F.col("turn") - 1)
+    before = F.coalesce(F.lag("turn").over(W.partitionBy("conv_id").orderBy("turn")), F.lit(-1))
+    return t.conversations.select("conv_id", "turn", (~parent.eqNullSafe(before)).alias("conflict"))
+
+
+@query("t5_deletion", "WITH d AS (SELECT user_id, min(ts) AS deleted_at FROM events WHERE event_type = 'error' AND user_id % 3 = 0 GROUP BY user_id) SELECT user_id, event_id, 'kept' AS outcome FROM events WHERE user_id NOT IN (SELECT user_id FROM d) UNION ALL SELECT user_id, event_id, 'rejected' FROM events JOIN d USING (user_id) WHERE ts > deleted_at UNION ALL SELECT user_id, NULL, 'tombstone' FROM d")
+def _(t):
+    gone = t.events.filter("event_type = 'error' and user_id % 3 = 0").groupBy("user_id").agg(F.min("ts").alias("ts"))
+    return sessions.purge(t.events, gone, "user_id").drop("hash")
+
+
+@query("t6_safety_routing", r"SELECT conv_id, turn, regexp_matches(text, '(?i)\b(?:the|der) [a-z]+ion') AS blocked FROM conversations")
+def _(t):
+    s = sessions.read_stream(t.spark, f"{t.sf_dir}/conversations.parquet", t.conversations.schema)
+    r = rules.route(F.col("text"), [], [("harm_self", r"(?i)\b(?:the|der) [a-z]+ion")], "(?i)now")
+    return sessions.run_available(s.select("conv_id", "turn", r["blocked"].alias("blocked")), t.spark, folder(t, "routing"))
+
+
+@query("t7_stale_results", "SELECT event_id, user_id, event_id % 4 = 0 AS stale FROM events")
+def _(t):
+    tokens = t.events.select("user_id").distinct().withColumn("now_token", F.sha2(F.col("user_id").cast("string").cast("binary"), 256))
+    token = F.when(F.col("event_id") % 4 == 0, "old").otherwise(F.sha2(F.col("user_id").cast("string").cast("binary"), 256))
+    j = events(t).withColumn("token", token).join(tokens, "user_id")
+    return sessions.run_available(j.select("event_id", "user_id", (F.col("token") != F.col("now_token")).alias("stale")), t.spark, folder(t, "stale"))
+
+
+@query("t8_conversation_cues", r"""WITH c AS (SELECT conv_id, turn, list_filter(list_transform(string_split_regex(trim(regexp_replace(text, '\s+', ' ', 'g')), '[。！？!?；;，,.]+'), lambda x: trim(x)), lambda x: length(x) >= 3) AS l FROM conversations WHERE role = 'user' AND NOT regexp_matches(text, '\d|@')), d AS (SELECT conv_id, turn, list_filter(l, lambda x, i: list_position(l, x) = i) AS l FROM c)
+SELECT conv_id, turn, array_to_string(list_transform(l[1:2], lambda x: CASE WHEN length(x) > 36 THEN rtrim(substr(x, 1, 35)) || '…' ELSE x END), '|') AS cues FROM d""")
+def _(t):
+    safe = tx.clauses(tx.scrub_identity(F.col("text")))
+    cut = F.transform(F.slice(safe, 1, 2), lambda c: F.when(F.length(c) > 36, F.concat(F.rtrim(F.substring(c, 1, 35)), F.lit("…"))).otherwise(c))
+    own = t.conversations.filter((F.col("role") == "user") & ~F.rlike("text", F.lit(r"\d|@")))
+    return own.select("conv_id", "turn", F.array_join(cut, "|").alias("cues"))
+
+
+@query("t9_run_progress", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
+def _(t):
+    path = folder(t, "progress")
+    schema = sessions.progress(t.events, "event_type").schema
+    counts = sessions.progress(events(t), "event_type")
+
+    def keep(df, n):
+        df.write.mode("overwrite").parquet(f"{path}/rows")
+
+    q = counts.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return t.spark.read.schema(schema).parquet(f"{path}/rows")
+
+
+@query("t10_session_report", "WITH l AS (SELECT conv_id, max(turn) FILTER (role = 'assistant') AS approved_version, count(*) AS versions FROM conversations GROUP BY conv_id), e AS (SELECT user_id AS conv_id, count(*) AS events FROM events GROUP BY user_id) SELECT conv_id, approved_version, versions, coalesce(events, 0) AS events FROM l LEFT JOIN e USING (conv_id)")
+def _(t):
+    l = t.conversations.groupBy("conv_id").agg(F.max(F.when(F.col("role") == "assistant", F.col("turn"))).alias("approved_version"), F.count("*").alias("versions"))
+    e = t.events.groupBy(F.col("user_id").alias("conv_id")).agg(F.count("*").alias("events"))
+    return l.join(e, "conv_id", "left").na.fill(0, ["events"])
+
+
+@query("t11_readiness", "SELECT conv_id, count(*) AS nodes, count(*) FILTER (role = 'assistant') AS written, count(*) >= 3 AND count(*) FILTER (role = 'assistant') >= 2 AS ready FROM conversations GROUP BY conv_id")
+def _(t):
+    written = F.count_if(F.col("role") == "assistant")
+    return t.conversations.groupBy("conv_id").agg(F.count("*").alias("nodes"), written.alias("written"), ((F.count("*") >= 3) & (written >= 2)).alias("ready"))
