@@ -97,7 +97,7 @@ def telling(positive: list[np.ndarray], mixture: list[np.ndarray], size: int, le
     return np.flatnonzero((p >= least) & (z > sigmas))
 
 
-def fit(positive: list[np.ndarray], mixture: list[np.ndarray], prior: float, bits: int = 18, epochs: int = 300, rate: float = 0.05, l2: float = 3e-4) -> Toxic:
+def fit(positive: list[np.ndarray], mixture: list[np.ndarray], prior: float, bits: int = 18, epochs: int = 300, rate: float = 0.05, l2: float = 1e-4) -> Toxic:
     """Non-negative risk descent (Adam, all rows in each step)."""
     if not positive:
         return Toxic({}, -500.0, bits)
