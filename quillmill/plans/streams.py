@@ -56,7 +56,7 @@ def _(t):
 
 @query("s7_verify_files", "SELECT 'absent.parquet' AS file, 'missing' AS problem")
 def _(t):
-    found = files.file_hashes(t.spark, f"{t.sf_dir}/nation.parquet")
+    found = files.file_hashes(t.spark, f"{t.sf_dir}/orders.parquet")
     absent = t.spark.createDataFrame([("absent.parquet", 1, "x")], "file string, bytes long, sha256 string")
     return files.verify_files(found, found.union(absent))
 
