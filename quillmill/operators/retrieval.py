@@ -6,11 +6,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quillmill.shared import keep
+
 
 def grams(text: Column, n: int = 3) -> Column:
-    """All n-grams of a text, in order."""
-    last = F.length(text) - (n - 1)
-    return F.when(last > 0, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    """All n-grams of a text, in order.
+
+    The characters are taken apart once: a substring at a place would count
+    characters from the start of the text for each gram.
+    """
+    def of(chars: Column) -> Column:
+        last = F.size(chars) - n
+        return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.concat(*[F.get(chars, i + k) for k in range(n)]))).otherwise(F.array().cast("array<string>"))
+
+    return F.element_at(F.transform(F.array(F.split(text, "")), of), 1)
 
 
 def build_index(entries: DataFrame, key: str, fields: list[str], n: int = 3) -> DataFrame:
@@ -33,12 +42,13 @@ def phrase_matches(docs: DataFrame, doc_key: str, fields: list[str], phrases: Da
 
     A phrase meets documents on its rarest gram only: document counts of the
     phrases' grams come from one aggregate, and of each phrase one gram is joined.
-    Common grams that no phrase uses never leave their task.
+    Common grams that no phrase uses never leave their task; those left are written
+    once, as they are both counted and joined.
     """
     terms = phrases.select("term").distinct().withColumn("g", F.explode(F.array_distinct(grams(F.lower("term"), n))))
     each = F.array(*[F.struct(F.lit(f).alias("field"), F.lower(F.coalesce(F.col(f), F.lit(""))).alias("v")) for f in fields])
     values = docs.select(F.col(doc_key).alias("doc"), F.inline(each))
-    held = values.select("doc", "field", F.explode(F.array_distinct(grams(F.col("v"), n))).alias("g")).join(terms.select("g").distinct(), "g", "left_semi")
+    held = keep(values.select("doc", "field", F.explode(F.array_distinct(grams(F.col("v"), n))).alias("g")).join(terms.select("g").distinct(), "g", "left_semi"), "held")
     df = held.groupBy("g").agg(F.count("*").alias("df"))
     rarest = terms.join(df, "g", "left").groupBy("term").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "g"))["g"].alias("g"))
     candidates = held.join(rarest, "g").select("doc", "field", "term")
@@ -51,7 +61,7 @@ def phrase_matches(docs: DataFrame, doc_key: str, fields: list[str], phrases: Da
 def bm25(docs: DataFrame, doc_key: str, weights: dict[str, float], phrases: DataFrame, query_key: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(query, doc, score): field-weighted BM25 over phrases; idf is kept above zero."""
     fields = [f for f, w in weights.items() if w > 0]
-    m = phrase_matches(docs, doc_key, fields, phrases, query_key)
+    m = keep(phrase_matches(docs, doc_key, fields, phrases, query_key), "matches")
     size = docs.agg(F.count("*").alias("n"), *[F.avg(F.length(F.coalesce(F.col(f), F.lit("")))).alias(f"avg_{f}") for f in fields])  # one row
     weight = F.coalesce(*[F.when(F.col("field") == f, F.lit(float(weights[f]))) for f in fields])
     mean = F.coalesce(*[F.when(F.col("field") == f, F.col(f"avg_{f}")) for f in fields])

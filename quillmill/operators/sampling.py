@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quillmill.shared import keep
+
 
 def stratified(entries: DataFrame, strata: list[str], seed: str, limit: int | None = None, key: str = "entry_id") -> DataFrame:
     """Rows in round-robin order over the strata, with `rank` from 1; inside a stratum the order is a seeded hash.
@@ -22,11 +22,7 @@ def stratified(entries: DataFrame, strata: list[str], seed: str, limit: int | No
     ranked = entries.withColumn("_qm_h", h).withColumn("turn", F.row_number().over(own))
     if limit is not None:
         ranked = ranked.filter(F.col("turn") <= limit)  # no later turn can be reached
-    # rows of a turn, counted per turn, give each row its place without one window over everything
-    before = ranked.groupBy("turn").agg(F.count("*").alias("n"))
-    start = before.withColumn("start", F.sum("n").over(W.orderBy("turn").rowsBetween(W.unboundedPreceding, -1))).select("turn", F.coalesce("start", F.lit(0)).alias("start"))
-    place = F.row_number().over(W.partitionBy("turn").orderBy(*strata, key))
-    out = ranked.join(start, "turn").withColumn("rank", F.col("start") + place).drop("_qm_h", "start")
+    out = ordered_index(ranked.drop("_qm_h"), ["turn", *strata, key], "rank", 1)
     return out if limit is None else out.filter(F.col("rank") <= limit)
 
 
@@ -68,13 +64,27 @@ def pack_batches(entries: DataFrame, group: str, order: str, chars: str, size: i
     return packed.select(F.col("g").alias(group), F.col("o").alias(order), F.col("c").alias(chars), "batch")
 
 
+def ordered_index(df: DataFrame, order: list[str], name: str, first: int = 0) -> DataFrame:
+    """df with the position of each row in the order of the named columns, counted from `first`.
+
+    Rows are range-partitioned and sorted; a row's position is its place in its
+    partition and the rows of the partitions before, one number a partition. The
+    partitions are written once, as places and counts must come from the same ones.
+    """
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    cut = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumns({"_qm_p": F.spark_partition_id(), "_qm_i": place})
+    local = keep(cut, "index")
+    sizes = local.groupBy("_qm_p").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(W.orderBy("_qm_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("_qm_p", before.alias("_qm_s"))
+    return local.join(F.broadcast(starts), "_qm_p").withColumn(name, F.col("_qm_s") + F.col("_qm_i") + first).drop("_qm_p", "_qm_i", "_qm_s")
+
+
 def stable_index(ids: DataFrame, key: str) -> DataFrame:
-    """(key, idx): position of each id in sorted order, from range-partition counts and local places; no single-task window."""
-    cut = ids.select(key).repartitionByRange(key).withColumn("_qm_p", F.spark_partition_id())
-    local = cut.withColumn("_qm_i", F.row_number().over(W.partitionBy("_qm_p").orderBy(key)))
-    sizes = local.groupBy("_qm_p").agg(F.count("*").alias("n"))  # one row a partition
-    start = sizes.select("_qm_p", F.coalesce(F.sum("n").over(W.orderBy("_qm_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("s"))
-    return local.join(F.broadcast(start), "_qm_p").select(key, (F.col("s") + F.col("_qm_i") - 1).alias("idx"))
+    """(key, idx): position of each id in sorted order."""
+    return ordered_index(ids.select(key), [key], "idx")
 
 
 def circular_sample(ids: DataFrame, queries: DataFrame, key: str, k: int, seed: str, query_key: str, query_text: str) -> DataFrame:

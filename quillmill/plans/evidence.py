@@ -110,8 +110,6 @@ def _(t):
 
 @query("e10_recover_quote", f"WITH {_TEXTS}, p AS (SELECT entry_id, trim(substr(text, 41, 12) || '…zzzz', ' ') AS quote, text FROM t), f AS (SELECT entry_id, quote, text, trim(unnest(string_split_regex(quote, '[…。！？；.!?;,，、]+')), ' ') AS p FROM p) SELECT entry_id, quote, arg_max(p, length(p) * 1000 + 0) AS fragment FROM f WHERE length(p) >= 4 AND contains(text, p) AND entry_id % 3 = 0 AND NOT regexp_matches(quote, '[.,;!?].*[.,;!?]') AND NOT regexp_matches(p, '[.,]') GROUP BY entry_id, quote HAVING count(*) = 1")
 def _(t):
-    from pyspark.sql import Window as W
-
     q = texts(t).filter("entry_id % 3 = 0").select("entry_id", F.trim(F.concat(F.substring("text", 41, 12), F.lit("…zzzz"))).alias("quote")).filter(~F.rlike("quote", F.lit("[.,;!?].*[.,;!?]")))
     pieces = F.size(F.filter(F.split("quote", "[…。！？；.!?;,，、]+"), lambda p: F.length(F.trim(p)) >= 4))
     return ev.recover_quote(q.withColumn("n", pieces).filter("n <= 2").drop("n"), texts(t))

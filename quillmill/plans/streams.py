@@ -2,26 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from quillmill.functions import text as tx
 from quillmill.operators import rules
 from quillmill.plans.corpus import marked
 from quillmill.registry import query
+from quillmill.shared import shared_folder
 from quillmill.sources import files, pages
 from quillmill.streaming import sessions
 
 
 def folder(t, name: str) -> str:
-    """A fresh folder that all executors see: under spark.checkpoint.dir, a temporary one only where that is unset."""
-    base = t.spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="quillmill-")
-        t.spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return shared_folder(t.spark, name)
 
 
 @query("s2_heading_segments", "SELECT page_id, 1 AS ordinal, 1 AS level FROM pages WHERE html LIKE '%<h1>%'")
