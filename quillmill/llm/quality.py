@@ -10,7 +10,7 @@ scores from 0 to 1.
 
 Training takes labelled rows only, at most `train_rows` (a bounded sample: those
 with the smallest hash of their id), so what reaches the driver is bounded by
-train_rows * max_features indices. Scoring is one pass over whole texts, no shuffle.
+train_rows rows of at most 2**bits indices. Scoring is one pass over whole texts, no shuffle.
 
 Cases: a null text counts as empty and is scored; null labels are not learned
 from; several labels of one id are averaged and a tie counts as 1; with one class
@@ -137,7 +137,7 @@ def fit(rows: list[np.ndarray], label: np.ndarray, bits: int = 18, smooth: float
     return Linear(w * r, b, slope, shift, bits)
 
 
-def labelled_features(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_col: str, train_rows: int, bits: int, max_features: int) -> tuple[list[np.ndarray], np.ndarray]:
+def labelled_features(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_col: str, train_rows: int, bits: int) -> tuple[list[np.ndarray], np.ndarray]:
     """Features and labels of at most train_rows labelled rows outside the held-out fold."""
     known = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg((F.avg(label_col) >= 0.5).cast("int").alias("label"))
     known = known.filter(~held_out("id")).withColumn("_qm_r", F.xxhash64("id")).orderBy("_qm_r", "id").limit(train_rows)
@@ -145,16 +145,16 @@ def labelled_features(docs: DataFrame, labels: DataFrame, label_col: str, id_col
 
     def run(s: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for x in s:
-            yield pd.Series([grams(t, bits)[:max_features].astype("<i4").tobytes() for t in x])
+            yield pd.Series([grams(t, bits).astype("<i4").tobytes() for t in x])
 
     taken = texts.join(F.broadcast(known.select("id", "label")), "id").dropDuplicates(["id"])  # at most train_rows ids
     got = taken.select("id", "label", F.pandas_udf(run, "binary")("text").alias("x")).toPandas().sort_values("id")
     return [np.frombuffer(x, "<i4").astype(np.int64) for x in got["x"]], got["label"].to_numpy()
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, train_rows: int = 6000, bits: int = 18, max_features: int = 20000) -> DataFrame:
+def score_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, train_rows: int = 6000, bits: int = 18) -> DataFrame:
     """docs with held_out, score and predicted added."""
-    model = fit(*labelled_features(docs, labels, label_col, id_col, text_col, train_rows, bits, max_features), bits)
+    model = fit(*labelled_features(docs, labels, label_col, id_col, text_col, train_rows, bits), bits)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**bits weights
 
     def run(s: Iterator[pd.Series]) -> Iterator[pd.Series]:
