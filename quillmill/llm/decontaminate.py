@@ -1,23 +1,27 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: rare word seeds, then Smith-Waterman alignment.
 
 Test items go through the corpus in blocks of at most `block_words` words, so what
 is broadcast is bounded whatever the size of the benchmark (a stated query set
-against all rows). For each block, pass one counts in how many documents each of
-its n-grams occurs. An item's seeds are the rarer half of its n-grams and every
-n-gram in no more than `rare_share` of the documents. Pass two finds seeds in the
-whole text of each document; the stretches around them that could hold the item
-are aligned to it word by word (match +1, mismatch and gap -0.5), all pairs of a
-batch at once in numpy. A document leaks an item when the best local score is at
-least `threshold` of the item's words. Nothing is shuffled but n-gram counts.
-
-Cases: null texts count as empty. Items with fewer words than a seed are skipped,
-as they prove nothing. Repeated items are reported each; repeated documents too.
+against all rows). A document leaks an item when the best local alignment (match
++1, mismatch and gap -0.5) scores at least `threshold` of the item's m words.
+
+Nothing that scores as much is lost. It matches at least T = threshold * m places of
+the item, so it matches one of any m - T + 1 places: those of the words that fewest
+documents hold are the item's seeds (pass one counts documents by word). No longer
+n-gram has such a bound, as a word put in after every word leaves none. Pass two
+looks the seeds up in the whole text of each document. An item met there must
+share T words with the document, and is aligned over the stretches whose words
+could score T if they stood in the item's order (+1 for a word of the item, -0.5
+for another), all pairs of a batch at once in numpy. Nothing is shuffled but word
+counts.
+
+Cases: null texts count as empty. Items with fewer than `n` words are skipped, as
+they prove nothing. Repeated items are reported each; repeated documents too.
 Empty tables give empty results. Clashing input columns are replaced.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -43,64 +47,79 @@ class Items:
     ids: list
     words: list[np.ndarray]
     vocabulary: dict[bytes, int]
-    n: int
-    codes: np.ndarray  # sorted distinct n-gram codes
-    postings: list[list[tuple[int, int]]]  # per code: (item, place)
 
     def encode(self, text: str) -> np.ndarray:
         get = self.vocabulary.get
         return np.array([get(w, -1) for w in split_words(text)], np.int64)
 
-    def grams(self, ids: np.ndarray) -> np.ndarray:
-        """Code of the n-gram at each place, -1 where a word is not in any item."""
-        m = len(ids) - self.n + 1
-        if m < 1:
-            return np.zeros(0, np.int64)
-        code, known = np.zeros(m, np.int64), np.ones(m, bool)
-        for k in range(self.n):
-            part = ids[k : k + m]
-            code = code * len(self.vocabulary) + part
-            known &= part >= 0
-        return np.where(known, code, -1)
-
-    def find(self, ids: np.ndarray, use: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place, index of code) of n-grams that are in `use` (one flag a code)."""
-        g = self.grams(ids)
-        at = np.flatnonzero(g >= 0)
-        k = np.minimum(np.searchsorted(self.codes, g[at]), len(self.codes) - 1)
-        ok = (self.codes[k] == g[at]) & use[k] if len(at) else np.zeros(0, bool)
-        return at[ok], k[ok]
-
 
 def index_items(rows: list[tuple[object, str]], n: int = 3) -> Items:
     vocabulary: dict[bytes, int] = {}
-    ids, words, found = [], [], {}
+    ids, words = [], []
     for item, text in rows:
         w = split_words(text or "")
         if len(w) < n:
             continue
         ids.append(item)
         words.append(np.array([vocabulary.setdefault(x, len(vocabulary)) for x in w], np.int64))
-    block = Items(ids, words, vocabulary, n, np.zeros(0, np.int64), [])
-    for i, w in enumerate(words):
-        for place, code in enumerate(block.grams(w)):
-            found.setdefault(int(code), []).append((i, place))
-    block.codes = np.array(sorted(found), np.int64)
-    block.postings = [found[int(c)] for c in block.codes]
-    return block
-
-
-def rare_seeds(items: Items, seen: np.ndarray, documents: int, rare_share: float) -> np.ndarray:
-    """Which n-grams are seeds, from the number of documents that hold each."""
-    use = seen <= rare_share * documents
-    own: dict[int, set[int]] = {}
-    for k, places in enumerate(items.postings):
-        for i, _ in places:
-            own.setdefault(i, set()).add(k)
-    for ks in own.values():
-        rare = sorted(ks, key=lambda k: (seen[k], items.codes[k]))
-        use[rare[: -(-len(rare) // 2)]] = True
-    return use
+    return Items(ids, words, vocabulary)
+
+
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... for size[0] numbers, then the same from start[1] on."""
+    to = np.cumsum(size)
+    return np.arange(int(to[-1]) if len(to) else 0) + np.repeat(start - to + size, size)
+
+
+class Seeds:
+    """Finds the items that a text could leak, given the number of documents that hold each word."""
+
+    def __init__(self, items: Items, seen: np.ndarray, threshold: float):
+        size = len(items.vocabulary)
+        self.words = items.words
+        self.least = np.array([max(1, int(np.ceil(threshold * len(w) - 1e-9))) for w in items.words], np.int64)
+        # all words one after the other, each with the number of equal ones before it in its item
+        self.sizes = np.array([len(w) for w in items.words], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.flat = np.concatenate(items.words)
+        self.again = np.zeros(len(self.flat), np.int64)
+        word, item = [], []
+        for i, w in enumerate(items.words):
+            order = np.argsort(w, kind="stable")
+            first = np.searchsorted(w[order], w[order])
+            self.again[self.starts[i] + order] = np.arange(len(w)) - first
+            own = np.unique(w[np.lexsort((w, seen[w]))[: max(0, len(w) - self.least[i] + 1)]])
+            word.append(own)
+            item.append(np.full(len(own), i))
+        word, item = np.concatenate(word), np.concatenate(item)
+        self.met = item[np.argsort(word, kind="stable")]
+        self.met_size = np.bincount(word, minlength=size)
+        self.met_start = np.cumsum(self.met_size) - self.met_size
+        self.count = np.zeros(size, np.int64)
+        self.is_word = np.zeros(size + 1, bool)  # the last one stands for words of no item
+
+    def candidates(self, ids: np.ndarray) -> np.ndarray:
+        """Items with a seed in the text and as many words in common as the least score needs."""
+        own, n = np.unique(ids[ids >= 0], return_counts=True)
+        found = np.unique(self.met[_ranges(self.met_start[own], self.met_size[own])])
+        if not len(found):
+            return found
+        self.count[own] = n
+        size = self.sizes[found]
+        at = _ranges(self.starts[found], size)
+        common = np.add.reduceat((self.count[self.flat[at]] > self.again[at]).astype(np.int64), np.cumsum(size) - size)
+        self.count[own] = 0
+        return found[common >= self.least[found]]
+
+    def stretches(self, ids: np.ndarray, i: int) -> list[tuple[int, int]]:
+        """(start, end) of what holds every alignment that scores enough."""
+        self.is_word[self.words[i]] = True
+        total = np.append(0.0, np.cumsum(np.where(self.is_word[ids], MATCH, MISS)))
+        self.is_word[self.words[i]] = False
+        best = np.maximum.accumulate(total[:0:-1])[::-1] - np.minimum.accumulate(total[:-1])
+        inside = np.concatenate([[False], best >= self.least[i], [False]])
+        cut = np.flatnonzero(inside[1:] != inside[:-1])
+        return list(zip(cut[::2].tolist(), cut[1::2].tolist(), strict=True))
 
 
 def align(items: list[np.ndarray], windows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -141,28 +160,14 @@ def align(items: list[np.ndarray], windows: list[np.ndarray]) -> tuple[np.ndarra
     return score, first, last
 
 
-def leaks_in(items: Items, use: np.ndarray, texts: list[str], threshold: float) -> list[list[tuple]]:
+def leaks_in(items: Items, seeds: Seeds, texts: list[str], threshold: float) -> list[list[tuple]]:
     """Per text: (item id, score, first word, end word) of the best alignment of each leaked item."""
     pairs: list[tuple[int, int, int]] = []
     a, b = [], []
     for d, text in enumerate(texts):
         ids = items.encode(text)
-        at, codes = items.find(ids, use)
-        spans: dict[int, list[tuple[int, int]]] = {}
-        for p, k in zip(at.tolist(), codes.tolist(), strict=True):
-            for i, place in items.postings[k]:
-                m = len(items.words[i])
-                slack = m // 2 + 2
-                spans.setdefault(i, []).append((max(0, p - place - slack), min(len(ids), p - place + m + slack)))
-        for i, own in spans.items():
-            own.sort()
-            merged = [list(own[0])]
-            for s, e in own[1:]:
-                if s <= merged[-1][1]:
-                    merged[-1][1] = max(merged[-1][1], e)
-                else:
-                    merged.append([s, e])
-            for s, e in merged:
+        for i in seeds.candidates(ids).tolist():
+            for s, e in seeds.stretches(ids, i):
                 pairs.append((d, i, s))
                 a.append(items.words[i])
                 b.append(ids[s:e])
@@ -189,44 +194,45 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_words: int
 
 def _counter(shared):
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        block, seen = shared.value, Counter()
-        every = np.ones(len(block.codes), bool)
+        block = shared.value
+        seen = np.zeros(len(block.vocabulary) + 1, np.int64)
         for b in batches:
             for t in b["t"]:
-                seen.update(np.unique(block.find(block.encode(t), every)[1]).tolist())
-        yield pd.DataFrame({"k": np.array(list(seen), np.int64), "n": np.array(list(seen.values()), np.int64)})
+                seen[np.unique(block.encode(t))] += 1
+        k = np.flatnonzero(seen[:-1])  # the last one counts words of no item
+        yield pd.DataFrame({"k": k, "n": seen[k]})
 
     return count
 
 
-def _finder(shared, use, threshold: float):
+def _finder(shared, seen, threshold: float):
     def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        seeds = Seeds(shared.value, seen.value, threshold)
         for s in batches:
             texts = list(s)
-            yield pd.Series([x for k in range(0, len(texts), 500) for x in leaks_in(shared.value, use.value, texts[k : k + 500], threshold)], dtype=object)
+            yield pd.Series([x for k in range(0, len(texts), 500) for x in leaks_in(shared.value, seeds, texts[k : k + 500], threshold)], dtype=object)
 
     return find
 
 
-def with_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", n: int = 3, rare_share: float = 1e-4, threshold: float = 0.5, block_words: int = 500_000) -> DataFrame:
+def with_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", n: int = 3, threshold: float = 0.5, block_words: int = 500_000) -> DataFrame:
     """docs with `leaks` added: array of (item_id, score, first_word, end_word), empty for a clean document."""
     spark = docs.sparkSession
     kind = dict(benchmark.dtypes)[item_col]
     schema = f"array<struct<item_id {kind}, score double, first_word long, end_word long>>"
     out = without(docs, ["leaks"]).withColumn("leaks", F.array().cast(schema))
-    total = docs.count()
     for rows in _blocks(benchmark, item_col, item_text, block_words):
         items = index_items(rows, n)
         if not items.ids:
             continue
         shared = spark.sparkContext.broadcast(items)
 
-        seen = np.zeros(len(items.codes), np.int64)
-        for r in docs.select(text_of(text_col).alias("t")).mapInPandas(_counter(shared), "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():  # a row per n-gram of the block
+        seen = np.zeros(len(items.vocabulary), np.int64)
+        for r in docs.select(text_of(text_col).alias("t")).mapInPandas(_counter(shared), "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():  # a row per word of the block
             seen[r["k"]] = r["n"]
-        use = spark.sparkContext.broadcast(rare_seeds(items, seen, total, rare_share))
+        told = spark.sparkContext.broadcast(seen)
 
-        out = out.withColumn("leaks", F.concat("leaks", F.pandas_udf(_finder(shared, use, threshold), schema)(text_of(text_col))))
+        out = out.withColumn("leaks", F.concat("leaks", F.pandas_udf(_finder(shared, told, threshold), schema)(text_of(text_col))))
     return out
 
 

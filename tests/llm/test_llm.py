@@ -294,6 +294,37 @@ def test_planted_leaks_and_clean_texts(spark):
     assert {(r.doc_id, r.item_id) for r in in_blocks.collect()} == want
 
 
+def edited(words, step, put_in=False):
+    """Every `step`-th word replaced, or a word put in after it."""
+    return [x for n, w in enumerate(words, 1) for x in ([w] if n % step else [w, "zzz"] if put_in else ["zzz"])]
+
+
+@pytest.mark.parametrize("copies", [1, 5])
+@pytest.mark.parametrize("fillers", [0, 400])
+def test_no_edited_leak_is_lost(spark, copies, fillers):
+    rng = random.Random(5)
+    items = {r.item_id: [w.lower() for w in r.text.split()] for r in table(spark, "benchmark").collect()}
+    items |= {900: [f"w{k}" for k in range(40)], 901: ["of", "the"] * 20, 902: ["only", "three", "words"]}
+    edits = [(3, False), (4, False), (5, False), (6, False), (1, True), (2, True)]
+    rows = []
+    for k, w in enumerate(items.values()):
+        for e, (step, put_in) in enumerate(edits):
+            own = edited(w, step, put_in)
+            for c in range(copies):
+                rows.append((k * 100 + e * 10 + c, f"moss {' '.join(own)} fern"))
+    rows += [(90_000 + k, " ".join(rng.choice(["moss", "fern", "the", "of", "and", "reed", "lake"]) for _ in range(60))) for k in range(fillers)]
+    by_id = {i: np.array([zlib.crc32(x.encode()) for x in w]) for i, w in items.items()}
+    codes = {d: np.array([zlib.crc32(x.lower().encode()) for x in t.split()]) for d, t in rows}
+    pairs = [(d, i) for d in codes for i in by_id]
+    score, _, _ = decontaminate.align([by_id[i] for _, i in pairs], [codes[d] for d, _ in pairs])
+    want = {p: s / len(by_id[p[1]]) for p, s in zip(pairs, score, strict=True) if s / len(by_id[p[1]]) >= 0.5}
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    got = decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
+    assert {(r.doc_id, r.item_id): r.score for r in got} == pytest.approx(want)
+    k = list(items).index(900)
+    assert {(k * 100 + e * 10 + c, 900) for e in range(len(edits)) for c in range(copies)} <= set(want)
+
+
 def test_leaks_of_documents_equal_brute_force(spark):
     docs, bench = table(spark, "documents").collect(), table(spark, "benchmark").collect()
     want = set()
