@@ -109,12 +109,15 @@ def gradient(vector: np.ndarray, bigram: np.ndarray, shape: Shape, u: np.ndarray
     p, d = split(vector, shape), shape.width
     dist = distances(shape)
     seen = (dist >= 0)[None] & (c[:, None, :] != shape.pad)
-    xu, xc = p["embed"][u], p["embed"][c]
-    q, k, v = xu @ p["query"], xc @ p["key"], xc @ p["value"]
-    s = np.matmul(q, k.transpose(0, 2, 1)) / np.sqrt(d) + p["near"][np.maximum(dist, 0)]
-    w = np.exp(np.where(seen, s, -np.inf)) if seen.any() else np.zeros(s.shape)
-    a = w / np.maximum(w.sum(axis=2, keepdims=True), 1e-30)
-    o = np.matmul(a, v)
+    # scores and values depend on classes only: they are tables, and so are their gradients
+    e, side = p["embed"], len(p["embed"])
+    q, k, v = e @ p["query"], e @ p["key"], e @ p["value"]
+    scale = vector.dtype.type(np.sqrt(d))
+    pair = (u * side)[:, :, None] + c[:, None, :]
+    w = np.where(seen, np.exp(np.take(q @ k.T / scale, pair) + p["near"][np.maximum(dist, 0)]), vector.dtype.type(0))
+    a = w / np.maximum(w.sum(axis=2, keepdims=True), vector.dtype.type(1e-30))
+    vc = np.take(v, c, axis=0)
+    o = np.matmul(a, vc)
     logits = o @ p["out"] + bigram[u]
     logits -= logits.max(axis=2, keepdims=True)
     prob = np.exp(logits)
@@ -123,32 +126,34 @@ def gradient(vector: np.ndarray, bigram: np.ndarray, shape: Shape, u: np.ndarray
     n = max(1, int(real.sum()))
     rows = np.nonzero(real)
     loss = -np.log(np.maximum(prob[(*rows, t[rows])], 1e-30)).sum() / n
-    g = np.where(real[:, :, None], prob, 0)
+    g = np.where(real[:, :, None], prob, vector.dtype.type(0))
     g[(*rows, t[rows])] -= 1
     g /= n
     do = g @ p["out"].T
-    da = np.matmul(do, v.transpose(0, 2, 1))
-    dv = np.matmul(a.transpose(0, 2, 1), do)
+    da = np.matmul(do, vc.transpose(0, 2, 1))
+    dv = np.matmul(a.transpose(0, 2, 1), do).reshape(-1, d)
     ds = a * (da - (a * da).sum(axis=2, keepdims=True))
     near = np.bincount(np.maximum(dist, 0).ravel(), np.where(dist >= 0, ds.sum(axis=0), 0).ravel(), 2 * shape.block)
-    dq, dk = np.matmul(ds, k) / np.sqrt(d), np.matmul(ds.transpose(0, 2, 1), q) / np.sqrt(d)
-    place = np.concatenate([u.ravel(), c.ravel()])
-    down = np.concatenate([(dq @ p["query"].T).reshape(-1, d), (dk @ p["key"].T + dv @ p["value"].T).reshape(-1, d)])
-    embed = np.stack([np.bincount(place, down[:, k], len(p["embed"])) for k in range(d)], axis=1)
+    table = np.bincount(pair.ravel(), ds.ravel(), side * side).reshape(side, side) / scale
+    place = c.ravel()
+    value = np.stack([np.bincount(place, dv[:, j], side) for j in range(d)], axis=1)
+    dq, dk = table @ k, table.T @ q
+    embed = dq @ p["query"].T + dk @ p["key"].T + value @ p["value"].T
     flat = lambda x: x.reshape(-1, x.shape[-1])
-    parts = [embed, flat(xu).T @ flat(dq), flat(xc).T @ flat(dk), flat(xc).T @ flat(dv), near, flat(o).T @ flat(g)]
+    parts = [embed, e.T @ dq, e.T @ dk, e.T @ value, near, flat(o).T @ flat(g)]
     return float(loss), np.concatenate([x.ravel() for x in parts])
 
 
 def train(vector: np.ndarray, bigram: np.ndarray, shape: Shape, rows: tuple[np.ndarray, np.ndarray, np.ndarray], batch: int = 128, rate: float = 0.01, seed: int = 1) -> np.ndarray:
     """One pass of Adam over window rows (inputs, contexts, targets)."""
     u, c, t = rows
+    bigram = bigram.astype(np.float32)
     x, m, v = vector.copy(), np.zeros(len(vector)), np.zeros(len(vector))
     order = np.random.default_rng(seed).permutation(len(u))
     steps = -(-len(order) // batch)
     for k in range(steps):
         own = order[k * batch : (k + 1) * batch]
-        _, g = gradient(x, bigram, shape, u[own], c[own], t[own])
+        _, g = gradient(x.astype(np.float32), bigram, shape, u[own], c[own], t[own])
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         x -= rate * (1 - k / steps) * (m / (1 - 0.9 ** (k + 1))) / (np.sqrt(v / (1 - 0.99 ** (k + 1))) + 1e-8)
     return x

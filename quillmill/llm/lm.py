@@ -10,9 +10,10 @@ and looked up where the text is, words beyond them meet their counts in a join.
 Model: words become ids of a public byte-level vocabulary, never trained here. Ids
 fall into `classes` classes, frequent ids being classes of their own. Over all
 training texts are counted: ids, ids after each class, and from these the class
-bigrams. The attention layer (`attention`) is trained by all tasks on a window of
-every training text, and their parameters are averaged over `rounds` rounds, so
-what is learned grows with the corpus and what is shared has a fixed size. Then
+bigrams. The attention layer (`attention`) is trained by all tasks on whole training
+texts, every token being a target once in each of `rounds` rounds, and the tasks'
+parameters are averaged, so what is learned grows with the corpus and what is shared
+has a fixed size. Then
 every text is scored whole, each token once, in overlapping windows.
 
 Cases: null and empty texts are one end token; repeated rows are scored each, rows
@@ -250,21 +251,25 @@ def _count_after(size: int, shared, classes: int):
     return run
 
 
-def _train(size: int, shared, shape: attention.Shape, tokens: int, vector: np.ndarray, turn: int):
+def _train(size: int, shared, shape: attention.Shape, vector: np.ndarray, turn: int, step: int = 40_000):
+    """One pass over whole texts: every token is a target once; about `step` windows are held at a time."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tables = shared.value
-        x, n = vector, 0
+        x, n, rows, held = vector, 0, [], 0
+
+        def learn() -> np.ndarray:
+            u, c, t = (np.concatenate(p) for p in zip(*rows, strict=True))
+            u = np.where(u == shape.pad, shape.start, u)  # rows past a text's end have no target
+            return attention.train(x, tables.bigram, shape, (u, c, t), rate=0.01 / (1 + turn))
+
         for b in batches:
-            rows = []
-            for rid, z in zip(b["rid"], b["ids"], strict=True):
-                c = tables.cls[_ids(z, size)]
-                at = int((rid * 2654435761 + turn * 40503) % max(1, len(c) - tokens + 1))
-                rows.append(attention.windows(c[at : at + tokens], shape))
-            if rows:
-                u, c, t = (np.concatenate(p) for p in zip(*rows, strict=True))
-                u = np.where(u == shape.pad, shape.start, u)  # rows past a text's end have no target
-                x = attention.train(x, tables.bigram, shape, (u, c, t), rate=0.01 / (1 + turn))
-                n += len(u)
+            for z in b["ids"]:
+                rows.append(attention.windows(tables.cls[_ids(z, size)], shape))
+                held += len(rows[-1][0])
+                if held >= step:
+                    x, n, rows, held = learn(), n + held, [], 0
+        if rows:
+            x, n = learn(), n + held
         if n:
             yield pd.DataFrame({"k": np.arange(len(x)), "x": x, "n": float(n)})
 
@@ -294,7 +299,7 @@ def _score(size: int, shared, shape: attention.Shape, vector: np.ndarray):
     return run
 
 
-def score(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", hot: int = 200_000, classes: int = 64, width: int = 16, block: int = 8, train_tokens: int = 24, rounds: int = 2) -> DataFrame:
+def score(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", hot: int = 200_000, classes: int = 64, width: int = 16, block: int = 8, rounds: int = 2) -> DataFrame:
     """One row a document: (id, held_out, n_tokens, n_known, train_tokens, base_score, score)."""
     spark = docs.sparkSession
     stash = Stash(spark, "lm")
@@ -327,7 +332,7 @@ def score(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     shape = attention.Shape(classes, width, block)
     vector = attention.initial(shape)
     for turn in range(rounds):
-        told = learn.mapInPandas(_train(size, shared, shape, train_tokens, vector, turn), "k long, x double, n double")
+        told = learn.mapInPandas(_train(size, shared, shape, vector, turn), "k long, x double, n double")
         mean = told.groupBy("k").agg((F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("x")).toPandas()  # one row a parameter
         vector[mean["k"].to_numpy()] = mean["x"].to_numpy()
 

@@ -10,6 +10,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from conftest import DATA
@@ -436,6 +437,23 @@ def test_gradient_of_the_attention_model():
         assert math.isclose(slope, g[k], rel_tol=1e-3, abs_tol=1e-7)
 
 
+def test_every_token_of_a_training_text_is_a_target_in_each_round(monkeypatch):
+    class Shared:
+        value = lm.Tables(np.ones(41, np.int64), np.ones(9 * 41, np.int64), np.arange(41) % 8, 8)
+
+    shape, told = attention.Shape(8, width=4, block=4), []
+    monkeypatch.setattr(attention, "train", lambda x, bigram, shape, rows, **_: told.append(rows[2]) or x)
+    rng = np.random.default_rng(4)
+    texts = [rng.integers(0, 40, n).astype(np.uint16) for n in (0, 1, 3, 500, 24, 25, 200, 5000)]
+    batches = [pd.DataFrame({"rid": range(k, k + 4), "ids": [t.tobytes() for t in texts[k : k + 4]]}) for k in (0, 4)]
+    for turn in range(2):
+        told.clear()
+        out = list(lm._train(41, Shared, shape, attention.initial(shape), turn, step=100)(iter(batches)))
+        got = np.concatenate([t.ravel() for t in told])
+        assert got[got != shape.pad].tolist() == [x % 8 for t in texts for x in [*t.tolist(), 40]]
+        assert len(told) == 2 and out[0]["n"].iloc[0] == sum(-(-(len(t) + 1) // 4) for t in texts)
+
+
 def test_scorer_is_causal_and_sums_to_one():
     shape, x, bigram, rng = tiny()
     scorer = attention.Scorer(x, bigram, shape)
