@@ -18,7 +18,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quillmill.llm import attention, decontaminate, exact_dedup, lm, mixing, quality, repeats, secrets, simhash, token_prefix, toxicity
+from quillmill.llm import attention, decontaminate, exact_dedup, lm, mixing, quality, repeats, secrets, shingles, simhash, token_prefix, toxicity
 from quillmill.llm.common import Stash, repeat_filter
 from quillmill.llm.components import components
 
@@ -627,6 +627,49 @@ def test_mix_of_odd_rows(odd, empty):
 # ------------------------------------------------------------ pipeline
 
 
+def brute_jaccard(texts):
+    """Pairs of five-word shingle similarity 0.8 or more."""
+    sets = {}
+    for d, t in texts.items():
+        w = t.lower().split()
+        sets[d] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+    return {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+
+
+def test_near_dedup_stage_finds_all_pairs_of_the_similarity(spark):
+    import corpus_pipeline
+
+    rng = random.Random(6)
+    words = [f"w{k}" for k in range(3000)]
+    common = rng.choices(words, k=120)  # a passage that many texts share
+    texts = {}
+    for k in range(40):
+        base = rng.choices(words, k=rng.choice([30, 80, 200, 400])) + (common if k % 3 == 0 else [])
+        for v in range(6):
+            w = list(base)
+            for _ in range(v * len(w) // 120):  # an edit takes five shingles
+                w[rng.randrange(len(w))] = rng.choice(words)
+            texts[k * 10 + v] = " ".join(w)
+    base = rng.choices(words, k=100)
+    texts |= {1000 + k: " ".join([*base[:-1], f"x{k}"]) for k in range(100)} | {2000: "One two  three", 2001: "one TWO three"}
+    pairs = brute_jaccard(texts)
+    up = {d: d for d in texts}
+    for _ in range(20):
+        for a, b in pairs:
+            up[a] = up[b] = min(up[a], up[b])
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    assert {r.doc_id: r.component_id for r in shingles.near_groups(docs).collect()} == up
+    kept = {r.doc_id for r in corpus_pipeline.keep_one_of_near_copies(spark, docs, "").collect()}
+    assert not [p for p in pairs if set(p) <= kept]
+    assert {d for d in texts if up[d] == d} >= kept
+
+
+def test_jaccard_copies_of_odd_rows(odd, empty):
+    kept = shingles.drop_near_copies(odd)
+    assert kept.columns == odd.columns and kept.filter("doc_id in (3, 4, 5)").count() == 1
+    assert shingles.near_groups(empty).count() == 0 == shingles.drop_near_copies(empty).count()
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
