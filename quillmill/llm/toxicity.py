@@ -1,23 +1,29 @@
 """Toxicity: non-negative positive-unlabelled learning with numpy classifiers.
 
-Confirmed toxic examples are the positives; everything else outside the held-out
-fold, labelled clean or not labelled at all, is the unlabelled mixture in which
-toxic texts may hide with class prior `prior`. A linear model on the words of a
-text minimises the corrected risk
+Confirmed toxic examples are the positives; all documents outside the held-out
+fold, whatever their label, are the unlabelled mixture in which toxic texts hide
+with class prior `prior`. A linear model on features of a text minimises the
+corrected risk
 
     prior * R_p(+) + max(0, R_u(-) - prior * R_p(-))
 
-with the sigmoid loss; where the bracket falls below zero its gradient is turned
-round, so that the classifier does not fit the positives hidden in the mixture as
-negatives. Without a given prior it is the share of toxic rows among those labelled
-outside the held-out fold.
+with the logistic loss, by mini-batches; where the bracket of a batch falls below
+zero its gradient is turned round, so that the classifier does not fit the positives
+hidden in the mixture as negatives. Without a given prior it is the share of toxic
+rows among those labelled outside the held-out fold. All weights start at zero; in
+the end the bias is set where the corrected risk, with the share of rows on the wrong
+side as loss, is least on the training rows.
 
-Features are the distinct lower-case words of the whole text, stripped of outer
-punctuation, and their beginnings of 4 to 7 characters, hashed into 2**`bits`
-columns; the model uses those that positives have significantly more often than
-the mixture. Positives and mixture are bounded
-samples of at most `train_rows` rows each (smallest hash of the id); scoring is one
-pass over whole texts with no shuffle.
+Features of a whole text, hashed: its words in lower case without outer punctuation,
+their beginnings of 3 to 7 and endings of 3 to 5 characters, each at three levels (it
+occurs; twice or more and in 1 of 200 words; in 1 of 60), and pairs of neighbouring
+words. The vocabulary are those that two positives have, the `size` most common
+at most. A feature's value is the log ratio of the positives that have it and those
+expected from its share of the mixture, which is counted over all documents.
+
+Bounded samples: at most `train_rows` positives and as many rows of the mixture for
+the gradient steps (smallest hash of the id), and of these at most `cells` features
+in all. Scoring is one pass over whole texts with no shuffle.
 
 Cases: a null text counts as empty and is scored by the bias alone; null labels
 count as unlabelled; an id labelled toxic anywhere is a positive; without any
@@ -29,7 +35,7 @@ from __future__ import annotations
 
 import string
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from zlib import crc32
 
 import numpy as np
@@ -37,128 +43,299 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmill.llm.common import held_out, text_of, without
+from quillmill.llm.common import Stash, held_out, least_hashed, text_of, without
 
 OUTER = string.punctuation.encode()
 LOWER = bytes.maketrans(string.ascii_uppercase.encode(), string.ascii_lowercase.encode())
+BITS = 22
+MASK = (1 << BITS) - 1
+#: A feature that fills at least 1 of so many words of a text, twice or more, is at that level.
+LEVELS = (200, 60)
+PAIR = len(LEVELS) + 1  # the level of pairs
 
 
-def word_columns(word: bytes, mask: int) -> list[int]:
-    """Columns of one word: itself and its beginnings."""
-    core = word.strip(OUTER)
-    t = core.decode("utf-8", "replace")
-    return [crc32(core) & mask, *(crc32(b"^" + t[:k].encode("utf-8", "replace")) & mask for k in range(4, min(8, len(t) + 1)))]
-
-
-def split_words(text: str) -> set[bytes]:
-    return set(text.encode("utf-8", "surrogatepass").translate(LOWER).split())
+def split_words(text: str) -> list[bytes]:
+    return text.encode("utf-8", "surrogatepass").translate(LOWER).split()
 
 
-def columns(text: str, bits: int = 18) -> np.ndarray:
-    """Sorted columns of the distinct words of the whole text."""
-    mask = (1 << bits) - 1
-    return np.array(sorted({c for w in split_words(text) for c in word_columns(w, mask)}), np.int64)
+def word_features(word: bytes) -> list[int]:
+    """Hashes of the word (first), its beginnings and its endings."""
+    core = word.strip(OUTER)
+    out = [crc32(core) & MASK]
+    t = core if core.isascii() else core.decode("utf-8", "replace")
+    part = (lambda x: x) if t is core else (lambda x: x.encode("utf-8", "replace"))
+    out += [crc32(part(t[:k]), 1) & MASK for k in range(3, min(8, len(t) + 1))]
+    out += [crc32(part(t[-k:]), 2) & MASK for k in range(3, min(6, len(t) + 1))]
+    return out
+
+
+def _room(x: np.ndarray, n: int) -> np.ndarray:
+    """x with place for n elements at least."""
+    return x if n <= len(x) else np.concatenate([x, np.zeros(max(n - len(x), len(x)), x.dtype)])
+
+
+class Vocabulary:
+    """Places of features in the sorted `keys` (level << BITS | hash), looked up a batch of texts at a time."""
+
+    def __init__(self, keys: np.ndarray, room: int = 200_000):
+        self.keys, self.room = np.sort(keys), room
+        level, low = self.keys >> BITS, self.keys & MASK
+        base = np.flatnonzero(level == 0)
+        self.base = dict(zip(low[base].tolist(), base.tolist(), strict=True))
+        self.raised = []
+        for n in range(1, PAIR):
+            at = np.full(len(self.keys), -1)
+            own = np.flatnonzero(level == n)
+            at[[self.base[k] for k in low[own].tolist()]] = own
+            self.raised.append(at)
+        self.pairs = np.full(1 << BITS, -1, np.int32)
+        own = np.flatnonzero(level == PAIR)
+        self.pairs[low[own]] = own
+        self.forget()
+
+    def forget(self) -> None:
+        self.place: dict[bytes, int] = {}
+        self.hash, self.flat, self.ends = np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.int64), np.zeros((1 << 16) + 1, np.int64)
+
+    def add(self, words: list[bytes]) -> None:
+        hashes, flat, count = [], [], []
+        for w in words:
+            own = word_features(w)
+            hashes.append(own[0])
+            had = len(flat)
+            flat += {p for h in own if (p := self.base.get(h)) is not None}
+            count.append(len(flat) - had)
+        n, m = len(self.place), len(words)
+        used = int(self.ends[n])
+        self.hash, self.ends, self.flat = _room(self.hash, n + m), _room(self.ends, n + m + 1), _room(self.flat, used + len(flat))
+        self.hash[n : n + m] = hashes
+        self.ends[n + 1 : n + m + 1] = used + np.cumsum(count)
+        self.flat[used : used + len(flat)] = flat
+        self.place.update(zip(words, range(n, n + m), strict=True))
+
+    def features(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(text, place) of every feature that a text has, by text."""
+        words = [split_words(t) for t in texts]
+        flat = [w for t in words for w in t]
+        if len(self.place) > self.room:
+            self.forget()
+        if new := set(flat).difference(self.place):
+            self.add(list(new))
+        at = np.fromiter(map(self.place.__getitem__, flat), np.int64, len(flat))
+        size = np.array([len(t) for t in words], np.int64)
+        text = np.repeat(np.arange(len(texts)), size)
+        ends, n = self.ends, max(1, len(self.keys))
+        count = ends[at + 1] - ends[at]
+        to = np.cumsum(count)
+        index = np.arange(int(to[-1]) if len(to) else 0) + np.repeat(ends[at] - to + count, count)
+        code, times = np.unique(np.repeat(text, count) * n + self.flat[index], return_counts=True)
+        found = [code]
+        for least, raised in zip(LEVELS, self.raised, strict=True):
+            own = code[(times >= 2) & (times * least >= size[code // n])]
+            up = raised[own % n]
+            found.append((own // n * n + up)[up >= 0])
+        pair = self.pairs[pairs_of(self.hash[at])]
+        own = (pair >= 0) & (text[1:] == text[:-1])
+        found.append(np.unique(text[1:][own] * n + pair[own]))
+        code = np.sort(np.concatenate(found))
+        return code // n, code % n
+
+
+def pairs_of(h: np.ndarray) -> np.ndarray:
+    return (h[:-1] * 2654435761 + h[1:]) & MASK
+
+
+def all_features(text: str) -> np.ndarray:
+    """Keys of all features of a text, whatever the vocabulary; slow, for the positives."""
+    words = split_words(text)
+    if not words:
+        return np.zeros(0, np.int64)
+    own = [word_features(w) for w in words]
+    base, times = np.unique(np.concatenate([np.unique(x) for x in own]), return_counts=True)
+    raised = [base[(times >= 2) & (times * least >= len(words))] | (n << BITS) for n, least in enumerate(LEVELS, 1)]
+    return np.concatenate([base, *raised, np.unique(pairs_of(np.array([x[0] for x in own], np.int64))) | (PAIR << BITS)])
 
 
 @dataclass
 class Toxic:
-    """score = 1 / (1 + exp(-(bias + sum of the weights of the text's columns)))"""
+    """score = 1 / (1 + exp(-(bias + sum of the weights of the text's features)))"""
 
-    weights: dict[int, float]
+    keys: np.ndarray
+    weights: np.ndarray
     bias: float
-    bits: int
-    known: dict[bytes, tuple[int, ...]] = field(default_factory=dict)
-
-    def score(self, text: str) -> float:
-        known, mask, found = self.known, (1 << self.bits) - 1, set()
-        for w in split_words(text):
-            c = known.get(w)
-            if c is None:
-                c = tuple(x for x in word_columns(w, mask) if x in self.weights)
-                if len(known) > 300_000:
-                    known.clear()
-                if len(w) < 40:
-                    known[w] = c
-            if c:
-                found.update(c)
-        f = self.bias + sum(self.weights[c] for c in sorted(found))
-        return float(1 / (1 + np.exp(-np.clip(f, -500, 500))))
-
-
-def _flat(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    return np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-
-
-def telling(positive: list[np.ndarray], mixture: list[np.ndarray], size: int, least: int = 5, sigmas: float = 5.0) -> np.ndarray:
-    """Columns that at least `least` positives have, and more often than the mixture by `sigmas` standard errors."""
-    p = np.bincount(_flat(positive)[0], minlength=size)
-    q = (np.bincount(_flat(mixture)[0], minlength=size) + 1) / (len(mixture) + 2)
-    z = (p / len(positive) - q) / np.sqrt(q * (1 - q) / len(positive))
-    return np.flatnonzero((p >= least) & (z > sigmas))
-
-
-def fit(positive: list[np.ndarray], mixture: list[np.ndarray], prior: float, bits: int = 18, epochs: int = 300, rate: float = 0.05, l2: float = 1e-4) -> Toxic:
-    """Non-negative risk descent (Adam, all rows in each step)."""
-    if not positive:
-        return Toxic({}, -500.0, bits)
-    use = telling(positive, mixture, 1 << bits)
-    place = np.full(1 << bits, -1)
-    place[use] = np.arange(len(use))
-
-    def narrow(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, int]:
-        cols, row = _flat(rows)
-        keep = place[cols] >= 0
-        return place[cols][keep], row[keep], len(rows)
-
-    pos, mix = narrow(positive), narrow(mixture)
-    k = len(use)
-    x, m, v = np.append(np.full(k, 1.0), np.log(prior / (1 - prior))), np.zeros(k + 1), np.zeros(k + 1)
-
-    def risk(rows: tuple, sign: float) -> tuple[float, np.ndarray]:
-        """Mean sigmoid loss of calling all rows `sign`, and its gradient."""
-        cols, row, n = rows
-        if not n:
-            return 0.0, np.zeros(k + 1)
-        f = np.bincount(row, x[cols], n) + x[k]
-        loss = 1 / (1 + np.exp(np.clip(sign * f, -500, 500)))
-        g = -sign * loss * (1 - loss) / n
-        return float(loss.mean()), np.append(np.bincount(cols, g[row], k), g.sum())
-
-    for t in range(1, epochs + 1):
-        (_, up), (away, down), (all_, rest) = risk(pos, 1.0), risk(pos, -1.0), risk(mix, -1.0)
-        grad = prior * up + rest - prior * down if all_ - prior * away >= 0 else prior * down - rest
+
+    def scores(self, vocabulary: Vocabulary, texts: list[str]) -> np.ndarray:
+        text, place = vocabulary.features(texts)
+        f = self.bias + np.bincount(text, self.weights[place], len(texts)) if len(place) else np.full(len(texts), self.bias)
+        return 1 / (1 + np.exp(-np.clip(f, -500, 500)))
+
+
+def values(positive: np.ndarray, n_positive: int, mixture: np.ndarray, n_mixture: int) -> np.ndarray:
+    """How far the positives that have a feature are from those expected by the mixture: half the log ratio, one added to each."""
+    expected = (mixture + 0.5) / (n_mixture + 1) * n_positive
+    return np.abs(np.log((positive + 1) / (expected + 1))) / 2
+
+
+def fit(positive: list[np.ndarray], mixture: list[np.ndarray], value: np.ndarray, prior: float, epochs: int = 20, least_steps: int = 400, batch: int = 512, rate: float = 0.05, l2: float = 3e-3, seed: int = 7) -> tuple[np.ndarray, float]:
+    """Weights and bias by non-negative risk descent (Adam over mini-batches of both samples)."""
+    k = len(value)
+    x, m, v = np.zeros(k + 1), np.zeros(k + 1), np.zeros(k + 1)
+    batches = max(1, (len(positive) + len(mixture)) // batch)
+    steps = max(epochs * batches, least_steps) if epochs and positive and mixture else 0
+    rng = np.random.default_rng(seed)
+
+    def deal(n: int) -> Iterator[np.ndarray]:
+        """Shuffled rows in parts of a batch's share, 32 at least, over and over."""
+        size = min(n, max(32, n // batches))
+        while True:
+            order = rng.permutation(n)
+            for a in range(0, n - size + 1, size):
+                yield order[a : a + size]
+
+    def risks(rows: list[np.ndarray]) -> tuple:
+        col = np.concatenate(rows)
+        row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+        f = np.bincount(row, (x[:k] * value)[col], len(rows)) + x[k]
+        return col, row, np.clip(f, -50, 50)
+
+    own_p, own_u = deal(len(positive)), deal(len(mixture))
+    for t in range(1, steps + 1):
+        cp, rp, fp = risks([positive[i] for i in next(own_p)])
+        cu, ru, fu = risks([mixture[i] for i in next(own_u)])
+        up, away, rest = -1 / (1 + np.exp(fp)), 1 / (1 + np.exp(-fp)), 1 / (1 + np.exp(-fu))
+        if np.logaddexp(0, fu).mean() >= prior * np.logaddexp(0, fp).mean():
+            gp, gu = prior * (up - away) / len(fp), rest / len(fu)
+        else:  # turned round
+            gp, gu = prior * away / len(fp), -rest / len(fu)
+        grad = np.append((np.bincount(cp, gp[rp], k) + np.bincount(cu, gu[ru], k)) * value, gp.sum() + gu.sum())
         grad[:k] += l2 * x[:k]
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
-        x = x - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    return Toxic({int(c): float(w) for c, w in zip(use, x[:k], strict=True)}, float(x[k]), bits)
-
-
-def score_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", prior: float | None = None, threshold: float = 0.5, train_rows: int = 6000, bits: int = 18) -> DataFrame:
-    """docs with held_out, score and predicted added."""
+        x -= rate * (1 - t / (steps + 1)) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    if not steps:
+        return x[:k] * value, 0.0
+    weights = x[:k] * value
+    margin = lambda rows: np.array([weights[r].sum() for r in rows])
+    return weights, best_bias(margin(positive), margin(mixture), prior)
+
+
+def best_bias(positive: np.ndarray, mixture: np.ndarray, prior: float) -> float:
+    """Where the corrected risk is least when a loss is the share of rows on the wrong side (the highest cut of equal ones)."""
+    cuts = np.unique(np.concatenate([positive, mixture]))
+    lost = np.searchsorted(np.sort(positive), cuts) / len(positive)
+    told = 1 - np.searchsorted(np.sort(mixture), cuts) / len(mixture)
+    risk = prior * lost + np.maximum(0, told - prior * (1 - lost))
+    at = len(cuts) - 1 - int(np.argmin(risk[::-1]))
+    return -float((cuts[at] + cuts[max(0, at - 1)]) / 2)
+
+
+def _within(rows: list[tuple[int, int]], cells: int) -> set[int]:
+    """Ids taken in the order given while their features are no more than `cells`."""
+    out, n = set(), 0
+    for i, size in rows:
+        n += size
+        if n > cells:
+            break
+        out.add(i)
+    return out
+
+
+def learn(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_col: str, prior: float | None, train_rows: int, size: int, cells: int, epochs: int) -> Toxic:
+    """The model from labels outside the held-out fold and all documents there."""
+    stash = Stash(docs.sparkSession, "toxicity")
     known = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("label"))
-    known = known.filter(~held_out("id"))
+    known = stash.keep(known.filter(~held_out("id")), "known")
     if prior is None:
         share = known.agg(F.avg((F.col("label") == 1).cast("double"))).first()[0]
         prior = min(max(share or 0.0, 1e-4), 0.9)
-    order = F.xxhash64("id")
-    toxic = known.filter("label = 1").withColumn("_qm_r", order).orderBy("_qm_r", "id").limit(train_rows).select("id", F.lit(1).alias("positive"))
-    ids = docs.select(F.col(id_col).alias("id")).filter(F.col("id").isNotNull() & ~held_out("id"))
-    others = ids.join(known.filter("label = 1"), "id", "left_anti").withColumn("_qm_r", order).orderBy("_qm_r", "id").limit(train_rows).select("id", F.lit(0).alias("positive"))
-    texts = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
-
-    def run(s: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for x in s:
-            yield pd.Series([columns(t, bits).astype("<i4").tobytes() for t in x])
-
-    taken = texts.join(F.broadcast(toxic.union(others)), "id").dropDuplicates(["id"])  # at most 2 * train_rows ids
-    got = taken.select("id", "positive", F.pandas_udf(run, "binary")("text").alias("x")).toPandas().sort_values("id")
-    rows = lambda p: [np.frombuffer(x, "<i4").astype(np.int64) for x in got["x"][got["positive"] == p]]
-    shared = docs.sparkSession.sparkContext.broadcast(fit(rows(1), rows(0), prior, bits))
+    texts = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).filter(~held_out("id"))
+
+    def sampled(ids: DataFrame, name: str) -> DataFrame:
+        own = least_hashed(ids.filter(F.col("id").isNotNull()).select("id"), "id", train_rows)
+        return stash.keep(texts.join(F.broadcast(own), "id").dropDuplicates(["id"]), name)  # at most train_rows ids
+
+    positive, mixture = sampled(known.filter("label = 1"), "positive"), sampled(texts, "mixture")
+
+    def tell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for k in range(0, len(b), 50):
+                key, n = np.unique(np.concatenate([all_features(t) for t in b["text"].iloc[k : k + 50]]), return_counts=True)
+                yield pd.DataFrame({"key": key, "n": n})
+
+    told = positive.mapInPandas(tell, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter("n >= 2")
+    told = told.orderBy(F.desc("n"), "key").limit(size).toArrow()  # at most `size` numbers
+    keys = told["key"].to_numpy().astype(np.int64)
+    # levels need the feature they are a level of
+    bare = np.isin(keys & MASK, keys[keys <= MASK]) | (keys >> BITS == PAIR)
+    keys = np.sort(keys[bare])
+    if not len(keys):
+        return Toxic(keys, np.zeros(0), -500.0)
+    shared = docs.sparkSession.sparkContext.broadcast(keys)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        vocabulary, seen = Vocabulary(shared.value), np.zeros(len(shared.value), np.int64)
+        rows = 0
+        for b in batches:
+            for k in range(0, len(b), 200):
+                seen += np.bincount(vocabulary.features(b["text"].iloc[k : k + 200].tolist())[1], minlength=len(seen))
+            rows += len(b)
+        yield pd.DataFrame({"k": np.append(np.flatnonzero(seen), -1), "n": np.append(seen[seen > 0], rows)})
+
+    def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        vocabulary = Vocabulary(shared.value)
+        for b in batches:
+            for k in range(0, len(b), 200):
+                own = b.iloc[k : k + 200]
+                text, place = vocabulary.features(own["text"].tolist())
+                cut = np.searchsorted(text, np.arange(len(own) + 1))
+                x = [place[i:j].astype("<i4").tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)]
+                yield pd.DataFrame({"id": own["id"].to_numpy(), "x": x})
+
+    got = texts.select("text").mapInPandas(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
+    k, n = got["k"].to_numpy(), got["n"].to_numpy()
+    in_mixture, total = np.zeros(len(keys), np.int64), int(n[k < 0].sum())
+    in_mixture[k[k >= 0]] = n[k >= 0]
+
+    kind = dict(texts.dtypes)["id"]
+
+    def rows(own: DataFrame, name: str) -> list[np.ndarray]:
+        kept = stash.keep(own.select("id", "text").mapInPandas(places, f"id {kind}, x binary"), name).withColumn("_qm_h", F.xxhash64("id"))
+        sizes = kept.select("_qm_h", (F.length("x") / 4).cast("long").alias("n")).toPandas().sort_values(["_qm_h"])
+        fits = _within(list(zip(sizes["_qm_h"].tolist(), sizes["n"].tolist(), strict=True)), cells)
+        if len(fits) < len(sizes):
+            kept = kept.filter(F.col("_qm_h") <= max(fits, default=-(1 << 63)))
+        return [np.frombuffer(x, "<i4") for x in kept.orderBy("_qm_h").toPandas()["x"]]
+
+    pos, mix = rows(positive, "positive_rows"), rows(mixture, "mixture_rows")
+    in_positive = np.bincount(np.concatenate([*pos, np.zeros(0, np.int32)]), minlength=len(keys))
+    weights, bias = fit(pos, mix, values(in_positive, len(pos), in_mixture, total), prior, epochs)
+    for name in ("known", "positive", "mixture", "positive_rows", "mixture_rows"):
+        stash.drop(name)
+    return Toxic(keys, weights, bias)
+
+
+def score_toxicity(
+    docs: DataFrame,
+    labels: DataFrame,
+    label_col: str = "toxic",
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    prior: float | None = None,
+    threshold: float = 0.5,
+    train_rows: int = 6000,
+    size: int = 1 << 16,
+    cells: int = 1 << 23,
+    epochs: int = 20,
+) -> DataFrame:
+    """docs with held_out, score and predicted added."""
+    model = learn(docs, labels, label_col, id_col, text_col, prior, train_rows, size, cells, epochs)
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most `size` keys and weights
 
     def score(s: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = shared.value
+        vocabulary = Vocabulary(model.keys)
         for x in s:
-            yield pd.Series([model.score(t) for t in x], dtype="float64")
+            own = [model.scores(vocabulary, x.iloc[k : k + 200].tolist()) for k in range(0, len(x), 200)]
+            yield pd.Series(np.concatenate([*own, np.zeros(0)]), dtype="float64")
 
     return (
         without(docs, ["held_out", "score", "predicted"])

@@ -509,6 +509,29 @@ def test_toxicity_on_held_out_rows(spark):
     assert np.mean(caught) > 0.85 and np.mean(clean) < 0.05
 
 
+def test_toxicity_comes_from_training(spark):
+    sf = DATA / "sf0.1"
+    docs, labels = table(spark, "documents", sf), table(spark, "labels", sf)
+    caught = {}
+    for epochs in (0, 20):
+        rows = held_out_rows(spark, toxicity.score_toxicity(docs, labels, epochs=epochs), labels, "toxic")
+        limit = np.quantile([s for s, _, y in rows if y == 0], 0.9)
+        caught[epochs] = np.mean([s > limit for s, _, y in rows if y == 1])
+    assert caught[0] < 0.2 and caught[20] > 0.9
+
+
+TEXTS = st.lists(st.sampled_from(["Aa", "aab,", "aabcdef", "(x)", "ölfarbe", "ab" * 9, "\n", "..."]), max_size=30).map(" ".join)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(TEXTS, min_size=1, max_size=6))
+def test_features_of_a_batch_are_those_of_each_text(texts):
+    keys = np.unique(np.concatenate([toxicity.all_features(t) for t in texts]))
+    text, place = toxicity.Vocabulary(keys, room=5).features(texts)
+    for k, t in enumerate(texts):
+        assert sorted(keys[place[text == k]]) == sorted(toxicity.all_features(t))
+
+
 def test_quality_on_held_out_rows(spark):
     sf = DATA / "sf0.1"
     rows = held_out_rows(spark, quality.score_quality(table(spark, "documents", sf), table(spark, "labels", sf)), table(spark, "labels", sf), "quality")
@@ -528,8 +551,9 @@ def test_non_negative_risk_does_not_fit_hidden_positives():
     rng = np.random.default_rng(0)
     toxic = [np.unique(np.append(rng.integers(100, 1000, 20), rng.integers(0, 10, 3))) for _ in range(100)]
     mixture = [np.unique(rng.integers(100, 1000, 20)) for _ in range(900)] + toxic[50:]
-    model = toxicity.fit(toxic[:50], mixture, 0.06, bits=10)
-    margin = lambda x: model.bias + sum(model.weights.get(int(c), 0) for c in x)
+    count = lambda rows: np.bincount(np.concatenate(rows), minlength=1000)
+    weights, bias = toxicity.fit(toxic[:50], mixture, toxicity.values(count(toxic[:50]), 50, count(mixture), len(mixture)), 0.06)
+    margin = lambda x: bias + weights[x].sum()
     assert np.mean([margin(x) > 0 for x in toxic[50:]]) > 0.9 and np.mean([margin(x) > 0 for x in mixture[:900]]) < 0.02
 
 
