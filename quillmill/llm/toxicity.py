@@ -15,7 +15,7 @@ the end the bias is set where the corrected risk, with the share of rows on the
 side as loss, is least on the training rows.
 
 Features of a whole text, hashed: its words in lower case without outer punctuation,
-their beginnings of 3 to 7 and endings of 3 to 5 characters, each at three levels (it
+their beginnings of 3 to 8 and endings of 3 to 6 bytes, each at three levels (it
 occurs; twice or more and in 1 of 200 words; in 1 of 60), and pairs of neighbouring
 words. The vocabulary are those that two positives have, the `size` most common
 at most. A feature's value is the log ratio of the positives that have it and those
@@ -36,7 +36,6 @@ from __future__ import annotations
 import string
 from collections.abc import Iterator
 from dataclasses import dataclass
-from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -49,6 +48,9 @@ OUTER = string.punctuation.encode()
 LOWER = bytes.maketrans(string.ascii_uppercase.encode(), string.ascii_lowercase.encode())
 BITS = 22
 MASK = (1 << BITS) - 1
+STEP = np.uint64(0x9E3779B97F4A7C15)
+#: Bytes of a word's beginnings and endings.
+BEGIN, FINISH = (3, 4, 5, 6, 7, 8), (3, 4, 5, 6)
 #: A feature that fills at least 1 of so many words of a text, twice or more, is at that level.
 LEVELS = (200, 60)
 PAIR = len(LEVELS) + 1  # the level of pairs
@@ -58,17 +60,34 @@ def split_words(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(LOWER).split()
 
 
-def word_features(word: bytes) -> list[int]:
-    """Hashes of the word (first), its beginnings and its endings."""
-    core = word.strip(OUTER)
-    out = [crc32(core) & MASK]
-    t = core if core.isascii() else core.decode("utf-8", "replace")
-    part = (lambda x: x) if t is core else (lambda x: x.encode("utf-8", "replace"))
-    out += [crc32(part(t[:k]), 1) & MASK for k in range(3, min(8, len(t) + 1))]
-    out += [crc32(part(t[-k:]), 2) & MASK for k in range(3, min(6, len(t) + 1))]
+def word_features(words: list[bytes]) -> np.ndarray:
+    """Hashes of each word without outer punctuation (first column), of its beginnings and endings; -1 where it is too short."""
+    cores = [w.strip(OUTER) or w for w in words]
+    size = np.array([len(c) for c in cores], np.int64)
+    flat = np.frombuffer(b"".join(cores), np.uint8).astype(np.uint64)
+    end = np.cumsum(size)
+    start = end - size
+    powers = np.cumprod(np.full(int(size.max(initial=1)), STEP, np.uint64))
+    out = np.full((len(words), 1 + len(BEGIN) + len(FINISH)), -1, np.int64)
+    place = np.arange(len(flat)) - np.repeat(start, size)
+    if len(flat):
+        out[:, 0] = _mixed(np.add.reduceat((flat + np.uint64(1)) * powers[place], start))
+    for first, lengths, step in ((1, BEGIN, 1), (1 + len(BEGIN), FINISH, -1)):
+        h = np.full(len(words), first * 7919, np.uint64)
+        for k in range(1, lengths[-1] + 1):
+            own = np.flatnonzero(size >= k)
+            at = start[own] + k - 1 if step > 0 else end[own] - k
+            h[own] = h[own] * STEP + flat[at] + np.uint64(1)
+            if k in lengths:
+                out[own, first + lengths.index(k)] = _mixed(h[own])
     return out
 
 
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return ((h ^ (h >> np.uint64(32))) & np.uint64(MASK)).astype(np.int64)
+
+
 def _room(x: np.ndarray, n: int) -> np.ndarray:
     """x with place for n elements at least."""
     return x if n <= len(x) else np.concatenate([x, np.zeros(max(n - len(x), len(x)), x.dtype)])
@@ -81,12 +100,13 @@ class Vocabulary:
         self.keys, self.room = np.sort(keys), room
         level, low = self.keys >> BITS, self.keys & MASK
         base = np.flatnonzero(level == 0)
-        self.base = dict(zip(low[base].tolist(), base.tolist(), strict=True))
+        self.base = np.full((1 << BITS) + 1, -1, np.int32)  # the last one is what a short word lacks
+        self.base[low[base]] = base
         self.raised = []
         for n in range(1, PAIR):
             at = np.full(len(self.keys), -1)
             own = np.flatnonzero(level == n)
-            at[[self.base[k] for k in low[own].tolist()]] = own
+            at[self.base[low[own]]] = own
             self.raised.append(at)
         self.pairs = np.full(1 << BITS, -1, np.int32)
         own = np.flatnonzero(level == PAIR)
@@ -98,17 +118,13 @@ class Vocabulary:
         self.hash, self.flat, self.ends = np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.int64), np.zeros((1 << 16) + 1, np.int64)
 
     def add(self, words: list[bytes]) -> None:
-        hashes, flat, count = [], [], []
-        for w in words:
-            own = word_features(w)
-            hashes.append(own[0])
-            had = len(flat)
-            flat += {p for h in own if (p := self.base.get(h)) is not None}
-            count.append(len(flat) - had)
+        hashes = word_features(words)
+        found = self.base[hashes]
+        count, flat = (found >= 0).sum(axis=1), found[found >= 0]
         n, m = len(self.place), len(words)
         used = int(self.ends[n])
         self.hash, self.ends, self.flat = _room(self.hash, n + m), _room(self.ends, n + m + 1), _room(self.flat, used + len(flat))
-        self.hash[n : n + m] = hashes
+        self.hash[n : n + m] = hashes[:, 0]
         self.ends[n + 1 : n + m + 1] = used + np.cumsum(count)
         self.flat[used : used + len(flat)] = flat
         self.place.update(zip(words, range(n, n + m), strict=True))
@@ -150,10 +166,10 @@ def all_features(text: str) -> np.ndarray:
     words = split_words(text)
     if not words:
         return np.zeros(0, np.int64)
-    own = [word_features(w) for w in words]
-    base, times = np.unique(np.concatenate([np.unique(x) for x in own]), return_counts=True)
+    own = word_features(words)
+    base, times = np.unique(own[own >= 0], return_counts=True)
     raised = [base[(times >= 2) & (times * least >= len(words))] | (n << BITS) for n, least in enumerate(LEVELS, 1)]
-    return np.concatenate([base, *raised, np.unique(pairs_of(np.array([x[0] for x in own], np.int64))) | (PAIR << BITS)])
+    return np.concatenate([base, *raised, np.unique(pairs_of(own[:, 0])) | (PAIR << BITS)])
 
 
 @dataclass
