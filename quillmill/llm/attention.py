@@ -1,10 +1,12 @@
 """A small causal self-attention model of token classes, in numpy.
 
-The model predicts the class of the next token from the classes before it: one
+The model predicts the class of the next token from the tokens before it: one
 attention layer over overlapping windows of two blocks (the block a token is in and
-the one before), whose output is added to the log bigram probabilities of the
-classes. Tokens within a class follow corpus counts given the class before
-(`Tables`), so probabilities of the tokens sum to one.
+the one before), whose output is added to the log probabilities of the classes after
+the token before (`prior`, from corpus counts). Tokens come in as ids; `Maps` says
+which row of the embedding, which row of the prior and which class an id has.
+Tokens within a class follow corpus counts (`lm.Tables`), so probabilities of the
+tokens sum to one.
 """
 
 from __future__ import annotations
@@ -19,24 +21,38 @@ NAMES = ("embed", "query", "key", "value", "near", "out")
 @dataclass
 class Shape:
     classes: int
+    inputs: int
     width: int = 16
     block: int = 8
 
-    @property
-    def start(self) -> int:  # what stands before the first token
-        return self.classes
+    def sizes(self) -> list[tuple[int, ...]]:
+        d = self.width
+        return [(self.inputs + 2, d), (d, d), (d, d), (d, d), (2 * self.block,), (d, self.classes)]
+
+
+@dataclass
+class Maps:
+    """Row of the embedding (`seen`), row of the prior (`after`) and class (`cls`) of each id; two ids more stand for what is before a text and for nothing."""
+
+    seen: np.ndarray
+    after: np.ndarray
+    cls: np.ndarray
+
+    @classmethod
+    def of(cls, seen: np.ndarray, inputs: int, after: np.ndarray, groups: int, classes: np.ndarray) -> Maps:
+        return cls(np.append(seen, [inputs, inputs + 1]).astype(np.int32), np.append(after, [groups, groups]).astype(np.int32), np.append(classes, [-1, -1]).astype(np.int32))
 
     @property
-    def pad(self) -> int:  # masked
-        return self.classes + 1
+    def start(self) -> int:
+        return len(self.cls) - 2
 
-    def sizes(self) -> list[tuple[int, ...]]:
-        d = self.width
-        return [(self.classes + 2, d), (d, d), (d, d), (d, d), (2 * self.block,), (d, self.classes)]
+    @property
+    def pad(self) -> int:
+        return len(self.cls) - 1
 
 
 def initial(shape: Shape, seed: int = 3) -> np.ndarray:
-    """All parameters in one vector; the output layer is zero, so training starts from the bigram model."""
+    """All parameters in one vector; the output layer is zero, so training starts from the prior."""
     rng = np.random.default_rng(seed)
     parts = [rng.normal(0, 0.3, s) for s in shape.sizes()[:4]] + [np.zeros(s) for s in shape.sizes()[4:]]
     return np.concatenate([p.ravel() for p in parts])
@@ -51,17 +67,17 @@ def split(vector: np.ndarray, shape: Shape) -> dict[str, np.ndarray]:
     return out
 
 
-def windows(classes: np.ndarray, shape: Shape) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(block rows of inputs, of contexts, of targets) of one text; targets past its end are pad."""
-    s, n = shape.block, len(classes)
+def windows(ids: np.ndarray, shape: Shape, maps: Maps) -> tuple[np.ndarray, np.ndarray]:
+    """(contexts, targets) of one text as ids, a row a block: the block before it and its own inputs, and what comes after each of those; past the end is pad."""
+    s, n = shape.block, len(ids)
     rows = -(-n // s)
-    line = np.full((rows + 1) * s, shape.pad, np.int64)
-    line[s] = shape.start
-    line[s + 1 : s + n] = classes[:-1]
-    target = np.full(rows * s, shape.pad, np.int64)
-    target[:n] = classes
+    line = np.full((rows + 1) * s, maps.pad, np.int32)
+    line[s] = maps.start
+    line[s + 1 : s + n] = ids[:-1]
+    target = np.full(rows * s, maps.pad, np.int32)
+    target[:n] = ids
     blocks = line.reshape(-1, s)
-    return blocks[1:], np.concatenate([blocks[:-1], blocks[1:]], axis=1), target.reshape(-1, s)
+    return np.concatenate([blocks[:-1], blocks[1:]], axis=1), target.reshape(-1, s)
 
 
 def distances(shape: Shape) -> np.ndarray:
@@ -73,87 +89,97 @@ def distances(shape: Shape) -> np.ndarray:
 class Scorer:
     """log probabilities of classes; every token is scored once, with at least a block of context where there is one."""
 
-    def __init__(self, vector: np.ndarray, bigram: np.ndarray, shape: Shape):
+    def __init__(self, vector: np.ndarray, prior: np.ndarray, shape: Shape, maps: Maps):
         p = split(vector.astype(np.float32), shape)
-        self.shape = shape
+        self.shape, self.maps = shape, maps
         scores = (p["embed"] @ p["query"]) @ (p["embed"] @ p["key"]).T / np.float32(np.sqrt(shape.width))
-        weights = np.exp(scores)  # a score depends on the two classes only
-        weights[:, shape.pad] = 0
+        weights = np.exp(scores)  # a score depends on the two inputs only
+        weights[:, shape.inputs + 1] = 0
         self.weights, self.side = weights.ravel(), weights.shape[0]
         dist = distances(shape)
         self.near = np.where(dist >= 0, np.exp(p["near"][np.maximum(dist, 0)]), 0).astype(np.float32)
         self.value = p["embed"] @ p["value"]
         self.out = p["out"]
-        self.bigram = np.exp(np.concatenate([bigram, np.zeros((2 - (len(bigram) - shape.classes), shape.classes))])).astype(np.float32)
+        self.prior = np.exp(prior).astype(np.float32)
 
-    def log_classes(self, inputs: np.ndarray, context: np.ndarray, target: np.ndarray, step: int = 512) -> np.ndarray:
-        """Natural log probability of each target class; 0 at pads."""
+    def log_classes(self, context: np.ndarray, target: np.ndarray, step: int = 512) -> np.ndarray:
+        """Natural log probability of the class of each target; 0 at pads."""
         got = np.empty(target.shape, np.float32)
-        inputs, context, target = (x.astype(np.int32) for x in (inputs, context, target))
-        for k in range(0, len(inputs), step):
-            u, c, t = inputs[k : k + step], context[k : k + step], target[k : k + step].ravel()
-            w = np.take(self.weights, (u * np.int32(self.side))[:, :, None] + c[:, None, :])
+        s = self.shape.block
+        for k in range(0, len(context), step):
+            ids = context[k : k + step]
+            c, t = np.take(self.maps.seen, ids), np.take(self.maps.cls, target[k : k + step].ravel())
+            w = np.take(self.weights, (c[:, s:] * np.int32(self.side))[:, :, None] + c[:, None, :])
             w *= self.near
             o = np.matmul(w, np.take(self.value, c, axis=0))
             o /= np.maximum(w.sum(axis=2, keepdims=True), np.float32(1e-30))
             odds = np.exp(o.reshape(-1, self.shape.width) @ self.out)
-            odds *= np.take(self.bigram, u.ravel(), axis=0)
-            real = t < self.shape.classes
+            odds *= np.take(self.prior, np.take(self.maps.after, ids[:, s:].ravel()), axis=0)
+            real = t >= 0
             hit = odds[np.arange(len(t)), np.where(real, t, 0)]
-            got[k : k + step] = np.where(real, np.log(hit / odds.sum(axis=1)), 0).reshape(u.shape)
+            got[k : k + step] = np.where(real, np.log(hit / odds.sum(axis=1)), 0).reshape(-1, s)
         return got
 
 
-def gradient(vector: np.ndarray, bigram: np.ndarray, shape: Shape, u: np.ndarray, c: np.ndarray, t: np.ndarray) -> tuple[float, np.ndarray]:
-    """Mean negative log likelihood of the targets and its gradient."""
-    p, d = split(vector, shape), shape.width
+def gradient(vector: np.ndarray, prior: np.ndarray, shape: Shape, maps: Maps, context: np.ndarray, target: np.ndarray) -> tuple[float, np.ndarray]:
+    """Mean negative log likelihood of the targets' classes and its gradient."""
+    p, d, s, kind = split(vector, shape), shape.width, shape.block, vector.dtype.type
+    c = np.take(maps.seen, context)
+    t = np.take(maps.cls, target)
     dist = distances(shape)
-    seen = (dist >= 0)[None] & (c[:, None, :] != shape.pad)
-    # scores and values depend on classes only: they are tables, and so are their gradients
+    # scores and values depend on inputs only: they are tables, and so are their gradients
     e, side = p["embed"], len(p["embed"])
     q, k, v = e @ p["query"], e @ p["key"], e @ p["value"]
-    scale = vector.dtype.type(np.sqrt(d))
-    pair = (u * side)[:, :, None] + c[:, None, :]
-    w = np.where(seen, np.exp(np.take(q @ k.T / scale, pair) + p["near"][np.maximum(dist, 0)]), vector.dtype.type(0))
-    a = w / np.maximum(w.sum(axis=2, keepdims=True), vector.dtype.type(1e-30))
+    scale = kind(np.sqrt(d))
+    pair = (c[:, s:] * np.int32(side))[:, :, None] + c[:, None, :]
+    table = np.exp(q @ k.T / scale)
+    table[:, shape.inputs + 1] = 0
+    w = np.take(table, pair)
+    w *= np.where(dist >= 0, np.exp(p["near"][np.maximum(dist, 0)]), 0).astype(kind)
+    a = w / np.maximum(w.sum(axis=2, keepdims=True), kind(1e-30))
     vc = np.take(v, c, axis=0)
     o = np.matmul(a, vc)
-    logits = o @ p["out"] + bigram[u]
-    logits -= logits.max(axis=2, keepdims=True)
-    prob = np.exp(logits)
-    prob /= prob.sum(axis=2, keepdims=True)
-    real = t < shape.classes
-    n = max(1, int(real.sum()))
-    rows = np.nonzero(real)
-    loss = -np.log(np.maximum(prob[(*rows, t[rows])], 1e-30)).sum() / n
-    g = np.where(real[:, :, None], prob, vector.dtype.type(0))
-    g[(*rows, t[rows])] -= 1
+    flat_o = o.reshape(-1, d)
+    logits = flat_o @ p["out"]
+    logits += np.take(prior, np.take(maps.after, context[:, s:].ravel()), axis=0)
+    g = np.exp(logits, out=logits)  # the prior's log probabilities are at most 0 and outputs stay small
+    g /= g.sum(axis=1, keepdims=True)
+    flat_t = t.ravel()
+    rows = np.flatnonzero(flat_t >= 0)
+    n = max(1, len(rows))
+    loss = -np.log(np.maximum(g[rows, flat_t[rows]], 1e-30)).sum() / n
+    g[rows, flat_t[rows]] -= 1
+    g[flat_t < 0] = 0
     g /= n
-    do = g @ p["out"].T
+    do = (g @ p["out"].T).reshape(o.shape)
     da = np.matmul(do, vc.transpose(0, 2, 1))
     dv = np.matmul(a.transpose(0, 2, 1), do).reshape(-1, d)
     ds = a * (da - (a * da).sum(axis=2, keepdims=True))
-    near = np.bincount(np.maximum(dist, 0).ravel(), np.where(dist >= 0, ds.sum(axis=0), 0).ravel(), 2 * shape.block)
-    table = np.bincount(pair.ravel(), ds.ravel(), side * side).reshape(side, side) / scale
+    near = np.bincount(np.maximum(dist, 0).ravel(), np.where(dist >= 0, ds.sum(axis=0), 0).ravel(), 2 * s)
+    scores = np.bincount(pair.ravel(), ds.ravel(), side * side).reshape(side, side) / scale
     place = c.ravel()
     value = np.stack([np.bincount(place, dv[:, j], side) for j in range(d)], axis=1)
-    dq, dk = table @ k, table.T @ q
+    dq, dk = scores @ k, scores.T @ q
     embed = dq @ p["query"].T + dk @ p["key"].T + value @ p["value"].T
-    flat = lambda x: x.reshape(-1, x.shape[-1])
-    parts = [embed, e.T @ dq, e.T @ dk, e.T @ value, near, flat(o).T @ flat(g)]
+    parts = [embed, e.T @ dq, e.T @ dk, e.T @ value, near, flat_o.T @ g]
     return float(loss), np.concatenate([x.ravel() for x in parts])
 
 
-def train(vector: np.ndarray, bigram: np.ndarray, shape: Shape, rows: tuple[np.ndarray, np.ndarray, np.ndarray], batch: int = 128, rate: float = 0.01, seed: int = 1) -> np.ndarray:
-    """One pass of Adam over window rows (inputs, contexts, targets)."""
-    u, c, t = rows
-    bigram = bigram.astype(np.float32)
-    x, m, v = vector.copy(), np.zeros(len(vector)), np.zeros(len(vector))
-    order = np.random.default_rng(seed).permutation(len(u))
-    steps = -(-len(order) // batch)
-    for k in range(steps):
-        own = order[k * batch : (k + 1) * batch]
-        _, g = gradient(x.astype(np.float32), bigram, shape, u[own], c[own], t[own])
-        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        x -= rate * (1 - k / steps) * (m / (1 - 0.9 ** (k + 1))) / (np.sqrt(v / (1 - 0.99 ** (k + 1))) + 1e-8)
-    return x
+class Descent:
+    """Adam over mini-batches of window rows; its state goes on from one call to the next."""
+
+    def __init__(self, vector: np.ndarray, prior: np.ndarray, shape: Shape, maps: Maps, rate: float, batch: int = 256, seed: int = 1):
+        self.x, self.prior, self.shape, self.maps, self.rate, self.batch = vector.copy(), prior.astype(np.float32), shape, maps, rate, batch
+        self.m, self.v, self.t = np.zeros(len(vector)), np.zeros(len(vector)), 0
+        self.rng = np.random.default_rng(seed)
+
+    def learn(self, context: np.ndarray, target: np.ndarray) -> None:
+        """One pass over the rows, in another order."""
+        order = self.rng.permutation(len(context))
+        for k in range(0, len(order), self.batch):
+            own = order[k : k + self.batch]
+            _, g = gradient(self.x.astype(np.float32), self.prior, self.shape, self.maps, context[own], target[own])
+            self.t += 1
+            self.m, self.v = 0.9 * self.m + 0.1 * g, 0.99 * self.v + 0.01 * g * g
+            share = len(own) / self.batch  # a small last batch moves little
+            self.x -= self.rate * share * (self.m / (1 - 0.9**self.t)) / (np.sqrt(self.v / (1 - 0.99**self.t)) + 1e-8)

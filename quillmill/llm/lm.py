@@ -9,12 +9,14 @@ and looked up where the text is, words beyond them meet their counts in a join.
 
 Model: words become ids of a public byte-level vocabulary, never trained here. Ids
 fall into `classes` classes, frequent ids being classes of their own. Over all
-training texts are counted: ids, ids after each class, and from these the class
-bigrams. The attention layer (`attention`) is trained by all tasks on whole training
-texts, every token being a target once in each of `rounds` rounds, and the tasks'
-parameters are averaged, so what is learned grows with the corpus and what is shared
-has a fixed size. Then
-every text is scored whole, each token once, in overlapping windows.
+training texts are counted: ids, and ids after each of `groups` groups of ids (again
+the frequent ones are their own); from these come the classes after a group and the
+ids within a class after a group. The attention layer (`attention`) corrects the
+classes by what stands further back. It is trained by all tasks on whole training
+texts, every token being a target once: `rounds` rounds take turns at the windows,
+and after each the tasks' parameters are averaged. So what is learned grows with the
+corpus and what is shared has a fixed size. Then every text is scored whole, each
+token once, in overlapping windows.
 
 Cases: null and empty texts are one end token; repeated rows are scored each, rows
 being told apart by a number given when ids are first written; with no training
@@ -206,22 +208,36 @@ def token_classes(counts: np.ndarray, tokens: list[bytes], classes: int, rest: i
 
 
 class Tables:
-    """Log probabilities from counts: of a class after a class, and of an id within its class after a class."""
-
-    def __init__(self, counts: np.ndarray, after: np.ndarray, cls: np.ndarray, classes: int, weight: float = 20.0):
-        n = len(counts)
-        after = after.reshape(classes + 1, n).astype(np.float32)
-        total = np.zeros((classes + 1, classes))
-        for c in range(classes + 1):
-            total[c] = np.bincount(cls, after[c], classes)
+    """Log probabilities from counts: of a class after a group, and of an id within its class after a group.
+
+    The `tabled` most frequent ids have columns of their own; the others of a class
+    share one, within which they follow their counts alone.
+    """
+
+    def __init__(self, counts: np.ndarray, after: np.ndarray, cls: np.ndarray, classes: int, column: np.ndarray, weight: float = 20.0):
+        columns = after.shape[1]
+        of = np.zeros(columns, np.int64)  # the class of a column
+        of[column] = cls
+        held = np.bincount(column, counts, columns)
+        size = np.bincount(column, minlength=columns)
+        total = np.zeros((len(after), classes), np.float32)
+        np.add.at(total.T, of, after.T.astype(np.float32))
         prior = np.bincount(cls, counts, classes) + 0.5
         prior /= prior.sum()
-        self.bigram = np.log((total + weight * prior) / (total.sum(axis=1, keepdims=True) + weight))
-        alone = (counts + 0.5) / (np.bincount(cls, counts, classes) + 0.5 * np.bincount(cls, minlength=classes))[cls]
-        self.within = np.empty(after.shape, np.float32)
-        for c in range(classes + 1):
-            self.within[c] = np.log((after[c] + weight * alone) / (total[c, cls] + weight))
-        self.cls = cls
+        self.prior = np.log((total + weight * prior) / (total.sum(axis=1, keepdims=True) + weight)).astype(np.float32)
+        alone = (held + 0.5 * size) / (np.bincount(cls, counts, classes) + 0.5 * np.bincount(cls, minlength=classes))[of]
+        with np.errstate(divide="ignore"):
+            self.within = np.log((after + weight * alone) / (total[:, of] + weight)).astype(np.float32)
+        self.share = np.log((counts + 0.5) / (held + 0.5 * size)[column])  # of an id in its column
+        self.column = column
+
+
+def columns_of(counts: np.ndarray, cls: np.ndarray, classes: int, tabled: int) -> np.ndarray:
+    """Column of each id: its own for the most frequent, one a class for the others."""
+    out = tabled + cls
+    own = np.lexsort((np.arange(len(counts)), -counts))[:tabled]
+    out[own] = np.arange(len(own))
+    return out
 
 
 def _count_ids(size: int):
@@ -235,71 +251,88 @@ def _count_ids(size: int):
     return run
 
 
-def _count_after(size: int, shared, classes: int):
+def _count_after(size: int, shared, groups: int, columns: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cls, seen = shared.value, np.zeros((classes + 1) * size, np.int64)
+        group, column = shared.value
+        seen = np.zeros((groups + 1) * columns, np.int32)
         for b in batches:
             for k in range(0, len(b), 200):
                 own = [_ids(z, size) for z in b["ids"].iloc[k : k + 200]]
                 x = np.concatenate(own)
-                before = np.append(classes, cls[x[:-1]])
-                before[np.cumsum([0, *map(len, own[:-1])])] = classes
-                code, n = np.unique(before * size + x, return_counts=True)
-                seen[code] += n
+                before = np.append(groups, group[x[:-1]])
+                before[np.cumsum([0, *map(len, own[:-1])])] = groups
+                code, n = np.unique(before * columns + column[x], return_counts=True)
+                seen[code] += n.astype(np.int32)
         yield _sparse(seen)
 
     return run
 
 
-def _train(size: int, shared, shape: attention.Shape, vector: np.ndarray, turn: int, step: int = 40_000):
-    """One pass over whole texts: every token is a target once; about `step` windows are held at a time."""
+def _train(size: int, shared, shape: attention.Shape, vector: np.ndarray, turn: int, rounds: int, step: int = 40_000):
+    """One round over whole texts: of all windows, one after the other, every `rounds`-th, another one each turn; about `step` windows are held at a time."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tables = shared.value
-        x, n, rows, held = vector, 0, [], 0
+        tables, maps = shared.value
+        descent = attention.Descent(vector, tables.prior, shape, maps, rate=0.01 / (1 + turn))
+        n, rows, held, at = 0, [], 0, turn
 
-        def learn() -> np.ndarray:
-            u, c, t = (np.concatenate(p) for p in zip(*rows, strict=True))
-            u = np.where(u == shape.pad, shape.start, u)  # rows past a text's end have no target
-            return attention.train(x, tables.bigram, shape, (u, c, t), rate=0.01 / (1 + turn))
+        def learn() -> None:
+            descent.learn(*(np.concatenate(p) for p in zip(*rows, strict=True)))
 
         for b in batches:
             for z in b["ids"]:
-                rows.append(attention.windows(tables.cls[_ids(z, size)], shape))
+                c, t = attention.windows(_ids(z, size), shape, maps)
+                rows.append((c[at::rounds], t[at::rounds]))
+                at = (at - len(c)) % rounds
                 held += len(rows[-1][0])
                 if held >= step:
-                    x, n, rows, held = learn(), n + held, [], 0
-        if rows:
-            x, n = learn(), n + held
+                    learn()
+                    n, rows, held = n + held, [], 0
+        if held:
+            learn()
+            n += held
         if n:
-            yield pd.DataFrame({"k": np.arange(len(x)), "x": x, "n": float(n)})
+            yield pd.DataFrame({"k": np.arange(len(vector)), "x": descent.x, "n": float(n)})
 
     return run
 
 
 def _score(size: int, shared, shape: attention.Shape, vector: np.ndarray):
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        tables = shared.value
-        scorer = attention.Scorer(vector, tables.bigram, shape)
-        cls = tables.cls
+        tables, maps = shared.value
+        scorer = attention.Scorer(vector, tables.prior, shape, maps)
+        flat, wide = tables.within.ravel(), tables.within.shape[1]
         for s in batches:
             out = []
             for k in range(0, len(s), 32):
                 own = [_ids(z, size) for z in s.iloc[k : k + 32]]
-                rows, inner = [], []
-                for x in own:
-                    c = cls[x]
-                    rows.append(attention.windows(c, shape))
-                    inner.append(tables.within[np.append(shape.start, c[:-1]), x].sum(dtype=np.float64))
-                u, c, t = (np.concatenate(p) for p in zip(*rows, strict=True))
-                outer = scorer.log_classes(np.where(u == shape.pad, shape.start, u), c, t).sum(axis=1, dtype=np.float64)
-                cut = np.cumsum([0, *[len(r[0]) for r in rows[:-1]]])
-                out.extend((np.add.reduceat(outer, cut) + np.array(inner)) / np.log(10))
+                x, cut = np.concatenate(own), np.cumsum([0, *map(len, own[:-1])])
+                before = np.append(maps.start, x[:-1])
+                before[cut] = maps.start
+                inner = np.take(flat, np.take(maps.after, before).astype(np.int64) * wide + np.take(tables.column, x)) + np.take(tables.share, x)
+                rows = [attention.windows(z, shape, maps) for z in own]
+                c, t = (np.concatenate(p) for p in zip(*rows, strict=True))
+                outer = scorer.log_classes(c, t).sum(axis=1, dtype=np.float64)
+                row_cut = np.cumsum([0, *[len(r[0]) for r in rows[:-1]]])
+                out.extend((np.add.reduceat(outer, row_cut) + np.add.reduceat(inner, cut)) / np.log(10))
             yield pd.Series(out, dtype="float64")
 
     return run
 
 
-def score(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", hot: int = 200_000, classes: int = 64, width: int = 16, block: int = 8, rounds: int = 2) -> DataFrame:
+def frequent(counts: DataFrame, most: int) -> DataFrame:
+    """At most `most` rows (word, c), those above a count that a histogram of counts tells."""
+    level = F.floor(F.log2("c") * 64)
+    sizes = counts.groupBy(level.alias("level")).agg(F.count("*").alias("n")).orderBy(F.desc("level")).collect()  # 64 a power of two
+    room, least = most, None
+    for r in sizes:
+        room -= r.n
+        if room < 0:
+            break
+        least = r.level
+    return counts.filter(level >= least) if least is not None else counts.limit(0)
+
+
+def score(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", hot: int = 200_000, classes: int = 64, groups: int = 1024, inputs: int = 256, tabled: int = 4096, width: int = 16, block: int = 8, rounds: int = 2) -> DataFrame:
     """One row a document: (id, held_out, n_tokens, n_known, train_tokens, base_score, score)."""
     spark = docs.sparkSession
     stash = Stash(spark, "lm")
@@ -311,7 +344,7 @@ def score(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     log_n = float(np.log10(total + 0.5 * (distinct + 1)))
     end = counts.filter(F.col("word") == F.lit(END)).agg(F.sum("c")).first()[0] or 0
-    top = counts.filter((F.length("word") <= LONG) & (F.col("word") != F.lit(END))).orderBy(F.desc("c"), "word").limit(hot).toArrow()  # at most `hot` words of 64 bytes
+    top = frequent(counts.filter((F.length("word") <= LONG) & (F.col("word") != F.lit(END))), hot).toArrow()  # at most `hot` words of 64 bytes
     table = spark.sparkContext.broadcast((top["word"].to_pylist(), top["c"].to_numpy()))
     schema = f"rid long, id {kind}, held_out boolean, n_tokens long, known long, base double, ids binary, rare string"
     rows = stash.keep(own.mapInPandas(_encode(tokenizer, table, end, log_n), schema), "rows")
@@ -325,14 +358,18 @@ def score(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     size = sub.end + 1  # and the end token
     learn = rows.filter(~F.col("held_out")).select("rid", "ids")
     seen = _summed(learn.select("ids"), _count_ids(size), size)
-    cls = token_classes(seen, [sub._bytes(i) for i in range(size)], classes)
-    after = _summed(learn.select("ids"), _count_after(size, spark.sparkContext.broadcast(cls), classes), (classes + 1) * size)
-    tables = Tables(seen, after, cls, classes)
-    shared = spark.sparkContext.broadcast(tables)
-    shape = attention.Shape(classes, width, block)
+    tokens = [sub._bytes(i) for i in range(size)]
+    cls, group, seen_as = (token_classes(seen, tokens, n) for n in (classes, groups, inputs))
+    column = columns_of(seen, cls, classes, tabled)
+    columns = tabled + classes
+    after = _summed(learn.select("ids"), _count_after(size, spark.sparkContext.broadcast((group, column)), groups, columns), (groups + 1) * columns)
+    tables = Tables(seen, after.reshape(groups + 1, columns), cls, classes, column)
+    maps = attention.Maps.of(seen_as, inputs, group, groups, cls)
+    shared = spark.sparkContext.broadcast((tables, maps))  # about (groups + 1) * (tabled + classes) numbers
+    shape = attention.Shape(classes, inputs, width, block)
     vector = attention.initial(shape)
     for turn in range(rounds):
-        told = learn.mapInPandas(_train(size, shared, shape, vector, turn), "k long, x double, n double")
+        told = learn.select("ids").mapInPandas(_train(size, shared, shape, vector, turn, rounds), "k long, x double, n double")
         mean = told.groupBy("k").agg((F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("x")).toPandas()  # one row a parameter
         vector[mean["k"].to_numpy()] = mean["x"].to_numpy()
 

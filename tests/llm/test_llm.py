@@ -418,81 +418,111 @@ def test_lm_of_odd_rows(odd, empty):
 
 
 def tiny():
-    shape = attention.Shape(classes=5, width=4, block=3)
+    """Seven ids: five inputs, four groups, five classes (two ids share one)."""
+    shape = attention.Shape(classes=5, inputs=5, width=4, block=3)
+    maps = attention.Maps.of(np.arange(7) % 5, 5, np.arange(7) % 4, 4, np.array([0, 1, 2, 3, 4, 4, 3]))
     rng = np.random.default_rng(0)
     vector = attention.initial(shape) + rng.normal(0, 0.2, len(attention.initial(shape)))
-    bigram = np.log(rng.dirichlet(np.ones(5), 6))
-    return shape, vector, bigram, rng
+    prior = np.log(rng.dirichlet(np.ones(5), 5))
+    return shape, maps, vector, prior, rng
 
 
 def test_gradient_of_the_attention_model():
-    shape, x, bigram, rng = tiny()
-    u, c, t = attention.windows(rng.integers(0, 5, 10), shape)
-    u = np.where(u == shape.pad, shape.start, u)
-    _, g = attention.gradient(x, bigram, shape, u, c, t)
+    shape, maps, x, prior, rng = tiny()
+    c, t = attention.windows(rng.integers(0, 7, 10), shape, maps)
+    _, g = attention.gradient(x, prior, shape, maps, c, t)
     for k in rng.integers(0, len(x), 40):
         e = np.zeros(len(x))
         e[k] = 1e-5
-        slope = (attention.gradient(x + e, bigram, shape, u, c, t)[0] - attention.gradient(x - e, bigram, shape, u, c, t)[0]) / 2e-5
+        slope = (attention.gradient(x + e, prior, shape, maps, c, t)[0] - attention.gradient(x - e, prior, shape, maps, c, t)[0]) / 2e-5
         assert math.isclose(slope, g[k], rel_tol=1e-3, abs_tol=1e-7)
 
 
-def test_every_token_of_a_training_text_is_a_target_in_each_round(monkeypatch):
+def test_every_token_of_a_training_text_is_a_target_once(monkeypatch):
+    shape = attention.Shape(8, 8, width=4, block=4)
+    maps = attention.Maps.of(np.arange(41) % 8, 8, np.arange(41) % 8, 8, np.arange(41) % 8)
+
     class Shared:
-        value = lm.Tables(np.ones(41, np.int64), np.ones(9 * 41, np.int64), np.arange(41) % 8, 8)
+        value = (lm.Tables(np.ones(41, np.int64), np.ones((9, 41), np.int64), np.arange(41) % 8, 8, np.arange(41)), maps)
 
-    shape, told = attention.Shape(8, width=4, block=4), []
-    monkeypatch.setattr(attention, "train", lambda x, bigram, shape, rows, **_: told.append(rows[2]) or x)
+    told = []
+    monkeypatch.setattr(attention.Descent, "learn", lambda self, c, t: told.append((c, t)))
     rng = np.random.default_rng(4)
     texts = [rng.integers(0, 40, n).astype(np.uint16) for n in (0, 1, 3, 500, 24, 25, 200, 5000)]
-    batches = [pd.DataFrame({"rid": range(k, k + 4), "ids": [t.tobytes() for t in texts[k : k + 4]]}) for k in (0, 4)]
+    batches = [pd.DataFrame({"ids": [t.tobytes() for t in texts[k : k + 4]]}) for k in (0, 4)]
+    n = 0
     for turn in range(2):
-        told.clear()
-        out = list(lm._train(41, Shared, shape, attention.initial(shape), turn, step=100)(iter(batches)))
-        got = np.concatenate([t.ravel() for t in told])
-        assert got[got != shape.pad].tolist() == [x % 8 for t in texts for x in [*t.tolist(), 40]]
-        assert len(told) == 2 and out[0]["n"].iloc[0] == sum(-(-(len(t) + 1) // 4) for t in texts)
+        out = list(lm._train(41, Shared, shape, attention.initial(shape), turn, 2, step=100)(iter(batches)))
+        n += out[0]["n"].iloc[0]
+    rows = lambda c, t: Counter((tuple(a), tuple(b)) for a, b in zip(c.tolist(), t.tolist(), strict=True))
+    want = sum((rows(*attention.windows(np.append(t, 40).astype(np.int64), shape, maps)) for t in texts), Counter())
+    assert sum((rows(c, t) for c, t in told), Counter()) == want and n == sum(want.values()) == sum(-(-(len(t) + 1) // 4) for t in texts)
+
+
+def test_windows_hold_each_target_behind_its_context():
+    shape, maps, *_ = tiny()
+    c, t = attention.windows(np.arange(7), shape, maps)
+    assert t.ravel().tolist() == [0, 1, 2, 3, 4, 5, 6, maps.pad, maps.pad]
+    assert c.tolist() == [[maps.pad] * 3 + [maps.start, 0, 1], [maps.start, 0, 1, 2, 3, 4], [2, 3, 4, 5, maps.pad, maps.pad]]
 
 
 def test_scorer_is_causal_and_sums_to_one():
-    shape, x, bigram, rng = tiny()
-    scorer = attention.Scorer(x, bigram, shape)
-    text = rng.integers(0, 5, 11)
+    shape, maps, x, prior, rng = tiny()
+    scorer = attention.Scorer(x, prior, shape, maps)
+    text = rng.integers(0, 7, 11)
 
-    def scores(classes):
-        u, c, t = attention.windows(classes, shape)
-        return scorer.log_classes(np.where(u == shape.pad, shape.start, u), c, t).ravel()[: len(classes)]
+    def scores(ids):
+        return scorer.log_classes(*attention.windows(ids, shape, maps)).ravel()[: len(ids)]
 
     whole = scores(text)
     for n in (1, 4, 7, 10):
         assert np.allclose(scores(text[:n]), whole[:n], atol=1e-5)
         assert math.isclose(sum(math.exp(scores(np.append(text[:n], k))[n]) for k in range(5)), 1, rel_tol=1e-4)
-    u, c, t = attention.windows(text, shape)
-    loss, _ = attention.gradient(x, bigram, shape, np.where(u == shape.pad, shape.start, u), c, t)
+    loss, _ = attention.gradient(x, prior, shape, maps, *attention.windows(text, shape, maps))
     assert math.isclose(-whole.mean(), loss, rel_tol=1e-4)
 
 
 def test_ids_within_classes_sum_to_one():
     rng = np.random.default_rng(2)
-    cls = rng.integers(0, 4, 30)
-    tables = lm.Tables(rng.integers(0, 9, 30), rng.integers(0, 3, 5 * 30), cls, 4)
-    for before in range(5):
-        assert np.allclose(np.exp(tables.bigram[before]).sum(), 1)
-        assert np.allclose(np.bincount(cls, np.exp(tables.within[before]), 4), 1, atol=1e-5)
+    cls, counts = rng.integers(0, 4, 30), rng.integers(0, 9, 30)
+    column = lm.columns_of(counts, cls, 4, 12)
+    tables = lm.Tables(counts, rng.integers(0, 3, (6, 16)), cls, 4, column)
+    for before in range(6):
+        assert np.allclose(np.exp(tables.prior[before]).sum(), 1, atol=1e-5)
+        assert np.allclose(np.bincount(cls, np.exp(tables.within[before][column] + tables.share), 4), 1, atol=1e-5)
 
 
 def test_training_lowers_the_loss():
-    shape = attention.Shape(classes=6, width=8, block=4)
-    rows = [attention.windows(np.array([(i * k) % 5 for i in range(40)]), shape) for k in (1, 2, 3) for _ in range(40)]
-    u, c, t = (np.concatenate(p) for p in zip(*rows, strict=True))
-    u = np.where(u == shape.pad, shape.start, u)
-    bigram = np.full((7, 6), math.log(1 / 6))
-    x = attention.initial(shape)
-    before, _ = attention.gradient(x, bigram, shape, u, c, t)
-    after, _ = attention.gradient(attention.train(x, bigram, shape, (u, c, t), batch=16, rate=0.03), bigram, shape, u, c, t)
+    shape = attention.Shape(classes=6, inputs=6, width=8, block=4)
+    maps = attention.Maps.of(np.arange(6), 6, np.arange(6), 6, np.arange(6))
+    rows = [attention.windows(np.array([(i * k) % 5 for i in range(40)]), shape, maps) for k in (1, 2, 3) for _ in range(40)]
+    c, t = (np.concatenate(p) for p in zip(*rows, strict=True))
+    prior = np.full((7, 6), math.log(1 / 6))
+    descent = attention.Descent(attention.initial(shape), prior, shape, maps, rate=0.03, batch=16)
+    before, _ = attention.gradient(descent.x, prior, shape, maps, c, t)
+    descent.learn(c, t)
+    after, _ = attention.gradient(descent.x, prior, shape, maps, c, t)
     assert after < 0.75 * before
 
 
+def test_attention_beats_the_base_on_held_out_texts(spark):
+    docs = table(spark, "documents", DATA / "sf0.1").repartition(8)
+
+    def held_out_mean(rounds):
+        rows = lm.score(docs, RANKS, rounds=rounds).filter("held_out")
+        return rows.agg(F.sum("score") / F.sum("n_tokens"), F.sum("base_score") / F.sum("n_tokens")).first()
+
+    (alone, base), (trained, _) = held_out_mean(0), held_out_mean(2)
+    assert trained > alone + 0.1 and trained > base
+
+
+def test_frequent_words_are_cut_by_a_histogram(spark):
+    counts = spark.createDataFrame([(str(k).encode(), 1 + 1000 // k) for k in range(1, 400)], "word binary, c long")
+    got = sorted(r.c for r in lm.frequent(counts, 50).collect())
+    assert 30 < len(got) <= 50 and got == sorted(r.c for r in counts.collect())[-len(got) :]
+    assert lm.frequent(counts, 1000).count() == 399 and lm.frequent(counts.limit(0), 5).count() == 0
+
+
 # ------------------------------------------------------------ 7 and 8 classifiers
 
 
@@ -717,7 +747,15 @@ def test_pipeline_stages(spark):
             fps = {d: brute_fingerprint(t) for d, t in before.items()}
             apart = lambda a, b: (fps[a] ^ fps[b]).bit_count() > 3
             assert all(apart(a, b) for a in after for b in after if a < b)
-            assert all(any(not apart(d, k) for k in before if k < d) for d in set(before) - after)
+            near = brute_jaccard(before)
+            assert not any({a, b} <= after for a, b in near)
+            linked = near | {(a, b) for a in before for b in before if a < b and not apart(a, b)}
+            assert all(any(d in p for p in linked) for d in set(before) - after)
+            up = {d: d for d in before}
+            for _ in range(20):
+                for a, b in linked:
+                    up[a] = up[b] = min(up[a], up[b])
+            assert {up[d] for d in after} == set(up.values())  # one document of each group stays
         if name == "decontaminate":
             items = [b" ".join(decontaminate.split_words(r.text)) for r in table(spark, "benchmark").collect()]
             assert not any(i in b" ".join(decontaminate.split_words(before[d])) for d in after for i in items)
