@@ -156,9 +156,9 @@ def gradient(vector: np.ndarray, prior: np.ndarray, shape: Shape, maps: Maps, co
     dv = np.matmul(a.transpose(0, 2, 1), do).reshape(-1, d)
     ds = a * (da - (a * da).sum(axis=2, keepdims=True))
     near = np.bincount(np.maximum(dist, 0).ravel(), np.where(dist >= 0, ds.sum(axis=0), 0).ravel(), 2 * s)
-    scores = np.bincount(pair.ravel(), ds.ravel(), side * side).reshape(side, side) / scale
-    place = c.ravel()
-    value = np.stack([np.bincount(place, dv[:, j], side) for j in range(d)], axis=1)
+    scores = (np.bincount(pair.ravel(), ds.ravel(), side * side) / scale).astype(kind).reshape(side, side)
+    place = (c.reshape(-1, 1) * np.int32(d) + np.arange(d, dtype=np.int32)).ravel()
+    value = np.bincount(place, dv.ravel(), side * d).astype(kind).reshape(side, d)
     dq, dk = scores @ k, scores.T @ q
     embed = dq @ p["query"].T + dk @ p["key"].T + value @ p["value"].T
     parts = [embed, e.T @ dq, e.T @ dk, e.T @ value, near, flat_o.T @ g]
@@ -168,7 +168,7 @@ def gradient(vector: np.ndarray, prior: np.ndarray, shape: Shape, maps: Maps, co
 class Descent:
     """Adam over mini-batches of window rows; its state goes on from one call to the next."""
 
-    def __init__(self, vector: np.ndarray, prior: np.ndarray, shape: Shape, maps: Maps, rate: float, batch: int = 256, seed: int = 1):
+    def __init__(self, vector: np.ndarray, prior: np.ndarray, shape: Shape, maps: Maps, rate: float, batch: int = 512, seed: int = 1):
         self.x, self.prior, self.shape, self.maps, self.rate, self.batch = vector.copy(), prior.astype(np.float32), shape, maps, rate, batch
         self.m, self.v, self.t = np.zeros(len(vector)), np.zeros(len(vector)), 0
         self.rng = np.random.default_rng(seed)

@@ -332,7 +332,7 @@ def frequent(counts: DataFrame, most: int) -> DataFrame:
     return counts.filter(level >= least) if least is not None else counts.limit(0)
 
 
-def score(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", hot: int = 200_000, classes: int = 64, groups: int = 1024, inputs: int = 256, tabled: int = 4096, width: int = 16, block: int = 8, rounds: int = 2) -> DataFrame:
+def score(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", hot: int = 200_000, classes: int = 64, groups: int = 1024, inputs: int = 128, tabled: int = 4096, width: int = 16, block: int = 8, rounds: int = 2) -> DataFrame:
     """One row a document: (id, held_out, n_tokens, n_known, train_tokens, base_score, score)."""
     spark = docs.sparkSession
     stash = Stash(spark, "lm")
