@@ -18,9 +18,11 @@ SCRATCH = "_qm_"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: spark.checkpoint.dir, or a fresh one where it is unset (tests)."""
+    """The folder all executors see: spark.checkpoint.dir, or in local mode a fresh one where it is unset (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="quillmill-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -54,6 +56,27 @@ def without(df: DataFrame, names: Iterable[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
 
 
+def text_key(col: str = "text"):
+    """A hash of the whole text, which with the id tells rows apart."""
+    return F.xxhash64(text_of(col))
+
+
+def one_of_each(groups: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs with one row of each group, columns unchanged.
+
+    groups: a row a document (id, key, group), key being its text_key. The row with
+    the smallest id stays (null ids last), of those with that id the one with the
+    smallest key, of equal rows any one.
+    """
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("first")
+    stays = groups.groupBy("group", "id", "key").agg(F.count("*").alias("n")).groupBy("group").agg(first, F.min_by("n", F.struct(F.col("id").isNull(), "id", "key")).alias("n"))
+    stays = stays.select(F.col("first.id").alias("_qm_id"), F.col("first.key").alias("_qm_key"), F.col("n").alias("_qm_n"))
+    kept = docs.withColumn("_qm_own", text_key(text_col)).join(stays, F.col(id_col).eqNullSafe(F.col("_qm_id")) & (F.col("_qm_own") == F.col("_qm_key")))
+    if stays.filter("_qm_n > 1").limit(1).count():  # only rows that are there more than once meet each other
+        kept = kept.filter("_qm_n = 1").unionByName(kept.filter("_qm_n > 1").dropDuplicates(["_qm_id", "_qm_key"]))
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def held_out(id_col: str = "doc_id", remainder: int = 0, folds: int = 5):
     """True where crc32 of the id as text leaves `remainder`; a null id counts as the text 'null'."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("null"))) % folds == remainder

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmill.llm.common import Stash, text_of, without
+from quillmill.llm.common import Stash, one_of_each, text_key, text_of, without
 from quillmill.llm.components import components
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -234,24 +234,28 @@ def near_links(fps: DataFrame, most: int = 3, crowd: int = 4096, buffer_rows: in
     return quiet.union(loud)
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, most: int = 3, crowd: int = 4096) -> DataFrame:
-    """One row a document: (id, fingerprint, component_id), component_id being the smallest id of its group."""
+def _grouped(docs: DataFrame, id_col: str, text_col: str, words: int, most: int, crowd: int) -> DataFrame:
+    """One row a document: (id, key, fp, group, component_id); key tells texts apart, group is one number a component."""
     stash = Stash(docs.sparkSession, "simhash")
-    own = stash.keep(with_fingerprint(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", words).select("id", "fp"), "own")
+    own = stash.keep(with_fingerprint(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), text_key(text_col).alias("key")), "text", words).select("id", "key", "fp"), "own")
     fps = stash.keep(own.groupBy("fp").agg(F.min("id").alias("first")), "distinct")
     linked = components(near_links(fps, most, crowd), stash).withColumnRenamed("node", "fp")
     low = stash.keep(linked.join(fps, "fp").groupBy("root").agg(F.min("first").alias("group_first")), "roots")
-    named = linked.join(low, "root").select("fp", "group_first")
-    table = fps.join(named, "fp", "left").select("fp", F.coalesce("group_first", "first").alias("component_id"))
+    named = linked.join(low, "root").select("fp", "root", "group_first")
+    table = fps.join(named, "fp", "left").select("fp", F.coalesce("root", "fp").alias("group"), F.coalesce("group_first", "first").alias("component_id"))
+    return own.join(table, "fp")
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, most: int = 3, crowd: int = 4096) -> DataFrame:
+    """One row a document: (id, fingerprint, component_id), component_id being the smallest id of its group."""
     fingerprint_hex = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return own.join(table, "fp").select(F.col("id").alias(id_col), fingerprint_hex.alias("fingerprint"), "component_id")
+    return _grouped(docs, id_col, text_col, words, most, crowd).select(F.col("id").alias(id_col), fingerprint_hex.alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, most: int = 3) -> DataFrame:
-    """docs with one document of each group, the one whose id is the group's smallest; other columns unchanged."""
-    groups = near_groups(docs, id_col, text_col, words, most)
-    stays = groups.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_qm_id")).distinct()
-    return docs.join(stays, F.col(id_col).eqNullSafe(F.col("_qm_id")), "left_semi")
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, most: int = 3, crowd: int = 4096) -> DataFrame:
+    """docs with one document of each group, one with the group's smallest id; columns unchanged."""
+    groups = Stash(docs.sparkSession, "simhash-groups").keep(_grouped(docs, id_col, text_col, words, most, crowd), "rows")
+    return one_of_each(groups, docs, id_col, text_col)
 
 
 def mark_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, most: int = 3) -> DataFrame:

@@ -724,6 +724,37 @@ def test_jaccard_copies_of_odd_rows(odd, empty):
     assert shingles.near_groups(empty).count() == 0 == shingles.drop_near_copies(empty).count()
 
 
+def test_one_row_of_each_group_stays(odd):
+    # groups of odd rows: ids 1, 1, 2 and null; 3, 4, 5 and null; 6; 7; 8; 9
+    for drop in (simhash.drop_near_copies, shingles.drop_near_copies):
+        kept = drop(odd)
+        assert kept.columns == odd.columns
+        assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 6, 7, 8, 9]
+
+
+def test_ids_may_repeat_over_groups(spark):
+    a, b = "alpha beta gamma delta epsilon zeta", "one two three four five six seven"
+    rows = [(1, a), (1, b), (1, b), (2, a), (None, "x y z"), (None, "x y z"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for drop in (simhash.drop_near_copies, shingles.drop_near_copies):
+        assert Counter(tuple(r) for r in drop(docs).collect()) == Counter([(1, a), (1, b), (None, "x y z"), (None, None)])
+
+
+def test_pipeline_stages_of_odd_rows(spark, odd, empty):
+    import corpus_pipeline
+
+    sf = str(SMALL)
+    docs = odd.withColumns({"predicted": F.lit("mine"), "held_out": F.lit("mine"), "component_id": F.lit("mine"), "id": F.lit("mine"), "group": F.lit("mine"), "key": F.lit("mine")})
+    source = Counter(tuple(r) for r in docs.collect())
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), sf).count() == 0
+        out = stage(spark, docs, sf)
+        if name != "mix":
+            assert out.columns == docs.columns and not Counter(tuple(r) for r in out.collect()) - source
+        else:
+            assert out.count() == len(ODD)
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
