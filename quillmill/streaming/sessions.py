@@ -1,7 +1,11 @@
 """Session event streams: expiry, idempotent replay, version chains, deletion, progress.
 
-Keyed state is bounded: sessions and idempotency keys end with the watermark, which
-is the time to live (24 hours). The same functions run over a stream or, for tests
+Keyed state is bounded in time: an idempotency key is kept for the time to live (24
+hours), a session leaves a tombstone of one number for `retain` hours after its end,
+so that what comes later is still told as expired or rejected, and a version chain is
+forgotten when nothing has been written to it for the time to live. Outcomes depend on
+event times, not on how events fall into micro-batches, as long as a key's events do
+not come later than the watermark. The same functions run over a stream or, for tests
 and backfills, over a table through `run_available`.
 """
 
@@ -15,11 +19,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 TTL_HOURS = 24
+RETAIN_HOURS = 24 * 90
 
 
-def read_stream(spark: SparkSession, path: str, schema) -> DataFrame:
+def read_stream(spark: SparkSession, path: str, schema, files_a_batch: int | None = None) -> DataFrame:
     """A parquet path, file or folder, as a stream."""
-    return spark.readStream.schema(schema).parquet(f"{path}*")
+    reader = spark.readStream.schema(schema)
+    return (reader.option("maxFilesPerTrigger", files_a_batch) if files_a_batch else reader).parquet(f"{path}*")
 
 
 def run_available(stream: DataFrame, spark: SparkSession, folder: str, mode: str = "append") -> DataFrame:
@@ -30,46 +36,63 @@ def run_available(stream: DataFrame, spark: SparkSession, folder: str, mode: str
     return spark.read.schema(schema).parquet(f"{folder}/rows")
 
 
-def expire(events: DataFrame, key: str = "user_id", ts: str = "ts", event_id: str = "event_id", hours: int = TTL_HOURS) -> DataFrame:
+def _hours(stamp: pd.Timestamp, hours: int) -> pd.Timestamp:
+    return stamp + pd.Timedelta(hours=hours)
+
+
+def _millis(stamp: pd.Timestamp, state: GroupState) -> int:
+    """A timeout at this time, or as soon as can be."""
+    return max(int(stamp.value // 1_000_000), state.getCurrentWatermarkMs() + 1)
+
+
+def expire(events: DataFrame, key: str = "user_id", ts: str = "ts", event_id: str = "event_id", hours: int = TTL_HOURS, retain: int = RETAIN_HOURS) -> DataFrame:
     """(key, event_id, ts, outcome): live until `hours` after a session's first event, expired from then on; a session that ends by timeout leaves a row without an event id."""
     def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         columns = [key, event_id, ts, "outcome"]
         if state.hasTimedOut:
-            end = pd.Timestamp(state.get[0], unit="us")
-            state.remove()
+            end, over = pd.Timestamp(state.get[0], unit="us"), state.get[1]
+            if over:
+                state.remove()
+                return
+            state.update((state.get[0], True))
+            state.setTimeoutTimestamp(_millis(_hours(end, retain), state))
             yield pd.DataFrame([(k[0], pd.NA, end, "session_expired")], columns=columns).astype({event_id: "Int64"})
             return
         rows = pd.concat(list(batches)).sort_values([ts, event_id])
-        end = pd.Timestamp(state.get[0], unit="us") if state.exists else rows[ts].iloc[0] + pd.Timedelta(hours=hours)
-        state.update((int(end.value // 1000),))
-        state.setTimeoutTimestamp(max(int(end.value // 1_000_000), state.getCurrentWatermarkMs() + 1))
+        end = pd.Timestamp(state.get[0], unit="us") if state.exists else _hours(rows[ts].iloc[0], hours)
+        over = state.exists and state.get[1]
+        state.update((int(end.value // 1000), over))
+        state.setTimeoutTimestamp(_millis(_hours(end, retain) if over else end, state))
         out = rows[[key, event_id, ts]].assign(outcome=["live" if t < end else "expired" for t in rows[ts]])
         yield out.astype({event_id: "Int64"})
 
     kind = dict(events.dtypes)[key]
     marked = events.select(key, event_id, F.col(ts).cast("timestamp").alias(ts)).withWatermark(ts, f"{hours} hours")
-    return marked.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, {event_id} long, {ts} timestamp, outcome string", "ends long", "append", GroupStateTimeout.EventTimeTimeout)
+    return marked.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, {event_id} long, {ts} timestamp, outcome string", "ends long, over boolean", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def replay(events: DataFrame, key: str, fingerprint: str, ts: str = "ts", event_id: str = "event_id", hours: int = TTL_HOURS) -> DataFrame:
-    """(key, event_id, outcome): first, replay of the same request, or conflict with another one under the same key; keys are kept for the time to live."""
+    """(key, event_id, outcome): first, replay of the same request, or conflict with another one under the same key; a key lives for `hours` from its first use, then it may be used anew."""
     def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
         rows = pd.concat(list(batches)).sort_values([ts, event_id])
-        first = state.get[0] if state.exists else None
+        first, end = (state.get[0], pd.Timestamp(state.get[1], unit="us")) if state.exists else (None, None)
         out = []
-        for e, f in zip(rows[event_id], rows["f"], strict=True):
-            out.append((k[0], e, "first" if first is None else "replay" if f == first else "conflict"))
-            first = f if first is None else first
-        state.update((first,))
-        state.setTimeoutTimestamp(max(int(rows[ts].max().value // 1_000_000), state.getCurrentWatermarkMs()) + hours * 3_600_000)
+        for e, f, t in zip(rows[event_id], rows["f"], rows[ts], strict=True):
+            if end is None or t >= end:
+                first, end, outcome = f, _hours(t, hours), "first"
+            else:
+                outcome = "replay" if f == first else "conflict"
+            out.append((k[0], e, outcome))
+        state.update((first, int(end.value // 1000)))
+        state.setTimeoutTimestamp(_millis(end, state))
         yield pd.DataFrame(out, columns=["k", event_id, "outcome"])
 
     rows = events.select(F.col(key).alias("k"), event_id, F.col(ts).cast("timestamp").alias(ts), F.col(fingerprint).cast("string").alias("f")).withWatermark(ts, f"{hours} hours")
     kind = dict(events.dtypes)[key]
-    found = rows.groupBy("k").applyInPandasWithState(run, f"k {kind}, {event_id} long, outcome string", "f string", "append", GroupStateTimeout.EventTimeTimeout)
+    found = rows.groupBy("k").applyInPandasWithState(run, f"k {kind}, {event_id} long, outcome string", "f string, ends long", "append", GroupStateTimeout.EventTimeTimeout)
     return found.withColumnRenamed("k", key)
 
 
@@ -78,9 +101,12 @@ def distinct_requests(events: DataFrame, keys: list[str], ts: str = "ts", hours:
     return events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, f"{hours} hours").dropDuplicatesWithinWatermark(keys)
 
 
-def versions(events: DataFrame, key: str, version: str, parent: str) -> DataFrame:
-    """(key, version, outcome): accepted if the parent is the latest accepted version, conflict otherwise."""
+def versions(events: DataFrame, key: str, version: str, parent: str, ts: str | None = None, hours: int = TTL_HOURS) -> DataFrame:
+    """(key, version, outcome): accepted if the parent is the latest accepted version, conflict otherwise; a chain without a write for `hours` (of arrival, unless `ts` is given) is forgotten."""
     def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         rows = pd.concat(list(batches)).sort_values("v")
         last = state.get[0] if state.exists else -1
         out = []
@@ -89,21 +115,54 @@ def versions(events: DataFrame, key: str, version: str, parent: str) -> DataFram
             out.append((k[0], v, "accepted" if ok else "conflict"))
             last = v if ok else last
         state.update((int(last),))
+        state.setTimeoutTimestamp(_millis(_hours(rows["at"].max(), hours), state))
         yield pd.DataFrame(out, columns=["k", "v", "outcome"])
 
-    rows = events.select(F.col(key).alias("k"), F.col(version).cast("long").alias("v"), F.col(parent).cast("long").alias("p"))
-    found = rows.groupBy("k").applyInPandasWithState(run, f"k {dict(events.dtypes)[key]}, v long, outcome string", "last long", "append", GroupStateTimeout.NoTimeout)
+    rows = events.select(F.col(key).alias("k"), F.col(version).cast("long").alias("v"), F.col(parent).cast("long").alias("p"), (F.current_timestamp() if ts is None else F.col(ts).cast("timestamp")).alias("at"))
+    rows = rows.withWatermark("at", f"{hours} hours")
+    found = rows.groupBy("k").applyInPandasWithState(run, f"k {dict(events.dtypes)[key]}, v long, outcome string", "last long", "append", GroupStateTimeout.EventTimeTimeout)
     return found.withColumnsRenamed({"k": key, "v": version})
 
 
-def purge(events: DataFrame, deletions: DataFrame, key: str, ts: str = "ts") -> DataFrame:
-    """Batch form of deletion: events of deleted sessions go, later ones are rejected; a tombstone with a hash stays."""
-    gone = deletions.select(key, F.col(ts).alias("deleted_at"))
-    j = events.join(gone, key, "left")
-    kept = j.filter("deleted_at is null").select(key, "event_id", F.lit("kept").alias("outcome"), F.lit(None).cast("string").alias("hash"))
-    late = j.filter(F.col(ts) > F.col("deleted_at")).select(key, "event_id", F.lit("rejected").alias("outcome"), F.lit(None).cast("string").alias("hash"))
-    stone = gone.select(key, F.lit(None).cast("long").alias("event_id"), F.lit("tombstone").alias("outcome"), F.sha2(F.concat_ws("|", F.col(key).cast("string"), F.lit("deleted")).cast("binary"), 256).alias("hash"))
-    return kept.union(late).union(stone)
+def tombstone(key: str):
+    """The hash that stays of a deleted session."""
+    return F.sha2(F.concat_ws("|", F.col(key).cast("string"), F.lit("deleted")).cast("binary"), 256)
+
+
+def deletions_live(events: DataFrame, deletions: DataFrame, key: str, ts: str = "ts", event_id: str = "event_id", retain: int = RETAIN_HOURS, late: int = TTL_HOURS) -> DataFrame:
+    """(key, event_id, outcome) of two streams: kept, rejected after the deletion of its session, and one tombstone row a deletion; events from before it that come after it are left out."""
+    def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        gone = pd.Timestamp(state.get[0], unit="us") if state.exists else None
+        out = []
+        rows = pd.concat(list(batches)).sort_values([ts, "ends", event_id])
+        for t, ends, e in zip(rows[ts], rows["ends"], rows[event_id], strict=True):
+            if ends and gone is None:
+                gone = t
+                out.append((k[0], pd.NA, "tombstone"))
+            elif not ends and gone is None:
+                out.append((k[0], e, "kept"))
+            elif not ends and t > gone:
+                out.append((k[0], e, "rejected"))
+        if gone is not None:
+            state.update((int(gone.value // 1000),))
+            state.setTimeoutTimestamp(_millis(_hours(gone, retain), state))
+        yield pd.DataFrame(out, columns=[key, event_id, "outcome"]).astype({event_id: "Int64"})
+
+    stamp = F.col(ts).cast("timestamp").alias(ts)
+    own = events.select(key, event_id, stamp, F.lit(False).alias("ends"))
+    ends = deletions.select(key, F.lit(None).cast("long").alias(event_id), stamp, F.lit(True).alias("ends"))
+    rows = own.unionByName(ends).withWatermark(ts, f"{late} hours")
+    return rows.groupBy(key).applyInPandasWithState(run, f"{key} {dict(events.dtypes)[key]}, {event_id} long, outcome string", "gone long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def purge(outcomes: DataFrame, key: str) -> DataFrame:
+    """What is stored after deletion: kept rows of deleted sessions go, their tombstones get a hash."""
+    gone = outcomes.filter("outcome = 'tombstone'").select(key)
+    kept = outcomes.filter("outcome = 'kept'").join(gone, key, "left_anti")
+    return kept.unionByName(outcomes.filter("outcome <> 'kept'")).withColumn("hash", F.when(F.col("outcome") == "tombstone", tombstone(key)))
 
 
 def progress(events: DataFrame, status: str) -> DataFrame:
