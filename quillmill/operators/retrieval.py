@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+from functools import reduce
+from itertools import islice
+
+import ahocorasick
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -37,25 +44,46 @@ def expand_terms(queries: DataFrame, key: str, text: str, aliases: DataFrame, pe
     return ranked.filter(F.col("place") <= most).select(key, F.col("alias").alias("term"), "place")
 
 
-def phrase_matches(docs: DataFrame, doc_key: str, fields: list[str], phrases: DataFrame, query_key: str, n: int = 3) -> DataFrame:
+def _phrase_finder(shared):
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        machine = ahocorasick.Automaton()
+        for low in shared.value:
+            machine.add_word(low, low)
+        machine.make_automaton()
+        for b in batches:
+            out = []
+            for doc, field, v in zip(b["doc"], b["field"], b["v"], strict=True):
+                tf: Counter = Counter()
+                free: dict[str, int] = {}
+                for end, low in machine.iter(v):
+                    if end - len(low) >= free.get(low, -1):  # occurrences do not overlap
+                        tf[low] += 1
+                        free[low] = end
+                out += [(doc, field, low, n, len(v)) for low, n in tf.items()]
+            yield pd.DataFrame(out, columns=["doc", "field", "low", "tf", "length"]).astype({"tf": "int64", "length": "int64"})
+
+    return find
+
+
+def phrase_matches(docs: DataFrame, doc_key: str, fields: list[str], phrases: DataFrame, query_key: str, block: int = 100_000, small: int = 200_000) -> DataFrame:
     """(query, term, doc, field, tf, length): documents that hold a phrase of `phrases` (query, term), counted by containment.
 
-    A phrase meets documents on its rarest gram only: document counts of the
-    phrases' grams come from one aggregate, and of each phrase one gram is joined.
-    Common grams that no phrase uses never leave their task; those left are written
-    once, as they are both counted and joined.
+    The phrases are the stated side: they go to the tasks in blocks of at most
+    `block`, and each block is one pass over the texts that meets all its phrases at
+    once, so that cost hardly depends on their number and only matches leave a task.
     """
-    terms = phrases.select("term").distinct().withColumn("g", F.explode(F.array_distinct(grams(F.lower("term"), n))))
+    spark = docs.sparkSession
     each = F.array(*[F.struct(F.lit(f).alias("field"), F.lower(F.coalesce(F.col(f), F.lit(""))).alias("v")) for f in fields])
     values = docs.select(F.col(doc_key).alias("doc"), F.inline(each))
-    held = keep(values.select("doc", "field", F.explode(F.array_distinct(grams(F.col("v"), n))).alias("g")).join(terms.select("g").distinct(), "g", "left_semi"), "held")
-    df = held.groupBy("g").agg(F.count("*").alias("df"))
-    rarest = terms.join(df, "g", "left").groupBy("term").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "g"))["g"].alias("g"))
-    candidates = held.join(rarest, "g").select("doc", "field", "term")
-    checked = candidates.join(values, ["doc", "field"]).withColumn("low", F.lower("term"))
-    tf = (F.length("v") - F.length(F.replace("v", "low", F.lit("")))) / F.length("low")
-    found = checked.filter(F.contains("v", F.col("low"))).select("doc", "field", "term", tf.cast("long").alias("tf"), F.length("v").alias("length"))
-    return phrases.join(found, "term").select(query_key, "term", "doc", "field", "tf", "length")
+    schema = f"doc {dict(docs.dtypes)[doc_key]}, field string, low string, tf long, length long"
+    found = spark.createDataFrame([], schema)
+    terms = (r[0] for r in phrases.select(F.lower("term").alias("low")).filter("low <> ''").distinct().toLocalIterator())
+    while own := list(islice(terms, block)):
+        found = found.unionByName(values.mapInPandas(_phrase_finder(spark.sparkContext.broadcast(own)), schema))
+    asked = phrases.select(query_key, "term", F.lower("term").alias("low"))
+    # few phrases meet a hot term's documents where those are
+    asked = F.broadcast(asked) if phrases.count() <= small else asked
+    return found.join(asked, "low").select(query_key, "term", "doc", "field", "tf", "length")
 
 
 def bm25(docs: DataFrame, doc_key: str, weights: dict[str, float], phrases: DataFrame, query_key: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
@@ -149,15 +177,19 @@ def summary_gate(summary: DataFrame, work_counts: DataFrame) -> DataFrame:
     return summary.join(F.broadcast(total)).filter(ok).drop("of_works")
 
 
-def cosine_top_k(vectors: DataFrame, queries: DataFrame, key: str, query_key: str, vector: str, k: int) -> DataFrame:
-    """(query, key, rank, score): a stated, bounded query set against all vectors; each task keeps k rows a query."""
+def cosine_top_k(vectors: DataFrame, queries: DataFrame, key: str, query_key: str, vector: str, k: int, block: int = 10_000) -> DataFrame:
+    """(query, key, rank, score): a stated query set against all vectors, in blocks of about `block` queries; each task keeps k rows a query."""
     norm = lambda v: F.sqrt(F.aggregate(F.transform(v, lambda x: x.cast("double") * x), F.lit(0.0), lambda a, x: a + x))
     left = vectors.select(F.col(key).alias("_qm_k"), F.col(vector).alias("_qm_v"), norm(F.col(vector)).alias("_qm_n"))
     right = queries.select(F.col(query_key).alias("_qm_q"), F.col(vector).alias("_qm_w"), norm(F.col(vector)).alias("_qm_m"))
     dot = F.aggregate(F.zip_with("_qm_v", "_qm_w", lambda x, y: x.cast("double") * y), F.lit(0.0), lambda a, x: a + x)
-    scored = left.join(F.broadcast(right), F.col("_qm_k") != F.col("_qm_q")).select("_qm_q", "_qm_k", (dot / (F.col("_qm_n") * F.col("_qm_m"))).alias("score"))
-    top = top_k(scored, "_qm_q", k, [F.desc("score"), F.col("_qm_k")])
-    return top.select(F.col("_qm_q").alias("query"), F.col("_qm_k").alias(key), "rank", "score")
+    blocks = -(-queries.count() // block)
+    parts = []
+    for i in range(max(1, blocks)):
+        own = right.filter(F.pmod(F.xxhash64("_qm_q"), F.lit(max(1, blocks))) == i)  # about `block` vectors
+        scored = left.join(F.broadcast(own), F.col("_qm_k") != F.col("_qm_q")).select("_qm_q", "_qm_k", (dot / (F.col("_qm_n") * F.col("_qm_m"))).alias("score"))
+        parts.append(top_k(scored, "_qm_q", k, [F.desc("score"), F.col("_qm_k")]))
+    return reduce(DataFrame.unionByName, parts).select(F.col("_qm_q").alias("query"), F.col("_qm_k").alias(key), "rank", "score")
 
 
 def fuse_ranks(lists: list[DataFrame], query_key: str, doc: str, k: int = 60) -> DataFrame:

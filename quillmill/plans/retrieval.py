@@ -118,32 +118,43 @@ def _(t):
     return t.benchmark.select("item_id", F.array_join(F.slice(F.array_distinct(F.split("text", " ")), 1, 8), " ").alias("terms"))
 
 
-@query("q1_gram_index", "WITH g AS (SELECT item_id, unnest(list_transform(range(1, greatest(length(text) - 1, 1)), lambda i: substr(lower(text), i, 3))) AS gram FROM benchmark) SELECT item_id, gram, count(*) AS tf FROM g GROUP BY ALL")
+_GRAMS = """v AS (SELECT doc_id, unnest(['title', 'text', 'source', 'lang']) AS field, unnest([lower(string_split(text, chr(10))[1]), lower(text), lower(source), lower(lang)]) AS v FROM documents),
+g AS (SELECT doc_id, field, unnest(list_transform(range(1, greatest(length(v) - 1, 1)), lambda i: substr(v, i, 3))) AS gram FROM v)"""
+
+
+@query("q1_gram_index", f"WITH {_GRAMS} SELECT doc_id, field, gram, count(*) AS tf FROM g GROUP BY ALL")
 def _(t):
-    return rt.build_index(t.benchmark, "item_id", ["text"]).select("item_id", "gram", "tf")
+    return rt.build_index(titled(t), "doc_id", ["title", "text", "source", "lang"])
 
 
 #: Phrases of each query: its third and fourth word together, and its sixth word.
 _PHRASES = "p AS (SELECT item_id, unnest([string_split(text, ' ')[3] || ' ' || string_split(text, ' ')[4], string_split(text, ' ')[6]]) AS term FROM benchmark), ph AS (SELECT DISTINCT item_id, term FROM p WHERE length(term) >= 3)"
-_MATCH = _PHRASES + """, v AS (SELECT doc_id AS doc, lower(source) AS source, lower(text) AS text FROM documents), m AS (SELECT item_id, term, doc,
-(length(text) - length(replace(text, lower(term), ''))) // length(term) AS tf, length(text) AS len FROM ph JOIN v ON contains(text, lower(term)))"""
-_BM25 = _MATCH + """, a AS (SELECT count(*) AS n, avg(length(text)) AS mean FROM documents), w AS (SELECT item_id, term, doc, tf / (1 - 0.75 + 0.75 * len / mean) AS tf, n FROM m, a), df AS (SELECT term, count(DISTINCT doc) AS df FROM w GROUP BY term),
+#: Fields of a document and what a phrase found there weighs; the id is not searched.
+WEIGHTS = {"doc": 0.0, "title": 8.0, "text": 1.0, "source": 2.0, "lang": 2.0}
+_MATCH = _PHRASES + """, v AS (SELECT doc_id AS doc, unnest(['title', 'text', 'source', 'lang']) AS field, unnest([lower(string_split(text, chr(10))[1]), lower(text), lower(source), lower(lang)]) AS v FROM documents), m AS (SELECT item_id, term, doc, field,
+(length(v) - length(replace(v, lower(term), ''))) // length(term) AS tf, length(v) AS len FROM ph JOIN v ON contains(v, lower(term)))"""
+_BM25 = _MATCH + """, a AS (SELECT field, avg(length(v)) AS mean FROM v GROUP BY field), w AS (SELECT item_id, term, doc, sum(CASE field WHEN 'title' THEN 8 WHEN 'text' THEN 1 ELSE 2 END * tf / (1 - 0.75 + 0.75 * len / mean)) AS tf, (SELECT count(*) FROM documents) AS n FROM m JOIN a USING (field) GROUP BY item_id, term, doc), df AS (SELECT term, count(DISTINCT doc) AS df FROM w GROUP BY term),
 s AS (SELECT item_id, doc, round(sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2)), 6) AS score FROM w JOIN df USING (term) GROUP BY ALL)"""
 
 
+def titled(t):
+    """Documents with their first line as title."""
+    return t.documents.withColumn("title", F.split("text", "\n")[0])
+
+
 def phrases(t):
     w = F.split("text", " ")
     both = F.array(F.concat_ws(" ", w[2], w[3]), w[5])
     return t.benchmark.select("item_id", F.explode(both).alias("term")).filter(F.length("term") >= 3).distinct()
 
 
-@query("q2_phrase_recall", f"WITH {_MATCH} SELECT item_id, term, doc, tf, len AS length FROM m")
+@query("q2_phrase_recall", f"WITH {_MATCH} SELECT item_id, term, doc, field, tf, len AS length FROM m")
 def _(t):
-    return rt.phrase_matches(t.documents, "doc_id", ["text"], phrases(t), "item_id").drop("field")
+    return rt.phrase_matches(titled(t), "doc_id", ["title", "text", "source", "lang"], phrases(t), "item_id")
 
 
 def scores(t):
-    return rt.bm25(t.documents, "doc_id", {"doc": 0.0, "text": 1.0}, phrases(t), "item_id").withColumn("score", F.round("score", 6))
+    return rt.bm25(titled(t), "doc_id", WEIGHTS, phrases(t), "item_id").withColumn("score", F.round("score", 6))
 
 
 @query("q3_bm25", f"WITH {_BM25} SELECT item_id, doc, score FROM s")
@@ -176,7 +187,7 @@ def _(t):
     return rt.fill_shortfall(recalled(t, 6), sampled, "item_id", 6)
 
 
-@query("q13_search_probe", f"WITH {_MATCH} SELECT item_id, count(*) > 0 AS found FROM m GROUP BY item_id")
+@query("q13_search_probe", f"WITH {_MATCH} SELECT item_id, count(*) > 0 AS found FROM m WHERE field = 'text' GROUP BY item_id")
 def _(t):
     hits = rt.phrase_matches(t.documents, "doc_id", ["text"], phrases(t), "item_id")
     return hits.groupBy("item_id").agg((F.count("*") > 0).alias("found"))
@@ -298,16 +309,26 @@ def _(t):
     return c.groupBy("item_id").agg(F.max(worth)["c"].alias("clause"))
 
 
-@query("u1_candidate_union", f"WITH {_BM25}, r AS (SELECT item_id, doc, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc)::INT AS rank FROM s QUALIFY rank <= 4) SELECT item_id, doc, 'recalled' AS tier FROM r UNION ALL SELECT item_id, doc_id, 'curated' FROM benchmark, documents WHERE doc_id < 5")
+@query("u1_candidate_union", f"WITH {_BM25}, r AS (SELECT item_id, doc, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc)::INT AS rank FROM s QUALIFY rank <= 4) SELECT item_id, doc, 'recalled' AS tier FROM r UNION ALL SELECT item_id, doc, 'curated' FROM benchmark JOIN (SELECT source, min(doc_id) AS doc FROM documents GROUP BY source) ON source = 'src' || (item_id % 20)")
 def _(t):
-    curated = t.benchmark.select("item_id").join(F.broadcast(t.documents.filter("doc_id < 5").select(F.col("doc_id").alias("doc")))).withColumn("tier", F.lit("curated"))
+    # the curated row of the family that a query names
+    first = t.documents.groupBy("source").agg(F.min("doc_id").alias("doc"))
+    named = t.benchmark.select("item_id", F.concat(F.lit("src"), F.col("item_id") % 20).alias("source"))
+    curated = named.join(first, "source").select("item_id", "doc", F.lit("curated").alias("tier"))
     return recalled(t, 4).select("item_id", "doc", F.lit("recalled").alias("tier")).unionByName(curated, allowMissingColumns=True)
 
 
-@query("q14_summary_gate", "SELECT count(*) AS raw, 0 AS rejected, count(*) AS unique_rows, count(*) FILTER (length(text) > 100) AS full_rows FROM documents")
+_SUMMARY = "u AS (SELECT text, min(source) AS source FROM documents WHERE length(text) >= 20 GROUP BY text), s AS (SELECT (SELECT count(*) FROM documents) AS raw, (SELECT count(*) FROM documents WHERE length(text) < 20) AS rejected, (SELECT count(*) FROM u) AS unique_rows, (SELECT count(*) FROM u WHERE length(text) > 100) AS full_rows)"
+
+
+@query("q14_summary_gate", f"WITH {_SUMMARY}, c AS (SELECT 'as_counted' AS kind, * FROM s UNION ALL SELECT 'off_by_one', raw, rejected, unique_rows + 1, full_rows FROM s UNION ALL SELECT 'too_full', raw, rejected, unique_rows, unique_rows + 1 FROM s) SELECT * FROM c WHERE kind = 'as_counted'")
 def _(t):
-    s = t.documents.agg(F.count("*").alias("raw"), F.lit(0).alias("rejected"), F.count("*").alias("unique_rows"), F.count_if(F.length("text") > 100).alias("full_rows"))
-    return rt.summary_gate(s, t.documents.groupBy("source").agg(F.count("*").alias("n")))
+    n = F.length("text")
+    unique = t.documents.filter(n >= 20).groupBy("text").agg(F.min("source").alias("source"))
+    s = t.documents.agg(F.count("*").alias("raw"), F.count_if(n < 20).alias("rejected")).join(unique.agg(F.count("*").alias("unique_rows"), F.count_if(n > 100).alias("full_rows")))  # one row each
+    wrong = {"as_counted": ("unique_rows", "full_rows"), "off_by_one": ("unique_rows + 1", "full_rows"), "too_full": ("unique_rows", "unique_rows + 1")}
+    told = [s.select(F.lit(k).alias("kind"), "raw", "rejected", F.expr(u).alias("unique_rows"), F.expr(f).alias("full_rows")) for k, (u, f) in wrong.items()]
+    return rt.summary_gate(told[0].union(told[1]).union(told[2]), unique.groupBy("source").agg(F.count("*").alias("n")))
 
 
 @query("q12_dense_fusion", """WITH n AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), p AS (SELECT q.vec_id AS query, v.vec_id, list_cosine_similarity(v.e, q.e) AS score FROM n v, n q WHERE q.vec_id % 20 = 0 AND v.vec_id <> q.vec_id),
@@ -318,6 +339,8 @@ def _(t):
     e = t.embeddings
     chosen = e.filter("vec_id % 20 = 0")
     dense = rt.cosine_top_k(e, chosen, "vec_id", "vec_id", "embedding", 10)
-    same = chosen.select(F.col("vec_id").alias("query"), "label").join(e.select("vec_id", "label"), "label").filter("query <> vec_id")
+    # the first 11 of a label hold the first 10 besides any one of them
+    head = rt.top_k(e.select("vec_id", "label"), "label", 11, [F.col("vec_id")]).drop("rank")
+    same = chosen.select(F.col("vec_id").alias("query"), "label").join(head, "label").filter("query <> vec_id")
     literal = rt.top_k(same, "query", 10, [F.col("vec_id")])
     return rt.fuse_ranks([dense, literal], "query", "vec_id").select("query", "vec_id", F.round("fused", 6).alias("fused"))
