@@ -59,9 +59,10 @@ def work_counts(entries: DataFrame) -> DataFrame:
     return entries.rollup("work").agg(F.count("*").alias("n"))
 
 
-def fingerprint(entries: DataFrame, line: Column, buckets: int = 16) -> DataFrame:
-    """Hash of a whole ordered table as a hash of ordered bucket hashes; no bucket holds more than its share."""
-    b = F.pmod(F.crc32(F.col("entry_id").cast("string")), F.lit(buckets))
+def fingerprint(entries: DataFrame, line: Column, bucket_rows: int = 5000) -> DataFrame:
+    """Hash of a whole ordered table as a hash of ordered bucket hashes, in buckets of about `bucket_rows` rows."""
+    buckets = max(1, -(-entries.count() // bucket_rows))
+    b = F.pmod(F.conv(F.substring(F.sha2(F.col("entry_id").cast("string").cast("binary"), 256), 1, 8), 16, 10).cast("long"), F.lit(buckets))
     parts = entries.select(b.alias("b"), F.col("entry_id"), line.alias("line")).groupBy("b").agg(F.sort_array(F.collect_list(F.struct("entry_id", "line"))).alias("rows"))
-    hashed = parts.select("b", F.sha2(F.array_join(F.transform("rows", lambda r: r["line"]), "\n").cast("binary"), 256).alias("h"), F.size("rows").alias("n"))
+    hashed = parts.select("b", F.sha2(F.array_join(F.transform("rows", lambda r: r["line"]), "\n").cast("binary"), 256).alias("h"), F.size("rows").cast("long").alias("n"))
     return hashed.agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("b", "h"))), lambda r: r["h"]), "\n").cast("binary"), 256).alias("fingerprint"), F.sum("n").alias("n"))

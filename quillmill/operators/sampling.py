@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -18,10 +21,11 @@ def stratified(entries: DataFrame, strata: list[str], seed: str, limit: int | No
     generator state is shared between strata, so ranks come out in parallel.
     """
     h = F.sha2(F.concat_ws("|", F.lit(seed), F.col(key).cast("string")).cast("binary"), 256)
-    own = W.partitionBy(*strata).orderBy("_qm_h", key)
-    ranked = entries.withColumn("_qm_h", h).withColumn("turn", F.row_number().over(own))
-    if limit is not None:
-        ranked = ranked.filter(F.col("turn") <= limit)  # no later turn can be reached
+    hashed = entries.withColumn("_qm_h", h)
+    if limit is None:
+        ranked = with_position(hashed, strata, ["_qm_h", key], "turn").withColumn("turn", (F.col("turn") + 1).cast("int"))
+    else:  # no later turn can be reached, and tasks keep no more than `limit` rows of a stratum
+        ranked = hashed.withColumn("turn", F.row_number().over(W.partitionBy(*strata).orderBy("_qm_h", key))).filter(F.col("turn") <= limit)
     out = ordered_index(ranked.drop("_qm_h"), ["turn", *strata, key], "rank", 1)
     return out if limit is None else out.filter(F.col("rank") <= limit)
 
@@ -41,26 +45,30 @@ def staged_release(ranked: DataFrame, stages: dict[str, int], failed: DataFrame,
 def pack_batches(entries: DataFrame, group: str, order: str, chars: str, size: int = 6, budget: int = 4000, alone: int = 3000) -> DataFrame:
     """(group, order, chars, batch): greedy batches within a group, closed when count or characters would overflow; long rows stand alone.
 
-    A running sum with resets has no window form. Only ids and lengths go to the
-    task of a group; batches never span groups.
+    A running sum with resets has no window form, and a batch depends on all before
+    it. Only ids and lengths go to the task of a group, sorted and streamed, so that a
+    group of any size takes time in its task but no memory; batches never span groups.
     """
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("o", kind="stable")
-        batch, n, total, out = -1, 0, 0, []
-        for c in pdf["c"]:
-            if c > alone:
-                batch, n = batch + 1, 0
-                out.append(batch)
-                continue
-            if n == 0 or n >= size or total + c > budget:
-                batch, n, total = batch + 1, 0, 0
-            n, total = n + 1, total + c
-            out.append(batch)
-        return pdf.assign(batch=out)
-
     kinds = dict(entries.dtypes)
     rows = entries.select(F.col(group).alias("g"), F.col(order).alias("o"), F.col(chars).cast("long").alias("c"))
-    packed = rows.groupBy("g").applyInPandas(run, f"g {kinds[group]}, o {kinds[order]}, c long, batch long")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, batch, n, total, begun = None, -1, 0, 0, False
+        for b in batches:
+            out = []
+            for g, c in zip(b["g"], b["c"], strict=True):
+                if not begun or g != now:
+                    now, batch, n, total, begun = g, -1, 0, 0, True
+                if c > alone:
+                    batch, n = batch + 1, 0
+                else:
+                    if n == 0 or n >= size or total + c > budget:
+                        batch, n, total = batch + 1, 0, 0
+                    n, total = n + 1, total + c
+                out.append(batch)
+            yield b.assign(batch=out)
+
+    packed = rows.repartition("g").sortWithinPartitions("g", "o").mapInPandas(run, f"g {kinds[group]}, o {kinds[order]}, c long, batch long")
     return packed.select(F.col("g").alias(group), F.col("o").alias(order), F.col("c").alias(chars), "batch")
 
 
@@ -114,6 +122,16 @@ def running_progress(batches: DataFrame, run: str, order: str, counters: list[st
     return batches.withColumns({f"total_{c}": F.sum(c).over(w) for c in counters})
 
 
-def shard_index(entries: DataFrame, work: str, order: str, rows: int = 1000) -> Column:
-    """floor(position / rows) within a work."""
-    return F.floor((F.row_number().over(W.partitionBy(work).orderBy(order)) - 1) / rows).cast("int")
+def with_position(df: DataFrame, group: list[str], order: list[str], name: str) -> DataFrame:
+    """df with the position, from 0, of each row within its group, groups being split over tasks by range."""
+    placed = ordered_index(df, [*group, *order], "_qm_at")
+    first = placed.groupBy(*[F.col(g).alias(f"_qm_g{k}") for k, g in enumerate(group)]).agg(F.min("_qm_at").alias("_qm_first"))
+    on = reduce(Column.__and__, [F.col(g).eqNullSafe(F.col(f"_qm_g{k}")) for k, g in enumerate(group)])
+    kept = [c for c in df.columns if c != name]
+    return placed.join(first, on).select(*kept, (F.col("_qm_at") - F.col("_qm_first")).alias(name))
+
+
+def with_shard(entries: DataFrame, work: str, order: str, rows: int = 1000, name: str = "shard") -> DataFrame:
+    """entries with floor(position / rows) within the work."""
+    placed = with_position(entries, [work], [order], name)
+    return placed.withColumn(name, F.floor(F.col(name) / rows).cast("int"))

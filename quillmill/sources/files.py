@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.operators.sampling import shard_index
+from quillmill.operators.sampling import with_shard
 
 
 def file_hashes(spark: SparkSession, path: str) -> DataFrame:
@@ -22,20 +22,43 @@ def verify_files(found: DataFrame, manifest: DataFrame) -> DataFrame:
     return j.select("file", problem.alias("problem")).filter("problem is not null")
 
 
+def _plain(path: str | Column) -> Column:
+    return F.regexp_replace(path, "^file:/+", "/")
+
+
+def _shard_facts(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """(path, bytes, sha256, rows, broken) of every NDJSON file under a path, as it is."""
+    hashes = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").load(path)
+    parsed = F.from_json("value", f"{schema}, broken string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "broken"})
+    lines = spark.read.option("recursiveFileLookup", "true").text(path).select(_plain(F.col("_metadata.file_path")).alias("path"), parsed["broken"].alias("broken"))
+    counts = lines.groupBy("path").agg(F.count("*").alias("rows"), F.count("broken").alias("broken"))
+    return hashes.select(_plain("path").alias("path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256")).join(counts, "path", "left").na.fill(0, ["rows", "broken"])
+
+
 def write_shards(entries: DataFrame, path: str, work: str, order: str, rows: int = 1000) -> DataFrame:
-    """NDJSON files of at most `rows` rows, one folder a work; returns the manifest read back from what was written."""
-    placed = entries.withColumn("shard", shard_index(entries, work, order, rows))
+    """NDJSON files of at most `rows` rows, one folder a work; returns the manifest (path, bytes, sha256, rows) of what was written."""
+    placed = with_shard(entries, work, order, rows)
     placed.repartition(work, "shard").sortWithinPartitions(work, "shard", order).write.partitionBy(work, "shard").option("maxRecordsPerFile", rows).mode("overwrite").json(path)
-    spark = entries.sparkSession
-    hashes = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").load(path)
-    lines = spark.read.option("recursiveFileLookup", "true").text(path).groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count("*").alias("rows"))
-    plain = lambda c: F.regexp_replace(c, "^file:/+", "/")
-    return hashes.select(plain("path").alias("path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256")).join(lines.select(plain("path").alias("path"), "rows"), "path")
+    return _shard_facts(entries.sparkSession, path, f"{order} string").drop("broken")
+
+
+def verify_shards(spark: SparkSession, path: str, schema: str, manifest: DataFrame) -> DataFrame:
+    """(path, problem) of shards against their manifest: missing, unlisted, size, hash, rows or broken lines."""
+    m = manifest.select("path", *[F.col(c).alias(f"m_{c}") for c in ("bytes", "sha256", "rows")])
+    j = _shard_facts(spark, path, schema).join(m, "path", "full")
+    problem = F.when(F.col("bytes").isNull(), "missing").when(F.col("m_bytes").isNull(), "unlisted")
+    for c, name in (("bytes", "size"), ("sha256", "hash"), ("rows", "rows")):
+        problem = problem.when(F.col(c) != F.col(f"m_{c}"), name)
+    return j.select("path", problem.when(F.col("broken") > 0, "broken").alias("problem")).filter("problem is not null")
 
 
-def read_shards(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Rows with `broken` set to the raw line where it does not parse."""
-    return spark.read.schema(f"{schema}, broken string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "broken").json(path)
+def read_shards(spark: SparkSession, path: str, schema: str, manifest: DataFrame | None = None) -> DataFrame:
+    """Rows of all shards. Shards that differ from the manifest, or lines that do not parse, fail the whole read."""
+    if manifest is None:
+        manifest = _shard_facts(spark, path, schema)
+    if bad := verify_shards(spark, path, schema, manifest).orderBy("path").limit(5).collect():
+        raise ValueError("shards do not hold what they should: " + ", ".join(f"{r.path} ({r.problem})" for r in bad))
+    return spark.read.schema(schema).option("mode", "FAILFAST").option("recursiveFileLookup", "true").json(path)
 
 
 def read_envelope(spark: SparkSession, path: str, schema: str, gates: Column, records: str = "records") -> DataFrame:
@@ -44,8 +67,32 @@ def read_envelope(spark: SparkSession, path: str, schema: str, gates: Column, re
     return whole.filter(F.coalesce(gates, F.lit(False))).select(F.inline(records))
 
 
-def publish_entries(entries: DataFrame, path: str, work: str) -> DataFrame:
-    """Writes the published table by work and reads it back; flags must be 0 or 1 and nothing is ever marked for production."""
-    checked = entries.withColumn("check_ok", F.col("runtime_eligible").isNotNull() & ~F.coalesce(F.col("production_eligible"), F.lit(True)))
-    checked.filter("check_ok").drop("check_ok").repartition(work).write.partitionBy(work).mode("overwrite").parquet(path)
+def entry_checks(entries: DataFrame) -> dict[str, Column]:
+    """What must hold for every published row, as far as the table has the columns."""
+    c = F.col
+    checks = {
+        "entry_id": c("entry_id").isNotNull(),
+        "text": F.length("text") >= 1,
+        "char_count": c("char_count") == F.length("text"),
+        "text_sha256": c("text_sha256") == F.sha2(c("text").cast("binary"), 256),
+        "normal_sha256": F.rlike("normal_sha256", F.lit("^[0-9a-f]{64}$")),
+        "dedupe_status": c("dedupe_status").isin("canonical", "exact_duplicate"),
+        "canonical_pointer": (c("dedupe_status") == "canonical") == (c("canonical_id") == c("entry_id")),
+        "runtime_eligible": (c("dedupe_status") == "canonical") | ~c("runtime_eligible"),
+        "production_eligible": ~c("production_eligible"),
+    }
+    needs = {"canonical_pointer": ["dedupe_status", "canonical_id"], "runtime_eligible": ["dedupe_status", "runtime_eligible"]}
+    return {k: F.coalesce(v, F.lit(False)) for k, v in checks.items() if set(needs.get(k, [k])) <= set(entries.columns)}
+
+
+def publish_entries(entries: DataFrame, path: str, work: str, salts: int = 16) -> DataFrame:
+    """Writes the published table by work and reads it back; a row that breaks a check, or an id that is there twice, fails the whole publication."""
+    checks = entry_checks(entries)
+    broken = entries.agg(*[F.count_if(~v).alias(k) for k, v in checks.items()]).first().asDict()
+    broken["repeated_id"] = entries.groupBy("entry_id").agg(F.count("*").alias("n")).filter("n > 1").count()
+    if bad := {k: n for k, n in broken.items() if n}:
+        raise ValueError(f"not published, rows break checks: {bad}")
+    # a work of any size is written by several tasks
+    salt = F.pmod(F.xxhash64("entry_id"), F.lit(salts))
+    entries.withColumn("_qm_salt", salt).repartition(work, "_qm_salt").drop("_qm_salt").write.partitionBy(work).mode("overwrite").parquet(path)
     return entries.sparkSession.read.parquet(path)
