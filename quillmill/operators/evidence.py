@@ -86,8 +86,9 @@ def align_segments(text: str, quote: str, glyphs: dict[int, str] | None = None)
 def aligned(quotes: DataFrame, texts: DataFrame, key: str = "entry_id", glyphs: dict[int, str] | None = None, limit: int = LIMIT) -> DataFrame:
     """quotes (key, quote, ...) with start, end (null where unaligned) and excerpt; only quotes that are no exact substring go to Python."""
     j = quotes.join(texts.select(key, "text"), key)
-    at = F.instr("text", F.trim("quote")) - 1
-    n = F.length(F.trim("quote"))
+    bare = F.regexp_replace("quote", r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
+    at = F.instr("text", bare) - 1
+    n = F.length(bare)
     exact = j.filter((at >= 0) & (n >= 2)).withColumns({"start": F.when(n <= limit, at.cast("long")), "end": F.when(n <= limit, (at + n).cast("long"))})
     rest = j.filter((at < 0) | (n < 2) | at.isNull())
 

@@ -60,7 +60,8 @@ def _(t):
     return dedup.length_gate(entries(t))
 
 
-@query("a8_build_fingerprint")
+@query("a8_build_fingerprint", f"""WITH {MARKED}, z AS (SELECT greatest(1, ceil(count(*) / 5000.0))::BIGINT AS z FROM documents), l AS (SELECT ('0x' || substr(sha256(entry_id::VARCHAR), 1, 8))::BIGINT % (SELECT z FROM z) AS b, entry_id, concat_ws(':', entry_id::VARCHAR, normal_sha256, runtime_eligible::VARCHAR) AS line FROM k),
+h AS (SELECT b, sha256(string_agg(line, chr(10) ORDER BY entry_id)) AS h, count(*) AS n FROM l GROUP BY b) SELECT sha256(string_agg(h, chr(10) ORDER BY b)) AS fingerprint, sum(n)::BIGINT AS n FROM h""")
 def _(t):
     m = marked(t)
     return dedup.fingerprint(m, F.concat_ws(":", "entry_id", "normal_sha256", F.col("runtime_eligible").cast("string")))
@@ -138,12 +139,14 @@ def _(t):
     return t.conversations.select("conv_id", "turn", F.size(tx.clauses(F.col("text"))).cast("long").alias("n")).filter("n > 0")
 
 
-@query("f7_scrub_identity", r"""WITH a AS (SELECT doc_id, regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '(?i)[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}', ' ', 'g') AS t FROM documents),
-b AS (SELECT doc_id, regexp_replace(t, '\d{6,}', ' ', 'g') AS t FROM a) SELECT doc_id, trim(regexp_replace(t, '\s+', ' ', 'g')) AS scrubbed FROM b
-WHERE NOT regexp_matches(t, '\d[Xx]')""")
+#: A long digit run is private whatever it is; an id card may end in a letter, and neighbours share what stands between them.
+SCRUBBED = r"""regexp_replace(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '(?i)[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}', ' ', 'g'),
+ '(^|\D)\d{17}[Xx](\D|$)', '\1 \2', 'g'), '(^|\D)\d{17}[Xx](\D|$)', '\1 \2', 'g'), '\d{6,}', ' ', 'g'), '\s+', ' ', 'g')), '^\s+', '')"""
+
+
+@query("f7_scrub_identity", f"SELECT doc_id, {SCRUBBED} AS scrubbed FROM documents")
 def _(t):
-    # every longer digit run is private in the end; texts with a digit before an x are left out, as the SQL cannot look behind
-    return t.documents.select("doc_id", tx.scrub_identity(F.col("text")).alias("scrubbed"), F.regexp_replace(F.regexp_replace(tx.compact_text(F.col("text")), tx.MAIL, " "), r"\d{6,}", " ").alias("x")).filter(~F.rlike("x", F.lit(r"\d[Xx]"))).drop("x")
+    return t.documents.select("doc_id", tx.scrub_identity(F.col("text")).alias("scrubbed"))
 
 
 #: Terms of a user's query, for the queries below.

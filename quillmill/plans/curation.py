@@ -27,12 +27,12 @@ def _(t):
     return sampling.stratified(bucketed(t).select("entry_id", "work", "bucket"), ["work", "bucket"], "s1", 120)
 
 
-@query("w4_staged_release", f"""WITH {RANKED}, s AS (SELECT * FROM (VALUES (0, 'pilot', 40), (1, 'canary', 120), (2, 'full', 100000)) v(step, stage, wanted)),
+@query("w4_staged_release", f"""WITH {RANKED}, s AS (SELECT * FROM (VALUES (0, 'pilot', 40), (1, 'canary', 120), (2, 'full', (SELECT count(*) FROM documents))) v(step, stage, wanted)),
 x AS (SELECT step, stage, wanted, count(*) AS rows, count(*) FILTER (entry_id IN (SELECT doc_id FROM labels WHERE quality = 0)) AS failed_rows FROM s JOIN r ON r.rank <= s.wanted GROUP BY ALL)
 SELECT stage, wanted, rows, failed_rows, coalesce(sum(failed_rows) OVER (ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 0 AS released FROM x""")
 def _(t):
     ranked = sampling.stratified(bucketed(t).select("entry_id", "work", "bucket"), ["work", "bucket"], "s1")
-    return sampling.staged_release(ranked, {"pilot": 40, "canary": 120, "full": 100000}, t.labels.filter("quality = 0").select(F.col("doc_id").alias("entry_id")))
+    return sampling.staged_release(ranked, {"pilot": 40, "canary": 120, "full": t.documents.count()}, t.labels.filter("quality = 0").select(F.col("doc_id").alias("entry_id")))
 
 
 @query("w5_pack_batches", f"""WITH RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY work ORDER BY entry_id) AS k FROM {DOCS}),
@@ -53,17 +53,17 @@ def _(t):
     return sampling.circular_sample(t.documents, t.benchmark, "doc_id", 8, "s2", "item_id", "text")
 
 
-@query("s13_select_by_ids", """WITH l AS (SELECT (user_id * 7)::VARCHAR AS id, event_id AS pos FROM events WHERE event_id < 60 AND event_id % 7 <> 0), s AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY pos) AS nth FROM l)
+@query("s13_select_by_ids", """WITH l AS (SELECT (user_id * 7)::VARCHAR AS id, event_id AS pos FROM events WHERE event_id % 7 <> 0), s AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY pos) AS nth FROM l)
 SELECT id, pos, doc_id, CASE WHEN doc_id IS NULL THEN 'unknown' WHEN nth > 1 THEN 'duplicate' END AS problem FROM s LEFT JOIN documents d ON d.doc_id::VARCHAR = s.id""")
 def _(t):
     k = F.col("event_id") % 7
-    lines = t.events.filter("event_id < 60").select(F.when(k == 0, F.lit("# note")).otherwise((F.col("user_id") * 7).cast("string")).alias("value"), F.col("event_id").alias("pos"))
+    lines = t.events.select(F.when(k == 0, F.lit("# note")).otherwise((F.col("user_id") * 7).cast("string")).alias("value"), F.col("event_id").alias("pos"))
     return sampling.select_by_ids(t.documents.select("doc_id"), lines, "doc_id")
 
 
 @query("w11_shard_index", "SELECT doc_id, source, floor((row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) / 10)::INT AS shard FROM documents")
 def _(t):
-    return t.documents.select("doc_id", "source").withColumn("shard", sampling.shard_index(t.documents, "source", "doc_id", 10))
+    return sampling.with_shard(t.documents.select("doc_id", "source"), "source", "doc_id", 10)
 
 
 @query("w2_segment_ordinal", "SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS ordinal FROM conversations")
@@ -125,9 +125,9 @@ def _(t):
     return t.customer.groupBy(F.col("c_mktsegment").alias("status")).agg(F.count("*").alias("n"), F.count_if(F.col("c_custkey").isNull()).alias("without_id"))
 
 
-@query("a7_unique_families", "SELECT p_partkey, p_name FROM part WHERE p_name IN (SELECT p_name FROM part GROUP BY p_name HAVING count(*) = 1)")
+@query("a7_unique_families", "SELECT p_partkey, p_type || p_size AS family FROM part WHERE p_type || p_size IN (SELECT p_type || p_size FROM part GROUP BY ALL HAVING count(*) = 1)")
 def _(t):
-    return curation.unique_families(t.part.select("p_name", "p_partkey"), "p_name")
+    return curation.unique_families(t.part.select(F.concat("p_type", F.col("p_size").cast("string")).alias("family"), "p_partkey"), "family")
 
 
 @query("a15_family_types", "SELECT p_brand AS family, array_to_string(list_sort(list_distinct(list(p_type))), ',') AS types FROM part GROUP BY p_brand")

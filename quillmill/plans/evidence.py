@@ -11,11 +11,11 @@ from quillmill.operators import evidence as ev
 from quillmill.operators import rules
 from quillmill.registry import query
 
-_TEXTS = "t AS (SELECT doc_id AS entry_id, text FROM documents WHERE length(text) >= 200)"
+_TEXTS = "t AS (SELECT doc_id AS entry_id, text FROM documents)"
 
 
 def texts(t):
-    return t.documents.filter(F.length("text") >= 200).select(F.col("doc_id").alias("entry_id"), "text")
+    return t.documents.select(F.col("doc_id").alias("entry_id"), "text")
 
 
 def quotes(t):
@@ -26,12 +26,26 @@ def quotes(t):
     return texts(t).select("entry_id", q.alias("quote"))
 
 
-@query("e1_exact_quotes", f"WITH {_TEXTS}, q AS (SELECT entry_id, text, trim(substr(text, 31, 40), ' ') AS quote FROM t WHERE entry_id % 4 = 0) SELECT entry_id, position(quote IN text) - 1 AS start, position(quote IN text) - 1 + length(quote) AS end_, quote AS excerpt FROM q WHERE length(quote) >= 2")
+@query("e1_exact_quotes", f"WITH {_TEXTS}, q AS (SELECT entry_id, text, regexp_replace(substr(text, 31, 40), '^\\s+|\\s+$', '', 'g') AS quote FROM t) SELECT entry_id, CASE WHEN length(quote) >= 2 THEN position(quote IN text) - 1 END AS start, CASE WHEN length(quote) >= 2 THEN position(quote IN text) - 1 + length(quote) END AS end_, CASE WHEN length(quote) >= 2 THEN quote END AS excerpt FROM q")
 def _(t):
-    return ev.aligned(quotes(t).filter("entry_id % 4 = 0"), texts(t)).select("entry_id", "start", F.col("end").alias("end_"), "excerpt")
+    own = texts(t).select("entry_id", F.trim(F.substring("text", 31, 40)).alias("quote"))
+    return ev.aligned(own, texts(t)).select("entry_id", "start", F.col("end").alias("end_"), "excerpt")
 
 
-@query("e1_aligned_quotes")
+#: The ladder by kind of quote. A shortened quote needs both parts, each alone in the text; one without punctuation
+#: is found literally, or once among the characters that are none (`k` their places, `b` their string).
+_LADDER = r"""q AS (SELECT entry_id, text, CASE entry_id % 4 WHEN 0 THEN substr(text, 31, 40) WHEN 1 THEN regexp_replace(substr(text, 31, 40), '[\p{P}\s]', '', 'g') WHEN 2 THEN substr(text, 31, 14) || '…' || substr(text, 57, 14) ELSE 'nowhere to be found' END AS quote FROM t),
+x AS (SELECT *, regexp_replace(quote, '^\s+|\s+$', '', 'g') AS z, regexp_replace(text, '[\p{P}\p{Z}\s]', '', 'g') AS b, regexp_replace(quote, '[\p{P}\p{Z}\s]', '', 'g') AS zb, list_filter(range(1, length(text) + 1), lambda i: NOT regexp_matches(string_split(text, '')[i], '[\p{P}\p{Z}\s]')) AS k,
+ list_filter(string_split_regex(regexp_replace(quote, '^\s+|\s+$', '', 'g'), '\s*(?:…+|\.{3,})\s*'), lambda p: p <> '') AS parts FROM q),
+y AS (SELECT *, position(parts[1] IN text) - 1 AS p1, position(parts[2] IN text) - 1 AS p2, position(zb IN b) AS pb FROM x),
+l AS (SELECT entry_id, quote, text, CASE WHEN length(z) < 2 THEN NULL WHEN contains(text, z) THEN [position(z IN text) - 1, position(z IN text) - 1 + length(z)]
+ WHEN len(parts) = 2 THEN CASE WHEN p1 >= 0 AND p2 >= p1 + length(parts[1]) AND position(parts[1] IN substr(text, p1 + 2)) = 0 AND position(parts[2] IN substr(text, p2 + 2)) = 0 THEN [p1, p2 + length(parts[2])] END
+ WHEN len(parts) > 2 THEN NULL
+ WHEN length(zb) >= 4 AND pb > 0 AND position(zb IN substr(b, pb + 1)) = 0 THEN [k[pb] - 1, k[pb + length(zb) - 1]] END AS span FROM y),
+r AS (SELECT entry_id, quote, CASE WHEN span[2] - span[1] <= 80 THEN span[1] END AS start, CASE WHEN span[2] - span[1] <= 80 THEN span[2] END AS end_, text FROM l)"""
+
+
+@query("e1_aligned_quotes", f"WITH {_TEXTS}, {_LADDER} SELECT entry_id, quote, start, end_, substr(text, start + 1, end_ - start) AS excerpt FROM r")
 def _(t):
     return ev.aligned(quotes(t), texts(t)).select("entry_id", "quote", "start", F.col("end").alias("end_"), "excerpt")
 
@@ -42,22 +56,22 @@ def _(t):
         for x, q in parts:
             yield pd.Series([[v for s in (ev.align_segments(a, b) or []) for v in s] for a, b in zip(x, q, strict=True)])
 
-    j = quotes(t).filter("entry_id % 4 = 2").join(texts(t), "entry_id")
+    j = quotes(t).join(texts(t), "entry_id")
     return j.select("entry_id", F.pandas_udf(run, "array<long>")("text", "quote").alias("places"))
 
 
-@query("e3_drop_unaligned", f"WITH {_TEXTS} SELECT entry_id, entry_id % 4 <> 3 AS kept FROM t WHERE entry_id % 4 IN (0, 3)")
+@query("e3_drop_unaligned", f"WITH {_TEXTS}, {_LADDER} SELECT entry_id, start IS NOT NULL AS kept FROM r")
 def _(t):
-    a = ev.aligned(quotes(t).filter("entry_id % 4 in (0, 3)"), texts(t))
-    return a.select("entry_id", F.col("start").isNotNull().alias("kept"))
+    return ev.aligned(quotes(t), texts(t)).select("entry_id", F.col("start").isNotNull().alias("kept"))
 
 
-_EV = f"""{_TEXTS}, e AS (SELECT entry_id, text, unnest([substr(text, 11, 20), substr(text, 61, 30), substr(text, 121, 25)]) AS excerpt, unnest(['tone.calm', 'tone.dark', 'place.home']) AS support FROM t)"""
+#: An excerpt has two characters at least, so that short texts have fewer.
+_EV = f"""{_TEXTS}, e0 AS (SELECT entry_id, text, unnest([substr(text, 11, 20), substr(text, 61, 30), substr(text, 121, 25)]) AS excerpt, unnest(['tone.calm', 'tone.dark', 'place.home']) AS support FROM t), e AS (SELECT * FROM e0 WHERE length(excerpt) >= 2)"""
 
 
 def rows(t):
     s = [F.struct(F.substring("text", a, n).alias("excerpt"), F.lit(p).alias("support")) for a, n, p in ((11, 20, "tone.calm"), (61, 30, "tone.dark"), (121, 25, "place.home"))]
-    return texts(t).select("entry_id", F.inline(F.array(*s)))
+    return texts(t).select("entry_id", F.inline(F.array(*s))).filter(F.length("excerpt") >= 2)
 
 
 @query("a14_evidence_map", f"WITH {_EV} SELECT entry_id, excerpt, string_agg(DISTINCT support, ',' ORDER BY support) AS supports FROM e GROUP BY entry_id, excerpt")
@@ -65,7 +79,7 @@ def _(t):
     return ev.evidence_map(rows(t)).select("entry_id", "excerpt", F.array_join("supports", ",").alias("supports"))
 
 
-@query("e4_prune_labels", f"WITH {_TEXTS} SELECT entry_id, label, label <> 'end.open' AS kept FROM (SELECT entry_id, unnest(['tone.calm', 'place.home', 'end.open']) AS label FROM t)")
+@query("e4_prune_labels", f"WITH {_EV}, l AS (SELECT entry_id, unnest(['tone.calm', 'place.home', 'end.open']) AS label FROM t) SELECT l.entry_id, label, support IS NOT NULL AS kept FROM l LEFT JOIN e ON e.entry_id = l.entry_id AND support = label")
 def _(t):
     labels = texts(t).select("entry_id", F.explode(F.array(*[F.lit(x) for x in ("tone.calm", "place.home", "end.open")])).alias("label"))
     return ev.prune(labels, ev.evidence_map(rows(t)))
@@ -95,24 +109,23 @@ def _(t):
     return numbered(t).select("entry_id", "id", "excerpt", "start", F.col("end").alias("end_"))
 
 
-@query("e8_offset_audit", f"WITH {_NUM}, s AS (SELECT *, CASE WHEN entry_id % 5 = 0 THEN start + 1 ELSE start END AS s2, CASE WHEN entry_id % 7 = 0 THEN 1000000 WHEN entry_id % 5 = 0 THEN end_ + 1 ELSE end_ END AS e2 FROM n) SELECT entry_id, id, CASE WHEN entry_id % 7 = 0 THEN 'range' ELSE 'not_exact' END AS code FROM s JOIN t USING (entry_id) WHERE entry_id % 7 = 0 OR e2 > length(text) OR entry_id % 5 = 0 AND substr(text, s2 + 1, e2 - s2) <> excerpt")
+@query("e8_offset_audit", f"WITH {_NUM}, s AS (SELECT *, CASE WHEN entry_id % 5 = 0 THEN start + 1 ELSE start END AS s2, CASE WHEN entry_id % 7 = 0 THEN 1000000 WHEN entry_id % 5 = 0 THEN end_ + 1 ELSE end_ END AS e2 FROM n) SELECT entry_id, id, CASE WHEN e2 > length(text) THEN 'range' ELSE 'not_exact' END AS code FROM s JOIN t USING (entry_id) WHERE e2 > length(text) OR substr(text, s2 + 1, e2 - s2) <> excerpt")
 def _(t):
     five, seven = F.col("entry_id") % 5 == 0, F.col("entry_id") % 7 == 0
     moved = numbered(t).withColumns({"start": F.when(five, F.col("start") + 1).otherwise(F.col("start")), "end": F.when(seven, 1000000).when(five, F.col("end") + 1).otherwise(F.col("end"))})
     return ev.offset_audit(moved, texts(t))
 
 
-@query("e9_support_audit", f"WITH {_TEXTS} SELECT entry_id, unnest(['tone.dark', 'end.open']) AS support, unnest(['dangling', 'missing']) AS code FROM t")
+@query("e9_support_audit", f"WITH {_EV}, n AS (SELECT entry_id, unnest(['tone.calm', 'place.home', 'end.open']) AS support FROM t), h AS (SELECT DISTINCT entry_id, support FROM e) SELECT entry_id, support, CASE WHEN n.have IS NULL THEN 'dangling' ELSE 'missing' END AS code FROM (SELECT *, 1 AS have FROM n) n FULL JOIN (SELECT *, 1 AS told FROM h) h USING (entry_id, support) WHERE have IS NULL OR told IS NULL")
 def _(t):
     need = texts(t).select("entry_id", F.explode(F.array(*[F.lit(x) for x in ("tone.calm", "place.home", "end.open")])).alias("support"))
     return ev.support_audit(ev.evidence_map(rows(t)), need)
 
 
-@query("e10_recover_quote", f"WITH {_TEXTS}, p AS (SELECT entry_id, trim(substr(text, 41, 12) || '…zzzz', ' ') AS quote, text FROM t), f AS (SELECT entry_id, quote, text, trim(unnest(string_split_regex(quote, '[…。！？；.!?;,，、]+')), ' ') AS p FROM p) SELECT entry_id, quote, arg_max(p, length(p) * 1000 + 0) AS fragment FROM f WHERE length(p) >= 4 AND contains(text, p) AND entry_id % 3 = 0 AND NOT regexp_matches(quote, '[.,;!?].*[.,;!?]') AND NOT regexp_matches(p, '[.,]') GROUP BY entry_id, quote HAVING count(*) = 1")
+@query("e10_recover_quote", f"WITH {_TEXTS}, p AS (SELECT entry_id, trim(substr(text, 41, 12) || '…zzzz', ' ') AS quote, text FROM t), f AS (SELECT entry_id, quote, text, trim(unnest(string_split_regex(quote, '[…。！？；.!?;,，、]+')), ' ') AS p FROM p) SELECT entry_id, quote, last(p ORDER BY length(p), p) AS fragment FROM f WHERE length(p) >= 4 AND contains(text, p) GROUP BY entry_id, quote")
 def _(t):
-    q = texts(t).filter("entry_id % 3 = 0").select("entry_id", F.trim(F.concat(F.substring("text", 41, 12), F.lit("…zzzz"))).alias("quote")).filter(~F.rlike("quote", F.lit("[.,;!?].*[.,;!?]")))
-    pieces = F.size(F.filter(F.split("quote", "[…。！？；.!?;,，、]+"), lambda p: F.length(F.trim(p)) >= 4))
-    return ev.recover_quote(q.withColumn("n", pieces).filter("n <= 2").drop("n"), texts(t))
+    q = texts(t).select("entry_id", F.trim(F.concat(F.substring("text", 41, 12), F.lit("…zzzz"))).alias("quote"))
+    return ev.recover_quote(q, texts(t))
 
 
 @query("e11_fixed_point_audit", "SELECT doc_id, 'text' AS path FROM documents WHERE translate(text, 'éèêç', 'eeec') <> text")
@@ -133,16 +146,16 @@ def _(t):
     return d.select("doc_id", tx.text_hash(F.col("text")).alias("repaired"), frozen.alias("immutable_sha"), (frozen == F.col("before")).alias("immutable_kept"))
 
 
-@query("e13_confidence", f"WITH {_TEXTS} SELECT entry_id, 1 AS pruned, 'low' AS confidence FROM t")
+@query("e13_confidence", f"WITH {_EV}, l AS (SELECT entry_id, unnest(['tone.calm', 'tone.dark']) AS label FROM t), n AS (SELECT l.entry_id, count(*) FILTER (support IS NULL) AS pruned FROM l LEFT JOIN e ON e.entry_id = l.entry_id AND support = label GROUP BY l.entry_id) SELECT entry_id, pruned, CASE WHEN pruned > 0 THEN 'low' ELSE 'high' END AS confidence FROM n")
 def _(t):
-    labels = texts(t).select("entry_id", F.explode(F.array(*[F.lit(x) for x in ("tone.calm", "end.open")])).alias("label"))
+    labels = texts(t).select("entry_id", F.explode(F.array(*[F.lit(x) for x in ("tone.calm", "tone.dark")])).alias("label"))
     n = ev.prune(labels, ev.evidence_map(rows(t))).groupBy("entry_id").agg(F.count_if(~F.col("kept")).alias("pruned"))
     return n.select("entry_id", "pruned", F.when(F.col("pruned") > 0, "low").otherwise("high").alias("confidence"))
 
 
-@query("j13_references", f"WITH {_TEXTS} SELECT entry_id, 'summary' AS field, 'E09' AS id FROM t")
+@query("j13_references", f"WITH {_NUM}, f AS (SELECT entry_id, unnest(['E01', 'E03', 'E09']) AS id FROM t) SELECT entry_id, 'summary' AS field, id FROM f ANTI JOIN n USING (entry_id, id)")
 def _(t):
-    refs = texts(t).select("entry_id", F.lit("summary").alias("field"), F.array(F.lit("E01"), F.lit("E09")).alias("ids"))
+    refs = texts(t).select("entry_id", F.lit("summary").alias("field"), F.array(F.lit("E01"), F.lit("E03"), F.lit("E09")).alias("ids"))
     return ev.unresolved_references(refs, numbered(t))
 
 
@@ -150,7 +163,7 @@ def _(t):
 def _(t):
     from pyspark.sql import functions as G
 
-    words = texts(t).select("entry_id", G.posexplode(G.slice(G.split("text", " "), 1, 30)).alias("start", "excerpt")).filter("excerpt <> ''")
+    words = texts(t).select("entry_id", G.posexplode(G.split("text", " ")).alias("start", "excerpt")).filter("excerpt <> ''")
     e = words.select("entry_id", F.concat("excerpt", F.lit("@"), F.col("start").cast("string")).alias("excerpt"), F.col("start").cast("long"), F.array(F.concat(F.lit("s"), (F.col("start") % 5).cast("string"))).alias("supports"))
     need = e.select("entry_id", F.explode("supports").alias("support")).distinct()
     return ev.compact(e, need)

@@ -75,11 +75,19 @@ def _(t):
     return lg.archive(d, d.withColumn("digest", F.when(F.col("doc_id") % 4 == 0, "new").otherwise(F.col("digest"))), "doc_id", "digest")
 
 
-@query("l8_scope_guard", "SELECT count(*) AS selected FROM documents WHERE doc_id % 3 = 0")
+@query("l8_scope_guard", "SELECT source AS work, count(*) AS selected, CASE WHEN source = 'src3' THEN 'a full run needs confirmation' WHEN source = 'src4' THEN 'outputs overwrite inputs: [''documents'']' ELSE '' END AS problem FROM documents WHERE doc_id % 3 = 0 OR source = 'src3' GROUP BY source")
 def _(t):
-    some = t.documents.filter("doc_id % 3 = 0")
-    lg.scope_guard(some.count(), t.documents.count(), False, ["documents"], ["selection"])
-    return some.agg(F.count("*").alias("selected"))
+    # one run a source: src3 wants all its rows, src4 would write over its input
+    picked = t.documents.filter("doc_id % 3 = 0 or source = 'src3'").groupBy("source").agg(F.count("*").alias("selected"))
+    sizes = picked.join(t.documents.groupBy("source").agg(F.count("*").alias("rows")), "source").collect()  # a row a source
+    out = []
+    for r in sizes:
+        try:
+            lg.scope_guard(r.selected, r["rows"], False, ["documents"], ["documents" if r.source == "src4" else "selection"])
+            out.append((r.source, r.selected, ""))
+        except ValueError as e:
+            out.append((r.source, r.selected, str(e)))
+    return t.spark.createDataFrame(out, "work string, selected long, problem string")
 
 
 @query("l9_manifest", f"WITH {_LAST} SELECT count(*) AS entries, sum(attempts)::BIGINT AS attempts, count(*) FILTER (status = 'valid') AS valid, 'v1' AS schema_version FROM l")
@@ -147,9 +155,9 @@ def _(t):
     return lg.repair_base(r, v)
 
 
-@query("j9_stage_pairs", f"WITH {_EV}, v AS (SELECT entry_id, count(*) FILTER (mode = 0) AS a, count(*) FILTER (mode = 1) AS b FROM e WHERE status = 'quarantined' AND event_id < 300 GROUP BY entry_id) SELECT entry_id, CASE WHEN a = 0 THEN 'omission_missing' WHEN b = 0 THEN 'contradiction_missing' WHEN a > 1 OR b > 1 THEN 'repeated' END AS problem FROM v")
+@query("j9_stage_pairs", f"WITH {_EV}, v AS (SELECT entry_id, count(*) FILTER (mode = 0) AS a, count(*) FILTER (mode = 1) AS b FROM e WHERE status = 'quarantined' GROUP BY entry_id) SELECT entry_id, CASE WHEN a = 0 THEN 'omission_missing' WHEN b = 0 THEN 'contradiction_missing' WHEN a > 1 OR b > 1 THEN 'repeated' END AS problem FROM v")
 def _(t):
-    s = log(t).filter("status = 'quarantined' and event_id < 300").withColumn("mode", F.when(F.col("mode") == 0, "omission").otherwise("contradiction"))
+    s = log(t).filter("status = 'quarantined'").withColumn("mode", F.when(F.col("mode") == 0, "omission").otherwise("contradiction"))
     return lg.stage_pairs(s, "entry_id", "omission", "contradiction")
 
 

@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from quillmill.functions import text as tx
 from quillmill.operators import rules
-from quillmill.plans.corpus import marked
+from quillmill.plans.corpus import SCRUBBED, marked
+from quillmill.plans.retrieval import _GRAMS, titled
 from quillmill.registry import query
+from quillmill import shared
 from quillmill.shared import shared_folder
 from quillmill.sources import files, pages
 from quillmill.streaming import sessions
@@ -47,11 +49,15 @@ def _(t):
     return pages.link_titles(t.pages)
 
 
-@query("s7_verify_files", "SELECT 'absent.parquet' AS file, 'missing' AS problem")
+@query("s7_verify_files", "SELECT unnest(['absent.parquet', 'nation.parquet', 'region.parquet', 'supplier.parquet']) AS file, unnest(['missing', 'size', 'hash', 'unlisted']) AS problem")
 def _(t):
-    found = files.file_hashes(t.spark, f"{t.sf_dir}/orders.parquet")
+    found = None
+    for name in ("nation", "region", "supplier", "part"):
+        own = files.file_hashes(t.spark, f"{t.sf_dir}/{name}.parquet")
+        found = own if found is None else found.unionByName(own)
+    spoilt = {"bytes": F.col("bytes") + F.when(F.col("file") == "nation.parquet", 1).otherwise(0), "sha256": F.when(F.col("file") == "region.parquet", "x").otherwise(F.col("sha256"))}
     absent = t.spark.createDataFrame([("absent.parquet", 1, "x")], "file string, bytes long, sha256 string")
-    return files.verify_files(found, found.union(absent))
+    return files.verify_files(found, found.filter("file <> 'supplier.parquet'").withColumns(spoilt).union(absent))
 
 
 @query("s8_write_shards", "SELECT count(*) AS shards, sum(n)::BIGINT AS rows, max(n) AS most FROM (SELECT source, k, count(*) AS n FROM (SELECT source, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 10 AS k FROM documents) GROUP BY ALL)")
@@ -60,12 +66,20 @@ def _(t):
     return m.agg(F.count("*").alias("shards"), F.sum("rows").alias("rows"), F.max("rows").alias("most"))
 
 
-@query("s9_read_shards", "SELECT count(*) AS rows, 0 AS broken, count(DISTINCT doc_id) AS ids FROM documents")
+_SHARDS = "h AS (SELECT source, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 10 AS k FROM documents), f AS (SELECT source, count(DISTINCT k) AS n FROM h GROUP BY source)"
+
+
+@query("s9_read_shards", f"WITH {_SHARDS} SELECT 'rows' AS what, count(*) AS n FROM documents UNION ALL SELECT 'ids', count(DISTINCT doc_id) FROM documents UNION ALL SELECT CASE source WHEN 'src1' THEN 'hash' WHEN 'src2' THEN 'rows differ' ELSE 'unlisted' END, n FROM f WHERE source IN ('src1', 'src2', 'src3') UNION ALL SELECT 'missing', 1")
 def _(t):
-    path = folder(t, "lines")
-    t.documents.write.json(path)
-    back = files.read_shards(t.spark, path, "doc_id long, text string, lang string")
-    return back.agg(F.count("*").alias("rows"), F.count("broken").alias("broken"), F.count_distinct("doc_id").alias("ids"))
+    path, schema = folder(t, "lines"), "doc_id long, text string, lang string"
+    m = shared.keep(files.write_shards(t.documents, path, "source", "doc_id", 10), "manifest")
+    back = files.read_shards(t.spark, path, schema, m)
+    of = lambda source: F.contains("path", F.lit(f"source={source}/"))
+    spoilt = m.filter(~of("src3")).withColumns({"sha256": F.when(of("src1"), "x").otherwise(F.col("sha256")), "rows": F.col("rows") + of("src2").cast("int")})
+    spoilt = spoilt.unionByName(t.spark.createDataFrame([("/absent.json", 1, "x", 1)], "path string, bytes long, sha256 string, rows long"))
+    found = files.verify_shards(t.spark, path, schema, spoilt).groupBy(F.when(F.col("problem") == "rows", "rows differ").otherwise(F.col("problem")).alias("what")).agg(F.count("*").alias("n"))
+    told = back.agg(F.count("*").alias("rows"), F.count_distinct("doc_id").alias("ids")).select(F.inline(F.array(F.struct(F.lit("rows").alias("what"), F.col("rows").alias("n")), F.struct(F.lit("ids").alias("what"), F.col("ids").alias("n")))))
+    return told.unionByName(found)
 
 
 @query("s10_publish_entries", "SELECT source AS work, count(*) AS n FROM (SELECT source, row_number() OVER (PARTITION BY regexp_replace(text, '[\\p{P}\\p{Z}]', '', 'g') ORDER BY source, doc_id) AS k FROM documents) WHERE k = 1 GROUP BY source")
@@ -74,18 +88,18 @@ def _(t):
     return files.publish_entries(m, folder(t, "published"), "work").groupBy("work").agg(F.count("*").alias("n"))
 
 
-@query("s11_full_text_index", "WITH g AS (SELECT item_id, unnest(list_transform(range(1, greatest(length(text) - 1, 1)), lambda i: substr(lower(text), i, 3))) AS gram FROM benchmark) SELECT gram, count(DISTINCT item_id) AS entries, count(*) AS tf FROM g GROUP BY gram")
+@query("s11_full_text_index", f"WITH {_GRAMS} SELECT gram, field, count(DISTINCT doc_id) AS entries, count(*) AS tf FROM g GROUP BY gram, field")
 def _(t):
     from quillmill.operators import retrieval
 
-    index = retrieval.build_index(t.benchmark, "item_id", ["text"])
-    return index.groupBy("gram").agg(F.count_distinct("item_id").alias("entries"), F.sum("tf").alias("tf"))
+    index = retrieval.build_index(titled(t), "doc_id", ["title", "text", "source", "lang"])
+    return index.groupBy("gram", "field").agg(F.count("*").alias("entries"), F.sum("tf").alias("tf"))
 
 
-@query("s12_envelope", "SELECT doc_id, lang FROM documents WHERE doc_id % 2 = 0")
+@query("s12_envelope", "SELECT doc_id, lang FROM documents WHERE doc_id // 50 % 2 = 0")
 def _(t):
     path = folder(t, "envelope")
-    rows = t.documents.withColumn("k", F.col("doc_id") % 40)
+    rows = t.documents.withColumn("k", F.floor(F.col("doc_id") / 50))
     tier = F.when(F.col("k") % 2 == 0, "c2").otherwise("draft")
     rows.groupBy("k").agg(F.collect_list(F.struct("doc_id", "lang")).alias("records")).withColumn("tier", tier).write.option("maxRecordsPerFile", 1).json(path)
     return files.read_envelope(t.spark, path, "tier string, records array<struct<doc_id: long, lang: string>>", F.col("tier") == "c2")
@@ -104,10 +118,13 @@ def _(t):
     return out.filter("event_id is not null").select("user_id", "event_id", "outcome")
 
 
-@query("t2_idempotent_replay", "WITH o AS (SELECT event_id, user_id * 10 + event_id % 7 AS request, event_type, first_value(event_type) OVER w AS f, row_number() OVER w AS n FROM events WINDOW w AS (PARTITION BY user_id * 10 + event_id % 7 ORDER BY ts, event_id)) SELECT request, event_id, CASE WHEN n = 1 THEN 'first' WHEN event_type = f THEN 'replay' ELSE 'conflict' END AS outcome FROM o")
+@query("t2_idempotent_replay", """WITH RECURSIVE o AS (SELECT event_id, ts, user_id * 10 + event_id % 7 AS request, event_type FROM events),
+r AS (SELECT request, min(ts) AS s FROM o GROUP BY request UNION ALL SELECT r.request, min(o.ts) FROM r JOIN o ON o.request = r.request AND o.ts >= r.s + INTERVAL 24 HOUR GROUP BY r.request),
+l AS (SELECT o.request, event_id, ts, event_type, max(s) AS s FROM o JOIN r ON r.request = o.request AND r.s <= o.ts GROUP BY ALL)
+SELECT request, event_id, CASE WHEN row_number() OVER w = 1 THEN 'first' WHEN event_type = first_value(event_type) OVER w THEN 'replay' ELSE 'conflict' END AS outcome FROM l WINDOW w AS (PARTITION BY request, s ORDER BY ts, event_id)""")
 def _(t):
     e = events(t).withColumn("request", F.col("user_id") * 10 + F.col("event_id") % 7)
-    return sessions.run_available(sessions.replay(e, "request", "event_type", hours=24 * 60), t.spark, folder(t, "replay"))
+    return sessions.run_available(sessions.replay(e, "request", "event_type"), t.spark, folder(t, "replay"))
 
 
 @query("t3_provenance_log", "SELECT event_id, event_type AS \"eventType\", ts AS occurred_at FROM events")
@@ -137,8 +154,9 @@ def _(t):
 
 @query("t5_deletion", "WITH d AS (SELECT user_id, min(ts) AS deleted_at FROM events WHERE event_type = 'error' AND user_id % 3 = 0 GROUP BY user_id) SELECT user_id, event_id, 'kept' AS outcome FROM events WHERE user_id NOT IN (SELECT user_id FROM d) UNION ALL SELECT user_id, event_id, 'rejected' FROM events JOIN d USING (user_id) WHERE ts > deleted_at UNION ALL SELECT user_id, NULL, 'tombstone' FROM d")
 def _(t):
-    gone = t.events.filter("event_type = 'error' and user_id % 3 = 0").groupBy("user_id").agg(F.min("ts").alias("ts"))
-    return sessions.purge(t.events, gone, "user_id").drop("hash")
+    gone = events(t).filter("event_type = 'error' and user_id % 3 = 0")
+    told = sessions.run_available(sessions.deletions_live(events(t), gone, "user_id"), t.spark, folder(t, "deletion"))
+    return sessions.purge(told, "user_id").drop("hash")
 
 
 @query("t6_safety_routing", r"SELECT conv_id, turn, regexp_matches(text, '(?i)\b(?:the|der) [a-z]+ion') AS blocked FROM conversations")
@@ -156,13 +174,12 @@ def _(t):
     return sessions.run_available(j.select("event_id", "user_id", (F.col("token") != F.col("now_token")).alias("stale")), t.spark, folder(t, "stale"))
 
 
-@query("t8_conversation_cues", r"""WITH c AS (SELECT conv_id, turn, list_filter(list_transform(string_split_regex(trim(regexp_replace(text, '\s+', ' ', 'g')), '[。！？!?；;，,.]+'), lambda x: trim(x)), lambda x: length(x) >= 3) AS l FROM conversations WHERE role = 'user' AND NOT regexp_matches(text, '\d|@')), d AS (SELECT conv_id, turn, list_filter(l, lambda x, i: list_position(l, x) = i) AS l FROM c)
+@query("t8_conversation_cues", f"""WITH s AS (SELECT conv_id, turn, {SCRUBBED} AS text FROM conversations WHERE role = 'user'), """ + r"""c AS (SELECT conv_id, turn, list_filter(list_transform(string_split_regex(trim(regexp_replace(text, '\s+', ' ', 'g')), '[。！？!?；;，,.]+'), lambda x: trim(x)), lambda x: length(x) >= 3) AS l FROM s), d AS (SELECT conv_id, turn, list_filter(l, lambda x, i: list_position(l, x) = i) AS l FROM c)
 SELECT conv_id, turn, array_to_string(list_transform(l[1:2], lambda x: CASE WHEN length(x) > 36 THEN rtrim(substr(x, 1, 35)) || '…' ELSE x END), '|') AS cues FROM d""")
 def _(t):
     safe = tx.clauses(tx.scrub_identity(F.col("text")))
     cut = F.transform(F.slice(safe, 1, 2), lambda c: F.when(F.length(c) > 36, F.concat(F.rtrim(F.substring(c, 1, 35)), F.lit("…"))).otherwise(c))
-    own = t.conversations.filter((F.col("role") == "user") & ~F.rlike("text", F.lit(r"\d|@")))
-    return own.select("conv_id", "turn", F.array_join(cut, "|").alias("cues"))
+    return t.conversations.filter(F.col("role") == "user").select("conv_id", "turn", F.array_join(cut, "|").alias("cues"))
 
 
 @query("t9_run_progress", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")

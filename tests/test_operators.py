@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
 from quillmill.functions import text as tx
 from quillmill.operators import curation, dedup, evidence, ledger, retrieval, rules, sampling
-from quillmill.sources import pages
+from quillmill.sources import files, pages
 
 
 def one(spark, column, **values):
@@ -150,3 +152,49 @@ def test_entry_point(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_spoilt_shards_fail_the_read(spark, tmp_path):
+    rows = spark.createDataFrame([(k, f"w{k % 2}", f"text {k}") for k in range(7)], "entry_id long, work string, text string")
+    path = f"file://{tmp_path}/shards"
+    m = files.write_shards(rows, path, "work", "entry_id", 2).collect()
+    manifest = spark.createDataFrame(m)
+    assert sorted(r["rows"] for r in m) == [1, 1, 1, 2, 2] or sum(r["rows"] for r in m) == 7
+    assert files.read_shards(spark, path, "entry_id long, text string", manifest).count() == 7
+    assert files.verify_shards(spark, path, "entry_id long, text string", manifest).count() == 0
+    first = sorted(r.path for r in m)[0]
+    os.remove(os.path.join(os.path.dirname(first), f".{os.path.basename(first)}.crc"))  # the local file system's own check
+    with open(first, "a") as f:
+        f.write("{broken\n")
+    with pytest.raises(ValueError, match="size"):
+        files.read_shards(spark, path, "entry_id long, text string", manifest)
+    with pytest.raises(ValueError, match="broken"):
+        files.read_shards(spark, path, "entry_id long, text string")
+
+
+def test_publication_fails_as_a_whole(spark, tmp_path):
+    from quillmill.plans import corpus
+
+    entries = spark.createDataFrame([(1, "a", "one text"), (2, "b", "two texts"), (3, "b", "one text")], "entry_id long, work string, text string")
+    marked = dedup.mark_duplicates(dedup.with_hashes(entries)).withColumn("production_eligible", F.lit(False))
+    assert files.publish_entries(marked, f"file://{tmp_path}/p", "work").count() == 3
+    for bad in (marked.withColumn("production_eligible", F.col("entry_id") == 2), marked.withColumn("char_count", F.lit(1)), marked.union(marked)):
+        with pytest.raises(ValueError, match="not published"):
+            files.publish_entries(bad, f"file://{tmp_path}/q", "work")
+    assert corpus.MARKED
+
+
+def test_phrases_are_counted_without_overlap(spark):
+    docs = spark.createDataFrame([(1, "Anana anANa banana", "x"), (2, None, "ana"), (3, "", None)], "doc_id long, text string, title string")
+    asked = spark.createDataFrame([(7, "ana"), (8, "ANA"), (8, "banana"), (9, "none")], "q long, term string")
+    for block in (100, 1):
+        got = {(r.q, r.term, r.doc, r.field): (r.tf, r.length) for r in retrieval.phrase_matches(docs, "doc_id", ["text", "title"], asked, "q", block).collect()}
+        assert got == {(q, t, d, f): v for q, t in ((7, "ana"), (8, "ANA")) for d, f, v in ((1, "text", (3, 18)), (2, "title", (1, 3)))} | {(8, "banana", 1, "text"): (1, 18)}
+
+
+def test_positions_are_the_same_however_rows_are_dealt(spark):
+    rows = spark.createDataFrame([(k * 37 % 101, "a" if k % 3 else None) for k in range(101)], "doc_id long, source string").repartition(5)
+    got = {r.doc_id: r.place for r in sampling.with_position(rows, ["source"], ["doc_id"], "place").collect()}
+    for s in ("a", None):
+        own = sorted(r.doc_id for r in rows.collect() if r.source == s)
+        assert [got[d] for d in own] == list(range(len(own)))
