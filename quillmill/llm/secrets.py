@@ -11,11 +11,14 @@ points, ends exclusive, matches of a kind never overlap. On top of them, tokens
 - the three are summed to one statistic with a p-value for "this is random".
 
 A token counts as a secret (kind random) when natural tokens hardly ever look as
-random as it does. Natural are tokens of letters in one case, which ordinary words
-and their compounds make; short ones look random more often, so a token is
-compared with natural tokens no longer than its own length class, and within each
-length class the Benjamini-Hochberg rule keeps the expected share of false finds
-under `rate`. What the rule needs is a histogram of fixed size.
+random as it does. How natural tokens look is fixed, not taken from the table: their
+letters repeat at the rate `REPEATS` of written European languages, which moves the
+uniformity statistic by an amount that grows with length and alphabet, and the
+statistic's root falls as far below that as it does with a normal p-value (spread
+`SPREAD`). So one key in a small table is found as well as one in a large one; a long
+token in one case is tested as any other. Within each length class the
+Benjamini-Hochberg rule keeps the expected share of false finds under `rate`. What
+the rule needs is a histogram of fixed size.
 
 Cases: a null text counts as empty and has no spans; places never split a
 character; repeated rows are scanned each; an empty table gives an empty result;
@@ -56,10 +59,13 @@ ENCODINGS = [
     ("base64url", "^[A-Za-z0-9_-]+$", UPPER + LOWERC + DIGITS + "_-"),
     ("mixed", ".", UPPER + LOWERC + DIGITS + "+/_-"),
 ]
-NATURAL = "^[A-Z]?[a-z]+$|^[A-Z]+$"
+#: The chance that two letters of a natural token are equal, and how the statistic's root scatters.
+REPEATS, SPREAD = 0.06, 1.5
 #: Least length of each length class.
 CLASSES = [20, 24, 32, 40, 64, 128]
-BINS = 60
+#: Bins of evidence against a natural token, tenths of a standard deviation.
+BINS = 120
+CHUNK = 256
 
 
 def _spans(text: Column, pattern: str, kind: int, keep=None, group: int = 0) -> Column:
@@ -67,8 +73,7 @@ def _spans(text: Column, pattern: str, kind: int, keep=None, group: int = 0) ->
     found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     both = F.arrays_zip(found.alias("m"), value.alias("v"), F.slice(between, 1, F.size(found)).alias("b"))
-    kinds = "struct<at: int, spans: array<struct<start: int, kind: int, end: int, value: string>>>"
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start: int, kind: int, end: int, value: string>>").alias("spans")).cast(kinds)
+    span = "struct<start: int, kind: int, end: int, value: string>"
 
     def step(acc: Column, x: Column) -> Column:
         low = acc["at"] + F.length(x["b"])
@@ -77,8 +82,18 @@ def _spans(text: Column, pattern: str, kind: int, keep=None, group: int = 0) ->
         kept = F.concat(acc["spans"], one) if keep is None else F.when(keep(x["v"]), F.concat(acc["spans"], one)).otherwise(acc["spans"])
         return F.struct(high.alias("at"), kept.alias("spans"))
 
-    spans = F.aggregate(both, start, step, lambda acc: acc["spans"])
-    none = F.array().cast("array<struct<start: int, kind: int, end: int, value: string>>")
+    # matches in pieces, so that a text with very many does not copy one growing list
+    def pieces(x: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / CHUNK).cast("int")), lambda i: F.slice(x, i * CHUNK + 1, F.lit(CHUNK)))
+
+    def placed(parts: Column) -> Column:
+        wide = F.transform(parts, lambda p: F.aggregate(p, F.lit(0), lambda n, x: n + F.length(x["b"]) + F.length(x["m"])))
+        before = _let(wide, lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - 1), lambda i: F.aggregate(F.slice(w, F.lit(1), i), F.lit(0), lambda n, x: n + x)))
+        begin = lambda at: F.struct(at.alias("at"), F.array().cast(f"array<{span}>").alias("spans"))
+        return F.flatten(F.zip_with(parts, before, lambda p, at: F.aggregate(p, begin(at), step, lambda acc: acc["spans"])))
+
+    spans = _let(both, lambda x: _let(pieces(x), placed))
+    none = F.array().cast(f"array<{span}>")
     return F.when(F.rlike(text, F.lit(pattern)), spans).otherwise(none)
 
 
@@ -139,38 +154,48 @@ def _serial(e: Column) -> Column:
     return _let(index, correlate)
 
 
+def _battery(token: Column, use) -> Column:
+    """use(statistic, letters of the alphabet) of the three tests together."""
+    encoded = _encoding(token, lambda _, a: F.struct(token.alias("t"), F.lit(a).alias("letters"), F.translate(token, a, "a" * (len(a) // 2) + "b" * (len(a) - len(a) // 2)).alias("halves")))
+    scores = _let(encoded, lambda e: F.struct(_uniform(e).alias("u"), _runs(e).alias("r"), _serial(e).alias("s"), F.length(e["letters"]).alias("k")))
+    return _let(scores, lambda z: use(z["u"] * z["u"] + z["r"] * z["r"] + z["s"] * z["s"], z["k"]))
+
+
 def randomness(token: Column) -> Column:
     """p-value of the hypothesis that the token's characters are drawn at random from its encoding's alphabet."""
-    encoded = _encoding(token, lambda _, a: F.struct(token.alias("t"), F.lit(a).alias("letters"), F.translate(token, a, "a" * (len(a) // 2) + "b" * (len(a) - len(a) // 2)).alias("halves")))
-    scores = _let(encoded, lambda e: F.struct(_uniform(e).alias("u"), _runs(e).alias("r"), _serial(e).alias("s")))
-    statistic = _let(scores, lambda z: z["u"] * z["u"] + z["r"] * z["r"] + z["s"] * z["s"])
     # survival function of chi-squared with three degrees of freedom
-    return _let(statistic, lambda t: _let(F.sqrt(t / 2), _erfc) + F.sqrt(t * (2 / math.pi)) * F.exp(-t / 2))
+    tail = lambda t: _let(F.sqrt(t / 2), _erfc) + F.sqrt(t * (2 / math.pi)) * F.exp(-t / 2)
+    return _battery(token, lambda statistic, k: _let(statistic, tail))
+
+
+def evidence(token: Column) -> Column:
+    """Standard deviations by which the token looks more random than a natural one of its length and alphabet."""
+    def below(statistic: Column, k: Column) -> Column:
+        natural = (k * REPEATS - 1) * (F.length(token) - 1) / F.sqrt(2.0 * (k - 1))
+        return (natural - F.sqrt(statistic)) / SPREAD
 
+    return _battery(token, below)
 
-def _bin(p: Column) -> Column:
-    """Higher bins are more random: tenths of a decade down from 1."""
-    return F.greatest(BINS - 1 - F.floor(-10 * F.log10(F.greatest(p, F.lit(1e-30)))), F.lit(0)).cast("int")
+
+def _bin(z: Column) -> Column:
+    return F.least(F.greatest(F.floor(z * 10), F.lit(0)), F.lit(BINS - 1)).cast("int")
 
 
 def _class(length: Column) -> Column:
     return sum((F.when(length >= least, 1).otherwise(0) for least in CLASSES[1:]), F.lit(0))
 
 
-def thresholds(histogram: list[tuple[int, int, bool, int]], rate: float) -> list[int]:
-    """By length class the least bin that counts as random (BINS: none), from (class, bin, natural, count)."""
+def thresholds(histogram: list[tuple[int, int, int]], rate: float) -> list[int]:
+    """By length class the least bin that counts as random (BINS: none), from (class, bin, count): Benjamini-Hochberg over the bins' p-values."""
+    tested = [[0] * BINS for _ in CLASSES]
+    for c, b, n in histogram:
+        tested[c][b] += n
     out = []
-    natural, tested = [0] * BINS, [[0] * BINS for _ in CLASSES]
-    by_class = [[0] * BINS for _ in CLASSES]
-    for c, b, is_natural, n in histogram:
-        (by_class if is_natural else tested)[c][b] += n
-    for c in range(len(CLASSES)):
-        natural = [a + b for a, b in zip(natural, by_class[c], strict=True)]
-        null, m, best = sum(natural), sum(tested[c]), BINS
-        beyond_null = beyond = 0
-        for b in reversed(range(BINS)):
-            beyond_null, beyond = beyond_null + natural[b], beyond + tested[c][b]
-            if beyond and (1 + beyond_null) / (1 + null) <= rate * beyond / m:
+    for counts in tested:
+        m, beyond, best = sum(counts), 0, BINS
+        for b in range(BINS - 1, 0, -1):
+            beyond += counts[b]
+            if beyond and math.erfc(b / 10 / math.sqrt(2)) / 2 <= rate * beyond / m:
                 best = b
         out.append(best)
     return out
@@ -180,17 +205,12 @@ def scan(docs: DataFrame, text_col: str = "text", rate: float = 0.05) -> DataFra
     """docs with n_assign, n_access, n_hex, base and found added: arrays of spans (start, kind, end, value), base ones and all."""
     text = text_of(text_col)
     token = F.explode(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))).alias("t")
-    tokens = docs.select(token).withColumn("p", randomness(F.col("t")))
-    histogram = (
-        tokens.select(_class(F.length("t")).alias("c"), _bin(F.col("p")).alias("b"), F.rlike("t", F.lit(NATURAL)).alias("natural"))
-        .groupBy("c", "b", "natural")
-        .count()
-        .collect()  # a row per class, bin and kind of token
-    )
+    tokens = docs.select(token).select(_class(F.length("t")).alias("c"), _bin(evidence(F.col("t"))).alias("b"))
+    histogram = tokens.groupBy("c", "b").count().collect()  # a row per class and bin
     least = F.array(*[F.lit(x) for x in thresholds([tuple(r) for r in histogram], rate)])
 
     def is_random(t: Column) -> Column:
-        return ~F.rlike(t, F.lit(NATURAL)) & (_bin(randomness(t)) >= F.element_at(least, _class(F.length(t)) + 1))
+        return _bin(evidence(t)) >= F.element_at(least, _class(F.length(t)) + 1)
 
     known = (
         without(docs, ["n_assign", "n_access", "n_hex", "base", "found"])

@@ -384,6 +384,27 @@ def test_random_tokens_are_told_from_words(spark):
     assert sum(v for i, v in got.items() if i % 10) <= 10
 
 
+@pytest.mark.parametrize("clean", [3, 3000])
+def test_one_key_is_found_in_a_table_of_any_size(spark, clean):
+    rng = random.Random(2)
+    words = [w for r in table(spark, "documents").select("text").collect() for w in r.text.split() if w.isalpha()]
+    join = lambda: "".join(rng.choice(words) for _ in range(4))[: rng.randrange(20, 45)]
+    rows = [(k, f"{rng.choice(words)} {join()} {rng.choice(words)}-{join()}") for k in range(clean)]
+    alphabets = ["ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "abcdefghijklmnopqrstuvwxyz"]
+    keys = ["".join(rng.choice(a) for _ in range(n)) for a, n in zip(alphabets, (44, 130), strict=True)]
+    rows += [(10_000 + k, f"the {key} of") for k, key in enumerate(keys)]
+    got = {r.doc_id: r.spans for r in secrets.secret_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[10_000 + k] for k in range(2)] == [f"random:4:{4 + len(key)}" for key in keys]
+    assert sum("random" in got[k] for k in range(clean)) <= 0.01 * clean
+
+
+def test_spans_of_a_text_with_very_many_matches(spark):
+    text = " ".join(f"{k:024x}" for k in range(8000))
+    got = secrets.secret_spans(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    digest, spans = brute_secrets(text)
+    assert tuple(got)[1:5] == digest and spans <= set(got.spans.split(","))
+
+
 def test_p_values_of_random_tokens_are_uniform(spark):
     rng = random.Random(4)
     rows = [("".join(rng.choice("0123456789abcdef") for _ in range(64)),) for _ in range(300)]
