@@ -67,8 +67,8 @@ def split(vector: np.ndarray, shape: Shape) -> dict[str, np.ndarray]:
     return out
 
 
-def windows(ids: np.ndarray, shape: Shape, maps: Maps) -> tuple[np.ndarray, np.ndarray]:
-    """(contexts, targets) of one text as ids, a row a block: the block before it and its own inputs, and what comes after each of those; past the end is pad."""
+def windows(ids: np.ndarray, shape: Shape, maps: Maps, first: int = 0, every: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """(contexts, targets) of one text as ids, a row a block: the block before it and its own inputs, and what comes after each of those; past the end is pad. Of all rows every `every`-th, from `first` on."""
     s, n = shape.block, len(ids)
     rows = -(-n // s)
     line = np.full((rows + 1) * s, maps.pad, np.int32)
@@ -77,7 +77,7 @@ def windows(ids: np.ndarray, shape: Shape, maps: Maps) -> tuple[np.ndarray, np.n
     target = np.full(rows * s, maps.pad, np.int32)
     target[:n] = ids
     blocks = line.reshape(-1, s)
-    return np.concatenate([blocks[:-1], blocks[1:]], axis=1), target.reshape(-1, s)
+    return np.concatenate([blocks[first:-1:every], blocks[first + 1 :: every]], axis=1), target.reshape(-1, s)[first::every]
 
 
 def distances(shape: Shape) -> np.ndarray:
@@ -102,7 +102,7 @@ class Scorer:
         self.out = p["out"]
         self.prior = np.exp(prior).astype(np.float32)
 
-    def log_classes(self, context: np.ndarray, target: np.ndarray, step: int = 512) -> np.ndarray:
+    def log_classes(self, context: np.ndarray, target: np.ndarray, step: int = 256) -> np.ndarray:
         """Natural log probability of the class of each target; 0 at pads."""
         got = np.empty(target.shape, np.float32)
         s = self.shape.block
@@ -168,7 +168,7 @@ def gradient(vector: np.ndarray, prior: np.ndarray, shape: Shape, maps: Maps, co
 class Descent:
     """Adam over mini-batches of window rows; its state goes on from one call to the next."""
 
-    def __init__(self, vector: np.ndarray, prior: np.ndarray, shape: Shape, maps: Maps, rate: float, batch: int = 512, seed: int = 1):
+    def __init__(self, vector: np.ndarray, prior: np.ndarray, shape: Shape, maps: Maps, rate: float, batch: int = 256, seed: int = 1):
         self.x, self.prior, self.shape, self.maps, self.rate, self.batch = vector.copy(), prior.astype(np.float32), shape, maps, rate, batch
         self.m, self.v, self.t = np.zeros(len(vector)), np.zeros(len(vector)), 0
         self.rng = np.random.default_rng(seed)

@@ -179,7 +179,10 @@ def _encode(tokenizer: str, hot, end_count: int, log_n: float):
 
 def _ids(z: bytes, size: int) -> np.ndarray:
     """Ids of a text, the end token last."""
-    return np.append(np.frombuffer(z, np.uint16 if size <= 1 << 16 else np.uint32).astype(np.int64), size - 1)
+    own = np.frombuffer(z, np.uint16 if size <= 1 << 16 else np.uint32)
+    out = np.empty(len(own) + 1, np.int32)
+    out[:-1], out[-1] = own, size - 1
+    return out
 
 
 def _sparse(counts: np.ndarray) -> pd.DataFrame:
@@ -259,7 +262,7 @@ def _count_after(size: int, shared, groups: int, columns: int):
             for k in range(0, len(b), 200):
                 own = [_ids(z, size) for z in b["ids"].iloc[k : k + 200]]
                 x = np.concatenate(own)
-                before = np.append(groups, group[x[:-1]])
+                before = np.append(groups, group[x[:-1]]).astype(np.int64)
                 before[np.cumsum([0, *map(len, own[:-1])])] = groups
                 code, n = np.unique(before * columns + column[x], return_counts=True)
                 seen[code] += n.astype(np.int32)
@@ -280,9 +283,9 @@ def _train(size: int, shared, shape: attention.Shape, vector: np.ndarray, turn:
 
         for b in batches:
             for z in b["ids"]:
-                c, t = attention.windows(_ids(z, size), shape, maps)
-                rows.append((c[at::rounds], t[at::rounds]))
-                at = (at - len(c)) % rounds
+                x = _ids(z, size)
+                rows.append(attention.windows(x, shape, maps, at, rounds))
+                at = (at + len(x) // -shape.block) % rounds
                 held += len(rows[-1][0])
                 if held >= step:
                     learn()
@@ -300,20 +303,22 @@ def _score(size: int, shared, shape: attention.Shape, vector: np.ndarray):
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         tables, maps = shared.value
         scorer = attention.Scorer(vector, tables.prior, shape, maps)
-        flat, wide = tables.within.ravel(), tables.within.shape[1]
+        flat, share = tables.within.ravel(), tables.share.astype(np.float32)
+        line = maps.after * np.int32(tables.within.shape[1])  # where a group's row begins
+        column = tables.column.astype(np.int32)
         for s in batches:
             out = []
             for k in range(0, len(s), 32):
                 own = [_ids(z, size) for z in s.iloc[k : k + 32]]
                 x, cut = np.concatenate(own), np.cumsum([0, *map(len, own[:-1])])
-                before = np.append(maps.start, x[:-1])
+                before = np.concatenate([x[:1], x[:-1]])
                 before[cut] = maps.start
-                inner = np.take(flat, np.take(maps.after, before).astype(np.int64) * wide + np.take(tables.column, x)) + np.take(tables.share, x)
+                inner = np.take(flat, np.take(line, before) + np.take(column, x)) + np.take(share, x)
                 rows = [attention.windows(z, shape, maps) for z in own]
                 c, t = (np.concatenate(p) for p in zip(*rows, strict=True))
                 outer = scorer.log_classes(c, t).sum(axis=1, dtype=np.float64)
                 row_cut = np.cumsum([0, *[len(r[0]) for r in rows[:-1]]])
-                out.extend((np.add.reduceat(outer, row_cut) + np.add.reduceat(inner, cut)) / np.log(10))
+                out.extend((np.add.reduceat(outer, row_cut) + np.add.reduceat(inner, cut, dtype=np.float64)) / np.log(10))
             yield pd.Series(out, dtype="float64")
 
     return run
