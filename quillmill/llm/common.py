@@ -56,6 +56,18 @@ def without(df: DataFrame, names: Iterable[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
 
 
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """rows joined to their group, a row a key of `groups` with the number `size` of its rows (about `total` in all).
+
+    Keys that own many rows, a thousand at most, are broadcast, so that their rows stay
+    where they are; the others meet their rows by key.
+    """
+    cut = max(500, total // 1000)
+    large = F.broadcast(groups.filter(F.col(size) > cut))
+    others = rows.join(F.broadcast(groups.filter(F.col(size) > cut).select(key)), key, "left_anti")
+    return rows.join(large, key).unionByName(others.join(groups.filter(F.col(size) <= cut), key))
+
+
 def text_key(col: str = "text"):
     """A hash of the whole text, which with the id tells rows apart."""
     return F.xxhash64(text_of(col))

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmill.llm.common import Stash
+from quillmill.llm.common import Stash, join_groups
 
 
-def _large(e: DataFrame) -> DataFrame:
+def _large(e: DataFrame, total: int) -> DataFrame:
     """Every larger neighbour of u is hung under the smallest of u and its neighbours."""
     both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
-    return both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).filter("a <> b")
+    low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"), F.count("*").alias("n"))
+    return join_groups(both.filter("b > a"), low, "a", "n", 2 * total).select(F.col("b").alias("a"), F.col("low").alias("b")).filter("a <> b")
 
 
 def _small(e: DataFrame) -> DataFrame:
@@ -37,7 +37,7 @@ def components(links: DataFrame, stash: Stash) -> DataFrame:
     was = tally(now)
     while was[0]:
         k += 1
-        now = stash.keep(_small(_large(now).distinct()).distinct(), f"links{k}")
+        now = stash.keep(_small(_large(now, was[0]).distinct()).distinct(), f"links{k}")
         got = tally(now)
         if got == was:
             break

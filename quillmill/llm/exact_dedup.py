@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmill.llm.common import SPACE, Stash, repeat_filter, text_of, without
+from quillmill.llm.common import SPACE, Stash, join_groups, repeat_filter, text_of, without
 
 ADDED = ["keep_id", "group_size", "kept", "text_sha256"]
 
@@ -38,10 +38,10 @@ def copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     alone = marked.filter(~F.col("maybe")).select(
         "id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("sha").alias("text_sha256")
     )
-    counted = marked.filter("maybe").groupBy("sha", "id").agg(F.count("*").alias("n"))
-    groups = counted.groupBy("sha").agg(F.min("id").alias("keep_id"), F.sum("n").alias("group_size"))
+    counted = stash.keep(marked.filter("maybe").groupBy("sha", "id").agg(F.count("*").alias("n")), "counted")
+    groups = stash.keep(counted.groupBy("sha").agg(F.min("id").alias("keep_id"), F.sum("n").alias("group_size"), F.count("*").alias("ids")), "groups")
     found = (
-        counted.join(groups, "sha")
+        join_groups(counted, groups, "sha", "ids", counted.count())
         .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
         .select("id", "keep_id", "group_size", (F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"), F.col("sha").alias("text_sha256"))
     )

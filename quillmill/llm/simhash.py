@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmill.llm.common import Stash, one_of_each, text_key, text_of, without
+from quillmill.llm.common import Stash, join_groups, one_of_each, text_key, text_of, without
 from quillmill.llm.components import components
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -238,12 +238,12 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, words: int, most: int,
     """One row a document: (id, key, fp, group, component_id); key tells texts apart, group is one number a component."""
     stash = Stash(docs.sparkSession, "simhash")
     own = stash.keep(with_fingerprint(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), text_key(text_col).alias("key")), "text", words).select("id", "key", "fp"), "own")
-    fps = stash.keep(own.groupBy("fp").agg(F.min("id").alias("first")), "distinct")
+    fps = stash.keep(own.groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("n")), "distinct")
     linked = components(near_links(fps, most, crowd), stash).withColumnRenamed("node", "fp")
     low = stash.keep(linked.join(fps, "fp").groupBy("root").agg(F.min("first").alias("group_first")), "roots")
     named = linked.join(low, "root").select("fp", "root", "group_first")
-    table = fps.join(named, "fp", "left").select("fp", F.coalesce("root", "fp").alias("group"), F.coalesce("group_first", "first").alias("component_id"))
-    return own.join(table, "fp")
+    table = fps.join(named, "fp", "left").select("fp", "n", F.coalesce("root", "fp").alias("group"), F.coalesce("group_first", "first").alias("component_id"))
+    return join_groups(own, stash.keep(table, "table"), "fp", "n", own.count()).drop("n")
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, most: int = 3, crowd: int = 4096) -> DataFrame:

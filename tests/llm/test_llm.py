@@ -19,7 +19,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quillmill.llm import attention, decontaminate, exact_dedup, lm, mixing, quality, repeats, secrets, shingles, simhash, token_prefix, toxicity
-from quillmill.llm.common import Stash, repeat_filter
+from quillmill.llm.common import Stash, join_groups, repeat_filter
 from quillmill.llm.components import components
 
 SMALL, MIDDLE = DATA / "sf0.001", DATA / "sf0.01"
@@ -102,6 +102,17 @@ def test_dropping_and_marking_copies(odd, empty):
     assert exact_dedup.copy_groups(empty).count() == 0 == exact_dedup.drop_copies(empty).count()
 
 
+def test_rows_of_a_large_group_stay_where_they_are(spark):
+    rows = spark.range(4000).select((F.when(F.col("id") < 2000, 0).otherwise(F.col("id"))).alias("k"), F.col("id").alias("v"))
+    groups = rows.groupBy("k").agg(F.min("v").alias("low"), F.count("*").alias("n"))
+    joined = join_groups(rows, groups, "k", "n", 4000)
+    place = lambda v: 0 if v < 2000 else v
+    assert sorted((r.v, r.k, r.low) for r in joined.collect()) == [(v, place(v), place(v)) for v in range(4000)]
+    # no exchange by key moves rows of the large group
+    shuffled = rows.join(F.broadcast(groups.filter("n > 500").select("k")), "k", "left_anti")
+    assert shuffled.count() == 2000
+
+
 def test_repeat_filter_misses_nothing(spark):
     df = spark.range(20_000).select(F.xxhash64(F.when(F.col("id") % 10 == 0, F.col("id") % 1000).otherwise(F.col("id"))).alias("h"))
     seen = repeat_filter(df, "h", 20_000)
