@@ -114,7 +114,7 @@ _FIRST = "f AS (SELECT *, min(ts) OVER (PARTITION BY user_id) AS first FROM even
 
 @query("t1_session_expiry", f"WITH {_FIRST} SELECT user_id, event_id, CASE WHEN ts < first + INTERVAL 24 HOUR THEN 'live' ELSE 'expired' END AS outcome FROM f")
 def _(t):
-    out = sessions.run_available(sessions.expire(events(t)), t.spark, folder(t, "expiry"))
+    out = sessions.run_to_end(events(t), sessions.expire, t.spark, folder(t, "expiry"))
     return out.filter("event_id is not null").select("user_id", "event_id", "outcome")
 
 
@@ -124,7 +124,7 @@ l AS (SELECT o.request, event_id, ts, event_type, max(s) AS s FROM o JOIN r ON r
 SELECT request, event_id, CASE WHEN row_number() OVER w = 1 THEN 'first' WHEN event_type = first_value(event_type) OVER w THEN 'replay' ELSE 'conflict' END AS outcome FROM l WINDOW w AS (PARTITION BY request, s ORDER BY ts, event_id)""")
 def _(t):
     e = events(t).withColumn("request", F.col("user_id") * 10 + F.col("event_id") % 7)
-    return sessions.run_available(sessions.replay(e, "request", "event_type"), t.spark, folder(t, "replay"))
+    return sessions.run_to_end(e, lambda e: sessions.replay(e, "request", "event_type"), t.spark, folder(t, "replay"))
 
 
 @query("t3_provenance_log", "SELECT event_id, event_type AS \"eventType\", ts AS occurred_at FROM events")
@@ -133,23 +133,32 @@ def _(t):
     return sessions.run_available(log, t.spark, folder(t, "log"))
 
 
-_FORK = "c AS (SELECT conv_id, turn, CASE WHEN (conv_id + turn) % 4 = 3 THEN turn - 2 ELSE turn - 1 END AS parent FROM conversations)"
+#: Turns as versions: every fourth names a wrong parent, every fifth has seen other content than its parent's.
+_FORK = """c AS (SELECT conv_id, turn, CASE WHEN (conv_id + turn) % 4 = 3 THEN turn - 2 ELSE turn - 1 END AS parent, sha256(text) AS tag, (conv_id + turn) % 5 = 4 AS stale FROM conversations)"""
 
 
-@query("t4_version_chain", f"WITH RECURSIVE {_FORK}, r AS (SELECT conv_id, 0 AS k, -1::BIGINT AS last FROM (SELECT DISTINCT conv_id FROM c) UNION ALL SELECT r.conv_id, r.k + 1, CASE WHEN c.parent = r.last THEN c.turn ELSE r.last END FROM r JOIN c ON c.conv_id = r.conv_id AND c.turn = r.k) SELECT c.conv_id, c.turn, CASE WHEN c.parent = r.last THEN 'accepted' ELSE 'conflict' END AS outcome FROM c JOIN r ON r.conv_id = c.conv_id AND r.k = c.turn")
+def forked(t, rows):
+    """Turns with parent, tag and the tag their writer has seen; a static table tells the parents' content."""
+    parent = F.when((F.col("conv_id") + F.col("turn")) % 4 == 3, F.col("turn") - 2).otherwise(F.col("turn") - 1)
+    tag = lambda c: F.sha2(F.col(c).cast("binary"), 256)
+    seen = t.conversations.select("conv_id", F.col("turn").alias("parent"), tag("text").alias("seen"))
+    match = F.when((F.col("conv_id") + F.col("turn")) % 5 == 4, "stale").otherwise(F.coalesce("seen", F.lit("")))
+    return rows.select("conv_id", "turn", parent.alias("parent"), tag("text").alias("tag")).join(seen, ["conv_id", "parent"], "left").withColumn("match", match)
+
+
+@query("t4_version_chain", f"WITH RECURSIVE {_FORK}, r AS (SELECT conv_id, 0 AS k, -1::BIGINT AS last FROM (SELECT DISTINCT conv_id FROM c) UNION ALL SELECT r.conv_id, r.k + 1, CASE WHEN c.parent = r.last AND NOT c.stale THEN c.turn ELSE r.last END FROM r JOIN c ON c.conv_id = r.conv_id AND c.turn = r.k) SELECT c.conv_id, c.turn, CASE WHEN c.parent <> r.last THEN 'conflict' WHEN c.stale THEN 'tag_conflict' ELSE 'accepted' END AS outcome FROM c JOIN r ON r.conv_id = c.conv_id AND r.k = c.turn")
 def _(t):
     s = sessions.read_stream(t.spark, f"{t.sf_dir}/conversations.parquet", t.conversations.schema)
-    parent = F.when((F.col("conv_id") + F.col("turn")) % 4 == 3, F.col("turn") - 2).otherwise(F.col("turn") - 1)
-    return sessions.run_available(sessions.versions(s.withColumn("parent", parent), "conv_id", "turn", "parent"), t.spark, folder(t, "versions"))
+    return sessions.run_available(sessions.versions(forked(t, s), "conv_id", "turn", "parent", tag="tag", match="match"), t.spark, folder(t, "versions"))
 
 
-@query("w9_version_chain", f"WITH {_FORK} SELECT conv_id, turn, parent IS DISTINCT FROM coalesce(lag(turn) OVER (PARTITION BY conv_id ORDER BY turn), -1) AS conflict FROM c")
+@query("w9_version_chain", f"WITH {_FORK}, p AS (SELECT conv_id, turn, parent, coalesce(lag(turn) OVER w, -1) AS before, stale, coalesce(lag(tag) OVER w, '') AS latest FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn)), m AS (SELECT p.*, CASE WHEN p.stale THEN 'stale' ELSE coalesce(c.tag, '') END AS match FROM p LEFT JOIN c ON c.conv_id = p.conv_id AND c.turn = p.parent) SELECT conv_id, turn, parent <> before AS parent_conflict, match <> latest AS tag_conflict FROM m")
 def _(t):
     from pyspark.sql import Window as W
 
-    parent = F.when((F.col("conv_id") + F.col("turn")) % 4 == 3, F.col("turn") - 2).otherwise(F.col("turn") - 1)
-    before = F.coalesce(F.lag("turn").over(W.partitionBy("conv_id").orderBy("turn")), F.lit(-1))
-    return t.conversations.select("conv_id", "turn", (~parent.eqNullSafe(before)).alias("conflict"))
+    w = W.partitionBy("conv_id").orderBy("turn")
+    v = forked(t, t.conversations).withColumns({"before": F.coalesce(F.lag("turn").over(w), F.lit(-1)), "latest": F.coalesce(F.lag("tag").over(w), F.lit(""))})
+    return v.select("conv_id", "turn", (F.col("parent") != F.col("before")).alias("parent_conflict"), (F.col("match") != F.col("latest")).alias("tag_conflict"))
 
 
 @query("t5_deletion", "WITH d AS (SELECT user_id, min(ts) AS deleted_at FROM events WHERE event_type = 'error' AND user_id % 3 = 0 GROUP BY user_id) SELECT user_id, event_id, 'kept' AS outcome FROM events WHERE user_id NOT IN (SELECT user_id FROM d) UNION ALL SELECT user_id, event_id, 'rejected' FROM events JOIN d USING (user_id) WHERE ts > deleted_at UNION ALL SELECT user_id, NULL, 'tombstone' FROM d")

@@ -1,25 +1,33 @@
 """Session event streams: expiry, idempotent replay, version chains, deletion, progress.
 
-Keyed state is bounded in time: an idempotency key is kept for the time to live (24
-hours), a session leaves a tombstone of one number for `retain` hours after its end,
-so that what comes later is still told as expired or rejected, and a version chain is
-forgotten when nothing has been written to it for the time to live. Outcomes depend on
-event times, not on how events fall into micro-batches, as long as a key's events do
-not come later than the watermark. The same functions run over a stream or, for tests
-and backfills, over a table through `run_available`.
+Expiry and replay take a key's events in the order of (event time, event id), however
+they fall into micro-batches: events wait in state until the watermark has passed them,
+and a timer lets them go (`in_order`). Nothing that comes later than the watermark is
+taken, so any deal of the same events gives the same outcomes. State is bounded in time:
+events wait for the lateness allowed, an idempotency key is kept for the time to live
+(24 hours), a session leaves a tombstone of one number for `retain` hours after its end,
+so that what comes later is still told as expired, and a version chain is forgotten when
+nothing has been written to it for the time to live. Versions are judged in order of
+arrival, as writes to a store are. A live stream tells outcomes once the watermark is
+past; `run_to_end` closes a finite one, for backfills and tests.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 TTL_HOURS = 24
 RETAIN_HOURS = 24 * 90
+HOUR = 3_600_000_000
+STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: The end of time for a finite stream, past all its events.
+CLOSING = "2261-01-01 00:00:00"
 
 
 def read_stream(spark: SparkSession, path: str, schema, files_a_batch: int | None = None) -> DataFrame:
@@ -30,12 +38,97 @@ def read_stream(spark: SparkSession, path: str, schema, files_a_batch: int | Non
 
 def run_available(stream: DataFrame, spark: SparkSession, folder: str, mode: str = "append") -> DataFrame:
     """Everything the stream has now, written to a folder all executors share, and read back."""
-    schema = stream.schema
-    q = stream.writeStream.outputMode(mode).format("parquet").option("checkpointLocation", f"{folder}/state").option("path", f"{folder}/rows").trigger(availableNow=True).start()
+    schema, provider = stream.schema, "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, STORE)  # timers and list state need it
+    try:
+        q = stream.writeStream.outputMode(mode).format("parquet").option("checkpointLocation", f"{folder}/state").option("path", f"{folder}/rows").trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(provider, before)
     q.awaitTermination()
     return spark.read.schema(schema).parquet(f"{folder}/rows")
 
 
+def run_to_end(stream: DataFrame, build: Callable[[DataFrame], DataFrame], spark: SparkSession, folder: str, ts: str = "ts") -> DataFrame:
+    """build(stream) over a finite stream, told to its end.
+
+    A second source is empty while the stream's events are read; then it brings one row
+    without a key at the end of time, and the same query, from its checkpoint, lets go
+    of all that waits.
+    """
+    closing, schema = f"{folder}/closing", stream.schema
+    spark.createDataFrame([], schema).write.parquet(f"{closing}/0")
+    joined = build(stream.unionByName(read_stream(spark, f"{closing}/", schema)))
+    run_available(joined, spark, folder)
+    end = [F.to_timestamp(F.lit(CLOSING)).cast(f.dataType).alias(f.name) if f.name == ts else F.lit(None).cast(f.dataType).alias(f.name) for f in schema]
+    spark.range(1).select(*end).write.parquet(f"{closing}/1")
+    return run_available(joined, spark, folder)
+
+
+class _InOrder(StatefulProcessor):
+    """Holds a key's events until the watermark has passed them, then steps through them in order."""
+
+    def __init__(self, waiting: str, state: str, columns: list[str], step: Callable):
+        self.schemas, self.columns, self.step = (waiting, state), columns, step
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", self.schemas[0])
+        self.own = handle.getValueState("own", self.schemas[1])
+        self.alarm = handle.getValueState("alarm", "at long")
+
+    def _wake(self, at: int) -> None:
+        """Sees to it that a timer goes off when the watermark is past `at`, in microseconds."""
+        at = at // 1000 + 1
+        set_for = self.alarm.get()[0] if self.alarm.exists() else None
+        if set_for is None or at < set_for:
+            if set_for is not None:
+                self.handle.deleteTimer(set_for)
+            self.handle.registerTimer(at)
+            self.alarm.update((at,))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        first = None
+        for b in rows:
+            new = [tuple(None if pd.isna(v) else v for v in r) for r in b[self.columns].astype(object).itertuples(index=False)]
+            self.waiting.appendList(new)
+            first = min([r[0] for r in new] + ([] if first is None else [first]))
+        if first is not None:
+            self._wake(first)
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.alarm.clear()
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        held = sorted(self.waiting.get())
+        due = [r for r in held if r[0] <= now]
+        if due:
+            rest = held[len(due) :]
+            self.waiting.put(rest) if rest else self.waiting.clear()
+        out, state, again = self.step(key[0], self.own.get() if self.own.exists() else None, due, now)
+        self.own.clear() if state is None else self.own.update(state)
+        times = [r[0] for r in held[len(due) : len(due) + 1]] + ([] if again is None else [again])
+        if times:
+            self._wake(min(times))
+        if len(out):
+            yield out
+
+
+def in_order(events: DataFrame, key: str, ts: str, event_id: str, carried: dict[str, str], state: str, step: Callable, schema: str, late: int) -> DataFrame:
+    """Steps through each key's events in order of (ts, event_id).
+
+    step(key, state or None, due, now) -> (rows, state or None, when to be called again or
+    None); due are tuples (microseconds, event id, carried...), now is the watermark. Rows
+    without a key are not stepped through. State is kept where rows are `late` hours behind.
+    """
+    stamp = F.col(ts).cast("timestamp").alias("stamp")
+    rows = events.select(F.col(key).alias("k"), stamp, F.unix_micros(F.col(ts).cast("timestamp")).alias("us"), F.col(event_id).cast("long").alias("id"), *[F.col(c).alias(f"own_{c}") for c in carried])
+    columns = ["us", "id", *[f"own_{c}" for c in carried]]
+    waiting = "us long, id long" + "".join(f", {c} {t}" for c, t in carried.items())
+    processor = _InOrder(waiting, state, columns, lambda k, own, due, now: (pd.DataFrame(), None, None) if k is None or k != k else step(k, own, due, now))
+    return rows.withWatermark("stamp", f"{late} hours").groupBy("k").transformWithStateInPandas(processor, schema, "Append", "EventTime")
+
+
 def _hours(stamp: pd.Timestamp, hours: int) -> pd.Timestamp:
     return stamp + pd.Timedelta(hours=hours)
 
@@ -45,54 +138,50 @@ def _millis(stamp: pd.Timestamp, state: GroupState) -> int:
     return max(int(stamp.value // 1_000_000), state.getCurrentWatermarkMs() + 1)
 
 
-def expire(events: DataFrame, key: str = "user_id", ts: str = "ts", event_id: str = "event_id", hours: int = TTL_HOURS, retain: int = RETAIN_HOURS) -> DataFrame:
-    """(key, event_id, ts, outcome): live until `hours` after a session's first event, expired from then on; a session that ends by timeout leaves a row without an event id."""
-    def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        columns = [key, event_id, ts, "outcome"]
-        if state.hasTimedOut:
-            end, over = pd.Timestamp(state.get[0], unit="us"), state.get[1]
-            if over:
-                state.remove()
-                return
-            state.update((state.get[0], True))
-            state.setTimeoutTimestamp(_millis(_hours(end, retain), state))
-            yield pd.DataFrame([(k[0], pd.NA, end, "session_expired")], columns=columns).astype({event_id: "Int64"})
-            return
-        rows = pd.concat(list(batches)).sort_values([ts, event_id])
-        end = pd.Timestamp(state.get[0], unit="us") if state.exists else _hours(rows[ts].iloc[0], hours)
-        over = state.exists and state.get[1]
-        state.update((int(end.value // 1000), over))
-        state.setTimeoutTimestamp(_millis(_hours(end, retain) if over else end, state))
-        out = rows[[key, event_id, ts]].assign(outcome=["live" if t < end else "expired" for t in rows[ts]])
-        yield out.astype({event_id: "Int64"})
+def expire(events: DataFrame, key: str = "user_id", ts: str = "ts", event_id: str = "event_id", hours: int = TTL_HOURS, retain: int = RETAIN_HOURS, late: int = TTL_HOURS) -> DataFrame:
+    """(key, event_id, ts, outcome): live until `hours` after a session's first event, expired from then on; a session that ends leaves a row without an event id. `retain` hours after its end a key starts anew."""
+    def step(k, own, due, now):
+        end, over = own if own else (None, False)
+        out = []
+        over_row = lambda: out.append((k, None, end, "session_expired"))
+        for us, e in due:
+            if end is not None and us >= end and not over:
+                over = True
+                over_row()
+            if end is None or us >= end + retain * HOUR:
+                end, over = us + hours * HOUR, False
+            out.append((k, e, us, "live" if us < end else "expired"))
+        if end is not None and now >= end and not over:
+            over = True
+            over_row()
+        if end is not None and now >= end + retain * HOUR:
+            end = None
+        rows = pd.DataFrame(out, columns=["k", event_id, ts, "outcome"]).astype({event_id: "Int64"})
+        rows[ts] = pd.to_datetime(rows[ts], unit="us", utc=True)
+        return rows, None if end is None else (end, over), None if end is None else end + (retain * HOUR if over else 0)
 
     kind = dict(events.dtypes)[key]
-    marked = events.select(key, event_id, F.col(ts).cast("timestamp").alias(ts)).withWatermark(ts, f"{hours} hours")
-    return marked.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, {event_id} long, {ts} timestamp, outcome string", "ends long, over boolean", "append", GroupStateTimeout.EventTimeTimeout)
+    found = in_order(events, key, ts, event_id, {}, "ends long, over boolean", step, f"k {kind}, {event_id} long, {ts} timestamp, outcome string", late)
+    return found.withColumnRenamed("k", key)
 
 
-def replay(events: DataFrame, key: str, fingerprint: str, ts: str = "ts", event_id: str = "event_id", hours: int = TTL_HOURS) -> DataFrame:
+def replay(events: DataFrame, key: str, fingerprint: str, ts: str = "ts", event_id: str = "event_id", hours: int = TTL_HOURS, late: int = TTL_HOURS) -> DataFrame:
     """(key, event_id, outcome): first, replay of the same request, or conflict with another one under the same key; a key lives for `hours` from its first use, then it may be used anew."""
-    def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(batches)).sort_values([ts, event_id])
-        first, end = (state.get[0], pd.Timestamp(state.get[1], unit="us")) if state.exists else (None, None)
+    def step(k, own, due, now):
+        first, end = own if own else (None, None)
         out = []
-        for e, f, t in zip(rows[event_id], rows["f"], rows[ts], strict=True):
-            if end is None or t >= end:
-                first, end, outcome = f, _hours(t, hours), "first"
+        for us, e, f in due:
+            if end is None or us >= end:
+                first, end = f, us + hours * HOUR
+                out.append((k, e, "first"))
             else:
-                outcome = "replay" if f == first else "conflict"
-            out.append((k[0], e, outcome))
-        state.update((first, int(end.value // 1000)))
-        state.setTimeoutTimestamp(_millis(end, state))
-        yield pd.DataFrame(out, columns=["k", event_id, "outcome"])
+                out.append((k, e, "replay" if f == first else "conflict"))
+        if end is not None and now >= end:
+            end = None
+        return pd.DataFrame(out, columns=["k", event_id, "outcome"]), None if end is None else (first, end), end
 
-    rows = events.select(F.col(key).alias("k"), event_id, F.col(ts).cast("timestamp").alias(ts), F.col(fingerprint).cast("string").alias("f")).withWatermark(ts, f"{hours} hours")
-    kind = dict(events.dtypes)[key]
-    found = rows.groupBy("k").applyInPandasWithState(run, f"k {kind}, {event_id} long, outcome string", "f string, ends long", "append", GroupStateTimeout.EventTimeTimeout)
+    rows = events.withColumn(fingerprint, F.coalesce(F.col(fingerprint).cast("string"), F.lit("")))
+    found = in_order(rows, key, ts, event_id, {fingerprint: "string"}, "f string, ends long", step, f"k {dict(events.dtypes)[key]}, {event_id} long, outcome string", late)
     return found.withColumnRenamed("k", key)
 
 
@@ -101,26 +190,35 @@ def distinct_requests(events: DataFrame, keys: list[str], ts: str = "ts", hours:
     return events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, f"{hours} hours").dropDuplicatesWithinWatermark(keys)
 
 
-def versions(events: DataFrame, key: str, version: str, parent: str, ts: str | None = None, hours: int = TTL_HOURS) -> DataFrame:
-    """(key, version, outcome): accepted if the parent is the latest accepted version, conflict otherwise; a chain without a write for `hours` (of arrival, unless `ts` is given) is forgotten."""
+def versions(events: DataFrame, key: str, version: str, parent: str, ts: str | None = None, hours: int = TTL_HOURS, tag: str | None = None, match: str | None = None) -> DataFrame:
+    """(key, version, outcome): accepted if the parent is the latest accepted version, conflict otherwise.
+
+    With `tag` (the tag of the content written) and `match` (the tag the writer has seen
+    last, null where it names none), a write whose parent is right is accepted only if it
+    has seen the latest accepted content too; tag_conflict otherwise. An empty chain has
+    no tag, which '' or '"0"' match. A chain without a write for `hours` (of arrival, unless
+    `ts` is given) is forgotten.
+    """
     def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
         rows = pd.concat(list(batches)).sort_values("v")
-        last = state.get[0] if state.exists else -1
+        last, seen = state.get if state.exists else (-1, "")
         out = []
-        for v, p in zip(rows["v"], rows["p"], strict=True):
-            ok = p == last
-            out.append((k[0], v, "accepted" if ok else "conflict"))
-            last = v if ok else last
-        state.update((int(last),))
+        for v, p, own, m in zip(rows["v"], rows["p"], rows["tag"], rows["match"], strict=True):
+            outcome = "conflict" if p != last else "accepted" if m is None or m != m or m == seen or (last == -1 and m == '"0"') else "tag_conflict"
+            out.append((k[0], v, outcome))
+            if outcome == "accepted":
+                last, seen = v, own or ""
+        state.update((int(last), seen))
         state.setTimeoutTimestamp(_millis(_hours(rows["at"].max(), hours), state))
         yield pd.DataFrame(out, columns=["k", "v", "outcome"])
 
-    rows = events.select(F.col(key).alias("k"), F.col(version).cast("long").alias("v"), F.col(parent).cast("long").alias("p"), (F.current_timestamp() if ts is None else F.col(ts).cast("timestamp")).alias("at"))
+    text = lambda c: (F.lit(None) if c is None else F.col(c)).cast("string")
+    rows = events.select(F.col(key).alias("k"), F.col(version).cast("long").alias("v"), F.col(parent).cast("long").alias("p"), text(tag).alias("tag"), text(match).alias("match"), (F.current_timestamp() if ts is None else F.col(ts).cast("timestamp")).alias("at"))
     rows = rows.withWatermark("at", f"{hours} hours")
-    found = rows.groupBy("k").applyInPandasWithState(run, f"k {dict(events.dtypes)[key]}, v long, outcome string", "last long", "append", GroupStateTimeout.EventTimeTimeout)
+    found = rows.groupBy("k").applyInPandasWithState(run, f"k {dict(events.dtypes)[key]}, v long, outcome string", "last long, seen string", "append", GroupStateTimeout.EventTimeTimeout)
     return found.withColumnsRenamed({"k": key, "v": version})
 
 
