@@ -142,8 +142,7 @@ def cluster(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
         placed = kept.select("id", F.lit(0).alias("cluster"), F.lit(0).cast("long").alias("distance"))
     placed = stash.keep(placed, "placed")
     digests = [(c, hashlib.sha256(",".join(map(str, v)).encode()).hexdigest()) for c, v in enumerate(centroids.tolist())]
-    spread = placed.groupBy("cluster").agg(F.sum("distance").alias("cluster_inertia"))
-    whole = spread.agg(F.sum("cluster_inertia").alias("inertia"))
-    # a row a centroid, k at most
-    facts = spread.crossJoin(F.broadcast(whole)).join(F.broadcast(spark.createDataFrame(digests, "cluster int, centroid_sha256 string")), "cluster")
+    spread = {r.cluster: r.s for r in placed.groupBy("cluster").agg(F.sum("distance").alias("s")).collect()}  # k rows at most
+    facts = [(c, spread.get(c, 0), sum(spread.values()), digest) for c, digest in digests]
+    facts = spark.createDataFrame(facts, "cluster int, cluster_inertia long, inertia long, centroid_sha256 string")
     return placed.join(F.broadcast(facts), "cluster").select(F.col("id").alias(id_col), "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")

@@ -25,7 +25,7 @@ not read.
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 from itertools import islice
 from operator import itemgetter
@@ -42,6 +42,10 @@ from quillmill.llm.common import Stash
 #: Terms in UTF-8 bytes: ASCII letters and everything beyond ASCII.
 TERM = re.compile(rb"[^\x00-\x40\x5b-\x60\x7b-\x7f]+")
 LONG_TEXT = 1 << 20
+#: Terms that wait to be counted together.
+WORDS = 500_000
+#: Kept terms that are broadcast; more of them meet their counts by key.
+SMALL_TABLE = 500_000
 RUN = "lang string, source string, term binary, n long, docs long"
 SUMS = "lang string, a string, b string, value long"
 
@@ -57,38 +61,79 @@ def _terms(text: bytes) -> Iterator[list[bytes]]:
         yield piece
 
 
-def runs(docs: DataFrame, block_entries: int = 300_000) -> DataFrame:
+def _sum_equal(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct keys in order with the sums of their values."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, int)
+    return keys[first], *(np.add.reduceat(v[order], first) if len(keys) else v for v in values)
+
+
+class _Block:
+    """Postings of the documents read since the last spill: numbers of terms and groups, counts in arrays."""
+
+    def __init__(self):
+        self.number: dict[bytes, int] = defaultdict(lambda: len(self.number))
+        self.groups: dict[tuple[str, str], int] = {}
+        self.words: list[bytes] = []
+        self.owners: list[tuple[int, int]] = []  # group and terms of each document
+        self.keys, self.n, self.docs = (np.zeros(0, np.int64) for _ in range(3))
+
+    def read(self, lang: str, source: str, text: bytes) -> None:
+        group, before = self.groups.setdefault((lang, source), len(self.groups)), len(self.words)
+        for piece in _terms(text):
+            self.words += piece
+        self.owners.append((group, len(self.words) - before))
+        if len(self.words) >= WORDS:
+            self.count()
+
+    def count(self) -> None:
+        """Adds the waiting documents' terms, first by document, then by group."""
+        if not self.words:
+            return
+        term = np.fromiter(map(self.number.__getitem__, self.words), np.int64, len(self.words))
+        group, length = np.array(self.owners, np.int64).T
+        own, n = _sum_equal(np.repeat(np.arange(len(length)), length) << 32 | term, np.ones(len(term), np.int64))
+        keys = group[own >> 32] << 32 | own & 0xFFFFFFFF
+        parts = (self.keys, keys), (self.n, n), (self.docs, np.ones(len(n), np.int64))
+        self.keys, self.n, self.docs = _sum_equal(*map(np.concatenate, parts))
+        self.words, self.owners = [], []
+
+    def run(self) -> Iterator[pa.RecordBatch]:
+        """All postings as a run in the order of terms."""
+        self.count()
+        terms = np.array(list(self.number), object)
+        order = np.argsort(terms)
+        rank = np.empty(len(terms), np.int64)
+        rank[order] = np.arange(len(terms))
+        terms = pa.array(terms[order], pa.binary())
+        lang, source = (pa.array([g[k] for g in self.groups], pa.string()) for k in (0, 1))
+        at = rank[self.keys & 0xFFFFFFFF]
+        by_term = np.lexsort((self.keys >> 32, at))
+        for k in range(0, len(by_term), 20_000):
+            part = by_term[k : k + 20_000]
+            group = pa.array(self.keys[part] >> 32)
+            yield pa.RecordBatch.from_arrays([lang.take(group), source.take(group), terms.take(pa.array(at[part])), pa.array(self.n[part]), pa.array(self.docs[part])], ["lang", "source", "term", "n", "docs"])
+
+
+def runs(docs: DataFrame, block_entries: int = 1_000_000) -> DataFrame:
     """docs (lang, source, text) to term-sorted runs of (lang, source, term, n, docs)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def spill() -> Iterator[pa.RecordBatch]:
-            entries = sorted((term, lang, source, n, docs_of[lang, source][term]) for (lang, source), block in count.items() for term, n in block.items())
-            for at in range(0, len(entries), 20_000):
-                term, lang, source, n, own = zip(*entries[at : at + 20_000], strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(source, pa.string()), pa.array(term, pa.binary()), pa.array(n, pa.int64()), pa.array(own, pa.int64())], ["lang", "source", "term", "n", "docs"])
-            count.clear()
-            docs_of.clear()
-
-        count, docs_of, held = defaultdict(Counter), defaultdict(Counter), 0
+        block = _Block()
         for b in batches:
-            for lang, source, text in zip(*(b.column(c).to_pylist() for c in ("lang", "source", "text")), strict=True):
-                block, seen = count[lang, source], set()
-                before = len(block)
-                for piece in _terms(text):
-                    block.update(piece)
-                    seen.update(piece)
-                docs_of[lang, source].update(seen)
-                held += len(block) - before
-                if held >= block_entries:
-                    yield from spill()
-                    held = 0
-        if held:
-            yield from spill()
+            for at in range(0, b.num_rows, 256):
+                for row in zip(*(b.column(c).slice(at, 256).to_pylist() for c in ("lang", "source", "text")), strict=True):
+                    block.read(*row)
+                    if len(block.keys) >= block_entries:
+                        yield from block.run()
+                        block = _Block()
+        yield from block.run()
 
     return docs.select("lang", "source", F.col("text").cast("binary").alias("text")).mapInArrow(run, RUN).withColumn("term", F.col("term").cast("string"))
 
 
-def frequencies(docs: DataFrame, block_entries: int = 300_000) -> DataFrame:
+def frequencies(docs: DataFrame, block_entries: int = 1_000_000) -> DataFrame:
     """(lang, source, term, n, docs), runs merged in term order within hash shards."""
     keys = ["lang", "source", "term"]
     return runs(docs, block_entries).repartition(*keys).sortWithinPartitions(*keys).groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
@@ -142,14 +187,15 @@ def pair_values(terms: DataFrame, groups: DataFrame, block_sources: int = 64, ce
     return cells.groupBy("lang", "low", "high", "shard").applyInPandas(_cell, SUMS).groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
 
 
-def audit(docs: DataFrame, least_docs: int = 10, top: int = 10, block_entries: int = 300_000, block_sources: int = 64, cell_rows: int = 20_000, lang_col: str = "lang", source_col: str = "source", text_col: str = "text") -> DataFrame:
+def audit(docs: DataFrame, least_docs: int = 10, top: int = 10, block_entries: int = 1_000_000, block_sources: int = 64, cell_rows: int = 20_000, lang_col: str = "lang", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """(lang, source, part, item, value, rank): part `pair` ranks all other sources of the language by divergence, part `term` the `top` terms a source favours most against its language."""
     stash = Stash(docs.sparkSession, "divergence")
     plain = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     rows = docs.select(plain(lang_col).alias("lang"), plain(source_col).alias("source"), plain(text_col).alias("text"))
     freq = stash.keep(frequencies(rows, block_entries), "freq")
     kept = freq.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("docs")).filter(F.col("docs") >= least_docs).drop("docs")
-    own = stash.keep(freq.join(kept, ["lang", "term"]).drop("docs"), "own")
+    kept = stash.keep(kept, "kept")
+    own = stash.keep(freq.join(F.broadcast(kept) if kept.count() <= SMALL_TABLE else kept, ["lang", "term"]).drop("docs"), "own")
     totals = own.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     langs = kept.groupBy("lang").agg(F.count("*").alias("v"), F.sum("lang_n").alias("lang_total"))
     groups = rows.select("lang", "source").distinct().join(totals, ["lang", "source"], "left").join(langs, "lang", "left").na.fill(0, ["total", "v", "lang_total"])

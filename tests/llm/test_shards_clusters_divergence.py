@@ -247,6 +247,7 @@ def test_audit_of_documents(spark, options):
 @pytest.mark.parametrize("least", [1, 10])
 def test_audit_of_odd_rows(odd, least, monkeypatch):
     monkeypatch.setattr(divergence, "LONG_TEXT", 100)
+    monkeypatch.setattr(divergence, "SMALL_TABLE", 0)
     rows = [(lang, source, text) for _, text, lang, source, _ in ODD]
     docs = odd.withColumns({"value": F.lit("mine"), "p": F.lit(0), "term": F.lit("mine"), "v": F.lit(1)})
     for options in ({}, SMALL_CELLS):
@@ -262,8 +263,13 @@ def test_one_source_holds_most_rows(spark):
         assert Counter(tuple(r) for r in divergence.audit(docs, **options).collect()) == brute_audit(rows)
 
 
-def test_runs_leave_sorted_and_bounded(spark):
-    docs = spark.createDataFrame([("en", "s", " ".join("abcdefghij"[i] * (k + 1) for i in range(10))) for k in range(30)], "lang string, source string, text string").coalesce(1)
-    terms = [r.term for r in divergence.runs(docs, block_entries=50).collect()]
-    falls = sum(a > b for a, b in zip(terms, terms[1:]))
-    assert falls == 5  # six runs of fifty terms
+def test_runs_leave_sorted_and_bounded():
+    """Postings of sixty documents of fifty terms leave when a hundred are held."""
+    block, runs = divergence._Block(), []
+    for k in range(60):
+        block.read("en", "s", " ".join(chr(97 + (i + k) % 26) * (1 + (i * k) % 7) for i in range(50)).encode())
+        block.count()
+        if len(block.keys) >= 100:
+            runs.append([t for b in block.run() for t in b.column("term").to_pylist()])
+            block = divergence._Block()
+    assert len(runs) > 3 and all(r == sorted(set(r)) and 100 <= len(r) < 150 for r in runs)
