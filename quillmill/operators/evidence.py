@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -16,7 +16,19 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 LIMIT = 80
-ELLIPSIS = re.compile(r"\s*(?:…+|\.{3,})\s*")
+LONGEST_QUOTE = 10_000
+
+#: Marks that end a sentence of the source, the mark of a left-out passage, quotation marks that a copy may
+#: leave out, brackets of edition notes, a glyph the source cannot show, and variants that stand for a common glyph.
+SENTENCE_ENDS = "。！？；\n\r"
+ELLIPSIS = "……"
+QUOTATION_MARKS = "「」『』"
+EDITION_NOTE = r"〈[^〈〉\r\n]*〉|［[^［］\r\n]*］|\([^()\r\n]*\)|（[^（）\r\n]*）"
+NUMBERED_NOTE = r"\[\d+\]"
+READING_OF_GAP = r"□(?:\([^()\r\n]*作「([^」\r\n]{1,4})」[^()\r\n]*\)|（[^（）\r\n]*作「([^」\r\n]{1,4})」[^（）\r\n]*）)"
+NO_GLYPH = "\U000f2cf4"
+VARIANTS = {"釡": "釜"}
+
 SENTENCE = "。！？；.!?;"
 
 
@@ -24,84 +36,194 @@ def span_text(text: Column, start: Column, end: Column) -> Column:
     return F.substring(text, start.cast("int") + 1, (end - start).cast("int"))
 
 
-def _only(text: str, part: str, since: int = 0) -> int:
-    """Where the part stands, -1 if it is not there or not alone."""
-    at = text.find(part, since)
-    return at if at >= 0 and part and text.find(part, at + 1) < 0 else -1
+class Places:
+    """A rewritten form of a source, and for each of its characters the span of the source that it stands for."""
+
+    def __init__(self, pieces: Iterable[tuple[str, int, int]]):
+        own = [(c, a, b) for piece, a, b in pieces for c in piece]
+        self.text = "".join(c for c, _, _ in own)
+        self.spans = [(a, b) for _, a, b in own]
+
+    def find(self, quote: str, alone: bool) -> tuple[int, int] | None:
+        """The source span of a quote in this form; `alone`: only if it stands there once."""
+        at = self.text.find(quote) if len(quote) >= 2 else -1
+        if at < 0 or (alone and self.text.count(quote) != 1):
+            return None
+        return self.spans[at][0], self.spans[at + len(quote) - 1][1]
+
+
+def places(text: str, write: Callable[[str], str], left_out: str | None = None, readings: bool = False) -> Places:
+    """The form of a source in which every character is what `write` makes of it, notes are left out and, with `readings`, a gap is what its note reads."""
+    notes = "|".join(p for p in (READING_OF_GAP if readings else None, left_out) if p)
+    pieces, at = [], 0
+    for m in re.finditer(notes, text) if notes else ():
+        pieces += [(write(text[i]), i, i + 1) for i in range(at, m.start())]
+        if m.lastindex:
+            pieces.append(("".join(map(write, m[m.lastindex])), *m.span()))
+        at = m.end()
+    pieces += [(write(text[i]), i, i + 1) for i in range(at, len(text))]
+    return Places(pieces)
+
+
+def _writers(glyphs: dict[int, str]) -> tuple[Callable[[str], str], ...]:
+    """How a character is written in display form and without punctuation, in a quote and in its source."""
+    shown = lambda c: c.translate(glyphs)
+    display = lambda c: "" if c in QUOTATION_MARKS else shown(c)
+    bare = lambda c: "" if c.isspace() or unicodedata.category(c) in ("Cf", "Cc") or unicodedata.category(c)[0] == "P" else shown(c)
+
+    def of_source(write):
+        return lambda c: "" if c == NO_GLYPH or unicodedata.category(c) == "Cf" else write(VARIANTS.get(c, c))
+
+    return display, of_source(display), bare, of_source(bare)
+
+
+def _cut(text: str, span: tuple[int, int], limit: int) -> tuple[int, int]:
+    """The span, or of a longer one what ends with the last sentence end within the limit, or its beginning."""
+    a, b = span
+    if b - a <= limit:
+        return span
+    end = max(text.rfind(c, a + 1, a + limit) for c in SENTENCE_ENDS)
+    return (a, end + 1) if end > 0 else (a, a + limit)
+
+
+def _across(text: str, left: str, right: str) -> tuple[int, int] | None:
+    """The span from one part to another that follows it, each there once."""
+    if text.count(left) != 1 or text.count(right) != 1:
+        return None
+    a = text.find(left)
+    b = text.find(right, a + len(left))
+    return None if b < 0 else (a, b + len(right))
 
 
-def _bare(text: str, glyphs: dict[int, str]) -> tuple[str, list[int]]:
-    """The text without punctuation and separators, glyphs in display form, with the place of each kept character."""
-    kept = [(c.translate(glyphs), i) for i, c in enumerate(text) if unicodedata.category(c)[0] not in "PZ" and not c.isspace()]
-    return "".join(c for c, _ in kept), [i for _, i in kept]
+def _left_out(text: str, quote: str, limit: int) -> tuple[int, int] | None:
+    """The one span that all halves of a quote agree on, where what they leave out crosses a sentence end."""
+    found = set()
+    for cut in range(2, len(quote) - 1):
+        if max(cut, len(quote) - cut) >= 8 and (span := _across(text, quote[:cut], quote[cut:])):
+            gap = text[span[0] + cut : span[1] - (len(quote) - cut)]
+            if any(c in SENTENCE_ENDS for c in gap) and span[1] - span[0] <= limit:
+                found.add(span)
+    return found.pop() if len(found) == 1 else None
 
 
-def align(text: str, quote: str, glyphs: dict[int, str] | None = None, limit: int = LIMIT) -> tuple[int, int] | None:
+def align(text: str, quote: str | None, glyphs: dict[int, str] | None = None, limit: int = LIMIT) -> tuple[int, int] | None:
     """The exact span of a quote in its source, or None: nothing is guessed, and a span is never longer than `limit`.
 
-    Rungs, first success wins: the exact quote; one ellipsis between two parts that
-    each stand once; the text without punctuation and in display form; a quote that
-    leaves out something after a sentence end, by its two halves.
+    Rungs, first success wins:
+    1. the quote as it is (a longer one is cut at a sentence end);
+    2. one marked omission between two parts that each stand once;
+    3. the source without its edition notes (cut likewise);
+    4. both in display form, without quotation marks, once;
+    5. the same where a gap stands for what its note reads;
+    6. both without punctuation and white space, once;
+    7. an unmarked omission across a sentence end, the same for every way to halve the quote.
     """
     quote = (quote or "").strip()
-    fits = lambda a, b: (a, b) if 0 <= a < b and b - a <= limit else None
-    if len(quote) < 2:
+    if not 2 <= len(quote) <= LONGEST_QUOTE:
         return None
     at = text.find(quote)
     if at >= 0:
-        return fits(at, at + len(quote))
-    parts = [p for p in ELLIPSIS.split(quote) if p]
-    if len(parts) == 2:
-        a = _only(text, parts[0])
-        b = _only(text, parts[1])
-        return fits(a, b + len(parts[1])) if a >= 0 and b >= a + len(parts[0]) else None
-    if len(parts) > 2:
+        return _cut(text, (at, at + len(quote)), limit)
+    fits = lambda span: span is not None and span[1] - span[0] <= limit
+    if quote.count(ELLIPSIS) == 1:
+        parts = quote.split(ELLIPSIS)
+        if min(map(len, parts)) >= 2 and fits(span := _across(text, *parts)):
+            return span
+    if re.search(EDITION_NOTE, text) and (span := places(text, str, EDITION_NOTE).find(quote, False)):
+        return _cut(text, span, limit)
+    notes = f"{NUMBERED_NOTE}|{EDITION_NOTE}"
+    display, display_source, bare, bare_source = _writers(glyphs or {})
+    shown = "".join(map(display, quote))
+    if span := places(text, display_source, notes).find(shown, True):
+        a, b = span
+        while a > 0 and text[a - 1] in QUOTATION_MARKS:
+            a -= 1
+        while b < len(text) and text[b] in QUOTATION_MARKS:
+            b += 1
+        if fits((a, b)):
+            return a, b
+    if re.search(READING_OF_GAP, text) and fits(span := places(text, display_source, notes, readings=True).find(shown, True)):
+        return span
+    if fits(span := places(text, bare_source, notes).find("".join(map(bare, quote)), True)):
+        return span
+    return _left_out(text, quote, limit) if 4 <= len(quote) <= limit else None
+
+
+def align_segments(text: str, quote: str | None, glyphs: dict[int, str] | None = None, limit: int = LIMIT) -> list[tuple[int, int]] | None:
+    """Spans of a quote's parts, cut at ellipses or else at sentence ends, or None.
+
+    There must be two parts at least, every part must have two characters and be found,
+    and what is found must stand in the source once and after the part before.
+    """
+    quote = quote or ""
+    marked = re.split(r"……|\.{3,}", quote)
+    parts = [p.strip() for p in (marked if len(marked) > 1 else re.findall("[^。！？；]+[。！？；]?", quote))]
+    if len(marked) == 1:
+        parts = [p for p in parts if p]
+    if len(parts) < 2 or min(map(len, parts)) < 2:
         return None
-    glyphs = glyphs or {}
-    bare, places = _bare(text, glyphs)
-    short = _bare(quote, glyphs)[0]
-    if len(short) >= 4 and (at := _only(bare, short)) >= 0:
-        return fits(places[at], places[at + len(short) - 1] + 1)
-    for cut in range(4, len(quote) - 3):
-        a, b = _only(text, quote[:cut]), _only(text, quote[cut:])
-        if a >= 0 and b > a + cut and any(c in SENTENCE for c in text[a + cut - 1 : b]):
-            return fits(a, b + len(quote) - cut)
-    return None
-
-
-def align_segments(text: str, quote: str, glyphs: dict[int, str] | None = None) -> list[tuple[int, int]] | None:
-    """Spans of the quote's parts, cut at ellipses or else at sentence ends, each found and in source order; None otherwise."""
-    parts = [p for p in ELLIPSIS.split(quote or "") if p.strip()]
-    if len(parts) < 2:
-        parts = [p for p in re.findall(f"[^{re.escape(SENTENCE)}]+[{re.escape(SENTENCE)}]?", quote or "") if p.strip()]
     out: list[tuple[int, int]] = []
     for p in parts:
-        s = align(text, p, glyphs)
-        if s is None or (out and s[0] < out[-1][1]):
+        span = align(text, p, glyphs, limit)
+        if span is None or text.count(text[slice(*span)]) != 1 or (out and span[0] < out[-1][1]):
             return None
-        out.append(s)
-    return out or None
+        out.append(span)
+    return out
+
+
+def _spans(quotes: DataFrame, find: Callable[[str, str], object], kind: str) -> Column:
+    """find(text, quote) for each row, in batches."""
+
+    def run(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for texts, own in parts:
+            yield pd.Series([find(t or "", q) for t, q in zip(texts, own, strict=True)], dtype=object)
+
+    return F.pandas_udf(run, kind)("text", "quote")
 
 
 def aligned(quotes: DataFrame, texts: DataFrame, key: str = "entry_id", glyphs: dict[int, str] | None = None, limit: int = LIMIT) -> DataFrame:
     """quotes (key, quote, ...) with start, end (null where unaligned) and excerpt; only quotes that are no exact substring go to Python."""
     j = quotes.join(texts.select(key, "text"), key)
     bare = F.regexp_replace("quote", r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
-    at = F.instr("text", bare) - 1
-    n = F.length(bare)
-    exact = j.filter((at >= 0) & (n >= 2)).withColumns({"start": F.when(n <= limit, at.cast("long")), "end": F.when(n <= limit, (at + n).cast("long"))})
-    rest = j.filter((at < 0) | (n < 2) | at.isNull())
+    at, n = F.instr("text", bare) - 1, F.length(bare)
+    sound = F.coalesce((at >= 0) & n.between(2, LONGEST_QUOTE), F.lit(False))
+    until = F.length(F.regexp_extract(F.substring(bare, 1, limit), f"(?s)^.+[{SENTENCE_ENDS}]", 0))
+    length = F.when(n <= limit, n).when(until > 0, until).otherwise(limit)
+    exact = j.filter(sound).withColumns({"start": at.cast("long"), "end": (at + length).cast("long")})
+    pair = _spans(j, lambda t, q: align(t, q, glyphs, limit), "array<long>")
+    found = j.filter(~sound).withColumn("_qm_s", pair).withColumns({"start": F.get("_qm_s", F.lit(0)), "end": F.get("_qm_s", F.lit(1))}).drop("_qm_s")
+    return exact.unionByName(found).withColumn("excerpt", span_text(F.col("text"), F.col("start"), F.col("end"))).drop("text")
+
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame([align(t or "", q, glyphs, limit) or (None, None) for t, q in zip(b["text"], b["quote"], strict=True)], columns=["start", "end"], dtype="Int64")
+def segmented(quotes: DataFrame, texts: DataFrame, key: str = "entry_id", glyphs: dict[int, str] | None = None, limit: int = LIMIT) -> DataFrame:
+    """quotes (key, quote, ...) with `spans`, an array of (start, end, excerpt), null where a part is not found."""
+    j = quotes.join(texts.select(key, "text"), key)
 
-    def spans(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for t, q in parts:
-            yield next(run(iter([pd.DataFrame({"text": t, "quote": q})])))
+    def find(t: str, q: str) -> list[dict] | None:
+        own = align_segments(t, q, glyphs, limit)
+        return None if own is None else [{"start": a, "end": b, "excerpt": t[a:b]} for a, b in own]
 
-    found = rest.withColumn("_qm_s", F.pandas_udf(spans, "start long, end long")("text", "quote")).withColumns({"start": F.col("_qm_s.start"), "end": F.col("_qm_s.end")}).drop("_qm_s")
-    return exact.unionByName(found).withColumn("excerpt", span_text(F.col("text"), F.col("start"), F.col("end"))).drop("text")
+    return j.withColumn("spans", _spans(j, find, "array<struct<start: long, end: long, excerpt: string>>")).drop("text")
+
+
+def settle(quotes: DataFrame, texts: DataFrame, required: DataFrame, key: str = "entry_id", glyphs: dict[int, str] | None = None, limit: int = LIMIT) -> tuple[DataFrame, DataFrame]:
+    """Evidence of the quotes (key, quote, supports) that stand in their source, and what becomes of the entries.
+
+    A quote that does not align whole is tried by segments, each of which carries its
+    supports; one that does not align at all goes. An entry that has lost all evidence of
+    a required support (key, support) is not ok: it fails closed instead of standing
+    without proof. Returns (key, excerpt, start, end, supports) and (key, dropped, lost, ok).
+    """
+    whole = aligned(quotes, texts, key, glyphs, limit)
+    parts = segmented(whole.filter("start is null").select(key, "quote", "supports"), texts, key, glyphs, limit)
+    found = whole.filter("start is not null").select(key, "excerpt", "start", "end", "supports").unionByName(parts.select(key, "supports", F.inline("spans")).select(key, "excerpt", "start", "end", "supports"))
+    evidence = found.groupBy(key, "excerpt").agg(F.min("start").alias("start"), F.min("end").alias("end"), F.sort_array(F.array_distinct(F.flatten(F.collect_set("supports")))).alias("supports"))
+    dropped = parts.filter("spans is null").groupBy(key).agg(F.count("*").alias("dropped"))
+    have = evidence.select(key, F.explode("supports").alias("support")).distinct()
+    lost = required.distinct().join(have, [key, "support"], "left_anti").groupBy(key).agg(F.sort_array(F.collect_set("support")).alias("lost"))
+    entries = texts.select(key).join(dropped, key, "left").join(lost, key, "left")
+    entries = entries.select(key, F.coalesce("dropped", F.lit(0)).alias("dropped"), F.coalesce("lost", F.array().cast("array<string>")).alias("lost"))
+    return evidence, entries.withColumn("ok", F.size("lost") == 0)
 
 
 def evidence_map(rows: DataFrame, key: str = "entry_id") -> DataFrame:

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import functions as F
 
 from quillmill.operators import evidence as ev
@@ -18,12 +15,21 @@ def texts(t):
     return t.documents.select(F.col("doc_id").alias("entry_id"), "text")
 
 
+def sources(t):
+    """Sources with an edition note in every sixth text, where there are no brackets yet."""
+    kind = F.when(F.rlike("text", F.lit(r"[\[\]()（）〈〉［］]")), 0).otherwise(F.col("entry_id") % 6)
+    return texts(t).select("entry_id", F.col("text").alias("plain"), kind.alias("kind")).withColumn("text", F.when(F.col("kind") == 4, F.expr(_NOTED)).otherwise(F.col("plain")))
+
+
+_NOTED = "substring(plain, 1, 35) || '（一作字）' || substring(plain, 36)"
+
+
 def quotes(t):
-    """A quote a document: exact, without its punctuation, shortened by an ellipsis, or foreign."""
-    k = F.col("entry_id") % 4
-    own = F.substring("text", 31, 40)
-    q = F.when(k == 0, own).when(k == 1, F.regexp_replace(own, r"[\p{P}\s]", "")).when(k == 2, F.concat(F.substring("text", 31, 14), F.lit("…"), F.substring("text", 57, 14))).otherwise("nowhere to be found")
-    return texts(t).select("entry_id", q.alias("quote"))
+    """A quote a source: exact, without its punctuation, with a passage left out, foreign, without the source's note, or too long."""
+    k, own = F.col("kind"), F.substring("plain", 31, 40)
+    short = F.concat(F.substring("plain", 31, 14), F.lit("……"), F.substring("plain", 57, 14))
+    q = F.when(k.isin(0, 4), own).when(k == 1, F.regexp_replace(own, r"[\p{P}\s]", "")).when(k == 2, short).when(k == 3, "nowhere to be found").otherwise(F.substring("plain", 31, 100))
+    return sources(t).select("entry_id", q.alias("quote"))
 
 
 @query("e1_exact_quotes", f"WITH {_TEXTS}, q AS (SELECT entry_id, text, regexp_replace(substr(text, 31, 40), '^\\s+|\\s+$', '', 'g') AS quote FROM t) SELECT entry_id, CASE WHEN length(quote) >= 2 THEN position(quote IN text) - 1 END AS start, CASE WHEN length(quote) >= 2 THEN position(quote IN text) - 1 + length(quote) END AS end_, CASE WHEN length(quote) >= 2 THEN quote END AS excerpt FROM q")
@@ -32,37 +38,50 @@ def _(t):
     return ev.aligned(own, texts(t)).select("entry_id", "start", F.col("end").alias("end_"), "excerpt")
 
 
-#: The ladder by kind of quote. A shortened quote needs both parts, each alone in the text; one without punctuation
-#: is found literally, or once among the characters that are none (`k` their places, `b` their string).
-_LADDER = r"""q AS (SELECT entry_id, text, CASE entry_id % 4 WHEN 0 THEN substr(text, 31, 40) WHEN 1 THEN regexp_replace(substr(text, 31, 40), '[\p{P}\s]', '', 'g') WHEN 2 THEN substr(text, 31, 14) || '…' || substr(text, 57, 14) ELSE 'nowhere to be found' END AS quote FROM t),
-x AS (SELECT *, regexp_replace(quote, '^\s+|\s+$', '', 'g') AS z, regexp_replace(text, '[\p{P}\p{Z}\s]', '', 'g') AS b, regexp_replace(quote, '[\p{P}\p{Z}\s]', '', 'g') AS zb, list_filter(range(1, length(text) + 1), lambda i: NOT regexp_matches(string_split(text, '')[i], '[\p{P}\p{Z}\s]')) AS k,
- list_filter(string_split_regex(regexp_replace(quote, '^\s+|\s+$', '', 'g'), '\s*(?:…+|\.{3,})\s*'), lambda p: p <> '') AS parts FROM q),
-y AS (SELECT *, position(parts[1] IN text) - 1 AS p1, position(parts[2] IN text) - 1 AS p2, position(zb IN b) AS pb FROM x),
-l AS (SELECT entry_id, quote, text, CASE WHEN length(z) < 2 THEN NULL WHEN contains(text, z) THEN [position(z IN text) - 1, position(z IN text) - 1 + length(z)]
- WHEN len(parts) = 2 THEN CASE WHEN p1 >= 0 AND p2 >= p1 + length(parts[1]) AND position(parts[1] IN substr(text, p1 + 2)) = 0 AND position(parts[2] IN substr(text, p2 + 2)) = 0 THEN [p1, p2 + length(parts[2])] END
- WHEN len(parts) > 2 THEN NULL
- WHEN length(zb) >= 4 AND pb > 0 AND position(zb IN substr(b, pb + 1)) = 0 THEN [k[pb] - 1, k[pb + length(zb) - 1]] END AS span FROM y),
+#: The ladder by kind of quote: literally (cut behind the last sentence end of 80 characters, or there); a marked omission
+#: between parts that stand once; the source without its note, five characters behind the 35th; what is left without
+#: punctuation, once (`k` the places of `b`).
+_LADDER = r"""k0 AS (SELECT entry_id, text AS plain, CASE WHEN regexp_matches(text, '[\[\]()（）〈〉［］]') THEN 0 ELSE entry_id % 6 END AS kind FROM t),
+q AS (SELECT *, CASE WHEN kind = 4 THEN substr(plain, 1, 35) || '（一作字）' || substr(plain, 36) ELSE plain END AS text, CASE kind WHEN 1 THEN regexp_replace(substr(plain, 31, 40), '[\p{P}\s]', '', 'g') WHEN 2 THEN substr(plain, 31, 14) || '……' || substr(plain, 57, 14) WHEN 3 THEN 'nowhere to be found' WHEN 5 THEN substr(plain, 31, 100) ELSE substr(plain, 31, 40) END AS quote FROM k0),
+x AS (SELECT *, regexp_replace(quote, '^\s+|\s+$', '', 'g') AS z, regexp_replace(text, '[\p{P}\p{Z}\p{Cf}\p{Cc}\s]', '', 'g') AS b, regexp_replace(quote, '[\p{P}\p{Z}\p{Cf}\p{Cc}\s]', '', 'g') AS zb, CASE WHEN kind IN (1, 2) THEN string_split(text, '') END AS ch,
+ string_split(regexp_replace(quote, '^\s+|\s+$', '', 'g'), '……') AS parts FROM q),
+y AS (SELECT *, list_filter(range(1, len(ch) + 1), lambda i: NOT regexp_matches(ch[i], '[\p{P}\p{Z}\p{Cf}\p{Cc}\s]')) AS k, position(z IN text) - 1 AS p, position(z IN plain) - 1 AS pn, position(parts[1] IN text) - 1 AS p1, position(parts[2] IN text) - 1 AS p2, position(zb IN b) AS pb, length(regexp_extract(substr(z, 1, 80), '(?s)^.+[。！？；\n\r]')) AS cut FROM x),
+l AS (SELECT entry_id, quote, text, CASE WHEN length(z) < 2 THEN NULL
+ WHEN contains(text, z) THEN [p, p + CASE WHEN length(z) <= 80 THEN length(z) WHEN cut > 0 THEN cut ELSE 80 END]
+ WHEN kind = 2 AND length(parts[1]) >= 2 AND length(parts[2]) >= 2 AND p1 >= 0 AND p2 >= p1 + length(parts[1]) AND length(replace(text, parts[1], '')) = length(text) - length(parts[1]) AND length(replace(text, parts[2], '')) = length(text) - length(parts[2]) THEN [p1, p2 + length(parts[2])]
+ WHEN kind = 4 THEN [pn + CASE WHEN pn >= 35 THEN 5 ELSE 0 END, pn + length(z) + CASE WHEN pn + length(z) > 35 THEN 5 ELSE 0 END]
+ WHEN kind IN (1, 2) AND length(zb) >= 2 AND pb > 0 AND length(replace(b, zb, '')) = length(b) - length(zb) THEN [k[pb] - 1, k[pb + length(zb) - 1]] END AS span FROM y),
 r AS (SELECT entry_id, quote, CASE WHEN span[2] - span[1] <= 80 THEN span[1] END AS start, CASE WHEN span[2] - span[1] <= 80 THEN span[2] END AS end_, text FROM l)"""
 
 
 @query("e1_aligned_quotes", f"WITH {_TEXTS}, {_LADDER} SELECT entry_id, quote, start, end_, substr(text, start + 1, end_ - start) AS excerpt FROM r")
 def _(t):
-    return ev.aligned(quotes(t), texts(t)).select("entry_id", "quote", "start", F.col("end").alias("end_"), "excerpt")
+    return ev.aligned(quotes(t), sources(t)).select("entry_id", "quote", "start", F.col("end").alias("end_"), "excerpt")
 
 
-@query("e2_segmented_quotes")
-def _(t):
-    def run(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for x, q in parts:
-            yield pd.Series([[v for s in (ev.align_segments(a, b) or []) for v in s] for a, b in zip(x, q, strict=True)])
+#: Parts cut from the text stand in it literally; all must have two characters, stand once and in order.
+_SEGMENTS = r"""q AS (SELECT entry_id, text, CASE entry_id % 3 WHEN 0 THEN substr(text, 31, 14) || '……' || substr(text, 57, 14) WHEN 1 THEN substr(text, 11, 12) || '...' || substr(text, 41, 9) || '……' || substr(text, 71, 20) ELSE substr(text, 57, 14) || '....' || substr(text, 31, 14) END AS quote FROM t),
+s AS (SELECT *, list_transform(string_split_regex(quote, '……|\.{3,}'), lambda p: regexp_replace(p, '^\s+|\s+$', '', 'g')) AS parts FROM q),
+p AS (SELECT *, list_transform(parts, lambda p: position(p IN text) - 1) AS spot FROM s),
+g AS (SELECT *, len(parts) >= 2 AND len(list_filter(parts, lambda p: length(p) < 2)) = 0 AND len(list_filter(parts, lambda p: length(p) >= 2 AND length(replace(text, p, '')) <> length(text) - length(p))) = 0 AND len(list_filter(range(1, len(parts)), lambda i: spot[i + 1] < spot[i] + length(parts[i]))) = 0 AS fine FROM p)"""
 
-    j = quotes(t).join(texts(t), "entry_id")
-    return j.select("entry_id", F.pandas_udf(run, "array<long>")("text", "quote").alias("places"))
+
+@query("e2_segmented_quotes", f"WITH {_TEXTS}, {_SEGMENTS} SELECT entry_id, CASE WHEN fine THEN array_to_string(list_transform(range(1, len(parts) + 1), lambda i: spot[i] || '-' || (spot[i] + length(parts[i]))), ',') END AS places FROM g")
+def _(t):
+    piece = lambda a, n: F.substring("text", a, n)
+    k = F.col("entry_id") % 3
+    q = F.when(k == 0, F.concat(piece(31, 14), F.lit("……"), piece(57, 14))).when(k == 1, F.concat(piece(11, 12), F.lit("..."), piece(41, 9), F.lit("……"), piece(71, 20))).otherwise(F.concat(piece(57, 14), F.lit("...."), piece(31, 14)))
+    found = ev.segmented(texts(t).select("entry_id", q.alias("quote")), texts(t))
+    return found.select("entry_id", F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))), ",").alias("places"))
 
 
-@query("e3_drop_unaligned", f"WITH {_TEXTS}, {_LADDER} SELECT entry_id, start IS NOT NULL AS kept FROM r")
+@query("e3_drop_unaligned", f"WITH {_TEXTS}, {_LADDER} SELECT entry_id, (start IS NULL)::BIGINT AS dropped, CASE WHEN start IS NULL THEN 'tone,' ELSE '' END || CASE WHEN entry_id % 4 = 0 THEN 'end' ELSE '' END AS lost, start IS NOT NULL AND entry_id % 4 <> 0 AS ok FROM r")
 def _(t):
-    return ev.aligned(quotes(t), texts(t)).select("entry_id", F.col("start").isNotNull().alias("kept"))
+    own = quotes(t).withColumn("supports", F.array(F.lit("tone")))
+    title = texts(t).filter("entry_id % 4 <> 0").select("entry_id", F.substring("text", 1, 20).alias("quote"), F.array(F.lit("end")).alias("supports"))
+    need = texts(t).select("entry_id", F.explode(F.array(F.lit("tone"), F.lit("end"))).alias("support"))
+    _, entries = ev.settle(own.unionByName(title.filter("length(trim(quote)) >= 2")), sources(t), need)
+    return entries.select("entry_id", "dropped", F.concat(F.when(F.array_contains("lost", "tone"), "tone,").otherwise(""), F.when(F.array_contains("lost", "end"), "end").otherwise("")).alias("lost"), "ok")
 
 
 #: An excerpt has two characters at least, so that short texts have fewer.
