@@ -257,14 +257,6 @@ def _(t):
     return t.documents.join(t.labels, "doc_id").select("doc_id", F.when(unsure, "low").otherwise("high").alias("confidence"), F.size(grown).alias("lineage_length"), SHA("text").alias("current_hash"))
 
 
-@query("c9_closure", f"WITH {_BROKEN} SELECT count(*) AS chains, count(*) FILTER (NOT parent) AS parent_ok, count(*) FILTER (NOT gap) AS contiguous, count(*) FILTER (NOT repeated) AS hashes_unique FROM y")
-def _(t):
-    bad = lg.lineage_check(chain(t), "conv_id").groupBy("code").agg(F.count("*").alias("n"))
-    total = t.conversations.agg(F.count_distinct("conv_id").alias("chains"))
-    by = total.join(F.broadcast(bad.groupBy().pivot("code", ["parent", "gap", "repeated"]).agg(F.sum("n"))), how="left").na.fill(0)
-    return by.select("chains", (F.col("chains") - F.col("parent")).alias("parent_ok"), (F.col("chains") - F.col("gap")).alias("contiguous"), (F.col("chains") - F.col("repeated")).alias("hashes_unique"))
-
-
 @query("c10_rereview_coverage", "SELECT count(*) AS repaired, count(*) FILTER (doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)) AS passed FROM labels WHERE toxic = 1")
 def _(t):
     passed = t.labels.filter("quality = 1").select("doc_id").withColumn("p", F.lit(1))

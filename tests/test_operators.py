@@ -284,3 +284,28 @@ def test_positions_are_the_same_however_rows_are_dealt(spark):
     for s in ("a", None):
         own = sorted(r.doc_id for r in rows.collect() if r.source == s)
         assert [got[d] for d in own] == list(range(len(own)))
+
+
+def test_every_check_of_the_closure_is_broken_somewhere(spark):
+    from quillmill.operators import closure
+    from quillmill.plans import closure as plans
+
+    planted = {code for f in plans.FAULTS for code in f[3].split()}
+    history = {"history_absent", "history_iteration", "history_prefix", "history_envelope_lineage", "history_envelope_hash"}
+    names = set(closure.entry_checks(plans.CURRENT)) | history
+    assert len(names) > 80 and not names - planted
+
+
+def test_closure_options(spark):
+    """Contracts are checks of their own, a run that must have passed says who has not, and empty ledgers close."""
+    from quillmill.operators import closure
+    from quillmill.plans import closure as plans
+
+    docs = spark.createDataFrame([(plans.EVERY, "one text", "en", "w"), (2 * plans.EVERY, "other text", "en", "w")], "doc_id long, text string, lang string, source string")
+    own = plans.ledgers(docs)
+    tables = [own[k] for k in ("source", "annotation", "review", "repair", "history")]
+    assert closure.closure(*tables, plans.CURRENT).count() == 0
+    strict = closure.closure(*tables, plans.CURRENT, {"schema": F.get_json_object("repair_effective", "$.of").cast("long") > plans.EVERY}, require_passed=True)
+    assert sorted(map(tuple, strict.collect())) == [(plans.EVERY, "review_not_passed"), (plans.EVERY, "schema"), (2 * plans.EVERY, "review_not_passed")]
+    assert {r.code: r.entries for r in closure.summary(own["repair"], strict).collect()} == {"review_not_passed": 2, "schema": 1, "closed": 0}
+    assert closure.closure(*[x.limit(0) for x in tables], plans.CURRENT).count() == 0
