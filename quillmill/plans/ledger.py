@@ -348,11 +348,6 @@ def _(t):
     return rv.drift(then, now, "entry_id", ["text_hash", "chars"])
 
 
-@query("v13_review_run", f"WITH {_EV} SELECT mode, count(*) AS rows, count(DISTINCT entry_id) AS entries, count(*) = count(DISTINCT event_id) AS ids_unique FROM e GROUP BY mode")
-def _(t):
-    return log(t).groupBy("mode").agg(F.count("*").alias("rows"), F.count_distinct("entry_id").alias("entries"), (F.count("*") == F.count_distinct("event_id")).alias("ids_unique"))
-
-
 @query("v10_status_rules", f"WITH {_LAST} SELECT entry_id, 'done_without_attempts' AS code FROM l WHERE status = 'valid' AND attempts < 60")
 def _(t):
     from quillmill.operators import curation

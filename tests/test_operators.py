@@ -309,3 +309,23 @@ def test_closure_options(spark):
     assert sorted(map(tuple, strict.collect())) == [(plans.EVERY, "review_not_passed"), (plans.EVERY, "schema"), (2 * plans.EVERY, "review_not_passed")]
     assert {r.code: r.entries for r in closure.summary(own["repair"], strict).collect()} == {"review_not_passed": 2, "schema": 1, "closed": 0}
     assert closure.closure(*[x.limit(0) for x in tables], plans.CURRENT).count() == 0
+
+
+def test_a_review_run_that_is_whole_says_nothing(spark):
+    from quillmill.operators import review_run
+    from quillmill.plans import reviews
+
+    docs = spark.range(1, 400).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    codes = spark.createDataFrame(reviews.CODES, "stage_code string, code string")
+    final = ("pass", "revise")
+
+    def told(x):
+        return review_run.review_run(x["entry"], x["annotation"], x["omission"].unionByName(x["contradiction"]), x["merged"], codes, reviews.WANTED, final)
+
+    whole = reviews.run(docs)
+    assert told(whole).count() == 0 and told({k: v.limit(0) for k, v in whole.items()}).count() == 0
+    # one entry holds a third of all issues: it is spread by issue
+    many = F.transform(F.sequence(F.lit(1), F.lit(700)), lambda k: F.struct(F.lit("wrong_end").alias("code"), F.lit("end").alias("field"), k.cast("string").alias("excerpt"), F.lit("h").alias("hint")))
+    hot = whole["contradiction"].withColumns({c: F.when(F.col("entry_id") == 7, many).otherwise(F.col(c)) for c in ("issues", "raw")})
+    got = [tuple(r) for r in told(whole | {"contradiction": hot}).collect()]
+    assert sorted(got) == [(7, "merged:added", 1), (7, "merged:lost", 700)]
