@@ -113,8 +113,8 @@ def direction_scores(expected: DataFrame, found: DataFrame, key: str = "entry_id
     return hits.groupBy("direction").agg(F.count("*").alias("expected"), F.count("hit").alias("detected"), rate(F.count("hit"), F.count("*")).alias("recall"))
 
 
-def strict_audit(reviews: DataFrame, hashes: DataFrame, key: str = "entry_id") -> DataFrame:
-    """One row: whether every review's hash is the expected one, and its score only then."""
+def strict_audit(reviews: DataFrame, hashes: DataFrame, key: str = "entry_id", by: Sequence[str] = ()) -> DataFrame:
+    """One row (a row of each group `by`): whether every review is there with the expected hash, and its score only then."""
     j = hashes.join(reviews, key, "left")
     ok = F.bool_and(F.coalesce(F.col("review_hash") == F.col("expected_hash"), F.lit(False)))
-    return j.agg(ok.alias("complete"), F.count("*").alias("rows")).withColumn("audited", F.when(F.col("complete"), F.col("rows")))
+    return j.groupBy(*by).agg(ok.alias("complete"), F.count("*").alias("rows")).withColumn("audited", F.when(F.col("complete"), F.col("rows")))

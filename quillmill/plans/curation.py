@@ -193,16 +193,6 @@ def _(t):
     return curation.issue_histogram(found, "doc_id").withColumn("examples", F.array_join("examples", ","))
 
 
-@query("v2_corpus_rules", "WITH d AS (SELECT count(*) AS n, count(DISTINCT doc_id) AS ids, count(*) FILTER (length(trim(text)) < 20) AS rejected FROM documents) SELECT ids = n AS ids_unique, true AS one_canonical_per_hash, true AS counts_add_up FROM d")
-def _(t):
-    m = marked(t)
-    by = m.groupBy("normal_sha256").agg(F.count_if("runtime_eligible").alias("c"))
-    one = by.agg(F.bool_and(F.col("c") == 1).alias("one_canonical_per_hash"))
-    ok = F.length(F.trim("text")) >= 20
-    rest = m.agg((F.count("*") == F.count_distinct("entry_id")).alias("ids_unique"), (F.count("*") == F.count_if(ok) + F.count_if(~ok)).alias("counts_add_up"))
-    return rest.crossJoin(one).select("ids_unique", "one_canonical_per_hash", "counts_add_up")
-
-
 @query("v4_layer_rules", "SELECT p_brand AS family, count(*) FILTER (p_size % 2 = 0) AS primaries, count(*) FILTER (p_size % 2 = 1) AS witnesses, count(DISTINCT p_type) AS types, count(*) FILTER (p_size % 2 = 0) = 1 AS ok FROM part GROUP BY p_brand")
 def _(t):
     first = F.count_if(F.col("p_size") % 2 == 0)

@@ -223,8 +223,3 @@ def _(t):
 
     d = t.documents.withColumns({"h": F.when(F.col("doc_id") % 4 == 0, "old").otherwise(tx.text_hash(F.col("text"))), "c": F.when(F.col("doc_id") % 6 == 0, -1).otherwise(F.length("text"))})
     return curation.issues(d, "doc_id", {"hash": F.col("h") == tx.text_hash(F.col("text")), "chars": F.col("c") == F.length("text")})
-
-
-@query("v11_whole_run", f"WITH {_NUM} SELECT count(*) AS evidence, count(DISTINCT entry_id) AS entries, count(*) FILTER (length(excerpt) > 80) AS too_long, count(*) > 0 AS has_rows FROM n")
-def _(t):
-    return numbered(t).agg(F.count("*").alias("evidence"), F.count_distinct("entry_id").alias("entries"), F.count_if(F.length("excerpt") > 80).alias("too_long"), (F.count("*") > 0).alias("has_rows"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from quillmill.functions import text as tx
@@ -11,7 +13,7 @@ from quillmill.plans.retrieval import _GRAMS, titled
 from quillmill.registry import query
 from quillmill import shared
 from quillmill.shared import shared_folder
-from quillmill.sources import files, pages
+from quillmill.sources import files, pages, snapshots
 from quillmill.streaming import sessions
 
 
@@ -82,10 +84,49 @@ def _(t):
     return told.unionByName(found)
 
 
-@query("s10_publish_entries", "SELECT source AS work, count(*) AS n FROM (SELECT source, row_number() OVER (PARTITION BY regexp_replace(text, '[\\p{P}\\p{Z}]', '', 'g') ORDER BY source, doc_id) AS k FROM documents) WHERE k = 1 GROUP BY source")
+def published(t):
+    """Marked entries with all columns of the published table."""
+    own = F.col("entry_id").cast("string")
+    more = {
+        "source_key": F.concat_ws("/", "work", own), "work_title": F.initcap("work"), "work_period": F.col("lang"), "volume": F.lit("1"), "locator": F.concat(F.lit("p"), own), "ordinal": F.col("entry_id").cast("int"),
+        "title": F.substring("text", 1, 12), "title_origin": F.lit("first_words"), "url": F.concat(F.lit("https://example.org/"), own), "text_mode": F.lit("source"), "catalog_status": F.lit("raw"),
+        "production_eligible": F.lit(False), "full_text_search": F.col("entry_id") % 3 != 0,
+    }
+    return marked(t).withColumns(more)
+
+
+_FIRST_OF = "m AS (SELECT source AS work, doc_id, row_number() OVER (PARTITION BY regexp_replace(text, '[\\p{P}\\p{Z}]', '', 'g') ORDER BY source, doc_id) AS k FROM documents)"
+
+
+@query("s10_publish_entries", f"WITH {_FIRST_OF} SELECT work, count(*) AS n, count(*) FILTER (k = 1 AND doc_id % 3 <> 0) AS searchable, (SELECT count(*) FROM m) AS all_rows, (SELECT count(*) FROM m WHERE k = 1 AND doc_id % 3 <> 0) AS all_searchable FROM m GROUP BY work")
+def _(t):
+    path = folder(t, "published")
+    told = files.publish_entries(published(t), path)["metrics"]
+    rows = snapshots.read(t.spark, path).groupBy("work").agg(F.count("*").alias("n"), F.count_if((F.col("dedupe_status") == "canonical") & F.col("full_text_search")).alias("searchable"))
+    return rows.withColumns({"all_rows": F.lit(told["rows"]), "all_searchable": F.lit(told["searchable"])})
+
+
+#: A row that is not as it should be, or a column that is not there, and what publication says to it.
+_SPOILT = {"char_count": "char_count + 1", "text_sha256": "'x'", "normal_sha256": "'x'", "canonical_id": "-1L", "production_eligible": "true", "title": "null", "entry_id": "0L", "ordinal": "-1"}
+
+
+@query("s10_refused_entries", "SELECT unnest(['canonical_id', 'char_count', 'entry_id', 'normal_sha256', 'ordinal', 'production_eligible', 'text_sha256', 'title', 'url']) AS spoilt, unnest([m, n, 1, n, n, n, n, n, 0]) AS rows, unnest([false, false, true, false, false, false, false, false, true]) AS other FROM (SELECT count(*) AS n, count(*) FILTER (k = 1) AS m FROM (SELECT doc_id, row_number() OVER (PARTITION BY regexp_replace(text, '[\\p{P}\\p{Z}]', '', 'g') ORDER BY source, doc_id) AS k FROM documents) WHERE doc_id % 7 = 1)")
 def _(t):
-    m = marked(t).filter("runtime_eligible").withColumn("production_eligible", F.lit(False))
-    return files.publish_entries(m, folder(t, "published"), "work").groupBy("work").agg(F.count("*").alias("n"))
+    # a publication a column: every seventh row is spoilt, and none may be published
+    good, out = shared.keep(published(t), "entries"), []
+    for column, change in [*_SPOILT.items(), ("url", None)]:
+        path = folder(t, "refused")
+        bad = good.drop(column) if change is None else good.withColumn(column, F.when(F.col("ordinal") % 7 == 1, F.expr(change).cast(good.schema[column].dataType)).otherwise(F.col(column)))
+        try:
+            files.publish_entries(bad, path)
+            out.append((column, -1, False))
+        except ValueError as e:
+            counts = dict(re.findall(r"'(\w+)': (\d+)", str(e)))
+            other = "missing" in str(e) or f"repeated_{column}" in counts
+            out.append((column, int(counts.get(f"repeated_{column}", counts.get(column, 0))), other))
+        if snapshots.versions(t.spark, path):
+            out.append((column, -2, False))
+    return t.spark.createDataFrame(out, "spoilt string, rows long, other boolean")
 
 
 @query("s11_full_text_index", f"WITH {_GRAMS} SELECT gram, field, count(DISTINCT doc_id) AS entries, count(*) AS tf FROM g GROUP BY gram, field")

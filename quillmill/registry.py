@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
-MODULES = ("corpus", "curation", "ledger", "retrieval", "evidence", "streams", "closure", "reviews")
+MODULES = ("corpus", "curation", "ledger", "retrieval", "evidence", "streams", "closure", "reviews", "runs")
 
 
 class Tables:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmill.operators.sampling import with_shard
+from quillmill.sources import snapshots
 
 
 def file_hashes(spark: SparkSession, path: str) -> DataFrame:
@@ -67,32 +68,40 @@ def read_envelope(spark: SparkSession, path: str, schema: str, gates: Column, re
     return whole.filter(F.coalesce(gates, F.lit(False))).select(F.inline(records))
 
 
-def entry_checks(entries: DataFrame) -> dict[str, Column]:
-    """What must hold for every published row, as far as the table has the columns."""
+#: The columns of the published table.
+ENTRY_COLUMNS = (
+    "entry_id", "source_key", "work", "work_title", "work_period", "volume", "locator", "ordinal", "title", "title_origin", "url",
+    "char_count", "text_mode", "text", "text_sha256", "normal_sha256", "dedupe_status", "canonical_id", "catalog_status",
+    "runtime_eligible", "production_eligible", "full_text_search",
+)
+
+
+def entry_checks() -> dict[str, Column]:
+    """What must hold for every published row; all 22 columns have a value."""
     c = F.col
-    checks = {
-        "entry_id": c("entry_id").isNotNull(),
+    canonical = c("dedupe_status") == "canonical"
+    checks = {k: c(k).isNotNull() for k in ENTRY_COLUMNS}
+    return checks | {
+        "ordinal": c("ordinal") >= 0,
         "text": F.length("text") >= 1,
         "char_count": c("char_count") == F.length("text"),
         "text_sha256": c("text_sha256") == F.sha2(c("text").cast("binary"), 256),
         "normal_sha256": F.rlike("normal_sha256", F.lit("^[0-9a-f]{64}$")),
         "dedupe_status": c("dedupe_status").isin("canonical", "exact_duplicate"),
-        "canonical_pointer": (c("dedupe_status") == "canonical") == (c("canonical_id") == c("entry_id")),
-        "runtime_eligible": (c("dedupe_status") == "canonical") | ~c("runtime_eligible"),
+        "canonical_id": canonical == (c("canonical_id") == c("entry_id")),
+        "runtime_eligible": canonical | ~c("runtime_eligible"),
         "production_eligible": ~c("production_eligible"),
     }
-    needs = {"canonical_pointer": ["dedupe_status", "canonical_id"], "runtime_eligible": ["dedupe_status", "runtime_eligible"]}
-    return {k: F.coalesce(v, F.lit(False)) for k, v in checks.items() if set(needs.get(k, [k])) <= set(entries.columns)}
-
-
-def publish_entries(entries: DataFrame, path: str, work: str, salts: int = 16) -> DataFrame:
-    """Writes the published table by work and reads it back; a row that breaks a check, or an id that is there twice, fails the whole publication."""
-    checks = entry_checks(entries)
-    broken = entries.agg(*[F.count_if(~v).alias(k) for k, v in checks.items()]).first().asDict()
-    broken["repeated_id"] = entries.groupBy("entry_id").agg(F.count("*").alias("n")).filter("n > 1").count()
-    if bad := {k: n for k, n in broken.items() if n}:
-        raise ValueError(f"not published, rows break checks: {bad}")
-    # a work of any size is written by several tasks
-    salt = F.pmod(F.xxhash64("entry_id"), F.lit(salts))
-    entries.withColumn("_qm_salt", salt).repartition(work, "_qm_salt").drop("_qm_salt").write.partitionBy(work).mode("overwrite").parquet(path)
-    return entries.sparkSession.read.parquet(path)
+
+
+def publish_entries(entries: DataFrame, path: str, work: str = "work", files_each: int = 16) -> dict:
+    """Publishes the entries table as a version of its snapshots and returns what its marker says.
+
+    A column that is missing is an error, and so is a row that breaks a check or a value
+    of entry_id or source_key that is there twice; nothing is published then. Counts of
+    all rows and of searchable ones are gathered in the same pass.
+    """
+    if gone := [c for c in ENTRY_COLUMNS if c not in entries.columns]:
+        raise ValueError(f"not published, columns are missing: {gone}")
+    searchable = F.count_if((F.col("dedupe_status") == "canonical") & F.col("full_text_search"))
+    return snapshots.publish(entries.select(*ENTRY_COLUMNS), path, entry_checks(), ("entry_id", "source_key"), (work,), {"searchable": searchable, "canonical": F.count_if(F.col("dedupe_status") == "canonical")}, files_each=files_each)
