@@ -21,29 +21,53 @@ def folder(t, name: str) -> str:
     return shared_folder(t.spark, name)
 
 
-@query("s2_heading_segments", "SELECT page_id, 1 AS ordinal, 1 AS level FROM pages WHERE html LIKE '%<h1>%'")
+#: What pages get at the end of their article: a list, a block, an advert, a nested section that says "again".
+_ADDED = '<ul><li>one </li><li>two</li></ul><div>three</div><div class="x noprint">four</div><table><tr><td>five</td></tr></table><section><h2>又</h2>six<p>seven &amp; eight</section>'
+
+
+def richer(t):
+    return t.pages.withColumn("html", F.replace("html", F.lit("</article>"), F.lit(f"{_ADDED}</article>")))
+
+
+def _plain(x: str) -> str:
+    """SQL of the text of a piece of HTML."""
+    return rf"trim(regexp_replace(replace(replace(replace(regexp_replace(regexp_replace({x}, '<br>', ' ', 'g'), '<[^>]*>', '', 'g'), '&quot;', chr(34)), '&lt;', '<'), '&amp;', '&'), '[\s\p{{Z}}]+', ' ', 'g'))"
+
+
+#: Pieces of an article's text between marks of paragraphs.
+_PARTS = r"regexp_extract(html, '(?s)</h1>(.*?)</article>', 1)"
+_BODY = f"array_to_string(list_filter(list_transform(string_split_regex({_PARTS}, '</?p>'), lambda x: {_plain('x')}), lambda x: x <> ''), chr(10))"
+_TITLE = _plain("regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)")
+
+
+@query("s2_heading_segments", f"WITH p AS (SELECT page_id, {_TITLE} AS title, {_BODY} AS body FROM pages) SELECT page_id, 1 AS ordinal, 1 AS level, title, concat_ws(chr(10), nullif(body, ''), 'one two', 'three') AS body, NULL AS parent_heading FROM p UNION ALL SELECT page_id, 2, 2, title || '·又', 'seven & eight', title FROM p")
 def _(t):
-    return pages.segment_by_heading(t.pages, (1,)).select("page_id", "ordinal", "level")
+    return pages.segment_by_heading(richer(t), (1, 2))
 
 
-@query("s3_level_table", "SELECT page_id, 1 AS level FROM pages WHERE html LIKE '%<h1>%' AND page_id % 2 = 0")
+@query("s3_level_table", f"WITH p AS (SELECT page_id, {_TITLE} AS title, {_BODY} AS body FROM pages), x AS (SELECT title FROM p WHERE page_id % 10 = 4) SELECT page_id, 1 AS ordinal, 1 AS level, title, concat_ws(chr(10), nullif(body, ''), 'one two', 'three') AS body FROM p WHERE page_id % 3 = 0 AND title NOT IN (SELECT title FROM x) UNION ALL SELECT page_id, 1, 2, title || '·又', 'seven & eight' FROM p WHERE page_id % 3 = 1")
 def _(t):
-    p = t.pages.withColumn("kind", F.when(F.col("page_id") % 2 == 0, "one").otherwise("two"))
-    levels = t.spark.createDataFrame([("one", [1]), ("two", [2, 3])], "kind string, levels array<int>")
-    return pages.segment_by_level_table(p, levels, "kind").select("page_id", "level")
+    # sources by page: headings of level 1 where there are second ones, of level 2 where there are no third ones, none
+    p = richer(t).withColumn("kind", F.element_at(F.array(F.lit("one"), F.lit("two"), F.lit("three")), (F.col("page_id") % 3 + 1).cast("int")))
+    levels = t.spark.createDataFrame([("one", [1], [3], 2), ("two", [3], [2], 3), ("three", [3, 4], [5], 2)], "kind string, deep array<int>, shallow array<int>, split int")
+    named = pages.segment_by_heading(t.pages.filter("page_id % 10 = 4"), (1,)).select("title")
+    return pages.segment_by_level_table(p, levels, "kind", titles=named).select("page_id", "ordinal", "level", "title", "body")
+
+
+_P = rf"list_filter(list_transform(string_split_regex(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '(?:</p>)?<p>')[2:], lambda x: {_plain('x')}), lambda x: true)"
 
 
-@query("s4_paragraph_segments")
+@query("s4_paragraph_segments", f"WITH p AS (SELECT page_id, {_P} AS l FROM pages), k AS (SELECT page_id, list_filter(CASE WHEN page_id % 5 = 0 THEN l[2:] ELSE l END, lambda x: x <> '') AS l FROM p), u AS (SELECT page_id, unnest(range(1, len(l) + 1)) AS ordinal, l FROM k) SELECT page_id, ordinal::INT AS ordinal, page_id || '·' || ordinal AS title, l[ordinal] AS body FROM u")
 def _(t):
     skip = t.pages.filter("page_id % 5 = 0").select("page_id")
-    return pages.segment_by_paragraph(t.pages, skip).select("page_id", "ordinal", "title", F.length("body").alias("chars"))
+    return pages.segment_by_paragraph(t.pages, skip)
 
 
-@query("s5_excluded_subtrees")
+@query("s5_excluded_subtrees", "SELECT page_id, len(regexp_extract_all(html, '<[a-z]')) + 3 AS elements, len(regexp_extract_all(html, '<div class=.ad.>')) + 3 AS excluded FROM pages")
 def _(t):
-    everything = pages.segment_by_paragraph(t.pages, excluded=()).groupBy("page_id").agg(F.count("*").alias("all_paragraphs"))
-    kept = pages.segment_by_paragraph(t.pages, excluded=("ad", *pages.EXCLUDED)).groupBy("page_id").agg(F.count("*").alias("kept_paragraphs"))
-    return everything.join(kept, "page_id", "left").na.fill(0)
+    more = t.pages.withColumn("html", F.replace("html", F.lit("</body>"), F.lit('<div class="big AD"><p>in<b>it</b></div></body>')))
+    more = more.withColumn("html", F.when(F.contains("html", F.lit("</body>")), F.col("html")).otherwise(F.concat("html", F.lit('<div class="big AD"><p>in<b>it</b></div>'))))
+    return pages.excluded_subtrees(more, ("ad",))
 
 
 @query("s6_link_titles")

@@ -1,145 +1,242 @@
 """Web pages to segments: headings, paragraphs, excluded subtrees and link titles.
 
-HTML has no Spark function, so pages are parsed by the standard library's parser
-inside mapInPandas; a page is a row and partitions are independent. Rules (levels,
-excluded classes and titles, skipped first paragraphs) are parameters.
+HTML has no Spark function, so pages are parsed by the standard library's parser inside
+mapInPandas, a page a row, into a table of elements: a row an element or text, numbered
+in document order, with the number of the last thing inside it, its depth and its parent.
+What is inside what is then a comparison of numbers: bodies of sections, nested sections,
+excluded subtrees and headings above a heading are joins by page and interval. Rules
+(levels, excluded classes and titles, skipped first paragraphs) are parameters.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Classes whose elements and descendants are no story text.
+from quillmill import shared
+
+#: Classes whose elements and descendants are no story text, and titles that only say "again".
 EXCLUDED = ("license", "header", "noprint", "navbox")
+DITTO = ("又", "又一", "又二")
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-SILENT = {"script", "style", "nav", "table", "head"}
-BLOCKS = {"p", "div", "li", "article", "section", "br"}
+SILENT = {"script", "style", "nav", "head", "template"}
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+#: Elements whose beginning ends an open paragraph.
+BLOCKS = {"address", "article", "aside", "blockquote", "div", "dl", "fieldset", "footer", "form", *HEADINGS, "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul"}
+#: Elements that end an open one of the first kind, up to one of the second.
+ENDS = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr"}), "th": ({"td", "th"}, {"tr"})}
+TEXT = "#text"
+ELEMENT = "n int, last int, depth int, parent int, tag string, classes string, text string, silent boolean"
 
 
-class _Reader(HTMLParser):
-    """Runs through a page once and keeps headings, paragraphs and links in order."""
+class _Elements(HTMLParser):
+    """Numbers the elements and texts of a page; end tags that are left out are implied as browsers do."""
 
-    def __init__(self, excluded: tuple[str, ...]):
+    def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.excluded = excluded
-        self.stack: list[tuple[str, bool]] = []
-        self.items: list[list] = []  # [kind, level, text]
-        self.links: list[list[str]] = []
-        self.in_link = False
-
-    @property
-    def silent(self) -> bool:
-        return bool(self.stack) and self.stack[-1][1]
+        self.rows: list[list] = []
+        self.open: list[int] = []
+
+    def _add(self, tag: str, classes: str, text: str | None) -> int:
+        n, up = len(self.rows), self.open[-1] if self.open else -1
+        silent = tag in SILENT or (up >= 0 and self.rows[up][7])
+        self.rows.append([n, n, len(self.open), up, tag, classes, text, silent])
+        return n
+
+    def _end(self, tags: set[str], within: set[str] = frozenset()) -> None:
+        for k in range(len(self.open) - 1, -1, -1):
+            tag = self.rows[self.open[k]][4]
+            if tag in tags:
+                for n in self.open[k:]:
+                    self.rows[n][1] = len(self.rows) - 1
+                del self.open[k:]
+                return
+            if tag in within:
+                return
 
     def handle_starttag(self, tag, attrs):
-        a = dict(attrs)
-        if tag in VOID:
-            if tag == "br" and self.items and not self.silent:
-                self.items[-1][2] += "\n"
-            return
-        hidden = self.silent or tag in SILENT or any(x in (a.get("class") or "") for x in self.excluded)
-        if tag == "p":
-            self._close("p")
-        self.stack.append((tag, hidden))
-        if tag == "a" and a.get("href"):
-            self.links.append([a["href"], ""])
-            self.in_link = True
-        if hidden:
-            return
-        if len(tag) == 2 and tag[0] == "h" and tag[1].isdigit():
-            self.items.append(["h", int(tag[1]), ""])
-        elif tag == "p":
-            self.items.append(["p", 0, ""])
-
-    def _close(self, tag):
-        for k in range(len(self.stack) - 1, -1, -1):
-            if self.stack[k][0] == tag:
-                del self.stack[k:]
-                return
+        if tag in BLOCKS:
+            self._end({"p"})
+        if tag in ENDS:
+            self._end(*ENDS[tag])
+        n = self._add(tag, (dict(attrs).get("class") or "").lower(), None)
+        if tag not in VOID:
+            self.open.append(n)
+        elif tag == "br":
+            self._add(TEXT, "", "\n")
 
     def handle_endtag(self, tag):
-        if tag == "a":
-            self.in_link = False
-        self._close(tag)
-        if tag == "p" or (len(tag) == 2 and tag[0] == "h"):
-            self.items.append(["", 0, ""])
+        self._end({tag})
 
     def handle_data(self, data):
-        if self.in_link:
-            self.links[-1][1] += data
-        if not self.silent and self.items and self.items[-1][0]:
-            self.items[-1][2] += data
-
-
-def _read(html: str | None, excluded: tuple[str, ...]) -> _Reader:
-    r = _Reader(excluded)
-    r.feed(html or "")
-    r.close()
-    return r
-
-
-def headings(html: str | None, levels: tuple[int, ...], excluded: tuple[str, ...], titles: tuple[str, ...], ditto: tuple[str, ...]) -> list[tuple[int, int, str, str]]:
-    """(ordinal, level, title, body) of each heading at an allowed level; its body ends at the next heading."""
-    out, current, parent = [], None, ""
-    for kind, level, text in _read(html, excluded).items:
-        text = " ".join(text.split())
-        if kind == "h":
-            current = None
-            title = parent if text in ditto else text
-            if level not in levels:
-                parent = text
-            elif title not in titles:
-                current = [len(out) + 1, level, title, []]
-                out.append(current)
-        elif kind == "p" and current is not None and text:
-            current[3].append(text)
-    return [(n, level, title, "\n".join(body)) for n, level, title, body in out]
-
-
-def segment_by_heading(pages: DataFrame, levels: tuple[int, ...] = (2, 3, 4), excluded: tuple[str, ...] = EXCLUDED, titles: tuple[str, ...] = (), ditto: tuple[str, ...] = ("ditto",), key: str = "page_id", html: str = "html") -> DataFrame:
-    """(key, ordinal, level, title, body): a segment for each heading of an allowed level."""
-    kind = dict(pages.dtypes)[key]
+        self._add(TEXT, "", data)
+
+    def finish(self) -> list[list]:
+        self.close()
+        for n in self.open:
+            self.rows[n][1] = len(self.rows) - 1
+        return self.rows
+
+
+def parse(html: str | None) -> list[list]:
+    """The rows of a page as `ELEMENT` has them."""
+    reader = _Elements()
+    reader.feed(html or "")
+    return reader.finish()
+
+
+def elements(pages: DataFrame, key: str = "page_id", html: str = "html", more: Sequence[str] = ()) -> DataFrame:
+    """A row an element or text of each page; `more` are columns of the page to go with it."""
+    names = [f.split()[0] for f in ELEMENT.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(k, *s) for k, h in zip(b[key], b[html], strict=True) for s in headings(h, levels, excluded, titles, ditto)]
-            yield pd.DataFrame(rows, columns=[key, "ordinal", "level", "title", "body"])
+            rows = [(*page, *r) for page, h in zip(b[[key, *more]].itertuples(index=False), b[html], strict=True) for r in parse(h)]
+            yield pd.DataFrame(rows, columns=[key, *more, *names])
 
-    return pages.select(key, html).mapInPandas(run, f"{key} {kind}, ordinal int, level int, title string, body string")
+    kinds = dict(pages.dtypes)
+    return pages.select(key, *more, html).mapInPandas(run, ", ".join([f"{c} {kinds[c]}" for c in (key, *more)]) + f", {ELEMENT}")
 
 
-def segment_by_level_table(pages: DataFrame, levels: DataFrame, source: str, key: str = "page_id", html: str = "html", **options) -> DataFrame:
-    """Segments with the levels of each page's source, from a small (source, levels) table; several tables of levels are one pass each."""
-    named = pages.join(F.broadcast(levels), source)
-    out = None
-    for (lv,) in levels.select("levels").distinct().collect():  # one row a level choice
-        part = segment_by_heading(named.filter(F.col("levels") == F.array(*[F.lit(x) for x in lv])), tuple(lv), key=key, html=html, **options)
-        out = part if out is None else out.unionByName(part)
-    return out
+def _compact(c: Column) -> Column:
+    return F.trim(F.regexp_replace(c, r"[\s\p{Z}]+", " "))
 
 
-def segment_by_paragraph(pages: DataFrame, skip_first: DataFrame | None = None, excluded: tuple[str, ...] = EXCLUDED, key: str = "page_id", html: str = "html") -> DataFrame:
-    """(key, ordinal, title, body): a segment for each paragraph, the first one left out for keys in skip_first."""
-    kind = dict(pages.dtypes)[key]
+def with_text(rows: DataFrame, table: DataFrame, key: str, name: str) -> DataFrame:
+    """rows (key, n, last, ...) with the text inside each as a column."""
+    texts = table.filter((F.col("tag") == TEXT) & ~F.col("silent")).select(F.col(key).alias("_qm_p"), F.col("n").alias("_qm_n"), F.col("text").alias("_qm_t"))
+    inside = rows.select(key, "n", "last").join(texts, (F.col(key) == F.col("_qm_p")) & F.col("_qm_n").between(F.col("n"), F.col("last")))
+    parts = F.transform(F.sort_array(F.collect_list(F.struct("_qm_n", "_qm_t"))), lambda s: s["_qm_t"])
+    own = inside.groupBy(key, "n").agg(_compact(F.array_join(parts, "")).alias(name))
+    return rows.join(own, [key, "n"], "left").withColumn(name, F.coalesce(name, F.lit("")))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for k, h in zip(b[key], b[html], strict=True):
-                own = [t for t in (" ".join(x[2].split()) for x in _read(h, excluded).items if x[0] == "p") if t]
-                rows += [(k, n, t) for n, t in enumerate(own, 1)]
-            yield pd.DataFrame(rows, columns=[key, "ordinal", "body"])
 
-    out = pages.select(key, html).mapInPandas(run, f"{key} {kind}, ordinal int, body string")
+def _is_excluded(excluded: Sequence[str]) -> Column:
+    out = F.lit(False)
+    for x in excluded:
+        out = out | F.contains("classes", F.lit(x))
+    return out
+
+
+def _named(df: DataFrame, prefix: str, *columns: str) -> DataFrame:
+    return df.select(*[F.col(c).alias(f"{prefix}_{c}") for c in columns])
+
+
+def _segments(table: DataFrame, allowed: Column, excluded: Sequence[str], titles: DataFrame | None, ditto: Sequence[str], key: str) -> DataFrame:
+    heads = with_text(table.filter(F.col("tag").isin(*HEADINGS) & ~F.col("silent")), table, key, "heading").withColumn("level", F.substring("tag", 2, 1).cast("int"))
+    heads = shared.keep(heads.filter("heading <> ''"), "headings")
+    chosen = heads.filter(allowed)
+    if titles is not None:
+        chosen = chosen.join(titles.select(F.col(titles.columns[0]).alias("heading")).distinct(), "heading", "left_anti")
+    chosen = chosen.withColumn("ordinal", F.row_number().over(W.partitionBy(key).orderBy("n")))
+    own = _named(chosen, "h", key, "n", "last", "parent", "level")
+    same = F.col(f"h_{key}") == F.col(key)
+
+    # siblings behind the heading, up to the next heading beside it, without nested sections, tables and excluded ones
+    stops = own.join(heads, same & (F.col("parent") == F.col("h_parent")) & (F.col("n") > F.col("h_n"))).groupBy(f"h_{key}", "h_n").agg(F.min("n").alias("stop"))
+    kids = table.filter(~F.col("tag").isin(TEXT, "section", "table") & ~F.col("silent") & ~_is_excluded(excluded))
+    kids = own.join(stops, [f"h_{key}", "h_n"], "left").join(kids, same & (F.col("parent") == F.col("h_parent")) & (F.col("n") > F.col("h_last"))).filter(F.col("stop").isNull() | (F.col("n") < F.col("stop")))
+    parts = with_text(kids.select(key, "n", "last", "h_n"), table, key, "part").filter("part <> ''")
+    lines = F.transform(F.sort_array(F.collect_list(F.struct("n", "part"))), lambda s: s["part"])
+    bodies = parts.groupBy(key, F.col("h_n").alias("n")).agg(F.array_join(lines, "\n").alias("body"))
+
+    # the heading above: the first lower one of the nearest section around it, or else the last lower one beside it
+    around = _named(table.filter("tag in ('section', 'article')"), "s", key, "n", "last", "depth")
+    above = own.join(around, (F.col(f"s_{key}") == F.col(f"h_{key}")) & (F.col("s_n") < F.col("h_n")) & (F.col("h_n") <= F.col("s_last")))
+    above = above.join(heads, same & (F.col("parent") == F.col("s_n")) & (F.col("level") < F.col("h_level"))).select(f"h_{key}", "h_n", F.struct(F.lit(1).alias("k"), F.col("s_depth").alias("a"), (-F.col("n")).alias("b")).alias("rank"), "heading")
+    beside = own.join(heads, same & (F.col("parent") == F.col("h_parent")) & (F.col("level") < F.col("h_level")) & (F.col("n") < F.col("h_n"))).select(f"h_{key}", "h_n", F.struct(F.lit(0).alias("k"), F.lit(0).alias("a"), F.col("n").alias("b")).alias("rank"), "heading")
+    parents = above.unionByName(beside).groupBy(F.col(f"h_{key}").alias(key), F.col("h_n").alias("n")).agg(F.max_by("heading", "rank").alias("parent_heading"))
+
+    title = F.when(F.col("heading").isin(*ditto) & F.col("parent_heading").isNotNull(), F.concat_ws("·", "parent_heading", "heading")).otherwise(F.col("heading"))
+    out = chosen.join(bodies, [key, "n"], "left").join(parents, [key, "n"], "left")
+    return out.select(key, "ordinal", "level", title.alias("title"), F.coalesce("body", F.lit("")).alias("body"), "parent_heading")
+
+
+def _titles(pages: DataFrame, titles) -> DataFrame | None:
+    if isinstance(titles, DataFrame):
+        return titles
+    return pages.sparkSession.createDataFrame([(x,) for x in titles], "title string") if titles else None
+
+
+def segment_by_heading(pages: DataFrame, levels: Sequence[int] = (2, 3, 4), excluded: Sequence[str] = EXCLUDED, titles: DataFrame | Sequence[str] = (), ditto: Sequence[str] = DITTO, key: str = "page_id", html: str = "html") -> DataFrame:
+    """(key, ordinal, level, title, body, parent_heading): a segment for each heading of an allowed level.
+
+    The body is what stands behind the heading in the same element, up to the next heading
+    there, without nested sections, tables and excluded classes; each element is a line. A
+    title that only says "again" takes the heading above it. titles: headings that begin
+    no segment, a sequence or a table of them.
+    """
+    table = shared.keep(elements(pages, key, html), "elements")
+    return _segments(table, F.col("level").isin(*levels), excluded, _titles(pages, titles), ditto, key)
+
+
+def segment_by_level_table(pages: DataFrame, levels: DataFrame, source: str, excluded: Sequence[str] = EXCLUDED, titles: DataFrame | Sequence[str] = (), ditto: Sequence[str] = DITTO, key: str = "page_id", html: str = "html") -> DataFrame:
+    """Segments with the levels of each page's source, in one pass.
+
+    levels: a small table (source, deep, shallow, split): a page that has a heading of
+    level `split` takes the levels `deep`, any other one `shallow`.
+    """
+    named = pages.join(F.broadcast(levels), source).select(key, html, "deep", "shallow", "split")
+    table = shared.keep(elements(named, key, html, ["deep", "shallow", "split"]), "elements")
+    has = table.groupBy(key).agg(F.bool_or((F.col("tag") == F.concat(F.lit("h"), F.col("split").cast("string"))) & ~F.col("silent")).alias("has_split"))
+    table = table.join(has, key)
+    return _segments(table, F.array_contains(F.when(F.col("has_split"), F.col("deep")).otherwise(F.col("shallow")), F.col("level")), excluded, _titles(pages, titles), ditto, key)
+
+
+def segment_by_paragraph(pages: DataFrame, skip_first: DataFrame | None = None, excluded: Sequence[str] = EXCLUDED, key: str = "page_id", html: str = "html") -> DataFrame:
+    """(key, ordinal, title, body): a segment for each paragraph with text that is in no excluded element; for keys in skip_first the page's first paragraph is left out."""
+    table = shared.keep(elements(pages, key, html), "elements")
+    p = table.filter("tag = 'p' and not silent").withColumn("place", F.row_number().over(W.partitionBy(key).orderBy("n")))
+    out = _named(table.filter(_is_excluded(excluded)), "x", key, "n", "last")
+    p = p.join(out, (F.col(f"x_{key}") == F.col(key)) & F.col("n").between(F.col("x_n"), F.col("x_last")), "left_anti")
     if skip_first is not None:
-        skip = skip_first.select(key, F.lit(1).alias("_qm_o"))
-        out = out.join(F.broadcast(skip), (out[key] == skip[key]) & (out["ordinal"] == skip["_qm_o"]), "left_anti")
-    return out.withColumn("title", F.concat(F.col(key).cast("string"), F.lit("·"), F.col("ordinal").cast("string")))
+        p = p.join(skip_first.select(key, F.lit(1).alias("place")), [key, "place"], "left_anti")
+    p = with_text(p, table, key, "body").filter("body <> ''").withColumn("ordinal", F.row_number().over(W.partitionBy(key).orderBy("n")))
+    return p.select(key, "ordinal", F.concat(F.col(key).cast("string"), F.lit("·"), F.col("ordinal").cast("string")).alias("title"), "body")
+
+
+def excluded_subtrees(pages: DataFrame, excluded: Sequence[str] = EXCLUDED, key: str = "page_id", html: str = "html") -> DataFrame:
+    """(key, elements, excluded): elements of each page, and how many are in an excluded one or are one."""
+    table = shared.keep(elements(pages, key, html).filter(F.col("tag") != TEXT), "elements")
+    out = _named(table.filter(_is_excluded(excluded)), "x", key, "n", "last")
+    gone = table.join(out, (F.col(f"x_{key}") == F.col(key)) & F.col("n").between(F.col("x_n"), F.col("x_last")), "left_semi").groupBy(key).agg(F.count("*").alias("excluded"))
+    return table.groupBy(key).agg(F.count("*").alias("elements")).join(gone, key, "left").na.fill(0, ["excluded"])
+
+
+class _Links(HTMLParser):
+    """Links of a page with their text, in order."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.links: list[list[str]] = []
+        self.inside = False
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "a":
+            href = dict(attrs).get("href")
+            self.inside = bool(href)
+            if href:
+                self.links.append([href, ""])
+
+    def handle_endtag(self, tag):
+        if tag == "a":
+            self.inside = False
+
+    def handle_data(self, data):
+        if self.inside:
+            self.links[-1][1] += data
+
+
+def _links(html: str | None) -> list[list[str]]:
+    reader = _Links()
+    reader.feed(html or "")
+    reader.close()
+    return reader.links
 
 
 def link_titles(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
@@ -148,7 +245,7 @@ def link_titles(pages: DataFrame, key: str = "page_id", html: str = "html") -> D
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(k, n, u.rsplit("/", 1)[-1], " ".join(t.split())) for k, h in zip(b[key], b[html], strict=True) for n, (u, t) in enumerate(_read(h, ()).links)]
+            rows = [(k, n, u.rsplit("/", 1)[-1], " ".join(t.split())) for k, h in zip(b[key], b[html], strict=True) for n, (u, t) in enumerate(_links(h))]
             yield pd.DataFrame(rows, columns=[key, "place", "href", "title"])
 
     found = pages.select(key, html).mapInPandas(run, f"{key} {kind}, place int, href string, title string")

@@ -216,17 +216,75 @@ def test_negation_is_taken_out_before_routing(spark):
     assert not f("do not leave now").blocked and f("leave now").categories == ["going", "immediate_danger"]
 
 
-HTML = "<html><head><title>x</title></head><body><h2>One</h2><p>a<p>b</p><div class='navbox'><p>no</p></div><h3>ditto</h3><p>c &amp; d</p><h2>Notes</h2><p>gone</p><a href='/w/One'>First</a></body></html>"
+HTML = "<html><head><title>x</title></head><body><h2>One</h2><p>a<p>b</p><div class='navbox'><p>no</p></div><h3>又</h3><p>c &amp; d</p><h2>Notes</h2><p>gone</p><a href='/w/One'>First</a></body></html>"
 
 
 def test_headings_and_excluded_subtrees(spark):
     df = spark.createDataFrame([(1, HTML), (2, None), (3, "")], "page_id long, html string")
-    got = [tuple(r) for r in pages.segment_by_heading(df, (2, 3), titles=("Notes",)).collect()]
-    assert got[0] == (1, 1, 2, "One", "a\nb")
-    assert [r.body for r in pages.segment_by_paragraph(df).collect()] == ["a", "b", "c & d", "gone"]
+    got = sorted(tuple(r) for r in pages.segment_by_heading(df, (2, 3), titles=("Notes",)).collect())
+    assert got == [(1, 1, 2, "One", "a\nb", None), (1, 2, 3, "One·又", "c & d", "One")]
+    assert [r.body for r in pages.segment_by_paragraph(df).orderBy("ordinal").collect()] == ["a", "b", "c & d", "gone"]
     assert [tuple(r) for r in pages.link_titles(df).collect()] == [("One", "First")]
 
 
+def test_lists_and_blocks_stay_in_a_body(spark):
+    """List items and blocks are kept, nested sections and tables are not; end tags may be missing."""
+    html = "<h2>A</h2><p>one</p><ul><li>two<li>three</ul><div>four <b>five</div><section><h3>B</h3><p>six</p></section><table><tr><td>no</table>tail<h2>C</h2>"
+    df = spark.createDataFrame([(1, html)], "page_id long, html string")
+    got = sorted(tuple(r)[1:5] for r in pages.segment_by_heading(df, (2, 3)).collect())
+    assert got == [(1, 2, "A", "one\ntwothree\nfour five"), (2, 3, "B", "six"), (3, 2, "C", "")]
+
+
+def brute_segments(root, levels, excluded):
+    """Headings, bodies and paragraphs of well-formed pages by walking the tree."""
+    up = {c: p for p in root.iter() for c in p}
+    text = lambda e: " ".join("".join(e.itertext()).split())
+    bad = lambda e: any(x in (e.get("class") or "").lower() for x in excluded)
+    heads, paragraphs = [], []
+    for h in root.iter():
+        if h.tag in ("h1", "h2", "h3") and int(h.tag[1]) in levels and text(h):
+            beside = list(up[h])
+            lines = []
+            for e in beside[beside.index(h) + 1 :]:
+                if e.tag in ("h1", "h2", "h3") and text(e):
+                    break
+                if e.tag not in ("section", "table") and not bad(e) and text(e):
+                    lines.append(text(e))
+            heads.append((len(heads) + 1, int(h.tag[1]), text(h), "\n".join(lines)))
+        if h.tag == "p":
+            around, e = False, h
+            while e is not None:
+                around, e = around or bad(e), up.get(e)
+            if not around and text(h):
+                paragraphs.append(text(h))
+    return heads, paragraphs
+
+
+_LEAF = st.tuples(st.sampled_from(["p", "h1", "h2", "h3", "li"]), st.sampled_from(["", "ad", "Big AD x"]), st.text("ab ", max_size=3))
+_TREE = st.recursive(_LEAF, lambda inner: st.tuples(st.sampled_from(["div", "section", "ul", "table"]), st.sampled_from(["", "ad"]), st.lists(inner, max_size=4)), max_leaves=12)
+
+
+def _markup(tree):
+    tag, classes, inside = tree
+    return f'<{tag} class="{classes}">{inside if isinstance(inside, str) else "".join(map(_markup, inside))}</{tag}>'
+
+
+@given(st.lists(st.lists(_TREE, max_size=5), min_size=40, max_size=40))
+@settings(max_examples=1, deadline=None, derandomize=True)
+def test_segments_against_a_walk_over_the_tree(spark, trees):
+    import xml.etree.ElementTree as ET
+
+    markup = [f"<body>{''.join(map(_markup, t))}</body>" for t in trees]
+    df = spark.createDataFrame(list(enumerate(markup)), "page_id long, html string")
+    heads, paragraphs = {}, {}
+    for r in pages.segment_by_heading(df, (1, 3), excluded=("ad",)).orderBy("ordinal").collect():
+        heads.setdefault(r.page_id, []).append((r.ordinal, r.level, r.title, r.body))
+    for r in pages.segment_by_paragraph(df, excluded=("ad",)).orderBy("ordinal").collect():
+        paragraphs.setdefault(r.page_id, []).append(r.body)
+    for k, m in enumerate(markup):
+        assert (heads.get(k, []), paragraphs.get(k, [])) == brute_segments(ET.fromstring(m), (1, 3), ("ad",)), m
+
+
 def test_issue_examples_are_bounded(spark):
     df = spark.range(50).select(F.col("id"), F.lit(None).cast("boolean").alias("b"))
     got = curation.issue_histogram(curation.issues(df, "id", {"x": F.col("b")}), "id", 3).first()
@@ -259,15 +317,72 @@ def test_spoilt_shards_fail_the_read(spark, tmp_path):
 
 
 def test_publication_fails_as_a_whole(spark, tmp_path):
-    from quillmill.plans import corpus
-
-    entries = spark.createDataFrame([(1, "a", "one text"), (2, "b", "two texts"), (3, "b", "one text")], "entry_id long, work string, text string")
-    marked = dedup.mark_duplicates(dedup.with_hashes(entries)).withColumn("production_eligible", F.lit(False))
-    assert files.publish_entries(marked, f"file://{tmp_path}/p", "work").count() == 3
-    for bad in (marked.withColumn("production_eligible", F.col("entry_id") == 2), marked.withColumn("char_count", F.lit(1)), marked.union(marked)):
-        with pytest.raises(ValueError, match="not published"):
-            files.publish_entries(bad, f"file://{tmp_path}/q", "work")
-    assert corpus.MARKED
+    from quillmill import registry
+    from quillmill.plans import streams
+    from quillmill.sources import snapshots
+
+    path = f"file://{tmp_path}/p"
+    good = streams.published(registry.Tables(spark, "/root/testdata/sf0.001"))
+    told = files.publish_entries(good, path)
+    assert told["version"] == 0 and told["metrics"]["rows"] == snapshots.read(spark, path).count() == good.count()
+    for bad, why in ((good.withColumn("production_eligible", F.col("entry_id") == 2), "production_eligible"), (good.drop("url"), "columns are missing.*url"), (good.union(good.limit(1)), "repeated_entry_id"), (good.withColumn("title", F.lit(None).cast("string")), "title")):
+        with pytest.raises(ValueError, match=f"not published.*{why}"):
+            files.publish_entries(bad, path)
+    assert snapshots.versions(spark, path) == [0] and len([f for f in (tmp_path / "p").iterdir() if f.name.startswith("v-")]) == 1
+    assert files.publish_entries(good.limit(3), path)["version"] == 1 and snapshots.read(spark, path).count() == 3 and snapshots.read(spark, path, 0).count() == good.count()
+
+
+def test_writers_do_not_lose_each_others_changes(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from quillmill.sources import snapshots
+
+    path = f"file://{tmp_path}/n"
+    with pytest.raises(FileNotFoundError):
+        snapshots.update(spark, path, lambda x: x)
+    snapshots.publish(spark.createDataFrame([(0, 0)], "a int, b int"), path)
+
+    def add(who):
+        for batch in (0, 1, 1, 0):  # batches that come again change nothing
+            snapshots.update(spark, path, lambda x: x.withColumn(who, F.col(who) + 1), who, batch)
+
+    with ThreadPoolExecutor(2) as pool:
+        list(pool.map(add, ["a", "b"]))
+    assert tuple(snapshots.read(spark, path).first()) == (2, 2) and snapshots.versions(spark, path) == [0, 1, 2, 3, 4]
+    with pytest.raises(snapshots.Conflict):
+        snapshots.publish(spark.createDataFrame([(9, 9)], "a int, b int"), path, base=2)
+    assert snapshots.forget(spark, path) == 3 and tuple(snapshots.read(spark, path).first()) == (2, 2)
+    assert len([f for f in (tmp_path / "n").iterdir() if f.name.startswith("v-")]) == 2
+
+
+def test_a_stream_writes_each_batch_once(spark, tmp_path):
+    from quillmill.sources import snapshots
+    from quillmill.streaming import sessions
+
+    path = f"file://{tmp_path}/ledger"
+    snapshots.publish(spark.createDataFrame([(1, "old", "valid", "p")], "entry_id long, source_hash string, status string, payload string"), path)
+    rows = spark.createDataFrame([(1, "new"), (2, "x")], "entry_id long, source_hash string")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/in/f0")
+    for run in range(2):  # the second time a checkpoint is lost, and the same batch comes again
+        stream = sessions.read_stream(spark, f"{tmp_path}/in/f", rows.schema, 1)
+        snapshots.stream_into(stream, path, ledger.enqueue, "queue", f"{tmp_path}/state{run}", unique=("entry_id",))
+    assert snapshots.versions(spark, path) == [0, 1]
+    assert sorted(map(tuple, snapshots.read(spark, path).collect())) == [(1, "new", "stale", None), (2, "x", "queued", None)]
+
+
+def test_an_empty_run_is_no_success(spark, tmp_path):
+    from quillmill.operators import run
+    from quillmill.plans import runs
+
+    docs = spark.createDataFrame([(runs.EVERY, "some text")], "doc_id long, text string")
+    records, sources = runs.records(docs)
+    told = run.validate_run(records, sources, f"file://{tmp_path}/r")
+    assert told["ok"] and told["valid"] == told["rows"] == 1
+    none = run.validate_run(records.limit(0), sources, f"file://{tmp_path}/r")
+    assert none["codes"] == {"no_accepted_rows": (1, None)} and not none["ok"]
+    assert run.validate_run(records.limit(0), sources, f"file://{tmp_path}/r", allow_empty=True)["ok"]
+    planted = {code for f in runs.FAULTS for code in f[2].split()}
+    assert planted == {"invalid_json", "root_not_object", *run.record_rules(lambda x: x)}
 
 
 def test_phrases_are_counted_without_overlap(spark):
