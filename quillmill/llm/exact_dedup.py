@@ -18,14 +18,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmill.llm.common import SPACE, Stash, join_groups, repeat_filter, text_of, without
+from quillmill.llm.common import SPACE, Stash, join_groups, one_of_each, repeat_filter, text_key, text_of, without
 
 ADDED = ["keep_id", "group_size", "kept", "text_sha256"]
 
 
-def _hashed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _hashed(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
     sha = F.sha2(F.regexp_replace(text_of(text_col), SPACE, " ").cast("binary"), 256)
-    return docs.select(F.col(id_col).alias("id"), sha.alias("sha")).withColumn("h", F.xxhash64("sha"))
+    return docs.select(F.col(id_col).alias("id"), *more, sha.alias("sha")).withColumn("h", F.xxhash64("sha"))
 
 
 def copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 27) -> DataFrame:
@@ -51,22 +51,17 @@ def copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 27) -> DataFrame:
     """docs without all but one row of each group of equal texts, columns unchanged.
 
-    Only rows whose hash may be repeated meet other rows; of rows that also share
-    the smallest id one is taken.
+    Only rows whose hash may be repeated meet other rows, by ids and hashes; their texts
+    then meet the rows that stay by id. Of rows that also share the smallest id one is taken.
     """
-    sha = F.sha2(F.regexp_replace(text_of(text_col), SPACE, " ").cast("binary"), 256)
     stash = Stash(docs.sparkSession, "exact")
-    keyed = stash.keep(_hashed(docs, id_col, text_col), "keyed")
+    keyed = stash.keep(_hashed(docs.withColumn("_qm_key", text_key(text_col)), id_col, text_col, "_qm_key"), "keyed")
     seen = repeat_filter(keyed, "h", keyed.count(), max_bits)
-    marked = docs.withColumn("_qm_sha", sha).withColumn("_qm_maybe", seen.may_repeat(F.xxhash64("_qm_sha")))
-    groups = keyed.filter(seen.may_repeat(F.col("h"))).groupBy("sha").agg(F.min("id").alias("_qm_keep"))
-    first = (
-        marked.filter("_qm_maybe")
-        .join(groups.withColumnRenamed("sha", "_qm_sha"), "_qm_sha")
-        .filter(F.col(id_col).eqNullSafe(F.col("_qm_keep")))
-        .dropDuplicates(["_qm_sha"])
-    )
-    return marked.filter(~F.col("_qm_maybe")).select(*docs.columns).unionByName(first.select(*docs.columns))
+    sha = F.sha2(F.regexp_replace(text_of(text_col), SPACE, " ").cast("binary"), 256)
+    maybe = docs.withColumn("_qm_maybe", seen.may_repeat(F.xxhash64(sha)))
+    groups = keyed.filter(seen.may_repeat(F.col("h"))).select("id", F.col("_qm_key").alias("key"), F.col("sha").alias("group"))
+    alone = maybe.filter(~F.col("_qm_maybe")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return alone.unionByName(one_of_each(groups, maybe.filter("_qm_maybe").select(*[F.col(f"`{c}`") for c in docs.columns]), id_col, text_col))
 
 
 def mark_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 27) -> DataFrame:
