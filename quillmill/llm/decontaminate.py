@@ -15,8 +15,10 @@ could score T if they stood in the item's order (+1 for a word of the item, -0.5
 for another), all pairs of a batch at once in numpy. Nothing is shuffled but word
 counts.
 
-Cases: null texts count as empty. Items with fewer than `n` words are skipped, as
-they prove nothing. Repeated items are reported each; repeated documents too.
+Cases: null texts count as empty. An item with fewer than `n` words is met by chance in
+clean text, so it is not looked for unless `short` is set, and then only as it stands,
+word by word; `not_checked` names the items that are left out. Items without words can
+not leak. Repeated items are reported each; repeated documents too.
 Empty tables give empty results. Clashing input columns are replaced.
 """
 
@@ -30,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmill.llm.common import text_of, without
+from quillmill.llm.common import WORD, text_of, without
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 MATCH, MISS = 1.0, -0.5
@@ -53,12 +55,12 @@ class Items:
         return np.array([get(w, -1) for w in split_words(text)], np.int64)
 
 
-def index_items(rows: list[tuple[object, str]], n: int = 3) -> Items:
+def index_items(rows: list[tuple[object, str]], n: int = 3, short: bool = False) -> Items:
     vocabulary: dict[bytes, int] = {}
     ids, words = [], []
     for item, text in rows:
         w = split_words(text or "")
-        if len(w) < n:
+        if not w or (len(w) < n and not short):
             continue
         ids.append(item)
         words.append(np.array([vocabulary.setdefault(x, len(vocabulary)) for x in w], np.int64))
@@ -74,10 +76,11 @@ def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 class Seeds:
     """Finds the items that a text could leak, given the number of documents that hold each word."""
 
-    def __init__(self, items: Items, seen: np.ndarray, threshold: float):
+    def __init__(self, items: Items, seen: np.ndarray, threshold: float, n: int = 3):
         size = len(items.vocabulary)
         self.words = items.words
-        self.least = np.array([max(1, int(np.ceil(threshold * len(w) - 1e-9))) for w in items.words], np.int64)
+        self.share = [threshold if len(w) >= n else 1.0 for w in items.words]
+        self.least = np.array([max(1, int(np.ceil(t * len(w) - 1e-9))) for t, w in zip(self.share, items.words, strict=True)], np.int64)
         # all words one after the other, each with the number of equal ones before it in its item
         self.sizes = np.array([len(w) for w in items.words], np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
@@ -160,7 +163,7 @@ def align(items: list[np.ndarray], windows: list[np.ndarray]) -> tuple[np.ndarra
     return score, first, last
 
 
-def leaks_in(items: Items, seeds: Seeds, texts: list[str], threshold: float) -> list[list[tuple]]:
+def leaks_in(items: Items, seeds: Seeds, texts: list[str]) -> list[list[tuple]]:
     """Per text: (item id, score, first word, end word) of the best alignment of each leaked item."""
     pairs: list[tuple[int, int, int]] = []
     a, b = [], []
@@ -175,7 +178,7 @@ def leaks_in(items: Items, seeds: Seeds, texts: list[str], threshold: float) ->
     if pairs:
         for (d, i, s), score, lo, hi in zip(pairs, *align(a, b), strict=True):
             share = float(score) / len(items.words[i])
-            if share >= threshold and share > out[d].get(i, (0,))[0]:
+            if share >= seeds.share[i] and share > out[d].get(i, (0,))[0]:
                 out[d][i] = (share, s + int(lo), s + int(hi))
     return [[(items.ids[i], *v) for i, v in sorted(o.items())] for o in out]
 
@@ -205,24 +208,24 @@ def _counter(shared):
     return count
 
 
-def _finder(shared, seen, threshold: float):
+def _finder(shared, seen, threshold: float, n: int):
     def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        seeds = Seeds(shared.value, seen.value, threshold)
+        seeds = Seeds(shared.value, seen.value, threshold, n)
         for s in batches:
             texts = list(s)
-            yield pd.Series([x for k in range(0, len(texts), 500) for x in leaks_in(shared.value, seeds, texts[k : k + 500], threshold)], dtype=object)
+            yield pd.Series([x for k in range(0, len(texts), 500) for x in leaks_in(shared.value, seeds, texts[k : k + 500])], dtype=object)
 
     return find
 
 
-def with_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", n: int = 3, threshold: float = 0.5, block_words: int = 500_000) -> DataFrame:
+def with_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", n: int = 3, threshold: float = 0.5, block_words: int = 500_000, short: bool = False) -> DataFrame:
     """docs with `leaks` added: array of (item_id, score, first_word, end_word), empty for a clean document."""
     spark = docs.sparkSession
     kind = dict(benchmark.dtypes)[item_col]
     schema = f"array<struct<item_id {kind}, score double, first_word long, end_word long>>"
     out = without(docs, ["leaks"]).withColumn("leaks", F.array().cast(schema))
     for rows in _blocks(benchmark, item_col, item_text, block_words):
-        items = index_items(rows, n)
+        items = index_items(rows, n, short)
         if not items.ids:
             continue
         shared = spark.sparkContext.broadcast(items)
@@ -232,10 +235,16 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
             seen[r["k"]] = r["n"]
         told = spark.sparkContext.broadcast(seen)
 
-        out = out.withColumn("leaks", F.concat("leaks", F.pandas_udf(_finder(shared, told, threshold), schema)(text_of(text_col))))
+        out = out.withColumn("leaks", F.concat("leaks", F.pandas_udf(_finder(shared, told, threshold, n), schema)(text_of(text_col))))
     return out
 
 
+def not_checked(benchmark: DataFrame, item_col: str = "item_id", item_text: str = "text", n: int = 3) -> DataFrame:
+    """(item_id, words) of items that are too short to be looked for."""
+    words = F.regexp_count(text_of(item_text), F.lit(WORD)).cast("long")
+    return benchmark.select(F.col(item_col).alias("item_id"), words.alias("words")).filter(F.col("words") < n)
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row for each leaked item of each document: (id, item_id, score, first_word, end_word)."""
     marked = with_leaks(docs.select(F.col(id_col), F.col(text_col)), benchmark, text_col, **options)

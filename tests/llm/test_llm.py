@@ -348,6 +348,19 @@ def test_leaks_of_documents_equal_brute_force(spark):
     assert want <= set(got) and all(got[k] == 1.0 for k in want) and len(got) <= len(want) + 2
 
 
+def test_items_of_one_and_two_words(spark):
+    """They are named as not checked, or met word by word where that is asked for."""
+    bench = spark.createDataFrame([(1, "zebra"), (2, "Blue  Whale"), (3, ""), (4, None), (5, "three words here"), (6, "whale blue")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "a ZEBRA ran"), (2, "the blue whale and"), (3, "blue sky, whale"), (4, "blue and whale"), (5, None), (6, "x three words here")], "doc_id long, text string")
+    assert sorted(tuple(r) for r in decontaminate.not_checked(bench).collect()) == [(1, 1), (2, 2), (3, 0), (4, 0), (6, 2)]
+    assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, bench).collect()} == {(6, 5)}
+    items = {r.item_id: decontaminate.split_words(r.text or "") for r in bench.collect()}
+    words = {r.doc_id: decontaminate.split_words(r.text or "") for r in docs.collect()}
+    exact = {(d, i) for d, w in words.items() for i, m in items.items() if m and any(w[k : k + len(m)] == m for k in range(len(w)))}
+    assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, bench, short=True).collect()} == exact
+    assert decontaminate.drop_leaks(docs, bench, short=True).count() == 3
+
+
 def test_leaks_of_odd_rows(spark, odd, empty):
     bench = spark.createDataFrame([(1, "alpha beta gamma delta"), (2, None), (3, "of it"), (1, "alpha beta gamma delta")], "item_id long, text string")
     kept = decontaminate.drop_leaks(odd, bench)
