@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmill.functions import text as tx
+from quillmill.shared import keep
 
 
 def with_hashes(entries: DataFrame, normalise: bool = True) -> DataFrame:
@@ -16,12 +17,21 @@ def with_hashes(entries: DataFrame, normalise: bool = True) -> DataFrame:
 def mark_duplicates(entries: DataFrame, key: str = "normal_sha256", order: tuple[str, ...] = ("work", "entry_id")) -> DataFrame:
     """Adds dedupe_status, canonical_id and runtime_eligible: the first row of each key stays.
 
-    The first row comes from a pre-aggregated minimum, not from a window, so a text
-    that owns a third of the rows is no task of its own.
+    The first row comes from a pre-aggregated minimum, not from a window, and keys with
+    many rows, a thousand of them at most, are broadcast, so that a text that owns a third
+    of the rows is no task of its own: its rows stay where they are.
     """
-    first = entries.groupBy(key).agg(F.min(F.struct(*order))["entry_id"].alias("canonical_id"))
+    first = keep(entries.groupBy(key).agg(F.min(F.struct(*order))["entry_id"].alias("canonical_id"), F.count("*").alias("_qm_n")), "first")
+    total = first.agg(F.coalesce(F.sum("_qm_n"), F.lit(0))).first()[0]
+    cut = max(500, total // 1000)
+    large, small = first.filter(F.col("_qm_n") > cut).drop("_qm_n"), first.filter(F.col("_qm_n") <= cut).drop("_qm_n")
+    if large.limit(1).count():
+        rest = entries.join(F.broadcast(large.select(key)), key, "left_anti").join(small, key)
+        joined = entries.join(F.broadcast(large), key).unionByName(rest)
+    else:
+        joined = entries.join(small, key)
     own = F.col("entry_id") == F.col("canonical_id")
-    return entries.join(first, key).withColumns({"dedupe_status": F.when(own, "canonical").otherwise("exact_duplicate"), "runtime_eligible": own})
+    return joined.withColumns({"dedupe_status": F.when(own, "canonical").otherwise("exact_duplicate"), "runtime_eligible": own})
 
 
 def canonical_entries(marked: DataFrame) -> DataFrame:

@@ -30,9 +30,13 @@ def grams(text: Column, n: int = 3) -> Column:
 
 
 def build_index(entries: DataFrame, key: str, fields: list[str], n: int = 3) -> DataFrame:
-    """Postings (gram, field, key, tf)."""
+    """Postings (gram, field, key, tf).
+
+    All postings of a row come from that row, so rows are dealt by key first and grams are
+    counted where they are made: texts cross the network once, postings never.
+    """
     each = F.array(*[F.struct(F.lit(f).alias("field"), F.coalesce(F.col(f), F.lit("")).alias("v")) for f in fields])
-    rows = entries.select(key, F.inline(each)).select(key, "field", F.explode(grams(F.lower("v"), n)).alias("gram"))
+    rows = entries.select(key, *fields).repartition(key).select(key, F.inline(each)).select(key, "field", F.explode(grams(F.lower("v"), n)).alias("gram"))
     return rows.groupBy("gram", "field", key).agg(F.count("*").alias("tf"))
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
@@ -42,33 +41,97 @@ def staged_release(ranked: DataFrame, stages: dict[str, int], failed: DataFrame,
     return sums.withColumn("released", F.coalesce(earlier, F.lit(0)) == 0).drop("step")
 
 
-def pack_batches(entries: DataFrame, group: str, order: str, chars: str, size: int = 6, budget: int = 4000, alone: int = 3000) -> DataFrame:
+def _next_batch(chars: list[int], own: int, size: int, budget: int, alone: int) -> list[int]:
+    """For each of the first `own` rows, where the batch after one that begins there begins; this hangs on at most `size` rows."""
+    out = []
+    for i in range(own):
+        j, total = i + 1, chars[i]
+        if chars[i] <= alone:
+            while j < len(chars) and j - i < size and chars[j] <= alone and total + chars[j] <= budget:
+                total += chars[j]
+                j += 1
+        out.append(j)
+    return out
+
+
+def _entries(slices: DataFrame, most: int, size: int, fan: int, kind: str) -> DataFrame:
+    """(g, s, entry, base): where the first batch of each slice begins and its number.
+
+    slices: (g, s, exits, counts), for every place where a slice may be entered the place
+    at which the next one is, and the batches begun in between. These functions are
+    composed `fan` slices at a time until one task has no more than that of any group.
+    """
+    schema = f"g {kind}, s long, entry int, base long"
+
+    def walk(rows: pd.DataFrame, entry: int, base: int) -> pd.DataFrame:
+        rows, out = rows.sort_values("s"), []
+        for s, exits, counts in zip(rows["s"], rows["exits"], rows["counts"], strict=True):
+            out.append((rows["g"].iloc[0], s, entry, base))
+            entry, base = int(exits[entry]), base + int(counts[entry])
+        return pd.DataFrame(out, columns=["g", "s", "entry", "base"])
+
+    if most <= fan:
+        return slices.groupBy("g").applyInPandas(lambda rows: walk(rows, 0, 0), schema)
+
+    def compose(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        at, n = list(range(size)), [0] * size
+        for exits, counts in rows.sort_values("s")[["exits", "counts"]].itertuples(index=False):
+            n = [k + int(counts[e]) for k, e in zip(n, at, strict=True)]
+            at = [int(exits[e]) for e in at]
+        return pd.DataFrame([(key[0], key[1], at, n)], columns=["g", "s", "exits", "counts"])
+
+    block = F.floor(F.col("s") / fan).cast("long").alias("block")
+    above = slices.groupBy("g", block).applyInPandas(compose, f"g {kind}, s long, exits array<int>, counts array<long>")
+    known = _entries(keep(above, "slices"), -(-most // fan), size, fan, kind)
+
+    def descend(rows: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        return walk(rows, int(told["entry"].iloc[0]), int(told["base"].iloc[0]))
+
+    return slices.groupBy("g", block).cogroup(known.groupBy("g", "s")).applyInPandas(descend, schema)
+
+
+def pack_batches(entries: DataFrame, group: str, order: str, chars: str, size: int = 6, budget: int = 4000, alone: int = 3000, rows_each: int = 8192, fan: int = 1024) -> DataFrame:
     """(group, order, chars, batch): greedy batches within a group, closed when count or characters would overflow; long rows stand alone.
 
-    A running sum with resets has no window form, and a batch depends on all before
-    it. Only ids and lengths go to the task of a group, sorted and streamed, so that a
-    group of any size takes time in its task but no memory; batches never span groups.
+    Where a batch ends hangs on where it begins and on the next `size` rows alone. So a
+    group is cut into slices of `rows_each` rows; each tells for the `size` places where a
+    batch may enter it at which place the next slice is entered and how many batches are
+    begun (small tables that compose); with the entries known all slices are numbered at
+    once. No task holds or streams a whole group. Batches never span groups.
     """
     kinds = dict(entries.dtypes)
+    kind = kinds[group]
     rows = entries.select(F.col(group).alias("g"), F.col(order).alias("o"), F.col(chars).cast("long").alias("c"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, batch, n, total, begun = None, -1, 0, 0, False
-        for b in batches:
-            out = []
-            for g, c in zip(b["g"], b["c"], strict=True):
-                if not begun or g != now:
-                    now, batch, n, total, begun = g, -1, 0, 0, True
-                if c > alone:
-                    batch, n = batch + 1, 0
-                else:
-                    if n == 0 or n >= size or total + c > budget:
-                        batch, n, total = batch + 1, 0, 0
-                    n, total = n + 1, total + c
-                out.append(batch)
-            yield b.assign(batch=out)
-
-    packed = rows.repartition("g").sortWithinPartitions("g", "o").mapInPandas(run, f"g {kinds[group]}, o {kinds[order]}, c long, batch long")
+    placed = keep(with_position(rows, ["g"], ["o"], "pos").withColumn("s", F.floor(F.col("pos") / rows_each).cast("long")), "placed")
+    ahead = placed.filter((F.col("s") > 0) & (F.col("pos") % rows_each < size)).withColumn("s", F.col("s") - 1)
+
+    def table(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
+        lengths = own.sort_values("pos")["c"].tolist()
+        n = min(rows_each, len(lengths))
+        after = _next_batch(lengths, n, size, budget, alone)
+        exits, counts = [0] * (n + size), [0] * (n + size)
+        for i in range(n - 1, -1, -1):
+            j = after[i]
+            exits[i], counts[i] = (j - n, 1) if j >= n else (exits[j], counts[j] + 1)
+        for i in range(n, n + size):
+            exits[i] = i - n
+        return pd.DataFrame([(key[0], key[1], exits[:size], counts[:size])], columns=["g", "s", "exits", "counts"])
+
+    slices = keep(placed.unionByName(ahead).groupBy("g", "s").applyInPandas(table, f"g {kind}, s long, exits array<int>, counts array<long>"), "slices")
+    most = (slices.agg(F.max("s")).first()[0] or 0) + 1
+    entered = _entries(slices, most, size, fan, kind)
+
+    def number(own: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values("pos")
+        after = _next_batch(own["c"].tolist(), len(own), size, budget, alone)
+        entry, batch = int(told["entry"].iloc[0]), int(told["base"].iloc[0])
+        out, i = [batch - 1] * min(entry, len(own)), entry
+        while i < len(own):
+            out += [batch] * (min(after[i], len(own)) - i)
+            i, batch = after[i], batch + 1
+        return own[["g", "o", "c"]].assign(batch=out)
+
+    packed = placed.groupBy("g", "s").cogroup(entered.groupBy("g", "s")).applyInPandas(number, f"g {kind}, o {kinds[order]}, c long, batch long")
     return packed.select(F.col("g").alias(group), F.col("o").alias(order), F.col("c").alias(chars), "batch")
 
 

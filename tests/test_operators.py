@@ -44,6 +44,54 @@ def test_packing_closes_on_count_and_budget(spark):
     assert got == [0, 0, 1, 2, 3, 3, 4]
 
 
+def greedy(lengths, size=6, budget=4000, alone=3000):
+    out, batch, n, total = [], -1, 0, 0
+    for c in lengths:
+        if c > alone:
+            batch, n = batch + 1, 0
+        else:
+            if n == 0 or n >= size or total + c > budget:
+                batch, n, total = batch + 1, 0, 0
+            n, total = n + 1, total + c
+        out.append(batch)
+    return out
+
+
+@pytest.mark.parametrize(("rows_each", "fan"), [(8, 2), (8, 1024), (8192, 1024)])
+def test_packing_of_slices_is_greedy(spark, rows_each, fan):
+    """A hot work in slices, with several levels of composition, gives the batches of one pass over it."""
+    import random
+
+    rng = random.Random(rows_each + fan)
+    works = {"hot": 700, "six": 6, "seven": 17, "one": 1, None: 5}
+    lengths = {w: [rng.choice([10, 600, 900, 1500, 2900, 3500, 9000]) for _ in range(n)] for w, n in works.items()}
+    rows = [(w, i, c) for w, own in lengths.items() for i, c in enumerate(own)]
+    df = spark.createDataFrame(rows, "work string, entry_id long, char_count long").repartition(5)
+    got = {}
+    for r in sampling.pack_batches(df.filter("work is not null"), "work", "entry_id", "char_count", rows_each=rows_each, fan=fan).orderBy("entry_id").collect():
+        got.setdefault(r.work, []).append(r.batch)
+    assert got == {w: greedy(own) for w, own in lengths.items() if w}
+    assert sampling.pack_batches(df.limit(0), "work", "entry_id", "char_count").count() == 0
+
+
+def test_a_text_that_is_a_third_of_all_rows_stays_in_place(spark):
+    df = spark.range(6000).select(F.col("id").alias("entry_id"), F.lit("w").alias("work"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("t"), (F.col("id") % 1500).cast("string"))).alias("text"))
+    marked = dedup.mark_duplicates(dedup.with_hashes(df))
+    first = {}
+    for r in sorted(df.collect()):
+        first.setdefault(r.text, r.entry_id)
+    assert {(r.entry_id, r.canonical_id) for r in marked.collect()} == {(r.entry_id, first[r.text]) for r in df.collect()}
+    plan = marked._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Union" in plan
+
+
+def test_postings_are_counted_where_they_are_made(spark):
+    df = spark.createDataFrame([(1, "abab", None), (2, "", "xyzx")], "k long, a string, b string")
+    index = retrieval.build_index(df, "k", ["a", "b"])
+    assert index._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert {tuple(r) for r in index.collect()} == {("aba", "a", 1, 1), ("bab", "a", 1, 1), ("xyz", "b", 2, 1), ("yzx", "b", 2, 1)}
+
+
 def test_stratified_ranks_are_prefix_stable(spark):
     df = spark.range(100).select(F.col("id").alias("entry_id"), (F.col("id") % 3).alias("s"))
     few = {r.entry_id: r["rank"] for r in sampling.stratified(df, ["s"], "x", 10).collect()}
