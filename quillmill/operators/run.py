@@ -112,6 +112,54 @@ def validate_run(records: DataFrame, sources: DataFrame, path: str, accepted: Se
     return totals | {"skipped": told["rows"] - told["accepted"], "valid": told["accepted"] - told["invalid"], "codes": codes, "ok": not codes}
 
 
+#: What a trigger says that no one knows.
+UNKNOWN = ("unknown", "未知", "不详", "不明")
+
+
+def frozen(*columns: str) -> Column:
+    """A hash of the columns a repair may not touch."""
+    return F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).cast("binary"), 256)
+
+
+def normalise_generated(records: DataFrame, form) -> DataFrame:
+    """records with their generated texts in the given form, and how many changed added to `changed`."""
+    new = F.transform("generated", form)
+    changed = F.size(F.filter(F.zip_with("generated", new, lambda a, b: ~a.eqNullSafe(b)), lambda x: x))
+    return records.withColumn("changed", F.col("changed") + F.greatest(changed, F.lit(0))).withColumn("generated", new)
+
+
+def strip_unknown(records: DataFrame, path: str = "trigger", unknown: Sequence[str] = UNKNOWN) -> DataFrame:
+    """records whose trigger is unknown without the supports that point to it: what is no claim needs no proof.
+
+    Excerpts and places stay; the number of links that go is added to `removed`. Evidence
+    that would be left without support is a problem, and its record is not changed.
+    """
+    says_nothing = F.coalesce(F.lower(F.trim(path)).isin(*unknown), F.lit(False))
+    kept = F.transform("evidence", lambda e: e.withField("supports", F.filter(e["supports"], lambda s: s != path)))
+    links = lambda e: F.aggregate(e, F.lit(0), lambda n, x: n + F.size(x["supports"]))
+    empty = says_nothing & F.exists(kept, lambda e: F.size(e["supports"]) == 0)
+    gone = F.when(says_nothing & ~empty, links(F.col("evidence")) - links(kept)).otherwise(0)
+    return records.withColumns({"removed": F.col("removed") + gone, "problem": F.coalesce("problem", F.when(empty, "empty_evidence")), "evidence": F.when(says_nothing & ~empty, kept).otherwise(F.col("evidence"))})
+
+
+def bulk_repair(records: DataFrame, repairs: Sequence, immutable: Sequence[str] = ("unit", "source_profile"), accepted: str = "valid") -> DataFrame:
+    """Stored valid records after all `repairs` (functions of the table), with changed, removed and problem; other records as they are.
+
+    records: entry_id, status, unit, source_profile, generated, trigger, evidence. What is
+    immutable, and every excerpt with its place, is hashed before and after; a record in
+    which that differs has the problem `provenance_changed` and must not be stored.
+    """
+    places = F.transform("evidence", lambda e: e.dropFields("supports"))
+    seen = frozen(*immutable), F.sha2(F.to_json(places).cast("binary"), 256)
+    before = records.withColumns({"changed": F.lit(0), "removed": F.lit(0), "problem": F.lit(None).cast("string"), "_qm_0": seen[0], "_qm_1": seen[1]})
+    after = before.filter(F.col("status") == accepted)
+    for repair in repairs:
+        after = repair(after)
+    same = F.col("_qm_0").eqNullSafe(seen[0]) & F.col("_qm_1").eqNullSafe(seen[1])
+    after = after.withColumn("problem", F.when(~same, "provenance_changed").otherwise(F.col("problem")))
+    return after.unionByName(before.filter(~F.col("status").eqNullSafe(F.lit(accepted)))).drop("_qm_0", "_qm_1")
+
+
 def corpus_rules(raw: DataFrame, rejected: DataFrame, entries: DataFrame, declared: Mapping[str, int]) -> DataFrame:
     """(rule, found, wanted, ok): ids once, one canonical row a hash that is eligible and that its copies point to, raw = accepted + rejected without overlap, and counts as declared.
 

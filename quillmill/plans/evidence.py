@@ -155,16 +155,6 @@ def _(t):
     return t.documents.filter(tx.simplified(F.col("text"), m) != F.col("text")).select("doc_id", F.lit("text").alias("path"))
 
 
-@query("e12_bulk_repair", "SELECT doc_id, sha256(translate(text, 'éèêç', 'eeec')) AS repaired, sha256(lang || source) AS immutable_sha, true AS immutable_kept FROM documents")
-def _(t):
-    from quillmill.functions import text as tx
-
-    m = {"é": "e", "è": "e", "ê": "e", "ç": "c"}
-    frozen = F.sha2(F.concat("lang", "source").cast("binary"), 256)
-    d = t.documents.withColumn("before", frozen).withColumn("text", tx.simplified(F.col("text"), m))
-    return d.select("doc_id", tx.text_hash(F.col("text")).alias("repaired"), frozen.alias("immutable_sha"), (frozen == F.col("before")).alias("immutable_kept"))
-
-
 @query("e13_confidence", f"WITH {_EV}, l AS (SELECT entry_id, unnest(['tone.calm', 'tone.dark']) AS label FROM t), n AS (SELECT l.entry_id, count(*) FILTER (support IS NULL) AS pruned FROM l LEFT JOIN e ON e.entry_id = l.entry_id AND support = label GROUP BY l.entry_id) SELECT entry_id, pruned, CASE WHEN pruned > 0 THEN 'low' ELSE 'high' END AS confidence FROM n")
 def _(t):
     labels = texts(t).select("entry_id", F.explode(F.array(*[F.lit(x) for x in ("tone.calm", "tone.dark")])).alias("label"))

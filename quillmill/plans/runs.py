@@ -141,3 +141,20 @@ def _(t):
     for _ in range(2):
         version = snapshots.update(t.spark, path, run_a, "a", 0)
     return snapshots.read(t.spark, path).withColumn("version", F.lit(version))
+
+
+_FORM = "replace(replace({0}, 'é', 'e'), 'è', 'e')"
+
+
+@query("e12_bulk_repair", f"""WITH d AS (SELECT doc_id, text, doc_id % 11 = 10 AS waits, CASE WHEN doc_id % 3 = 0 THEN ' Unknown' ELSE 'a storm' END AS trigger, doc_id % 12 = 0 AS bare FROM documents),
+r AS (SELECT doc_id, CASE WHEN waits THEN 0 ELSE (({_FORM.format('text')}) <> text)::INT END AS changed, CASE WHEN waits OR trigger = 'a storm' OR bare THEN 0 ELSE 1 END AS removed, CASE WHEN waits THEN NULL WHEN doc_id % 7 = 5 THEN 'provenance_changed' WHEN trigger <> 'a storm' AND bare THEN 'empty_evidence' END AS problem,
+sha256(CASE WHEN waits THEN text ELSE {_FORM.format('text')} END) AS generated, CASE WHEN bare THEN 'trigger' WHEN waits OR trigger = 'a storm' THEN 'tone,trigger' ELSE 'tone' END AS supports FROM d) SELECT * FROM r""")
+def _(t):
+    # every seventh record is changed where nothing may be; every twelfth has evidence for its unknown trigger alone
+    k = F.col("doc_id")
+    supports = F.when(k % 12 == 0, F.array(F.lit("trigger"))).otherwise(F.array(F.lit("tone"), F.lit("trigger")))
+    piece = F.struct(F.lit(0).alias("start"), F.lit(3).alias("end"), F.substring("text", 1, 3).alias("excerpt"), supports.alias("supports"))
+    d = t.documents.select("doc_id", F.when(k % 11 == 10, "queued").otherwise("valid").alias("status"), k.cast("string").alias("unit"), F.col("source").alias("source_profile"), F.array("text").alias("generated"), F.when(k % 3 == 0, " Unknown").otherwise("a storm").alias("trigger"), F.array(piece).alias("evidence"))
+    spoil = lambda df: df.withColumn("source_profile", F.when(k % 7 == 5, "x").otherwise(F.col("source_profile")))
+    out = run.bulk_repair(d, [lambda df: run.normalise_generated(df, lambda x: tx.simplified(x, PLAIN)), run.strip_unknown, spoil])
+    return out.select("doc_id", "changed", "removed", "problem", F.sha2(F.col("generated")[0].cast("binary"), 256).alias("generated"), F.array_join(F.col("evidence")[0]["supports"], ",").alias("supports"))

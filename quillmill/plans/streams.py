@@ -70,7 +70,8 @@ def _(t):
     return pages.excluded_subtrees(more, ("ad",))
 
 
-@query("s6_link_titles")
+@query("s6_link_titles", f"""WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, '<a [^>]*href="([^"]*)"[^>]*>', 1)) AS u, unnest(regexp_extract_all(html, '(?s)<a [^>]*href="[^"]*"[^>]*>(.*?)</a>', 1)) AS t, unnest(range(len(regexp_extract_all(html, '<a [^>]*href="([^"]*)"[^>]*>', 1)))) AS place FROM pages),
+k AS (SELECT page_id, place, regexp_extract(u, '[^/]*$') AS href, {_plain('t')} AS title FROM l) SELECT href, arg_max(title, page_id * 1000000 + place) AS title FROM k WHERE href <> '' AND title <> '' GROUP BY href""")
 def _(t):
     return pages.link_titles(t.pages)
 

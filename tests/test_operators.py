@@ -492,3 +492,36 @@ def test_a_review_run_that_is_whole_says_nothing(spark):
     hot = whole["contradiction"].withColumns({c: F.when(F.col("entry_id") == 7, many).otherwise(F.col(c)) for c in ("issues", "raw")})
     got = [tuple(r) for r in told(whole | {"contradiction": hot}).collect()]
     assert sorted(got) == [(7, "merged:added", 1), (7, "merged:lost", 700)]
+
+
+@given(st.lists(st.lists(st.sets(st.sampled_from("abcdef"), min_size=1, max_size=3), min_size=1, max_size=7), min_size=8, max_size=8), st.integers(1, 4))
+@settings(max_examples=4, deadline=None, derandomize=True)
+def test_cover_against_all_choices(spark, entries, most):
+    """Entries with few excerpts pass; of the others the cover is greedy, and fails only where greedy needs more than `most`."""
+    import itertools
+
+    rows = [(k, f"{'x' * (j % 3)}e{j}", j, sorted(s)) for k, own in enumerate(entries) for j, s in enumerate(own)]
+    e = spark.createDataFrame(rows, "entry_id long, excerpt string, start long, supports array<string>")
+    need = {k: set("ab") | (set("f") if k % 2 else set()) for k in range(len(entries))}
+    required = spark.createDataFrame([(k, s) for k, own in need.items() for s in own], "entry_id long, support string")
+    got = {}
+    for r in evidence.compact(e, required, most=most).collect():
+        got.setdefault(r.entry_id, []).append(r)
+    for k, own in enumerate(entries):
+        mine = [r for r in rows if r[0] == k]
+        if len(own) <= most:
+            assert len(got[k]) == len(own) and all(r.ok for r in got[k])
+            continue
+        covers = lambda c: need[k] <= {s for r in c for s in r[3]}
+        possible = any(covers(c) for n in range(most + 1) for c in itertools.combinations(mine, n))
+        chosen = [r for r in mine if (r[1], r[2]) in {(x.excerpt, x.start) for x in got[k]}]
+        assert len(chosen) == len(got[k]) <= most
+        if got[k][0].ok:
+            assert possible and covers(chosen)
+        left, picked, pool = set(need[k]), [], list(mine)
+        while left and any(left & set(r[3]) for r in pool):
+            best = sorted(pool, key=lambda r: (-len(left & set(r[3])), len(r[1]), r[2]))[0]
+            pool.remove(best)
+            picked.append(best)
+            left -= set(best[3])
+        assert got[k][0].ok == (not left and len(picked) <= most)
