@@ -90,11 +90,16 @@ def phrase_matches(docs: DataFrame, doc_key: str, fields: list[str], phrases: Da
     return found.join(asked, "low").select(query_key, "term", "doc", "field", "tf", "length")
 
 
-def bm25(docs: DataFrame, doc_key: str, weights: dict[str, float], phrases: DataFrame, query_key: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(query, doc, score): field-weighted BM25 over phrases; idf is kept above zero."""
+def bm25(docs: DataFrame, doc_key: str, weights: dict[str, float], phrases: DataFrame, query_key: str, k1: float = 1.2, b: float = 0.75, matches: DataFrame | None = None, size: DataFrame | None = None) -> DataFrame:
+    """(query, doc, score): field-weighted BM25 over phrases; idf is kept above zero.
+
+    matches and size, where an index has them: what `phrase_matches` tells, and one row of
+    n and avg_<field>.
+    """
     fields = [f for f, w in weights.items() if w > 0]
-    m = keep(phrase_matches(docs, doc_key, fields, phrases, query_key), "matches")
-    size = docs.agg(F.count("*").alias("n"), *[F.avg(F.length(F.coalesce(F.col(f), F.lit("")))).alias(f"avg_{f}") for f in fields])  # one row
+    m = keep(phrase_matches(docs, doc_key, fields, phrases, query_key) if matches is None else matches, "matches")
+    if size is None:
+        size = docs.agg(F.count("*").alias("n"), *[F.avg(F.length(F.coalesce(F.col(f), F.lit("")))).alias(f"avg_{f}") for f in fields])
     weight = F.coalesce(*[F.when(F.col("field") == f, F.lit(float(weights[f]))) for f in fields])
     mean = F.coalesce(*[F.when(F.col("field") == f, F.col(f"avg_{f}")) for f in fields])
     per_doc = m.join(F.broadcast(size)).withColumn("w", weight * F.col("tf") / (1 - b + b * F.col("length") / mean))

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quillmill.operators import kept_index, rules, sampling
 from quillmill.operators import retrieval as rt
-from quillmill.operators import rules, sampling
 from quillmill.registry import query
+from quillmill.shared import shared_folder
 
 #: A user's rule tables for the queries below.
 FLAG_RULES = [("idiot|moron", ["insult", "anger"]), ("stupid|loser", ["insult"]), ("trash|scum", ["contempt"]), ("clown", ["mockery"])]
@@ -171,6 +172,19 @@ def _(t):
     return recalled(t)
 
 
+#: Phrases of three characters or more have a gram; the queries have no shorter ones.
+@query("k1_index_recall", f"WITH {_BM25} SELECT item_id, doc, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc)::INT AS rank FROM s QUALIFY rank <= 24")
+def _(t):
+    # an index of most documents, a segment for the others, both merged
+    path, docs, fields = shared_folder(t.spark, "index"), titled(t), [f for f, w in WEIGHTS.items() if w > 0]
+    kept_index.create(docs.filter("doc_id % 5 <> 0"), "doc_id", fields, path)
+    kept_index.add(docs.filter("doc_id % 5 = 0"), "doc_id", fields, path)
+    kept_index.merge(t.spark, path)
+    found = kept_index.phrase_matches(kept_index.postings(t.spark, path), docs, "doc_id", fields, phrases(t), "item_id")
+    scored = rt.bm25(docs, "doc_id", WEIGHTS, phrases(t), "item_id", matches=found, size=kept_index.sizes(t.spark, path)).withColumn("score", F.round("score", 6))
+    return rt.top_k(scored, "item_id", 24, [F.desc("score"), F.col("doc")])
+
+
 @query("j5_fetch_rows", f"WITH {_BM25}, r AS (SELECT item_id, doc, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc)::INT AS rank FROM s QUALIFY rank <= 3) SELECT item_id, doc, rank, source, sha256(text) AS text_sha256 FROM r JOIN documents ON doc_id = doc")
 def _(t):
     top = recalled(t, 3).drop("score")

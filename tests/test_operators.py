@@ -525,3 +525,31 @@ def test_cover_against_all_choices(spark, entries, most):
             picked.append(best)
             left -= set(best[3])
         assert got[k][0].ok == (not left and len(picked) <= most)
+
+
+def test_recall_from_a_kept_index_equals_the_full_scan(spark, tmp_path):
+    """Segments that are added and merged change nothing; a search reads only folders of its grams."""
+    from quillmill.operators import kept_index
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "source")
+    docs = docs.unionByName(spark.createDataFrame([(9001, None, "src1"), (9002, "aaaaaa AAaa", None), (9003, "", "")], docs.schema))
+    fields, path = ["text", "source"], f"file://{tmp_path}/i"
+    asked = spark.createDataFrame([(1, "the "), (1, "aaaa"), (2, "src1"), (2, "SRC1"), (3, "nowhere in it"), (4, "aa aa"), (4, "tion")], "q long, term string")
+    want = sorted(map(tuple, retrieval.phrase_matches(docs, "doc_id", fields, asked, "q").collect()))
+    assert len(want) > 100
+
+    def told():
+        index = kept_index.postings(spark, path)
+        return sorted(map(tuple, kept_index.phrase_matches(index, docs, "doc_id", fields, asked, "q").collect()))
+
+    kept_index.create(docs.filter("doc_id % 2 = 0"), "doc_id", fields, path)
+    kept_index.add(docs.filter("doc_id % 2 = 1"), "doc_id", fields, path)
+    assert told() == want
+    kept_index.merge(spark, path)
+    assert told() == want
+    weights = {"text": 1.0, "source": 2.0}
+    full = {(r.q, r.doc): round(r.score, 9) for r in retrieval.bm25(docs, "doc_id", weights, asked, "q").collect()}
+    found = kept_index.phrase_matches(kept_index.postings(spark, path), docs, "doc_id", fields, asked, "q")
+    assert {(r.q, r.doc): round(r.score, 9) for r in retrieval.bm25(docs, "doc_id", weights, asked, "q", matches=found, size=kept_index.sizes(spark, path)).collect()} == full
+    plan = kept_index.candidates(kept_index.postings(spark, path), asked, "q", fields)._jdf.queryExecution().toString()
+    assert "PartitionFilters: [bucket" in plan and "PushedFilters" in plan and "In(gram" in plan
