@@ -140,9 +140,13 @@ def is_unknown_statement(value: Column) -> Column:
     return F.rlike(t, F.lit(r"^(?:unknown|unclear|none|n/a|未知|不明|无)$|^no(?:clear|explicit|evident).*trigger"))
 
 
+#: Fixed value: marks and spaces that do not count at the ends of a term.
+TERM_MARKS = r"[\s，。！？；：、,.!?;:()（）]+"
+
+
 def specific_term(value: Column, generic: list[str], least: int = 3, most: int = 16) -> Column:
     """The term if it is long enough, not generic and not made of generic terms only; else null."""
-    t = F.regexp_replace(value, r"^[\s，。！？；：、,.!?;:()（）]+|[\s，。！？；：、,.!?;:()（）]+$|\s", "")
+    t = F.regexp_replace(value, rf"^{TERM_MARKS}|{TERM_MARKS}$|\s", "")
     rest = F.regexp_replace(t, "|".join(sorted(generic, key=len, reverse=True)), "") if generic else t
     return F.when(F.length(t).between(least, most) & (F.length(rest) > 0), t)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -12,20 +13,68 @@ from pyspark.sql import functions as F
 from quillmill.shared import keep
 
 
-def stratified(entries: DataFrame, strata: list[str], seed: str, limit: int | None = None, key: str = "entry_id") -> DataFrame:
-    """Rows in round-robin order over the strata, with `rank` from 1; inside a stratum the order is a seeded hash.
+def restarts(sizes: list[int]) -> tuple[np.ndarray, ...]:
+    """The phases of a cursor that goes round the strata and begins again at the first one when a stratum runs empty.
 
-    Balanced, deterministic and prefix-stable. A stratum that runs empty is simply
-    passed over; the order does not start again at the first stratum, and no
-    generator state is shared between strata, so ranks come out in parallel.
+    A phase ends with the first of the smallest strata that are left: it has gone round
+    `turns` times up to that one and once less behind it. Returns, a number a phase, the
+    rows taken before it, its turns, the stratum that ends it and the strata it goes round.
     """
+    left, index = np.array(sizes, np.int64), np.arange(len(sizes))
+    taken, out = 0, []
+    for _ in sizes:
+        open_ = left > 0
+        turns = left[open_].min()
+        last = int(np.flatnonzero(left == turns)[0])
+        out.append((taken, turns, last, int(open_.sum())))
+        taken += int((turns - 1) * open_.sum() + open_[: last + 1].sum())
+        left -= np.where(open_, turns - (index > last), 0)
+    return tuple(np.array(x, np.int64) for x in zip(*out, strict=True))
+
+
+def ranks_of(phases: tuple[np.ndarray, ...], stratum: np.ndarray, turn: np.ndarray) -> np.ndarray:
+    """Rank, from 1, of the turn-th row of each stratum, by the closed form of its phase."""
+    before, turns, last, open_ = phases
+    out = np.zeros(len(stratum), np.int64)
+    for g in np.unique(stratum):
+        own = stratum == g
+        passed = np.concatenate([[0], np.cumsum(last < g)])  # strata before this one that have run empty
+        used = np.concatenate([[0], np.cumsum(turns - (g > last))])
+        k = turn[own]
+        p = np.searchsorted(used[1:], k)
+        out[own] = before[p] + (k - used[p] - 1) * open_[p] + g - passed[p] + 1
+    return out
+
+
+def stratified(entries: DataFrame, strata: list[str], seed: str, limit: int | None = None, key: str = "entry_id", most_strata: int = 20_000) -> DataFrame:
+    """Rows in round-robin order over the strata, with `turn` and `rank` from 1; inside a stratum the order is a seeded hash.
+
+    The round begins again at the first stratum whenever one runs empty. Balanced,
+    deterministic and prefix-stable. The sizes of the strata, `most_strata` at most, give
+    the phases of the cursor (`restarts`), and each row finds its rank from them alone.
+    """
+    spark = entries.sparkSession
+    sizes = entries.groupBy(*strata).agg(F.count("*").alias("n")).orderBy(*strata).limit(most_strata + 1).collect()
+    if len(sizes) > most_strata:
+        raise ValueError(f"more than {most_strata} strata")
     h = F.sha2(F.concat_ws("|", F.lit(seed), F.col(key).cast("string")).cast("binary"), 256)
     hashed = entries.withColumn("_qm_h", h)
     if limit is None:
-        ranked = with_position(hashed, strata, ["_qm_h", key], "turn").withColumn("turn", (F.col("turn") + 1).cast("int"))
+        turns = with_position(hashed, strata, ["_qm_h", key], "turn").withColumn("turn", (F.col("turn") + 1).cast("int"))
     else:  # no later turn can be reached, and tasks keep no more than `limit` rows of a stratum
-        ranked = hashed.withColumn("turn", F.row_number().over(W.partitionBy(*strata).orderBy("_qm_h", key))).filter(F.col("turn") <= limit)
-    out = ordered_index(ranked.drop("_qm_h"), ["turn", *strata, key], "rank", 1)
+        turns = hashed.withColumn("turn", F.row_number().over(W.partitionBy(*strata).orderBy("_qm_h", key))).filter(F.col("turn") <= limit)
+    if not sizes:
+        return turns.drop("_qm_h").withColumn("rank", F.lit(0).cast("long"))
+    names = [f"_qm_g{k}" for k in range(len(strata))]
+    kinds = dict(entries.dtypes)
+    table = spark.createDataFrame([(*[r[c] for c in strata], k) for k, r in enumerate(sizes)], ", ".join(f"{n} {kinds[c]}" for n, c in zip(names, strata, strict=True)) + ", _qm_s int")
+    phases = spark.sparkContext.broadcast(restarts([r["n"] for r in sizes]))
+
+    def find(stratum: pd.Series, turn: pd.Series) -> pd.Series:
+        return pd.Series(ranks_of(phases.value, stratum.to_numpy(np.int64), turn.to_numpy(np.int64)))
+
+    on = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(n)) for c, n in zip(strata, names, strict=True)])
+    out = turns.drop("_qm_h").join(F.broadcast(table), on).withColumn("rank", F.pandas_udf(find, "long")("_qm_s", "turn")).drop("_qm_s", *names)
     return out if limit is None else out.filter(F.col("rank") <= limit)
 
 

@@ -12,8 +12,14 @@ from quillmill.plans.corpus import entries, marked
 from quillmill.registry import query
 
 DOCS = "(SELECT doc_id AS entry_id, source AS work, lang, text, length(text) AS char_count, ((length(text) >= 100)::INT + (length(text) >= 500)::INT + (length(text) >= 1000)::INT + (length(text) >= 3000)::INT) AS bucket FROM documents)"
+#: Rows by strata; `ph` has a row a phase of the cursor: sizes left (r), rows taken (s), turns (m), the stratum that ends it (gs).
 RANKED = f"""t AS (SELECT *, row_number() OVER (PARTITION BY work, bucket ORDER BY sha256('s1|' || entry_id), entry_id) AS turn FROM {DOCS}),
-r AS (SELECT *, row_number() OVER (ORDER BY turn, work, bucket, entry_id) AS rank FROM t)"""
+st AS (SELECT work, bucket, count(*) AS n, row_number() OVER (ORDER BY work, bucket) AS g FROM t GROUP BY work, bucket),
+ph AS (SELECT 0 AS p, list(n ORDER BY g) AS r, 0::BIGINT AS s FROM st UNION ALL
+SELECT p + 1, list_transform(range(1, len(r) + 1), lambda i: CASE WHEN r[i] = 0 THEN 0 WHEN i <= gs THEN r[i] - m ELSE r[i] - m + 1 END), s + (m - 1) * act + len(list_filter(range(1, gs + 1), lambda i: r[i] > 0))
+FROM (SELECT *, list_min(list_filter(r, lambda x: x > 0)) AS m, list_position(r, list_min(list_filter(r, lambda x: x > 0))) AS gs, len(list_filter(r, lambda x: x > 0)) AS act FROM ph) WHERE act > 0),
+u AS (SELECT p, r, s, len(list_filter(r, lambda x: x > 0)) AS act, lead(r) OVER (ORDER BY p) AS after FROM ph),
+r AS (SELECT t.*, u.s + (t.turn - (st.n - u.r[st.g]) - 1) * u.act + len(list_filter(range(1, st.g + 1), lambda i: u.r[i] > 0)) AS rank FROM t JOIN st ON st.work = t.work AND st.bucket = t.bucket JOIN u ON t.turn > st.n - u.r[st.g] AND t.turn <= st.n - u.after[st.g])"""
 
 
 def bucketed(t):
@@ -22,12 +28,12 @@ def bucketed(t):
     return entries(t).withColumns({"char_count": F.length("text"), "bucket": length_bucket(F.length("text"))})
 
 
-@query("w3_stratified_sample", f"WITH {RANKED} SELECT entry_id, work, bucket, turn, rank FROM r WHERE rank <= 120")
+@query("w3_stratified_sample", f"WITH RECURSIVE {RANKED} SELECT entry_id, work, bucket, turn, rank FROM r WHERE rank <= 120")
 def _(t):
     return sampling.stratified(bucketed(t).select("entry_id", "work", "bucket"), ["work", "bucket"], "s1", 120)
 
 
-@query("w4_staged_release", f"""WITH {RANKED}, s AS (SELECT * FROM (VALUES (0, 'pilot', 40), (1, 'canary', 120), (2, 'full', (SELECT count(*) FROM documents))) v(step, stage, wanted)),
+@query("w4_staged_release", f"""WITH RECURSIVE {RANKED}, s AS (SELECT * FROM (VALUES (0, 'pilot', 40), (1, 'canary', 120), (2, 'full', (SELECT count(*) FROM documents))) v(step, stage, wanted)),
 x AS (SELECT step, stage, wanted, count(*) AS rows, count(*) FILTER (entry_id IN (SELECT doc_id FROM labels WHERE quality = 0)) AS failed_rows FROM s JOIN r ON r.rank <= s.wanted GROUP BY ALL)
 SELECT stage, wanted, rows, failed_rows, coalesce(sum(failed_rows) OVER (ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 0 AS released FROM x""")
 def _(t):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -553,3 +554,20 @@ def test_recall_from_a_kept_index_equals_the_full_scan(spark, tmp_path):
     assert {(r.q, r.doc): round(r.score, 9) for r in retrieval.bm25(docs, "doc_id", weights, asked, "q", matches=found, size=kept_index.sizes(spark, path)).collect()} == full
     plan = kept_index.candidates(kept_index.postings(spark, path), asked, "q", fields)._jdf.queryExecution().toString()
     assert "PartitionFilters: [bucket" in plan and "PushedFilters" in plan and "In(gram" in plan
+
+
+@given(st.lists(st.integers(1, 9), min_size=1, max_size=8))
+@settings(max_examples=300, deadline=None)
+def test_ranks_are_those_of_a_cursor_that_restarts(sizes):
+    left, cursor, order = {g: n for g, n in enumerate(sizes)}, 0, []
+    while left:
+        open_ = sorted(left)
+        g = open_[cursor % len(open_)]
+        order.append((g, sizes[g] - left[g] + 1))
+        left[g] -= 1
+        cursor += 1
+        if not left[g]:
+            del left[g]
+            cursor = 0
+    stratum, turn = np.array(order).T
+    assert sampling.ranks_of(sampling.restarts(sizes), stratum, turn).tolist() == list(range(1, len(order) + 1))
