@@ -65,6 +65,16 @@ def places(text: str, write: Callable[[str], str], left_out: str | None = None,
     return Places(pieces)
 
 
+def locate(text: str, quote: str, write: Callable[[str], str], left_out: str, alone: bool = True) -> tuple[int, int] | None:
+    """`places(...).find(quote, alone)`; places are only worked out for a form that has the quote."""
+    if len(quote) < 2:
+        return None
+    form = re.sub(left_out, "", text).translate({ord(c): write(c) for c in set(text)})
+    if quote not in form or (alone and form.count(quote) != 1):
+        return None
+    return places(text, write, left_out).find(quote, alone)
+
+
 def _writers(glyphs: dict[int, str]) -> tuple[Callable[[str], str], ...]:
     """How a character is written in display form and without punctuation, in a quote and in its source."""
     shown = lambda c: c.translate(glyphs)
@@ -129,12 +139,12 @@ def align(text: str, quote: str | None, glyphs: dict[int, str] | None = None, li
         parts = quote.split(ELLIPSIS)
         if min(map(len, parts)) >= 2 and fits(span := _across(text, *parts)):
             return span
-    if re.search(EDITION_NOTE, text) and (span := places(text, str, EDITION_NOTE).find(quote, False)):
+    if re.search(EDITION_NOTE, text) and (span := locate(text, quote, str, EDITION_NOTE, alone=False)):
         return _cut(text, span, limit)
     notes = f"{NUMBERED_NOTE}|{EDITION_NOTE}"
     display, display_source, bare, bare_source = _writers(glyphs or {})
     shown = "".join(map(display, quote))
-    if span := places(text, display_source, notes).find(shown, True):
+    if span := locate(text, shown, display_source, notes):
         a, b = span
         while a > 0 and text[a - 1] in QUOTATION_MARKS:
             a -= 1
@@ -144,7 +154,7 @@ def align(text: str, quote: str | None, glyphs: dict[int, str] | None = None, li
             return a, b
     if re.search(READING_OF_GAP, text) and fits(span := places(text, display_source, notes, readings=True).find(shown, True)):
         return span
-    if fits(span := places(text, bare_source, notes).find("".join(map(bare, quote)), True)):
+    if fits(span := locate(text, "".join(map(bare, quote)), bare_source, notes)):
         return span
     return _left_out(text, quote, limit) if 4 <= len(quote) <= limit else None
 

@@ -143,6 +143,26 @@ def _(t):
     return snapshots.read(t.spark, path).withColumn("version", F.lit(version))
 
 
+@query("l7_archived_runs", "WITH d AS (SELECT doc_id, sha256(text) AS digest FROM documents), a AS (SELECT doc_id, digest FROM d WHERE doc_id % 4 = 0), b AS (SELECT doc_id, digest FROM d WHERE doc_id % 6 = 0) SELECT doc_id, digest, 'superseded' AS reason, 2 AS version FROM (SELECT * FROM a UNION SELECT * FROM b)")
+def _(t):
+    # two runs archive what they supersede, both from the first version; the first one's batch is sent again
+    d = t.documents.select("doc_id", SHA("text").alias("digest"))
+    newer = lambda n: d.withColumn("digest", F.when(F.col("doc_id") % n == 0, "new").otherwise(F.col("digest")))
+    path, waiting = shared.shared_folder(t.spark, "history"), [True]
+    snapshots.publish(lg.archive(d.limit(0), d, "doc_id", "digest"), path, unique=("doc_id",))
+    with_old = lambda rows, n: rows.unionByName(lg.archive(d, newer(n), "doc_id", "digest")).dropDuplicates(["doc_id", "digest"])
+
+    def first(rows: DataFrame) -> DataFrame:
+        if waiting:
+            waiting.pop()
+            snapshots.update(t.spark, path, lambda x: with_old(x, 6), "second", 0)
+        return with_old(rows, 4)
+
+    for _ in range(2):
+        version = snapshots.update(t.spark, path, first, "first", 0)
+    return snapshots.read(t.spark, path).withColumn("version", F.lit(version))
+
+
 _FORM = "replace(replace({0}, 'é', 'e'), 'è', 'e')"
 
 
