@@ -8,7 +8,9 @@ from functools import reduce
 from itertools import islice
 
 import ahocorasick
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -29,15 +31,57 @@ def grams(text: Column, n: int = 3) -> Column:
     return F.element_at(F.transform(F.array(F.split(text, "")), of), 1)
 
 
+def counted(texts: list[str], n: int) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """The different n-grams of some texts, and (place of the gram, place of the text, times) of each that a text has, by gram."""
+    whole = "".join(texts)
+    chars = np.frombuffer(whole.encode("utf-32-le"), np.uint32).astype(np.int64)
+    most = max(0, len(chars) - n + 1)
+    row = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    at = np.flatnonzero(row[:most] == row[n - 1 : n - 1 + most])  # not across two texts
+    code, bits = chars[at], 21
+    for k in range(1, n):
+        if bits + 21 > 63:
+            seen, code = np.unique(code, return_inverse=True)
+            bits = len(seen).bit_length()
+        code, bits = (code << 21) | chars[at + k], bits + 21
+    seen, first, gram = np.unique(code, return_index=True, return_inverse=True)
+    pair, tf = np.unique(gram * len(texts) + row[at], return_counts=True)
+    return [whole[i : i + n] for i in at[first].tolist()], pair // max(1, len(texts)), pair % max(1, len(texts)), tf
+
+
+def counted_batches(key: str, fields: list[str], n: int, most: int = 500_000):
+    """A mapInArrow helper: (field, keys, *counted(texts)) for blocks of rows with about `most` characters of a field."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for b in batches:
+            for field in fields:
+                texts = [t or "" for t in b.column(field).to_pylist()]
+                block = np.cumsum([len(t) for t in texts]) // most
+                for part in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(block)) + 1):
+                    if len(part):
+                        yield field, b.column(key).slice(part[0], len(part)), *counted(texts[part[0] : part[-1] + 1], n)
+
+    return run
+
+
 def build_index(entries: DataFrame, key: str, fields: list[str], n: int = 3) -> DataFrame:
     """Postings (gram, field, key, tf).
 
     All postings of a row come from that row, so rows are dealt by key first and grams are
-    counted where they are made: texts cross the network once, postings never.
+    counted where they are made, block by block: texts cross the network once, postings
+    never (but where a key has several rows).
     """
-    each = F.array(*[F.struct(F.lit(f).alias("field"), F.coalesce(F.col(f), F.lit("")).alias("v")) for f in fields])
-    rows = entries.select(key, *fields).repartition(key).select(key, F.inline(each)).select(key, "field", F.explode(grams(F.lower("v"), n)).alias("gram"))
-    return rows.groupBy("gram", "field", key).agg(F.count("*").alias("tf"))
+    blocks = counted_batches(key, fields, n)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for field, keys, grams, gram, row, tf in blocks(batches):
+            names = pa.array(grams, pa.string()).take(pa.array(gram))
+            yield pa.RecordBatch.from_arrays([names, pa.array([field]).take(pa.array(np.zeros(len(tf), np.int64))), keys.take(pa.array(row)), pa.array(tf, pa.int64())], ["gram", "field", key, "tf"])
+
+    rows = entries.select(key, *[F.lower(f).alias(f) for f in fields]).repartition(key)
+    found = rows.mapInArrow(run, f"gram string, field string, `{key}` {dict(entries.dtypes)[key]}, tf long")
+    if entries.groupBy(key).count().filter("count > 1").limit(1).count():
+        return found.groupBy("gram", "field", key).agg(F.sum("tf").alias("tf"))
+    return found
 
 
 def expand_terms(queries: DataFrame, key: str, text: str, aliases: DataFrame, per_hit: int = 2, most: int = 8) -> DataFrame:
