@@ -230,19 +230,76 @@ def summary_gate(summary: DataFrame, work_counts: DataFrame) -> DataFrame:
     return summary.join(F.broadcast(total)).filter(ok).drop("of_works")
 
 
+def _dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products of rows added up from left to right, so that equal vectors have equal scores wherever they stand."""
+    out = np.zeros(len(a))
+    for d in range(a.shape[1]):
+        out += a[:, d] * b[:, d]
+    return out
+
+
+def _nearest(shared, k: int, names: tuple[str, str], chunk: int = 256):
+    """The k best rows of a task for each query of a block: a matrix product leaves few pairs, and these are scored and ranked exactly."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, q = shared.value
+        qn = np.sqrt(_dot(q, q))
+        best = [(np.zeros(0, np.int64), np.zeros(0), np.zeros(0, ids.dtype)) for _ in range(0, len(ids), chunk)]
+        floor = np.full(len(ids), -np.inf)
+        for b in batches:
+            keys, v = b["_qm_k"].to_numpy(), np.stack(b["_qm_v"].to_numpy()).astype(np.float64)
+            vn = np.sqrt(_dot(v, v))
+            unit = v / vn[:, None]
+            for c, at in enumerate(range(0, len(ids), chunk)):
+                near = (q[at : at + chunk] / qn[at : at + chunk, None]) @ unit.T
+                least = floor[at : at + chunk]
+                if len(keys) > k + 1:  # the query itself may be among them
+                    least = np.maximum(least, np.partition(near, len(keys) - k - 1, axis=1)[:, len(keys) - k - 1])
+                i, j = np.nonzero(near >= least[:, None] - 1e-9)
+                i, j = i[keys[j] != ids[at + i]], j[keys[j] != ids[at + i]]
+                score = np.concatenate([_dot(v[j[p : p + 100_000]], q[at + i[p : p + 100_000]]) for p in range(0, max(1, len(i)), 100_000)])
+                who, score, key = (np.concatenate(x) for x in zip(best[c], (i, score / (vn[j] * qn[at + i]), keys[j]), strict=True))
+                order = np.lexsort((np.unique(key, return_inverse=True)[1], -score, who))
+                who, score, key = who[order], score[order], key[order]
+                place = np.arange(len(who)) - np.searchsorted(who, who)
+                best[c] = who[place < k], score[place < k], key[place < k]
+                last = place == k - 1
+                floor[at + who[last]] = score[last]
+        for c, (who, score, key) in enumerate(best):
+            yield pd.DataFrame({names[0]: ids[c * chunk + who], names[1]: key, "score": score})
+
+    return run
+
+
 def cosine_top_k(vectors: DataFrame, queries: DataFrame, key: str, query_key: str, vector: str, k: int, block: int = 10_000) -> DataFrame:
-    """(query, key, rank, score): a stated query set against all vectors, in blocks of about `block` queries; each task keeps k rows a query."""
+    """(query, key, rank, score): a stated query set against all vectors, in blocks of about `block` queries; each task keeps k rows a query.
+
+    Every pair is looked at, as a matrix product in the tasks. Vectors without a length
+    (null, empty, zero or not finite) and those of another size meet the others in a join.
+    """
+    spark = vectors.sparkSession
     norm = lambda v: F.sqrt(F.aggregate(F.transform(v, lambda x: x.cast("double") * x), F.lit(0.0), lambda a, x: a + x))
     left = vectors.select(F.col(key).alias("_qm_k"), F.col(vector).alias("_qm_v"), norm(F.col(vector)).alias("_qm_n"))
     right = queries.select(F.col(query_key).alias("_qm_q"), F.col(vector).alias("_qm_w"), norm(F.col(vector)).alias("_qm_m"))
+    size = right.agg(F.max(F.size("_qm_w"))).first()[0] or 0
+    whole = lambda i, v, n: F.coalesce(F.col(i).isNotNull() & (F.size(v) == size) & (F.col(n) > 0) & (F.col(n) < float("inf")), F.lit(False))
+    good, fine = whole("_qm_k", "_qm_v", "_qm_n"), whole("_qm_q", "_qm_w", "_qm_m")
     dot = F.aggregate(F.zip_with("_qm_v", "_qm_w", lambda x, y: x.cast("double") * y), F.lit(0.0), lambda a, x: a + x)
-    blocks = -(-queries.count() // block)
+    kinds = dict(vectors.dtypes)[key], dict(queries.dtypes)[query_key]
+    schema = f"_qm_q {kinds[1]}, _qm_k {kinds[0]}, score double"
+    blocks = max(1, -(-queries.count() // block))
     parts = []
-    for i in range(max(1, blocks)):
-        own = right.filter(F.pmod(F.xxhash64("_qm_q"), F.lit(max(1, blocks))) == i)  # about `block` vectors
-        scored = left.join(F.broadcast(own), F.col("_qm_k") != F.col("_qm_q")).select("_qm_q", "_qm_k", (dot / (F.col("_qm_n") * F.col("_qm_m"))).alias("score"))
-        parts.append(top_k(scored, "_qm_q", k, [F.desc("score"), F.col("_qm_k")]))
-    return reduce(DataFrame.unionByName, parts).select(F.col("_qm_q").alias("query"), F.col("_qm_k").alias(key), "rank", "score")
+    for i in range(blocks):
+        own = right.filter(F.pmod(F.xxhash64("_qm_q"), F.lit(blocks)) == i)  # about `block` vectors
+        asked = own.filter(fine).select("_qm_q", "_qm_w").toPandas()
+        if len(asked):
+            shared = spark.sparkContext.broadcast((asked["_qm_q"].to_numpy(), np.stack(asked["_qm_w"].to_numpy()).astype(np.float64)))
+            parts.append(left.filter(good).select("_qm_k", "_qm_v").mapInPandas(_nearest(shared, k, ("_qm_q", "_qm_k")), schema))
+    for rows, asked in ((left.filter(~good), right), (left.filter(good), right.filter(~fine))):
+        if rows.limit(1).count() and asked.limit(1).count():
+            met = rows.join(F.broadcast(asked), F.col("_qm_k") != F.col("_qm_q"))
+            parts.append(met.select("_qm_q", "_qm_k", (dot / (F.col("_qm_n") * F.col("_qm_m"))).alias("score")))
+    scored = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
+    return top_k(scored, "_qm_q", k, [F.desc("score"), F.col("_qm_k")]).select(F.col("_qm_q").alias("query"), F.col("_qm_k").alias(key), "rank", "score")
 
 
 def fuse_ranks(lists: list[DataFrame], query_key: str, doc: str, k: int = 60) -> DataFrame:
