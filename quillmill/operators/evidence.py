@@ -298,31 +298,44 @@ def recover_quote(quotes: DataFrame, texts: DataFrame, key: str = "entry_id", le
 def compact(evidence: DataFrame, required: DataFrame, key: str = "entry_id", most: int = 24) -> DataFrame:
     """(key, excerpt, start, ok): at most `most` excerpts an entry that cover the required supports; ok is false where that takes more.
 
-    Entries that hold no more are passed through; the others, one small group each,
-    go through greedy cover: most new supports, then shorter, then earlier.
+    Entries that hold no more are passed through; the others go through greedy cover: most
+    new supports, then shorter, then earlier. Of an entry only two things count, its first
+    `most` excerpts and, of each different set of supports, the excerpt that comes first
+    (an equal set adds nothing after it), so that these few are one row an entry.
     """
     count = evidence.groupBy(key).agg(F.count("*").alias("_qm_n"))
-    j = evidence.join(count, key)
-    few = j.filter(F.col("_qm_n") <= most).select(key, "excerpt", "start", F.lit(True).alias("ok"))
+    own = evidence.select(key, "excerpt", "start", F.sort_array(F.array_distinct("supports")).alias("supports"))
+    place = F.row_number().over(W.partitionBy(key).orderBy("start", "excerpt", "supports"))
+    first = own.withColumn("_qm_i", place).filter(F.col("_qm_i") <= most).groupBy(key).agg(F.collect_list(F.struct("start", "excerpt", "supports")).alias("first"))
+    best = own.groupBy(key, "supports").agg(F.min(F.struct(F.length("excerpt").alias("n"), "start", "excerpt")).alias("b"))
+    best = best.groupBy(key).agg(F.collect_list(F.struct("b.start", "b.excerpt", "supports")).alias("best"))
     need = required.groupBy(key).agg(F.collect_set("support").alias("need"))
-    many = j.filter(F.col("_qm_n") > most).join(need, key, "left").select(key, "excerpt", "start", "supports", "need")
+    j = count.join(first, key).join(best, key).join(need, key, "left")
+    few = j.filter(F.col("_qm_n") <= most).select(key, F.inline("first")).select(key, "excerpt", "start", F.lit(True).alias("ok"))
     kind = dict(evidence.dtypes)[key]
 
-    def cover(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = sorted(zip(pdf["start"], pdf["excerpt"], map(set, pdf["supports"]), strict=True), key=lambda r: (r[0], r[1]))
-        first = pdf["need"].iloc[0]
-        left = set(first) if first is not None else set()
-        chosen: list = []
-        while left and rows:
-            best = min(rows, key=lambda r: (-len(r[2] & left), len(r[1]), r[0]))
-            if not best[2] & left:
+    def cover(first: list, best: list, need: list | None) -> tuple[list, bool]:
+        rows = sorted((r["start"], r["excerpt"], tuple(r["supports"])) for r in first)
+        sets, left, chosen = [(r["start"], r["excerpt"], tuple(r["supports"])) for r in best], set(need if need is not None else ()), []
+        while left and sets:
+            pick = min(sets, key=lambda r: (-len(left.intersection(r[2])), len(r[1]), r[0], r[1]))
+            if not left.intersection(pick[2]):
                 break
-            chosen.append(best)
-            rows.remove(best)
-            left -= best[2]
-        ok = not left and len(chosen) <= most
-        chosen = sorted((chosen + rows)[: max(most, 0)], key=lambda r: (r[0], r[1]))
-        return pd.DataFrame([(pdf[key].iloc[0], e, s, ok) for s, e, _ in chosen], columns=[key, "excerpt", "start", "ok"])
-
-    covered = many.groupBy(key).applyInPandas(cover, f"{key} {kind}, excerpt string, start long, ok boolean")
-    return few.unionByName(covered)
+            chosen.append(pick)
+            sets.remove(pick)
+            left.difference_update(pick[2])
+        for r in chosen:
+            if r in rows:
+                rows.remove(r)
+        return sorted((chosen + rows)[: max(most, 0)], key=lambda r: r[:2]), not left and len(chosen) <= most
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for k, *parts in zip(b[key], b["first"], b["best"], b["need"], strict=True):
+                chosen, ok = cover(*parts)
+                out += [(k, e, start, ok) for start, e, _ in chosen]
+            yield pd.DataFrame(out, columns=[key, "excerpt", "start", "ok"])
+
+    many = j.filter(F.col("_qm_n") > most).select(key, "first", "best", "need")
+    return few.unionByName(many.mapInPandas(run, f"{key} {kind}, excerpt string, start long, ok boolean"))
