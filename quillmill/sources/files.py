@@ -29,17 +29,26 @@ def _plain(path: str | Column) -> Column:
 
 def _shard_facts(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """(path, bytes, sha256, rows, broken) of every NDJSON file under a path, as it is."""
-    hashes = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").load(path)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").load(path)
+    facts = files.select(_plain("path").alias("path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), F.col("content").cast("string").alias("value"))
     parsed = F.from_json("value", f"{schema}, broken string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "broken"})
-    lines = spark.read.option("recursiveFileLookup", "true").text(path).select(_plain(F.col("_metadata.file_path")).alias("path"), parsed["broken"].alias("broken"))
-    counts = lines.groupBy("path").agg(F.count("*").alias("rows"), F.count("broken").alias("broken"))
-    return hashes.select(_plain("path").alias("path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256")).join(counts, "path", "left").na.fill(0, ["rows", "broken"])
+    # a file's last line ends, and an empty file has none
+    lines = facts.withColumn("value", F.explode_outer(F.split(F.regexp_replace("value", r"(?:\r\n|\r|\n)\z", ""), r"\r\n|\r|\n")))
+    there = F.when(F.col("bytes") > 0, F.lit(1))
+    return lines.groupBy("path", "bytes", "sha256").agg(F.count(there).alias("rows"), F.count(F.when(F.col("bytes") > 0, parsed["broken"])).alias("broken"))
 
 
 def write_shards(entries: DataFrame, path: str, work: str, order: str, rows: int = 1000) -> DataFrame:
-    """NDJSON files of at most `rows` rows, one folder a work; returns the manifest (path, bytes, sha256, rows) of what was written."""
-    placed = with_shard(entries, work, order, rows)
-    placed.repartition(work, "shard").sortWithinPartitions(work, "shard", order).write.partitionBy(work, "shard").option("maxRecordsPerFile", rows).mode("overwrite").json(path)
+    """NDJSON files of at most `rows` rows, one folder a work; returns the manifest (path, bytes, sha256, rows) of what was written.
+
+    A task has whole shards in order, and only the last one of a work is short, so that
+    counting rows cuts the files where the shards end; there is no folder for each, which
+    would be listed and sent to the driver one by one.
+    """
+    # null and empty are one work, named as Spark names their folder
+    named = F.coalesce(F.when(F.col(work).cast("string") != "", F.col(work).cast("string")), F.lit("__HIVE_DEFAULT_PARTITION__"))
+    placed = with_shard(entries.withColumn(work, named), work, order, rows).withColumn(work, named)
+    placed.repartition(work, "shard").sortWithinPartitions(work, "shard", order).write.partitionBy(work).option("maxRecordsPerFile", rows).mode("overwrite").json(path)
     return _shard_facts(entries.sparkSession, path, f"{order} string").drop("broken")
 
 
