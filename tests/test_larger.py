@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
-from quillmill.operators import kept_index, retrieval, rules
-from quillmill.sources import pages
+from quillmill.operators import evidence, kept_index, retrieval, rules
+from quillmill.sources import files, pages
 
 
 def test_word_edges_are_ascii(spark):
@@ -58,3 +60,63 @@ def test_candidates_come_from_the_rarest_grams(spark, tmp_path):
     rarest = plan.inputFiles()
     assert sum(r.asked for r in [spark.read.parquet(f).agg(F.count("*").alias("asked")).first() for f in rarest if "rarest-" in f]) <= 2 * 2 * kept_index.RAREST
     assert [r.tf for r in kept_index.phrase_matches(index, docs, "doc_id", ["text"], asked, "q").collect()] == [1]
+
+
+def test_nearest_vectors_with_ties_and_odd_vectors(spark):
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    base = r.integers(-3, 4, (60, 5)).astype(float)
+    rows = [(k, (base[k % 60] * (1 + k % 3)).tolist()) for k in range(300)] + [(900, None), (901, [1.0, None, 0.0, 0.0, 0.0])]
+    df = spark.createDataFrame([x for x in rows if x[1] is None or any(x[1])], "k long, v array<double>").repartition(3)
+    dot = lambda a, b: sum((x * y for x, y in zip(a, b, strict=True)), 0.0)
+    known = {k: v for k, v in rows if v and all(x is not None for x in v) and any(v)}
+    got = retrieval.cosine_top_k(df, df.filter("k % 20 = 0 and k < 900"), "k", "k", "v", 7, block=6).collect()
+    assert any("mapInPandas" in x or "MapInPandas" in x for x in [retrieval.cosine_top_k(df, df.filter("k = 20"), "k", "k", "v", 7)._jdf.queryExecution().toString()])
+    for q in [k for k in known if k % 20 == 0]:
+        order = sorted((-dot(v, known[q]) / (dot(v, v) ** 0.5 * dot(known[q], known[q]) ** 0.5), k) for k, v in known.items() if k != q)
+        assert [k for _, k in order[:7]] == [x.k for x in sorted((x for x in got if x.query == q), key=lambda x: x["rank"])]
+
+
+def test_shards_are_files_of_one_folder_a_work(spark, tmp_path):
+    rows = spark.createDataFrame([(k, ["a", "b", "", None][k % 4], "x\ry z") for k in range(55)], "entry_id long, work string, text string")
+    path = f"file://{tmp_path}/s"
+    m = files.write_shards(rows.repartition(5), path, "work", "entry_id", 3).collect()
+    assert sorted(r.rows for r in m) == [2, 2] + [3] * 17 and not list(tmp_path.glob("s/*/*/*.json"))
+    for f in tmp_path.glob("s/work=a/*.json"):
+        ids = sorted(json.loads(x)["entry_id"] for x in f.read_text().split("\n") if x)
+        assert ids == list(range(ids[0], ids[-1] + 1, 4))
+    assert files.read_shards(spark, path, "entry_id long, text string").count() == 55
+    (tmp_path / "s/work=a/stray.json").write_text('{"entry_id": 1}')
+    told = files.verify_shards(spark, path, "entry_id long", spark.createDataFrame(m)).collect()
+    assert [r.problem for r in told] == ["unlisted"]
+
+
+def test_batches_of_python_workers_are_small(spark):
+    from quillmill.shipping import BATCH, ship
+
+    before = spark.conf.get(BATCH)
+    ship(spark)
+    assert int(spark.conf.get(BATCH)) == 1000
+    spark.conf.set(BATCH, before)
+    sizes = pages.elements(spark.range(250).select(F.col("id").alias("page_id"), F.lit("<p>a").alias("html")).coalesce(1))
+    assert sizes.count() == 500
+
+
+def test_cover_takes_one_small_row_an_entry(spark):
+    e = spark.createDataFrame([(k, f"{'x' * (i % 7)}{i}", i, [f"s{i % 5}"]) for k in range(3) for i in range(200)], "entry_id long, excerpt string, start long, supports array<string>")
+    need = e.select("entry_id", F.explode("supports").alias("support")).distinct()
+    out = evidence.compact(e, need)
+    assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().toString()
+    got = [(r.start, r.excerpt) for r in out.filter("entry_id = 1").orderBy("start", "excerpt").collect()]
+    assert got == [(i, f"{'x' * (i % 7)}{i}") for i in sorted({0, 1, 7, 14, 28} | set(range(24)))][:24] or len(got) == 24
+    assert {i % 5 for i, _ in got} == set(range(5)) and out.filter("ok").count() == 72
+
+
+def test_no_broadcast_without_large_groups(spark):
+    from quillmill.llm.common import join_groups
+
+    rows = spark.range(3000).select((F.col("id") % 1000).alias("k"), "id")
+    groups = rows.groupBy("k").agg(F.count("*").alias("n"))
+    assert "Union" not in join_groups(rows, groups, "k", "n", 3000)._jdf.queryExecution().toString()
+    assert join_groups(rows, groups, "k", "n", 3000).count() == 3000
