@@ -9,10 +9,14 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _SHIPPED: set[str] = set()
+#: Rows of a batch that a Python worker holds at once.
+BATCH, ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Sends the package's sources to this application's executors, once."""
+    """Sends the package's sources to this application's executors, once, and keeps the batches of Python workers small."""
+    if not 0 < int(spark.conf.get(BATCH, "10000")) <= ROWS:  # whole texts and pages travel in them
+        spark.conf.set(BATCH, str(ROWS))
     sc = spark.sparkContext
     if sc.applicationId not in _SHIPPED:
         root = Path(__file__).resolve().parent
