@@ -60,9 +60,12 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total:
     """rows joined to their group, a row a key of `groups` with the number `size` of its rows (about `total` in all).
 
     Keys that own many rows, a thousand at most, are broadcast, so that their rows stay
-    where they are; the others meet their rows by key.
+    where they are; the others meet their rows by key. Where there are none, nothing is
+    broadcast: each broadcast is a table in the driver's memory.
     """
     cut = max(500, total // 1000)
+    if total <= cut or not groups.filter(F.col(size) > cut).limit(1).count():
+        return rows.join(groups, key)
     large = F.broadcast(groups.filter(F.col(size) > cut))
     others = rows.join(F.broadcast(groups.filter(F.col(size) > cut).select(key)), key, "left_anti")
     return rows.join(large, key).unionByName(others.join(groups.filter(F.col(size) <= cut), key))
