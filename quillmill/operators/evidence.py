@@ -9,12 +9,15 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quillmill import shared
+
 LIMIT = 80
 LONGEST_QUOTE = 10_000
 
@@ -65,26 +68,62 @@ def places(text: str, write: Callable[[str], str], left_out: str | None = None,
     return Places(pieces)
 
 
-def locate(text: str, quote: str, write: Callable[[str], str], left_out: str, alone: bool = True) -> tuple[int, int] | None:
-    """`places(...).find(quote, alone)`; places are only worked out for a form that has the quote."""
+class Form(dict):
+    """What `write` makes of each character, remembered by code point, as str.translate takes it."""
+
+    def __init__(self, write: Callable[[str], str]):
+        super().__init__()
+        self.write = write
+
+    def __missing__(self, code: int) -> str:
+        self[code] = self.write(chr(code))
+        return self[code]
+
+    def __call__(self, c: str) -> str:
+        return self[ord(c)]
+
+
+def _place(text: str, form: Form, a: int, b: int, at: int) -> int:
+    """Which character between a and b is written as the one at `at` of their form; halves are rewritten, so that it takes as long as one reading."""
+    while b - a > 1:
+        mid = (a + b) // 2
+        n = len(text[a:mid].translate(form))
+        a, b, at = (a, mid, at) if at < n else (mid, b, at - n)
+    return a
+
+
+def locate(text: str, quote: str, form: Form, left_out: str, alone: bool = True) -> tuple[int, int] | None:
+    """`places(...).find(quote, alone)`; no places are worked out but the two ends of what is found."""
     if len(quote) < 2:
         return None
-    form = re.sub(left_out, "", text).translate({ord(c): write(c) for c in set(text)})
-    if quote not in form or (alone and form.count(quote) != 1):
+    cuts = [0, *[x for m in re.finditer(left_out, text) for x in m.span()], len(text)]
+    parts = [text[a:b].translate(form) for a, b in zip(cuts[::2], cuts[1::2], strict=True)]
+    whole = "".join(parts)
+    at = whole.find(quote)
+    if at < 0 or (alone and whole.count(quote) != 1):
         return None
-    return places(text, write, left_out).find(quote, alone)
+    to, ends, done = at + len(quote) - 1, [], 0
+    for a, b, own in zip(cuts[::2], cuts[1::2], parts, strict=True):
+        ends += [_place(text, form, a, b, k - done) for k in (at, to) if done <= k < done + len(own)]
+        done += len(own)
+    return ends[0], ends[1] + 1
+
 
+SAME = Form(str)
 
-def _writers(glyphs: dict[int, str]) -> tuple[Callable[[str], str], ...]:
+
+@lru_cache(maxsize=8)
+def _writers(glyphs: tuple[tuple[int, str], ...]) -> tuple[Form, ...]:
     """How a character is written in display form and without punctuation, in a quote and in its source."""
-    shown = lambda c: c.translate(glyphs)
+    table = dict(glyphs)
+    shown = lambda c: c.translate(table)
     display = lambda c: "" if c in QUOTATION_MARKS else shown(c)
     bare = lambda c: "" if c.isspace() or unicodedata.category(c) in ("Cf", "Cc") or unicodedata.category(c)[0] == "P" else shown(c)
 
     def of_source(write):
         return lambda c: "" if c == NO_GLYPH or unicodedata.category(c) == "Cf" else write(VARIANTS.get(c, c))
 
-    return display, of_source(display), bare, of_source(bare)
+    return Form(display), Form(of_source(display)), Form(bare), Form(of_source(bare))
 
 
 def _cut(text: str, span: tuple[int, int], limit: int) -> tuple[int, int]:
@@ -139,11 +178,11 @@ def align(text: str, quote: str | None, glyphs: dict[int, str] | None = None, li
         parts = quote.split(ELLIPSIS)
         if min(map(len, parts)) >= 2 and fits(span := _across(text, *parts)):
             return span
-    if re.search(EDITION_NOTE, text) and (span := locate(text, quote, str, EDITION_NOTE, alone=False)):
+    if re.search(EDITION_NOTE, text) and (span := locate(text, quote, SAME, EDITION_NOTE, alone=False)):
         return _cut(text, span, limit)
     notes = f"{NUMBERED_NOTE}|{EDITION_NOTE}"
-    display, display_source, bare, bare_source = _writers(glyphs or {})
-    shown = "".join(map(display, quote))
+    display, display_source, bare, bare_source = _writers(tuple(sorted((glyphs or {}).items())))
+    shown = quote.translate(display)
     if span := locate(text, shown, display_source, notes):
         a, b = span
         while a > 0 and text[a - 1] in QUOTATION_MARKS:
@@ -154,7 +193,7 @@ def align(text: str, quote: str | None, glyphs: dict[int, str] | None = None, li
             return a, b
     if re.search(READING_OF_GAP, text) and fits(span := places(text, display_source, notes, readings=True).find(shown, True)):
         return span
-    if fits(span := locate(text, "".join(map(bare, quote)), bare_source, notes)):
+    if fits(span := locate(text, quote.translate(bare), bare_source, notes)):
         return span
     return _left_out(text, quote, limit) if 4 <= len(quote) <= limit else None
 
@@ -181,52 +220,71 @@ def align_segments(text: str, quote: str | None, glyphs: dict[int, str] | None =
     return out
 
 
-def _spans(quotes: DataFrame, find: Callable[[str, str], object], kind: str) -> Column:
+def _spans(find: Callable[[str, str], object], kind: str, text: Column | str = "text", quote: Column | str = "quote") -> Column:
     """find(text, quote) for each row, in batches."""
 
     def run(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for texts, own in parts:
             yield pd.Series([find(t or "", q) for t, q in zip(texts, own, strict=True)], dtype=object)
 
-    return F.pandas_udf(run, kind)("text", "quote")
+    return F.pandas_udf(run, kind)(text, quote)
 
 
-def aligned(quotes: DataFrame, texts: DataFrame, key: str = "entry_id", glyphs: dict[int, str] | None = None, limit: int = LIMIT) -> DataFrame:
-    """quotes (key, quote, ...) with start, end (null where unaligned) and excerpt; only quotes that are no exact substring go to Python."""
+def _matched(quotes: DataFrame, texts: DataFrame, find: Callable[[str, str], object], kind: str, key: str, limit: int) -> DataFrame:
+    """quotes with their text, the span (_qm_a, _qm_b) of one that is an exact substring, and as _qm_s what find gives for the others.
+
+    One pass: texts and quotes of exact substrings go to Python as null, for which find gives null.
+    """
     j = quotes.join(texts.select(key, "text"), key)
-    bare = F.regexp_replace("quote", r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
-    at, n = F.instr("text", bare) - 1, F.length(bare)
-    sound = F.coalesce((at >= 0) & n.between(2, LONGEST_QUOTE), F.lit(False))
+    j = j.withColumn("_qm_q", F.regexp_replace("quote", r"^[\s\p{Z}]+|[\s\p{Z}]+$", ""))
+    j = j.withColumn("_qm_a", (F.instr("text", F.col("_qm_q")) - 1).cast("long"))
+    bare, n = F.col("_qm_q"), F.length("_qm_q")
+    sound = F.coalesce((F.col("_qm_a") >= 0) & n.between(2, LONGEST_QUOTE), F.lit(False))
     until = F.length(F.regexp_extract(F.substring(bare, 1, limit), f"(?s)^.+[{SENTENCE_ENDS}]", 0))
     length = F.when(n <= limit, n).when(until > 0, until).otherwise(limit)
-    exact = j.filter(sound).withColumns({"start": at.cast("long"), "end": (at + length).cast("long")})
-    pair = _spans(j, lambda t, q: align(t, q, glyphs, limit), "array<long>")
-    found = j.filter(~sound).withColumn("_qm_s", pair).withColumns({"start": F.get("_qm_s", F.lit(0)), "end": F.get("_qm_s", F.lit(1))}).drop("_qm_s")
-    return exact.unionByName(found).withColumn("excerpt", span_text(F.col("text"), F.col("start"), F.col("end"))).drop("text")
+    j = j.withColumn("_qm_a", F.when(sound, F.col("_qm_a"))).withColumn("_qm_b", F.col("_qm_a") + length)
+    rest = lambda c: F.when(F.col("_qm_a").isNull(), F.col(c))
+    return j.withColumn("_qm_s", _spans(find, kind, rest("text"), rest("quote"))).drop("_qm_q")
+
+
+def aligned(quotes: DataFrame, texts: DataFrame, key: str = "entry_id", glyphs: dict[int, str] | None = None, limit: int = LIMIT) -> DataFrame:
+    """quotes (key, quote, ...) with start, end (null where unaligned) and excerpt; only quotes that are no exact substring go to Python."""
+    j = _matched(quotes, texts, lambda t, q: align(t, q, glyphs, limit), "array<long>", key, limit)
+    j = j.withColumns({"start": F.coalesce("_qm_a", F.get("_qm_s", F.lit(0))), "end": F.coalesce("_qm_b", F.get("_qm_s", F.lit(1)))})
+    return j.withColumn("excerpt", span_text(F.col("text"), F.col("start"), F.col("end"))).drop("text", "_qm_a", "_qm_b", "_qm_s")
+
+
+#: Type of the spans that a quote's parts have.
+SPANS = "array<struct<start: long, end: long, excerpt: string>>"
+
+
+def _pieces(text: str, own: list[tuple[int, int]] | None) -> list[dict] | None:
+    return None if own is None else [{"start": a, "end": b, "excerpt": text[a:b]} for a, b in own]
 
 
 def segmented(quotes: DataFrame, texts: DataFrame, key: str = "entry_id", glyphs: dict[int, str] | None = None, limit: int = LIMIT) -> DataFrame:
     """quotes (key, quote, ...) with `spans`, an array of (start, end, excerpt), null where a part is not found."""
     j = quotes.join(texts.select(key, "text"), key)
-
-    def find(t: str, q: str) -> list[dict] | None:
-        own = align_segments(t, q, glyphs, limit)
-        return None if own is None else [{"start": a, "end": b, "excerpt": t[a:b]} for a, b in own]
-
-    return j.withColumn("spans", _spans(j, find, "array<struct<start: long, end: long, excerpt: string>>")).drop("text")
+    return j.withColumn("spans", _spans(lambda t, q: _pieces(t, align_segments(t, q, glyphs, limit)), SPANS)).drop("text")
 
 
 def settle(quotes: DataFrame, texts: DataFrame, required: DataFrame, key: str = "entry_id", glyphs: dict[int, str] | None = None, limit: int = LIMIT) -> tuple[DataFrame, DataFrame]:
     """Evidence of the quotes (key, quote, supports) that stand in their source, and what becomes of the entries.
 
     A quote that does not align whole is tried by segments, each of which carries its
-    supports; one that does not align at all goes. An entry that has lost all evidence of
+    supports; one that does not align at all goes. Spans are worked out once and written,
+    as evidence and entries both come from them. An entry that has lost all evidence of
     a required support (key, support) is not ok: it fails closed instead of standing
     without proof. Returns (key, excerpt, start, end, supports) and (key, dropped, lost, ok).
     """
-    whole = aligned(quotes, texts, key, glyphs, limit)
-    parts = segmented(whole.filter("start is null").select(key, "quote", "supports"), texts, key, glyphs, limit)
-    found = whole.filter("start is not null").select(key, "excerpt", "start", "end", "supports").unionByName(parts.select(key, "supports", F.inline("spans")).select(key, "excerpt", "start", "end", "supports"))
+    def find(t: str, q: str | None) -> list[dict] | None:
+        span = align(t, q, glyphs, limit)
+        return _pieces(t, align_segments(t, q, glyphs, limit) if span is None else [span])
+
+    j = _matched(quotes, texts, find, SPANS, key, limit)
+    whole = F.array(F.struct(F.col("_qm_a").alias("start"), F.col("_qm_b").alias("end"), span_text(F.col("text"), F.col("_qm_a"), F.col("_qm_b")).alias("excerpt")))
+    parts = shared.keep(j.select(key, "supports", F.when(F.col("_qm_a").isNotNull(), whole).otherwise(F.col("_qm_s")).alias("spans")), "spans")
+    found = parts.select(key, "supports", F.inline("spans"))
     evidence = found.groupBy(key, "excerpt").agg(F.min("start").alias("start"), F.min("end").alias("end"), F.sort_array(F.array_distinct(F.flatten(F.collect_set("supports")))).alias("supports"))
     dropped = parts.filter("spans is null").groupBy(key).agg(F.count("*").alias("dropped"))
     have = evidence.select(key, F.explode("supports").alias("support")).distinct()

@@ -120,3 +120,28 @@ def test_no_broadcast_without_large_groups(spark):
     groups = rows.groupBy("k").agg(F.count("*").alias("n"))
     assert "Union" not in join_groups(rows, groups, "k", "n", 3000)._jdf.queryExecution().toString()
     assert join_groups(rows, groups, "k", "n", 3000).count() == 3000
+
+
+def test_quotes_are_aligned_once_for_evidence_and_entries(spark):
+    texts = spark.createDataFrame([(1, "一二，三四。五六七八"), (2, "abc def ghi"), (3, None)], "entry_id long, text string")
+    quotes = spark.createDataFrame([(1, "二三四", ["a"]), (1, "五六", ["b"]), (2, "abc...ghi", ["a"]), (2, "none", ["b"]), (3, "x y", ["a"]), (3, None, ["b"])], "entry_id long, quote string, supports array<string>")
+    found, entries = evidence.settle(quotes, texts, quotes.select("entry_id", F.explode("supports").alias("support")))
+    assert not any("ArrowEvalPython" in x._jdf.queryExecution().toString() for x in (found, entries))
+    assert sorted((r.entry_id, r.excerpt, r.start, r.end) for r in found.collect()) == [(1, "二，三四", 1, 5), (1, "五六", 6, 8), (2, "abc", 0, 3), (2, "ghi", 8, 11)]
+    assert sorted((r.entry_id, r.dropped, r.lost, r.ok) for r in entries.collect()) == [(1, 0, [], True), (2, 1, ["b"], False), (3, 2, ["a", "b"], False)]
+
+
+def test_places_of_what_is_found_need_no_list_of_all_places():
+    import random
+
+    r = random.Random(5)
+    notes = f"{evidence.NUMBERED_NOTE}|{evidence.EDITION_NOTE}"
+    forms = evidence._writers(((ord("甲"), "乙丙"), (ord("丁"), "")))
+    for _ in range(3000):
+        text = "".join(r.choice(["甲", "丁", "戊", "，", " ", "「", "(註)", "[1]", "釡", "a", "​"]) for _ in range(r.randrange(30)))
+        for form in (*forms, evidence.SAME):
+            whole = evidence.places(text, form, notes)
+            a = r.randrange(len(whole.text) + 1)
+            quote = whole.text[a : a + r.randrange(6)]
+            for alone in (True, False):
+                assert evidence.locate(text, quote, form, notes, alone) == whole.find(quote, alone)
