@@ -2,7 +2,7 @@
 
 Expiry and replay take a key's events in the order of (event time, event id), however
 they fall into micro-batches: events wait in state until the watermark has passed them,
-and a timer lets them go (`in_order`). Nothing that comes later than the watermark is
+and a timer lets them go (`in_order`), for a bucket of keys at a time. Nothing that comes later than the watermark is
 taken, so any deal of the same events gives the same outcomes. State is bounded in time:
 events wait for the lateness allowed, an idempotency key is kept for the time to live
 (24 hours), a session leaves a tombstone of one number for `retain` hours after its end,
@@ -65,16 +65,36 @@ def run_to_end(stream: DataFrame, build: Callable[[DataFrame], DataFrame], spark
     return run_available(joined, spark, folder)
 
 
+#: Keys share as many groups of state: what is paid for each group a batch does not grow with the number of keys.
+BUCKETS = 1024
+
+
+def _whole(v: pd.Series) -> list:
+    """Values of a column as Python's own, null as None."""
+    return v.astype(object).where(v.notna(), None).tolist()
+
+
+def _ordered(rows: list[tuple]) -> list[tuple]:
+    """Rows sorted, null last."""
+    try:
+        return sorted(rows)
+    except TypeError:
+        return sorted(rows, key=lambda r: [(v is None, v) for v in r])
+
+
 class _InOrder(StatefulProcessor):
-    """Holds a key's events until the watermark has passed them, then steps through them in order."""
+    """Holds the events of a bucket of keys until the watermark has passed them, then steps through each key's in order.
+
+    Waiting events and states of a bucket are read and written as one list each.
+    """
 
-    def __init__(self, waiting: str, state: str, columns: list[str], step: Callable):
-        self.schemas, self.columns, self.step = (waiting, state), columns, step
+    def __init__(self, waiting: str, state: str, columns: list[str], step: Callable, frame: Callable):
+        self.schemas, self.columns, self.step, self.frame = (waiting, state), columns, step, frame
 
     def init(self, handle) -> None:
         self.handle = handle
         self.waiting = handle.getListState("waiting", self.schemas[0])
-        self.own = handle.getValueState("own", self.schemas[1])
+        self.own = handle.getListState("own", self.schemas[1])
         self.alarm = handle.getValueState("alarm", "at long")
 
     def _wake(self, at: int) -> None:
@@ -90,9 +110,11 @@ class _InOrder(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         first = None
         for b in rows:
-            new = [tuple(None if pd.isna(v) else v for v in r) for r in b[self.columns].astype(object).itertuples(index=False)]
-            self.waiting.appendList(new)
-            first = min([r[0] for r in new] + ([] if first is None else [first]))
+            if key[0] < 0:  # rows without a key
+                continue
+            us, k, ids, *carried = (_whole(b[c]) for c in self.columns)
+            self.waiting.appendList(list(zip(us, k, [None if i is None else int(i) for i in ids], *carried, strict=True)))
+            first = min([*us, *([] if first is None else [first])])
         if first is not None:
             self._wake(first)
         yield from ()
@@ -100,33 +122,45 @@ class _InOrder(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.alarm.clear()
         now = timerValues.getCurrentWatermarkInMs() * 1000
-        held = sorted(self.waiting.get())
-        due = [r for r in held if r[0] <= now]
+        due, rest, out = {}, [], []
+        for r in self.waiting.get():
+            due.setdefault(r[1], []).append((r[0], *r[2:])) if r[0] <= now else rest.append(tuple(r))
+        own = {r[0]: (r[1], tuple(r[2:])) for r in self.own.get()}
+        called = [k for k, (again, _) in own.items() if again is not None and again <= now and k not in due]
+        for k in [*due, *called]:
+            rows, state, again = self.step(k, own[k][1] if k in own else None, _ordered(due.get(k, [])), now)
+            out += rows
+            own.pop(k, None)
+            if state is not None:
+                own[k] = (again, state)
         if due:
-            rest = held[len(due) :]
             self.waiting.put(rest) if rest else self.waiting.clear()
-        out, state, again = self.step(key[0], self.own.get() if self.own.exists() else None, due, now)
-        self.own.clear() if state is None else self.own.update(state)
-        times = [r[0] for r in held[len(due) : len(due) + 1]] + ([] if again is None else [again])
+        if due or called:
+            self.own.put([(k, again, *state) for k, (again, state) in own.items()]) if own else self.own.clear()
+        times = [r[0] for r in rest] + [again for again, _ in own.values() if again is not None]
         if times:
             self._wake(min(times))
-        if len(out):
-            yield out
+        if out:
+            yield self.frame(out)
 
 
-def in_order(events: DataFrame, key: str, ts: str, event_id: str, carried: dict[str, str], state: str, step: Callable, schema: str, late: int) -> DataFrame:
+def in_order(events: DataFrame, key: str, ts: str, event_id: str, carried: dict[str, str], state: str, step: Callable, frame: Callable, schema: str, late: int, buckets: int = BUCKETS) -> DataFrame:
     """Steps through each key's events in order of (ts, event_id).
 
     step(key, state or None, due, now) -> (rows, state or None, when to be called again or
-    None); due are tuples (microseconds, event id, carried...), now is the watermark. Rows
-    without a key are not stepped through. State is kept where rows are `late` hours behind.
+    None); due are tuples (microseconds, event id, carried...), now is the watermark;
+    frame makes a data frame of rows. Rows without a key are not stepped through. State is
+    kept where rows are `late` hours behind; keys share it in `buckets` groups by hash.
     """
-    stamp = F.col(ts).cast("timestamp").alias("stamp")
-    rows = events.select(F.col(key).alias("k"), stamp, F.unix_micros(F.col(ts).cast("timestamp")).alias("us"), F.col(event_id).cast("long").alias("id"), *[F.col(c).alias(f"own_{c}") for c in carried])
-    columns = ["us", "id", *[f"own_{c}" for c in carried]]
-    waiting = "us long, id long" + "".join(f", {c} {t}" for c, t in carried.items())
-    processor = _InOrder(waiting, state, columns, lambda k, own, due, now: (pd.DataFrame(), None, None) if k is None or k != k else step(k, own, due, now))
-    return rows.withWatermark("stamp", f"{late} hours").groupBy("k").transformWithStateInPandas(processor, schema, "Append", "EventTime")
+    k, stamp = F.col(key), F.col(ts).cast("timestamp").alias("stamp")
+    bucket = F.when(k.isNull(), -1).otherwise(F.pmod(F.xxhash64(k), F.lit(buckets))).cast("int").alias("bucket")
+    # ids travel as text: a column of numbers with nulls would become one of floats
+    rows = events.select(bucket, k.alias("k"), stamp, F.unix_micros(F.col(ts).cast("timestamp")).alias("us"), F.col(event_id).cast("long").cast("string").alias("id"), *[F.col(c).alias(f"own_{c}") for c in carried])
+    columns = ["us", "k", "id", *[f"own_{c}" for c in carried]]
+    kind = dict(events.dtypes)[key]
+    waiting = f"us long, k {kind}, id long" + "".join(f", {c} {t}" for c, t in carried.items())
+    processor = _InOrder(waiting, f"k {kind}, again long, {state}", columns, step, frame)
+    return rows.withWatermark("stamp", f"{late} hours").groupBy("bucket").transformWithStateInPandas(processor, schema, "Append", "EventTime")
 
 
 def _hours(stamp: pd.Timestamp, hours: int) -> pd.Timestamp:
@@ -156,12 +190,14 @@ def expire(events: DataFrame, key: str = "user_id", ts: str = "ts", event_id: st
             over_row()
         if end is not None and now >= end + retain * HOUR:
             end = None
-        rows = pd.DataFrame(out, columns=["k", event_id, ts, "outcome"]).astype({event_id: "Int64"})
-        rows[ts] = pd.to_datetime(rows[ts], unit="us", utc=True)
-        return rows, None if end is None else (end, over), None if end is None else end + (retain * HOUR if over else 0)
+        return out, None if end is None else (end, over), None if end is None else end + (retain * HOUR if over else 0)
+
+    def frame(out):
+        k, ids, us, outcome = zip(*out, strict=True)
+        return pd.DataFrame({"k": k, event_id: pd.array(ids, dtype="Int64"), ts: pd.to_datetime(pd.Series(us), unit="us", utc=True), "outcome": outcome})
 
     kind = dict(events.dtypes)[key]
-    found = in_order(events, key, ts, event_id, {}, "ends long, over boolean", step, f"k {kind}, {event_id} long, {ts} timestamp, outcome string", late)
+    found = in_order(events, key, ts, event_id, {}, "ends long, over boolean", step, frame, f"k {kind}, {event_id} long, {ts} timestamp, outcome string", late)
     return found.withColumnRenamed("k", key)
 
 
@@ -178,10 +214,14 @@ def replay(events: DataFrame, key: str, fingerprint: str, ts: str = "ts", event_
                 out.append((k, e, "replay" if f == first else "conflict"))
         if end is not None and now >= end:
             end = None
-        return pd.DataFrame(out, columns=["k", event_id, "outcome"]), None if end is None else (first, end), end
+        return out, None if end is None else (first, end), end
+
+    def frame(out):
+        k, ids, outcome = zip(*out, strict=True)
+        return pd.DataFrame({"k": k, event_id: pd.array(ids, dtype="Int64"), "outcome": outcome})
 
     rows = events.withColumn(fingerprint, F.coalesce(F.col(fingerprint).cast("string"), F.lit("")))
-    found = in_order(rows, key, ts, event_id, {fingerprint: "string"}, "f string, ends long", step, f"k {dict(events.dtypes)[key]}, {event_id} long, outcome string", late)
+    found = in_order(rows, key, ts, event_id, {fingerprint: "string"}, "f string, ends long", step, frame, f"k {dict(events.dtypes)[key]}, {event_id} long, outcome string", late)
     return found.withColumnRenamed("k", key)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quillmill.operators import evidence, kept_index, retrieval, rules
 from quillmill.sources import files, pages
+from quillmill.streaming import sessions
 
 
 def test_word_edges_are_ascii(spark):
@@ -145,3 +146,57 @@ def test_places_of_what_is_found_need_no_list_of_all_places():
             quote = whole.text[a : a + r.randrange(6)]
             for alone in (True, False):
                 assert evidence.locate(text, quote, form, notes, alone) == whole.find(quote, alone)
+
+
+def test_a_bucket_of_keys_costs_as_many_calls_as_one_key():
+    import pandas as pd
+
+    calls = []
+
+    class State(list):
+        exists = lambda self: bool(self)
+        get = lambda self: calls.append("get") or (self[0] if self and not isinstance(self[0], tuple) else list(self))
+        appendList = lambda self, rows: calls.append("append") or self.extend(rows)  # noqa: E731, N815
+        put = lambda self, rows: calls.append("put") or self.__setitem__(slice(None), rows)
+        update = lambda self, row: calls.append("update") or self.__setitem__(slice(None), [list(row)])
+
+    class Handle:
+        getListState = getValueState = lambda self, name, schema: State()  # noqa: E731, N815
+        registerTimer = deleteTimer = lambda self, at: calls.append("timer")  # noqa: E731, N815
+
+    class At:
+        getCurrentWatermarkInMs = lambda self: 5  # noqa: E731, N802
+
+    seen = {}
+
+    def step(k, own, due, now):
+        seen[k] = [r[0] for r in due]
+        return [(k, len(due))], (len(due),), None
+
+    p = sessions._InOrder("", "", ["us", "k", "id"], step, lambda out: pd.DataFrame(out, columns=["k", "n"]))
+    p.init(Handle())
+    rows = pd.DataFrame([(us, k, None if k % 7 == 0 else str(2**60 + k)) for us in (9000, 4000, 1000, 1000) for k in range(400)], columns=["us", "k", "id"])
+    assert not list(p.handleInputRows((3,), iter([rows[:800], rows[800:]]), None)) and not list(p.handleInputRows((-1,), iter([rows]), None))
+    (out,) = p.handleExpiredTimer((3,), At(), None)
+    assert len(out) == 400 and set(out["n"]) == {3} and all(v == [1000, 1000, 4000] for v in seen.values())
+    assert sorted(p.waiting)[0] == (9000, 0, None) and len(p.waiting) == 400 and (9000, 5, 2**60 + 5) in p.waiting
+    assert len(p.own) == 400 and len(calls) <= 20
+
+
+def test_replay_of_many_keys_with_ids_that_no_float_holds(spark, tmp_path):
+    import datetime as dt
+
+    schema = "request string, ts timestamp_ntz, event_id long, body string"
+    rows = [(f"k{k % 90}", dt.datetime(2024, 1, 1) + dt.timedelta(hours=k % 40), None if k == 17 else 2**60 + k, "ab"[k % 3 == 0]) for k in range(900)]
+    spark.createDataFrame(rows, schema).repartition(3).write.parquet(f"file://{tmp_path}/in")
+    s = sessions.read_stream(spark, f"file://{tmp_path}/in", spark.read.parquet(f"file://{tmp_path}/in").schema)
+    got = sessions.run_to_end(s, lambda e: sessions.replay(e, "request", "body"), spark, f"file://{tmp_path}/out").collect()
+    want, first = [], {}
+    for k, t, e, b in sorted(rows, key=lambda r: (r[0], r[1], r[2] is None, r[2])):
+        if k not in first or t >= first[k][1]:
+            first[k] = (b, t + dt.timedelta(hours=24))
+            want.append((k, e, "first"))
+        else:
+            want.append((k, e, "replay" if b == first[k][0] else "conflict"))
+    text = lambda x: sorted(map(repr, x))
+    assert text((r.request, r.event_id, r.outcome) for r in got) == text(want)
