@@ -13,6 +13,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillmill import shared
 from quillmill.operators.evidence import LIMIT, span_text
 from quillmill.sources import snapshots
 
@@ -165,8 +166,10 @@ def corpus_rules(raw: DataFrame, rejected: DataFrame, entries: DataFrame, declar
 
     raw and rejected: entry_id; entries: entry_id, normal_sha256, dedupe_status,
     canonical_id, runtime_eligible, production_eligible. declared: pinned counts by name.
+    These columns of entries are written, as ids, hashes and marks are counted apart.
     """
     c = F.col
+    entries = shared.keep(entries.select("entry_id", "normal_sha256", "dedupe_status", "canonical_id", "runtime_eligible", "production_eligible"), "entries")
     first = c("dedupe_status") == "canonical"
     hashes = entries.groupBy("normal_sha256").agg(F.count_if(first).alias("firsts"), F.count_if(first & c("runtime_eligible")).alias("eligible"), F.count_distinct("canonical_id").alias("targets"), F.max(F.when(first, c("entry_id"))).alias("first_id"), F.max("canonical_id").alias("target"))
     wrong = hashes.agg(F.count_if(c("firsts") != 1).alias("canonical_per_hash"), F.count_if(c("eligible") != c("firsts")).alias("eligible_per_hash"), F.count_if((c("targets") != 1) | ~c("first_id").eqNullSafe(c("target"))).alias("pointers_per_hash"))

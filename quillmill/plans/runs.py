@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from quillmill import shared
 from quillmill.functions import text as tx
+from quillmill.operators import dedup
 from quillmill.operators import ledger as lg
 from quillmill.operators import run
-from quillmill.plans.corpus import MARKED, marked
+from quillmill.plans import corpus
+from quillmill.plans.corpus import MARKED
 from quillmill.registry import query
 from quillmill.sources import snapshots
 
@@ -111,8 +113,10 @@ w AS (SELECT unnest(['ids_repeated', 'raw_unaccounted', 'not_from_raw', 'accepte
 SELECT rule, found, wanted::BIGINT AS wanted, found = wanted AS ok FROM w""")
 def _(t):
     # every seventeenth entry is lost on the way, one rejected row comes from nowhere, and a pinned count is wrong
-    m = marked(t)
-    long = F.length(F.trim("text")) >= 20
+    # texts are read and hashed once
+    hashed = dedup.with_hashes(corpus.entries(t)).select("entry_id", "work", "normal_sha256", (F.length(F.trim("text")) >= 20).alias("long"))
+    m = shared.keep(dedup.mark_duplicates(shared.keep(hashed, "hashed")), "marked")
+    long = F.col("long")
     short = m.filter(~long).select("entry_id").unionByName(t.spark.createDataFrame([(-1,)], "entry_id long"))
     entries = m.filter(long & (F.col("entry_id") % 17 != 0)).withColumn("production_eligible", F.lit(False))
     return run.corpus_rules(m, short, entries, {"raw": m.count(), "canonical": 0})

@@ -200,3 +200,19 @@ def test_replay_of_many_keys_with_ids_that_no_float_holds(spark, tmp_path):
             want.append((k, e, "replay" if b == first[k][0] else "conflict"))
     text = lambda x: sorted(map(repr, x))
     assert text((r.request, r.event_id, r.outcome) for r in got) == text(want)
+
+
+def test_corpus_rules_read_entries_once(spark):
+    from quillmill.operators import run
+
+    passes = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            passes.add(len(b))
+            yield b
+
+    rows = [(k, f"h{k % 5}", "canonical" if k < 5 else "exact_duplicate", k % 5, k < 5, False) for k in range(20)]
+    entries = spark.createDataFrame(rows, "entry_id long, normal_sha256 string, dedupe_status string, canonical_id long, runtime_eligible boolean, production_eligible boolean")
+    told = run.corpus_rules(entries.select("entry_id"), entries.select("entry_id").limit(0), entries.mapInPandas(count, entries.schema), {"raw": 20, "canonical": 5})
+    assert all(r.ok for r in told.collect()) and passes.value == 20
