@@ -115,7 +115,12 @@ FIRST = [k for k, f in enumerate(FAULTS, 1) if f[-1] == "first"]
 
 def _json(**values) -> F.Column:
     """A JSON object with sorted keys."""
-    return cl.canonical(F.to_json(F.struct(*[v.alias(k) for k, v in values.items()])))
+    return F.to_json(F.struct(*[values[k].alias(k) for k in sorted(values)]))
+
+
+def _joined_json(**texts) -> F.Column:
+    """A JSON object with sorted keys of members that are JSON already; a null member is left out."""
+    return F.concat(F.lit("{"), F.concat_ws(",", *[F.concat(F.lit(f'"{k}":'), texts[k]) for k in sorted(texts)]), F.lit("}"))
 
 
 def ledgers(documents: DataFrame) -> dict[str, DataFrame]:
@@ -130,7 +135,7 @@ def ledgers(documents: DataFrame) -> dict[str, DataFrame]:
     root = F.concat(F.lit('{"label":"root","of":'), c("entry_id").cast("string"), F.lit("}"))
     version = lambda k: F.when(k == 0, root).otherwise(of("iteration", k))
     issues = F.array(F.struct(F.lit("tone").alias("kind"), c("excerpt").alias("sourceExcerpt")))
-    review = cl.canonical(F.to_json(F.struct(c("entry_id").cast("string").alias("entryId"), issues.alias("issues"), F.lit("revise").alias("verdict"))))
+    review = _json(entryId=c("entry_id").cast("string"), issues=issues, verdict=F.lit("revise"))
 
     def step(k):
         return F.struct(
@@ -139,26 +144,27 @@ def ledgers(documents: DataFrame) -> dict[str, DataFrame]:
         )
 
     a = about.withColumn("review_json", review).withColumn("lineage", F.transform(F.sequence(F.lit(1), c("n")), step))
+    steps_json = cl.sorted_json(a, "lineage")
     shared = ["entry_id", "work", "title", "chars"]
     annotations = a.select(*shared, F.lit("valid").alias("status"), "source_sha256", root.alias("payload"))
     last = {"prompt_version": F.lit("r2"), "prompt_sha256": F.lit("rp"), "schema_sha256": F.lit("rs")}
-    reviews = a.select(*shared, F.lit("revise").alias("status"), F.lit("revise").alias("verdict"), "source_sha256", sha(version(c("n") - 1)).alias("candidate_sha256"), c("review_json").alias("payload"), cl.canonical(F.to_json(issues)).alias("issues"), F.lit("reader").alias("model"), F.lit("reader-1").alias("reported_model"), *[v.alias(k) for k, v in last.items()])
+    reviews = a.select(*shared, F.lit("revise").alias("status"), F.lit("revise").alias("verdict"), "source_sha256", sha(version(c("n") - 1)).alias("candidate_sha256"), c("review_json").alias("payload"), F.to_json(issues).alias("issues"), F.lit("reader").alias("model"), F.lit("reader-1").alias("reported_model"), *[v.alias(k) for k, v in last.items()])
     own = {
         "entry_id": c("entry_id").cast("string"), "source_sha256": c("source_sha256"), "root_sha256": sha(root), "base_sha256": sha(version(c("n") - 1)), "parent_sha256": F.when(c("n") > 1, sha(version(c("n") - 1))),
         "iteration": c("n"), "origin": F.when(c("n") > 1, "repair").otherwise("annotation"), "review_sha256": sha(c("review_json")), "review_verdict": F.lit("revise"),
     }
     payloads = {"base": version(c("n") - 1), "review": c("review_json"), "normalized": of("normal", c("n")), "effective": version(c("n"))}
-    provenance = F.struct(F.lit("mender").alias("model"), F.lit("mender-1").alias("reported_model"), F.lit("m1").alias("prompt_version"), F.lit("mp").alias("prompt_sha256"), F.concat(F.lit("id"), c("n").cast("string")).alias("response_id"))
-    flat = _json(**own, normalized_sha256=sha(payloads["normalized"]), effective_sha256=sha(payloads["effective"]), human_reviewed=F.lit(False), research_ready=F.lit(False), lineage=c("lineage"), provenance=provenance)
-    nested = F.concat(F.expr("substring(flat, 1, length(flat) - 1)"), *[x for k, v in payloads.items() for x in (F.lit(f',"{k}":'), v)], F.lit("}"))
-    r = a.withColumn("flat", flat).withColumn("envelope", cl.canonical(nested))
+    provenance = _json(model=F.lit("mender"), reported_model=F.lit("mender-1"), prompt_version=F.lit("m1"), prompt_sha256=F.lit("mp"), response_id=F.concat(F.lit("id"), c("n").cast("string")))
+    plain = own | {"normalized_sha256": sha(payloads["normalized"]), "effective_sha256": sha(payloads["effective"])}  # hashes, ids and names, none with a letter to escape
+    members = {k: v.cast("string") if k == "iteration" else F.concat(F.lit('"'), v, F.lit('"')) for k, v in plain.items()}
+    r = a.withColumn("envelope", _joined_json(**members, **payloads, human_reviewed=F.lit("false"), research_ready=F.lit("false"), lineage=steps_json, provenance=provenance))
     repairs = r.select(
         *shared, F.lit("valid").alias("status"), c("n").alias("iteration"), own["origin"].alias("origin"), "source_sha256", *[own[k].alias(k) for k in ("root_sha256", "parent_sha256", "base_sha256", "review_sha256", "review_verdict")], *[v.alias(k) for k, v in payloads.items()],
         F.lit("r2").alias("review_prompt_version"), F.lit("rp").alias("review_prompt_sha256"), F.lit("rs").alias("review_schema_sha256"), _json(**own).alias("input"), of("draft", c("n")).alias("raw"), of("answer", c("n")).alias("response"), sha(payloads["normalized"]).alias("normalized_sha256"), sha(payloads["effective"]).alias("effective_sha256"),
         "envelope", "lineage", F.lit("mender").alias("model"), F.lit("mender-1").alias("reported_model"), F.lit("m1").alias("prompt_version"), F.lit("mp").alias("prompt_sha256"), F.lit("ms").alias("schema_sha256"), F.lit("es").alias("effective_schema_sha256"), F.lit("vs").alias("envelope_schema_sha256"), F.concat(F.lit("id"), c("n").cast("string")).alias("response_id"),
     )
     prior = a.select("entry_id", "lineage", F.explode(F.filter("lineage", lambda s: s["iteration"] < c("n"))).alias("s")).select("entry_id", c("s.iteration").alias("iteration"), c("s.effective").alias("effective_sha256"), F.slice("lineage", 1, c("s.iteration")).alias("lineage"))
-    history = prior.withColumn("envelope", _json(lineage=c("lineage"), effective_sha256=c("effective_sha256")))
+    history = prior.withColumn("envelope", _joined_json(lineage=cl.sorted_json(prior, "lineage"), effective_sha256=F.concat(F.lit('"'), "effective_sha256", F.lit('"'))))
     return {"source": sources, "annotation": annotations, "review": reviews, "repair": repairs, "history": history}
 
 

@@ -475,6 +475,27 @@ def test_closure_options(spark):
     assert closure.closure(*[x.limit(0) for x in tables], plans.CURRENT).count() == 0
 
 
+def test_members_of_an_envelope_are_read_in_one_pass(spark):
+    """No check reads the envelope by itself; odd spaces, a member named twice and one of another kind say what they did before."""
+    from quillmill.operators import closure
+    from quillmill.plans import closure as plans
+
+    checks = closure.entry_checks(plans.CURRENT)
+    assert not [k for k, c in checks.items() if "get_json_object(repair_envelope" in str(c) or "get_json_object(repair_input" in str(c)]
+    e = plans.EVERY
+    docs = spark.createDataFrame([(k * e, f"text {k}", "en", "w") for k in range(1, 6)], "doc_id long, text string, lang string, source string")
+    own = plans.ledgers(docs)
+    change = {1: "replace(envelope, ',', ' , ')", 2: "regexp_replace(envelope, '^[{]', '{\"base\":1,')", 3: "regexp_replace(envelope, '\"provenance\":[{][^}]*[}]', '\"provenance\":5')", 4: "substring(envelope, 1, 300)"}
+    repairs = own["repair"]
+    for k, x in change.items():
+        repairs = repairs.withColumn("envelope", F.when(F.col("entry_id") == k * e, F.expr(x)).otherwise(F.col("envelope")))
+    found = closure.closure(own["source"], own["annotation"], own["review"], repairs, own["history"], plans.CURRENT).collect()
+    codes = {k: {r.code for r in found if r.entry_id == k * e} for k in range(1, 6)}
+    assert codes[1] == {"repair_envelope_json"} and codes[2] == {"repair_envelope_json", "envelope_base"} and codes[3] == {"envelope_provenance"} and not codes[5]
+    # the parent's hash and what follows the cut are gone; a null parent is never there
+    assert codes[4] == {"repair_envelope_json", "envelope_provenance", "envelope_lineage", *[f"envelope_{n}" for n in closure.ENVELOPE if n not in ("provenance", "lineage")]}
+
+
 def test_a_review_run_that_is_whole_says_nothing(spark):
     from quillmill.operators import review_run
     from quillmill.plans import reviews
