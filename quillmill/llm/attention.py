@@ -40,7 +40,7 @@ class Maps:
 
     @classmethod
     def of(cls, seen: np.ndarray, inputs: int, after: np.ndarray, groups: int, classes: np.ndarray) -> Maps:
-        return cls(np.append(seen, [inputs, inputs + 1]).astype(np.int32), np.append(after, [groups, groups]).astype(np.int32), np.append(classes, [-1, -1]).astype(np.int32))
+        return cls(np.append(seen, [inputs, inputs + 1]).astype(np.intp), np.append(after, [groups, groups]).astype(np.int32), np.append(classes, [-1, -1]).astype(np.intp))
 
     @property
     def start(self) -> int:
@@ -98,29 +98,45 @@ class Scorer:
         self.weights, self.side = weights.ravel(), weights.shape[0]
         dist = distances(shape)
         self.near = np.where(dist >= 0, np.exp(p["near"][np.maximum(dist, 0)]), 0).astype(np.float32)
-        self.value = p["embed"] @ p["value"]
+        self.value = _with_ones(p["embed"] @ p["value"])
         self.out = p["out"]
         self.prior = np.exp(prior).astype(np.float32)
 
     def log_classes(self, context: np.ndarray, target: np.ndarray, step: int = 256) -> np.ndarray:
         """Natural log probability of the class of each target; 0 at pads."""
         got = np.empty(target.shape, np.float32)
-        s = self.shape.block
+        s, ones = self.shape.block, np.ones(self.shape.classes, np.float32)
         for k in range(0, len(context), step):
             ids = context[k : k + step]
             c, t = np.take(self.maps.seen, ids), np.take(self.maps.cls, target[k : k + step].ravel())
-            w = np.take(self.weights, (c[:, s:] * np.int32(self.side))[:, :, None] + c[:, None, :])
+            w = np.take(self.weights, (c[:, s:] * self.side)[:, :, None] + c[:, None, :], mode="clip")
             w *= self.near
-            o = np.matmul(w, np.take(self.value, c, axis=0))
-            o /= np.maximum(w.sum(axis=2, keepdims=True), np.float32(1e-30))
-            odds = np.exp(o.reshape(-1, self.shape.width) @ self.out)
-            odds *= np.take(self.prior, np.take(self.maps.after, ids[:, s:].ravel()), axis=0)
+            o = np.matmul(w, np.take(self.value, c, axis=0, mode="clip")).reshape(-1, self.shape.width + 1)
+            odds = (o[:, :-1] / np.maximum(o[:, -1:], np.float32(1e-30))) @ self.out
+            np.exp(odds, out=odds)
+            odds *= np.take(self.prior, np.take(self.maps.after, ids[:, s:].ravel()), axis=0, mode="clip")
             real = t >= 0
             hit = odds[np.arange(len(t)), np.where(real, t, 0)]
-            got[k : k + step] = np.where(real, np.log(hit / odds.sum(axis=1)), 0).reshape(-1, s)
+            got[k : k + step] = np.where(real, np.log(hit / (odds @ ones)), 0).reshape(-1, s)
         return got
 
 
+def _with_ones(v: np.ndarray) -> np.ndarray:
+    """Values with a column of ones, so that a product with weights gives their sum too."""
+    return np.concatenate([v, np.ones((len(v), 1), v.dtype)], axis=1)
+
+
+def _sum_rows(rows: np.ndarray, key: np.ndarray, size: int) -> np.ndarray:
+    """Sum of the rows of each key from 0 to size - 1."""
+    out = np.zeros((size, rows.shape[1]), rows.dtype)
+    order = np.argsort(key.astype(np.uint16) if size <= 1 << 16 else key, kind="stable")  # a radix sort where keys are short
+    n = np.bincount(key, minlength=size)
+    there = np.flatnonzero(n)
+    if len(there):
+        out[there] = np.add.reduceat(np.take(rows, order, axis=0), (np.cumsum(n) - n)[there], axis=0)
+    return out
+
+
 def gradient(vector: np.ndarray, prior: np.ndarray, shape: Shape, maps: Maps, context: np.ndarray, target: np.ndarray) -> tuple[float, np.ndarray]:
     """Mean negative log likelihood of the targets' classes and its gradient."""
     p, d, s, kind = split(vector, shape), shape.width, shape.block, vector.dtype.type
@@ -131,37 +147,38 @@ def gradient(vector: np.ndarray, prior: np.ndarray, shape: Shape, maps: Maps, co
     e, side = p["embed"], len(p["embed"])
     q, k, v = e @ p["query"], e @ p["key"], e @ p["value"]
     scale = kind(np.sqrt(d))
-    pair = (c[:, s:] * np.int32(side))[:, :, None] + c[:, None, :]
+    pair = (c[:, s:] * side)[:, :, None] + c[:, None, :]
     table = np.exp(q @ k.T / scale)
     table[:, shape.inputs + 1] = 0
-    w = np.take(table, pair)
+    w = np.take(table, pair, mode="clip")
     w *= np.where(dist >= 0, np.exp(p["near"][np.maximum(dist, 0)]), 0).astype(kind)
-    a = w / np.maximum(w.sum(axis=2, keepdims=True), kind(1e-30))
-    vc = np.take(v, c, axis=0)
-    o = np.matmul(a, vc)
-    flat_o = o.reshape(-1, d)
-    logits = flat_o @ p["out"]
-    logits += np.take(prior, np.take(maps.after, context[:, s:].ravel()), axis=0)
-    g = np.exp(logits, out=logits)  # the prior's log probabilities are at most 0 and outputs stay small
-    g /= g.sum(axis=1, keepdims=True)
+    vc = np.take(_with_ones(v), c, axis=0, mode="clip")
+    o = np.matmul(w, vc).reshape(-1, d + 1)
+    total = np.maximum(o[:, -1:], kind(1e-30))  # of a place's weights
+    o = o[:, :-1] / total
+    g = o @ p["out"]
+    g += np.take(prior, np.take(maps.after, context[:, s:].ravel()), axis=0, mode="clip")
+    np.exp(g, out=g)  # the prior's log probabilities are at most 0 and outputs stay small
+    odds = g @ np.ones(shape.classes, kind)
     flat_t = t.ravel()
     rows = np.flatnonzero(flat_t >= 0)
-    n = max(1, len(rows))
-    loss = -np.log(np.maximum(g[rows, flat_t[rows]], 1e-30)).sum() / n
-    g[rows, flat_t[rows]] -= 1
-    g[flat_t < 0] = 0
-    g /= n
-    do = (g @ p["out"].T).reshape(o.shape)
-    da = np.matmul(do, vc.transpose(0, 2, 1))
-    dv = np.matmul(a.transpose(0, 2, 1), do).reshape(-1, d)
-    ds = a * (da - (a * da).sum(axis=2, keepdims=True))
+    n, hit = max(1, len(rows)), flat_t[rows]
+    loss = -np.log(np.maximum(g[rows, hit] / odds[rows], 1e-30)).sum() / n
+    g[rows, hit] -= odds[rows]
+    share = np.where(flat_t >= 0, kind(1 / n) / odds, kind(0))[:, None]  # what rows are to be multiplied by, done where they are narrow
+    # weights are not divided by their sum: what comes back is, and the last column takes the mean off
+    do = g @ p["out"].T
+    do *= share / total
+    back = np.concatenate([do, -np.einsum("ij,ij->i", o, do)[:, None]], axis=1).reshape(-1, s, d + 1)
+    ds = np.matmul(back, vc.transpose(0, 2, 1))
+    ds *= w
+    dv = np.matmul(w.transpose(0, 2, 1), do.reshape(-1, s, d)).reshape(-1, d)
     near = np.bincount(np.maximum(dist, 0).ravel(), np.where(dist >= 0, ds.sum(axis=0), 0).ravel(), 2 * s)
     scores = (np.bincount(pair.ravel(), ds.ravel(), side * side) / scale).astype(kind).reshape(side, side)
-    place = (c.reshape(-1, 1) * np.int32(d) + np.arange(d, dtype=np.int32)).ravel()
-    value = np.bincount(place, dv.ravel(), side * d).astype(kind).reshape(side, d)
+    value = _sum_rows(dv, c.ravel(), side)
     dq, dk = scores @ k, scores.T @ q
     embed = dq @ p["query"].T + dk @ p["key"].T + value @ p["value"].T
-    parts = [embed, e.T @ dq, e.T @ dk, e.T @ value, near, flat_o.T @ g]
+    parts = [embed, e.T @ dq, e.T @ dk, e.T @ value, near, (o * share).T @ g]
     return float(loss), np.concatenate([x.ravel() for x in parts])
 
 

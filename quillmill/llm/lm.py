@@ -29,6 +29,7 @@ import base64
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -120,9 +121,12 @@ class Subwords:
             while len(self.place) > self.kept:
                 self.place.popitem()
             self.used = int(self.starts[self.kept])
-        if new := list(set(words).difference(self.place)):
-            self.add(new)
-        return np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+        at = np.fromiter(map(self.place.get, words, repeat(-1)), np.int64, len(words))
+        if len(unseen := np.flatnonzero(at < 0)):
+            others = [words[i] for i in unseen]
+            self.add(list(dict.fromkeys(others)))
+            at[unseen] = np.fromiter(map(self.place.__getitem__, others), np.int64, len(others))
+        return at
 
     def ids(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words at these places one after the other, and where each word's ids end."""

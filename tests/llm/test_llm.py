@@ -472,6 +472,21 @@ def tiny():
     return shape, maps, vector, prior, rng
 
 
+def test_rows_are_summed_by_key_and_words_seen_are_not_looked_for_again(monkeypatch):
+    """Sums of rows are as plain addition gives them, keys without rows too; only words not seen before are added, each once and in order."""
+    rng = np.random.default_rng(4)
+    rows, key = rng.normal(0, 1, (300, 5)), rng.choice([0, 2, 3, 6, 128], 300)
+    want = np.zeros((130, 5))
+    np.add.at(want, key, rows)
+    assert np.allclose(attention._sum_rows(rows, key, 130), want) and not attention._sum_rows(rows[:0], key[:0], 3).any()
+
+    sub = lm.Subwords(RANKS, [b"one", b"two"])
+    added, add = [], lm.Subwords.add
+    monkeypatch.setattr(lm.Subwords, "add", lambda self, words: (added.append(list(words)), add(self, words)))
+    assert sub.places([b"two", b"new", b"one", b"other", b"new"]).tolist() == [1, 2, 0, 3, 2]
+    assert sub.places([b"other", b"two"]).tolist() == [3, 1] and added == [[b"new", b"other"]]
+
+
 def test_gradient_of_the_attention_model():
     shape, maps, x, prior, rng = tiny()
     c, t = attention.windows(rng.integers(0, 7, 10), shape, maps)
