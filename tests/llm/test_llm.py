@@ -857,3 +857,18 @@ def test_pipeline_stages(spark):
         path = f"{spark.conf.get('spark.checkpoint.dir')}/stage-{name}"
         out.write.mode("overwrite").parquet(path)
         docs = spark.read.parquet(path)
+
+
+def test_a_round_of_components_with_crowded_nodes_has_small_plans(spark):
+    """A plan that holds the plan of the half before several times fills the driver's memory."""
+    lines = []
+
+    class Watched(Stash):
+        def keep(self, df, name):
+            lines.append(str(df._jdf.queryExecution().optimizedPlan().treeString()).count("\n"))
+            return super().keep(df, name)
+
+    rows = [(k, 0) for k in range(1, 1500)] + [(k, 1499) for k in range(1500, 2900)] + [(5000, 5001)]
+    got = {r.node: r.root for r in components(spark.createDataFrame(rows, "a long, b long"), Watched(spark, "t")).collect()}
+    assert got == dict.fromkeys(range(2900), 0) | {5000: 5000, 5001: 5000}
+    assert max(lines) < 80
