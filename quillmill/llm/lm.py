@@ -247,12 +247,17 @@ def columns_of(counts: np.ndarray, cls: np.ndarray, classes: int, tabled: int) -
     return out
 
 
-def _count_ids(size: int):
+def _count_ids(size: int, tokenizer: str, hot):
+    """Ids of all training texts, from the counts of their words: a word's ids do not depend on its neighbours."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sub, _ = _known_words(tokenizer, hot)
         seen = np.zeros(size, np.int64)
         for b in batches:
-            for z in b["ids"]:
-                seen += np.bincount(_ids(z, size), minlength=size)
+            is_end = (b["word"] == END).to_numpy()
+            c = b["c"].to_numpy(np.int64)
+            seen[-1] += c[is_end].sum()
+            ids, to = sub.ids(sub.places([bytes(w) for w in b["word"][~is_end]]))
+            np.add.at(seen, ids, np.repeat(c[~is_end], np.diff(to, prepend=0)))
         yield _sparse(seen)
 
     return run
@@ -366,7 +371,7 @@ def score(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     sub = Subwords(tokenizer)
     size = sub.end + 1  # and the end token
     learn = rows.filter(~F.col("held_out")).select("rid", "ids")
-    seen = _summed(learn.select("ids"), _count_ids(size), size)
+    seen = _summed(counts, _count_ids(size, tokenizer, table), size)
     tokens = [sub._bytes(i) for i in range(size)]
     cls, group, seen_as = (token_classes(seen, tokens, n) for n in (classes, groups, inputs))
     column = columns_of(seen, cls, classes, tabled)

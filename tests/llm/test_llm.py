@@ -872,3 +872,18 @@ def test_a_round_of_components_with_crowded_nodes_has_small_plans(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(rows, "a long, b long"), Watched(spark, "t")).collect()}
     assert got == dict.fromkeys(range(2900), 0) | {5000: 5000, 5001: 5000}
     assert max(lines) < 80
+
+
+def test_lm_counts_ids_from_the_counts_of_words(spark):
+    """As many of each id as the texts have, without another pass over the texts."""
+    texts = ["Alpha beta beta", "", "café 漢字 beta <|endoftext|>", "a b " * 3, "​ x" + "y" * 90]
+    words = Counter(w for t in texts for w in [*lm.split_words(t.encode()), lm.END])
+    sub = lm.Subwords(RANKS)
+    size = sub.end + 1
+    want = np.zeros(size, np.int64)
+    for t in texts:
+        ids, _ = sub.ids(sub.places(lm.split_words(t.encode())))
+        want += np.bincount(lm._ids(ids.tobytes(), size), minlength=size)
+    hot = spark.sparkContext.broadcast(([b"beta"], np.array([3])))
+    table = spark.createDataFrame(list(words.items()), "word binary, c long")
+    assert (lm._summed(table, lm._count_ids(size, RANKS, hot), size) == want).all()
