@@ -237,3 +237,9 @@ def test_texts_too_short_to_quote_ask_for_no_title(spark, tmp_path):
     texts = ["", "a", " b ", "\n" * 30 + "c", "ab", " \n\t" * 30, "x" * 50, "Of words there are some, " * 6] * 3
     got, want = against_sql(spark, tmp_path, "e3_drop_unaligned", texts)
     assert got == want and (1, 1, "tone,", False) in got and (0, 1, "tone,end", False) in got
+
+
+def test_empty_texts_are_published(spark, tmp_path):
+    texts = ["", "a", "", "some words", "some, words", " "] * 2
+    got, want = against_sql(spark, tmp_path, "s10_publish_entries", texts)
+    assert got == want and {r[-2] for r in got} == {12}
