@@ -76,20 +76,32 @@ def text_key(col: str = "text"):
     return F.xxhash64(text_of(col))
 
 
-def one_of_each(groups: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def one_of_each(groups: DataFrame, docs: DataFrame, id_col: str, text_col: str, few: int = 500_000) -> DataFrame:
     """docs with one row of each group, columns unchanged.
 
     groups: a row a document (id, key, group), key being its text_key. The row with
     the smallest id stays (null ids last), of those with that id the one with the
-    smallest key, of equal rows any one.
+    smallest key, of equal rows any one. Texts stay where they are and are not written, as
+    what goes is told to all tasks; where that is more than `few` rows, rows meet what
+    stays by key, once.
     """
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("first")
-    stays = groups.groupBy("group", "id", "key").agg(F.count("*").alias("n")).groupBy("group").agg(first, F.min_by("n", F.struct(F.col("id").isNull(), "id", "key")).alias("n"))
+    each = groups.groupBy("group", "id", "key").agg(F.count("*").alias("n"))
+    stays = each.groupBy("group").agg(first, F.min_by("n", F.struct(F.col("id").isNull(), "id", "key")).alias("n"))
     stays = stays.select(F.col("first.id").alias("_qm_id"), F.col("first.key").alias("_qm_key"), F.col("n").alias("_qm_n"))
-    kept = docs.withColumn("_qm_own", text_key(text_col)).join(stays, F.col(id_col).eqNullSafe(F.col("_qm_id")) & (F.col("_qm_own") == F.col("_qm_key")))
-    if stays.filter("_qm_n > 1").limit(1).count():  # only rows that are there more than once meet each other
-        kept = kept.filter("_qm_n = 1").unionByName(kept.filter("_qm_n > 1").dropDuplicates(["_qm_id", "_qm_key"]))
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    named = each.select(F.col("id").alias("_qm_id"), F.col("key").alias("_qm_key"))
+    stash = Stash(docs.sparkSession, "one-of-each")
+    gone = stash.keep(named.join(stays, named["_qm_id"].eqNullSafe(stays["_qm_id"]) & (named["_qm_key"] == stays["_qm_key"]), "left_anti"), "gone")
+    own = docs.withColumn("_qm_own", text_key(text_col))
+    of = F.col(id_col).eqNullSafe(F.col("_qm_id")) & (F.col("_qm_own") == F.col("_qm_key"))
+    small = gone.count() <= few
+    kept = own.join(F.broadcast(gone), of, "left_anti") if small else own.join(stays, of)
+    if (more := stays.filter("_qm_n > 1")).limit(1).count():  # only rows that are there more than once meet each other
+        if small:
+            kept = kept.join(more, of, "left")
+        kept = kept.filter("_qm_n is null or _qm_n = 1").unionByName(kept.filter("_qm_n > 1").dropDuplicates(["_qm_id", "_qm_key"]))
+    kept = kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return kept if small else stash.keep(kept, "kept")
 
 
 def held_out(id_col: str = "doc_id", remainder: int = 0, folds: int = 5):

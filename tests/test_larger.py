@@ -243,3 +243,34 @@ def test_empty_texts_are_published(spark, tmp_path):
     texts = ["", "a", "", "some words", "some, words", " "] * 2
     got, want = against_sql(spark, tmp_path, "s10_publish_entries", texts)
     assert got == want and {r[-2] for r in got} == {12}
+
+
+def test_near_copies_go_without_a_shuffle_of_texts(spark):
+    from quillmill.llm import shingles, simhash
+
+    words = [f"w{k}" for k in range(900)]
+    docs = spark.createDataFrame([(k, " ".join(words[k * 7 % 300 :][: 60 + k % 2])) for k in range(40)] + [(50, "one Two"), (51, "one  two")], "doc_id long, text string")
+    for drop in (simhash.drop_near_copies, shingles.drop_near_copies):
+        kept = drop(docs)
+        assert "Exchange hashpartitioning" not in kept._jdf.queryExecution().toString() and 0 < kept.count() < 42
+
+
+def test_shingles_of_prefixes_by_brute_force(spark):
+    from collections import Counter
+
+    import numpy as np
+
+    from quillmill.llm import shingles
+
+    words, common = [f"w{k}" for k in range(4000)], " ".join(f"c{k}" for k in range(40))
+    texts = [" ".join(words[k * 60 : k * 60 + 50]) + (f" {common}" if k % 3 == 0 else "") for k in range(60)] + [" ".join(words[60:108]), "", "one two"]
+    sets = [shingles.shingle_set(t, 5) for t in texts]
+    held = Counter(h for _, own in sets for h in (own.view(np.uint64) >> np.uint64(22)).tolist())
+    want = set()
+    for fp, own in sets:
+        h = sorted((own.view(np.uint64) >> np.uint64(22)).tolist())
+        shared = [x for x in h if held[x] > 1]
+        some = len(h) - shingles.needed(len(h), 0.8) + 1 - (len(h) - len(shared))
+        want |= {(np.uint64(fp).astype(np.int64).item(), x) for x in shared[: max(0, some)]}
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").repartition(4)
+    assert {tuple(r) for r in shingles._prefix_rows(rows, 5, 0.8).collect()} == want and 0 < len(want) < 500
